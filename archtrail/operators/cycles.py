@@ -1,22 +1,21 @@
 """Strongly connected components, one cycle per component, dependency order.
 
-All three are level-synchronous: every round is one or more joins between the
-edge table and a per-node table, so neither the graph nor one component is ever
-gathered in a task. Lineage is cut once per batch of rounds.
+Every round joins the links with a per-node table, lets each task run its links
+to a local fixpoint and merges the results by node. Neither the graph nor one
+component is ever gathered in a task, and lineage is cut once per round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archtrail.operators import blocks
 from archtrail.session import cut_lineage
 
-# Relaxation steps planned into one job before lineage is cut and progress read.
-STEPS_PER_JOB = 3
-
 
 def _distinct_links(edges: DataFrame) -> DataFrame:
     return (
@@ -24,20 +23,19 @@ def _distinct_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def _trim(links: DataFrame) -> DataFrame:
-    """Drop links that cannot lie on a cycle: their source has no way in or their
-    target has no way out."""
-    has_way_in = links.select(F.col("target").alias("source")).distinct()
-    kept = links.join(has_way_in, "source", "left_semi")
-    has_way_out = kept.select(F.col("source").alias("target")).distinct()
-    return kept.join(has_way_out, "target", "left_semi").select("source", "target")
-
-
 def _trim_fully(links: DataFrame) -> tuple[DataFrame, int]:
+    """Drop links that cannot lie on a cycle, until none is left to drop."""
     links = cut_lineage(links)
     count = links.count()
     while count:
-        links = cut_lineage(reduce(lambda kept, _: _trim(kept), range(STEPS_PER_JOB), links))
+        into = links.groupBy(F.col("target").alias("source")).agg(F.count(F.lit(1)).alias("way_in"))
+        out = links.groupBy(F.col("source").alias("target")).agg(F.count(F.lit(1)).alias("way_out"))
+        counted = links.join(into, "source").join(out, "target")
+        links = cut_lineage(
+            counted.select("source", "target", "way_in", "way_out").mapInPandas(
+                blocks.peel, "source string, target string"
+            )
+        )
         left = links.count()
         if left == count:
             break
@@ -45,50 +43,54 @@ def _trim_fully(links: DataFrame) -> tuple[DataFrame, int]:
     return links, count
 
 
-def _spread_highest(links: DataFrame, state: DataFrame) -> DataFrame:
-    """One step: a node takes the highest colour among itself and its sources."""
-    pushed = links.join(state.select(F.col("node").alias("source"), "color"), "source").select(
-        F.col("target").alias("node"), "color"
-    )
-    return state.select("node", "color").unionByName(pushed).groupBy("node").agg(
-        F.max("color").alias("color")
-    )
-
-
-def _color(links: DataFrame) -> DataFrame:
-    """Give each node the highest node id that reaches it."""
-    nodes = links.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    state = nodes.withColumn("color", F.col("node"))
-    state = cut_lineage(state)
+def _spread(
+    links: DataFrame,
+    state: DataFrame,
+    kernel: Callable,
+    value_type: str,
+    better: Callable[[Column, Column], Column],
+    best: Callable[[str], Column],
+    missing: Column | None = None,
+) -> DataFrame:
+    """Run ``kernel`` over links and node values until no value improves.
+
+    ``state``: node, value. ``better(new, old)`` compares, ``best`` aggregates
+    several proposals for a node. With ``missing``, sources without a value take
+    part in the first round under that marker, so that a block can pass values on
+    through them. From the second round on only links leaving a node that just
+    improved are looked at."""
+    sources = state.select(F.col("node").alias("source"), "value")
+    active = links.join(sources, "source", "inner" if missing is None else "left")
+    if missing is not None:
+        active = active.withColumn("value", F.coalesce("value", missing))
     while True:
-        before = state.select("node", F.col("color").alias("_before"))
-        after = reduce(lambda s, _: _spread_highest(links, s), range(STEPS_PER_JOB), state)
-        state = cut_lineage(
-            after.join(before, "node").withColumn("_moved", F.col("color") != F.col("_before"))
+        proposed = (
+            active.select("source", "target", "value")
+            .mapInPandas(kernel, f"node string, value {value_type}")
+            .groupBy("node")
+            .agg(best("value").alias("_proposed"))
         )
-        if state.where("_moved").isEmpty():
-            return state.select("node", "color")
-        state = state.select("node", "color")
+        old = F.col("value")
+        moved = F.col("_proposed").isNotNull() & (old.isNull() | better(F.col("_proposed"), old))
+        merged = cut_lineage(
+            state.select("node", "value")
+            .join(proposed, "node", "full")
+            .select("node", F.when(moved, F.col("_proposed")).otherwise(old).alias("value"),
+                    moved.alias("_moved"))
+        )
+        changed = merged.where("_moved")
+        state = merged.select("node", "value")
+        if changed.isEmpty():
+            return state
+        active = links.join(changed.select(F.col("node").alias("source"), "value"), "source")
 
 
-def _collect_back(links: DataFrame, colored: DataFrame) -> DataFrame:
-    """Nodes that reach the node their colour is named after, inside the colour."""
-    found = cut_lineage(colored.where(F.col("node") == F.col("color")).withColumn("_new", F.lit(True)))
-    while True:
-        step = found.select("node", "color")
-        for _ in range(STEPS_PER_JOB):
-            pulled = links.join(
-                step.select(F.col("node").alias("target"), "color"), ["target", "color"]
-            ).select(F.col("source").alias("node"), "color")
-            step = step.unionByName(pulled).distinct()
-        known = found.select("node", F.lit(True).alias("_known"))
-        found = cut_lineage(
-            step.join(known, "node", "left").select(
-                "node", "color", F.col("_known").isNull().alias("_new")
-            )
-        )
-        if found.where("_new").isEmpty():
-            return found.select("node", "color")
+def _greater(new: Column, old: Column) -> Column:
+    return new > old
+
+
+def _less(new: Column, old: Column) -> Column:
+    return new < old
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -104,16 +106,26 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links, count = _trim_fully(_distinct_links(edges))
     settled: list[DataFrame] = []
     while count:
-        colored = _color(links)
-        by_source = colored.select(F.col("node").alias("source"), "color")
-        by_target = colored.select(F.col("node").alias("target"), F.col("color").alias("_color"))
+        ids = links.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+        start = cut_lineage(ids.withColumn("value", F.col("node")))
+        colored = _spread(links, start, blocks.spread_highest, "string", _greater, F.max)
+        by_source = colored.select(F.col("node").alias("source"), F.col("value").alias("color"))
+        by_target = colored.select(F.col("node").alias("target"), F.col("value").alias("_color"))
         inside = cut_lineage(
             links.join(by_source, "source")
             .join(by_target, "target")
             .where(F.col("color") == F.col("_color"))
             .select("source", "target", "color")
         )
-        members = _collect_back(inside, colored)
+        backward = inside.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        roots = colored.where(F.col("node") == F.col("value")).select("node", F.lit(0).cast("bigint").alias("value"))
+        reaching = _spread(
+            backward, cut_lineage(roots), blocks.spread_distance, "bigint", _less, F.min,
+            missing=F.lit(-1).cast("bigint"),
+        ).select("node")
+        members = cut_lineage(
+            colored.join(reaching, "node", "left_semi").select("node", F.col("value").alias("color"))
+        )
         settled.append(members)
         done = members.select(F.col("node").alias("source"))
         left = inside.join(done, "source", "left_anti").join(
@@ -150,10 +162,10 @@ def representative_cycles(components: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, position, node): for each cyclic component one shortest cycle
     through its smallest node, which stands at position 0.
 
-    Breadth-first from all smallest nodes at once, lowest predecessor first; a
-    component stops as soon as a link leads back to its start. The cycle is then
-    read backwards along the predecessors. It comes as rows, so its length has
-    no bound."""
+    Distances from all smallest nodes spread at once; the cycle closes over the
+    nearest (then smallest) node with a link back and is read backwards along the
+    smallest predecessor one step closer. It comes as rows, so its length has no
+    bound."""
     regions = cut_lineage(cyclic_regions(components, edges))
     owner = regions.select(F.col("node").alias("source"), "component")
     other = regions.select(F.col("node").alias("target"), F.col("component").alias("_other"))
@@ -165,38 +177,34 @@ def representative_cycles(components: DataFrame, edges: DataFrame) -> DataFrame:
         .where(F.col("component") == F.col("_other"))
         .select("component", "source", "target")
     )
-    frontier = regions.where(F.col("node") == F.col("component")).select(
-        "component", "node", F.lit(None).cast("string").alias("via"), F.lit(0).alias("depth")
+    roots = regions.where(F.col("node") == F.col("component")).select(
+        "node", F.lit(0).cast("bigint").alias("value")
     )
-    frontier = cut_lineage(frontier)
-    reached, ends = [frontier], []
-    while True:
-        step = links.join(frontier.select("component", F.col("node").alias("source"), "depth"),
-                          ["component", "source"])
-        closing = cut_lineage(
-            step.where(F.col("target") == F.col("component"))
-            .groupBy("component")
-            .agg(F.min("source").alias("node"), F.min("depth").alias("depth"))
-        )
-        ends.append(closing)
-        seen = reduce(DataFrame.unionByName, reached).select(F.col("node").alias("target"))
-        frontier = cut_lineage(
-            step.join(closing, "component", "left_anti")
-            .join(seen, "target", "left_anti")
-            .groupBy("component", F.col("target").alias("node"))
-            .agg(F.min("source").alias("via"), (F.min("depth") + 1).alias("depth"))
-        )
-        if frontier.isEmpty():
-            break
-        reached.append(frontier)
-    tree = cut_lineage(reduce(DataFrame.unionByName, reached))
-    at = cut_lineage(reduce(DataFrame.unionByName, ends))
+    depth = _spread(
+        links.where(F.col("source") != F.col("target")), cut_lineage(roots), blocks.spread_distance,
+        "bigint", _less, F.min, missing=F.lit(-1).cast("bigint"),
+    )
+    from_depth = depth.select(F.col("node").alias("source"), F.col("value").alias("depth"))
+    at_depth = depth.select(F.col("node").alias("target"), F.col("value").alias("_depth"))
+    measured = cut_lineage(links.join(from_depth, "source").join(at_depth, "target"))
+    closing = (
+        measured.where(F.col("target") == F.col("component"))
+        .groupBy("component")
+        .agg(F.min(F.struct("depth", "source")).alias("_end"))
+        .select("component", F.col("_end.source").alias("node"), F.col("_end.depth").alias("depth"))
+    )
+    before = cut_lineage(
+        measured.where(F.col("depth") + 1 == F.col("_depth"))
+        .groupBy("component", F.col("target").alias("node"))
+        .agg(F.min("source").alias("_via"))
+    )
+    at = cut_lineage(closing)
     rows = [at]
     while True:
         at = cut_lineage(
-            at.join(tree, ["component", "node"])
-            .where(F.col("via").isNotNull())
-            .select("component", F.col("via").alias("node"), (tree["depth"] - 1).alias("depth"))
+            at.join(before, ["component", "node"]).select(
+                "component", F.col("_via").alias("node"), (F.col("depth") - 1).alias("depth")
+            )
         )
         if at.isEmpty():
             break
@@ -216,8 +224,8 @@ def dependency_order_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the descending chain of the ids it had to wait for, ending in itself. For a
     group ``v`` and each direct dependency ``d``, cut from the end of ``key(d)``
     the ids below ``v`` and append ``v``; the key of ``v`` is the largest such
-    array. Keys thus settle one dependency level per round and the final order
-    is an ordinary distributed sort instead of a sequential loop."""
+    array. Keys spread like any other node value and the final order is an
+    ordinary distributed sort instead of a sequential loop."""
     components = strong_components(nodes, edges)
     inside = components.select(F.col("node").alias("source"), F.col("component").alias("_from"))
     toward = components.select(F.col("node").alias("target"), F.col("component").alias("_to"))
@@ -226,35 +234,12 @@ def dependency_order_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .join(inside, "source")
         .join(toward, "target")
         .where(F.col("_from") != F.col("_to"))
-        .select(F.col("_from").alias("group"), F.col("_to").alias("needs"))
+        .select(F.col("_to").alias("source"), F.col("_from").alias("target"))
         .distinct()
     )
-    groups = components.select(F.col("component").alias("group")).distinct()
-    keys = cut_lineage(groups.withColumn("key", F.array("group")))
-    changed = keys
-    while True:
-        # Only groups that wait for something that changed are looked at again.
-        moved = waits.join(
-            changed.select(F.col("group").alias("needs"), F.col("key").alias("_key")), "needs"
-        )
-        own = F.col("group")
-        kept = F.filter(
-            F.sequence(F.lit(0), F.size("_key")),
-            lambda n: (n == 0) | (F.try_element_at("_key", F.greatest(n, F.lit(1))) > own),
-        )
-        candidate = F.concat(F.slice("_key", F.lit(1), F.array_max(kept)), F.array(own))
-        best = moved.groupBy("group").agg(F.max(candidate).alias("_best"))
-        compared = cut_lineage(
-            keys.join(best, "group", "left").select(
-                "group",
-                F.greatest("key", F.coalesce("_best", "key")).alias("key"),
-                F.coalesce(F.col("_best") > F.col("key"), F.lit(False)).alias("_moved"),
-            )
-        )
-        changed = compared.where("_moved").select("group", "key")
-        keys = compared.select("group", "key")
-        if changed.isEmpty():
-            break
-    return components.join(keys.withColumnRenamed("group", "component"), "component").select(
-        "node", "component", "key"
-    )
+    groups = components.select(F.col("component").alias("node")).distinct()
+    start = cut_lineage(groups.withColumn("value", F.array("node")))
+    keys = _spread(waits, start, blocks.spread_keys, "array<string>", _greater, F.max)
+    return components.join(
+        keys.select(F.col("node").alias("component"), F.col("value").alias("key")), "component"
+    ).select("node", "component", "key")

@@ -40,11 +40,11 @@ def ordinal_in_group(
     Rows are placed globally by (keys, order); a group is then a contiguous run
     and its first place is a partial aggregate, not a per-group sort."""
     placed = with_position(df, *[F.col(key) for key in keys], *order, name="_place")
-    first = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    starts = placed.groupBy(*keys).agg(F.min("_place").alias("_start"))
     return (
-        placed.join(first, keys)
-        .withColumn(name, F.col("_place") - F.col("_first"))
-        .drop("_place", "_first")
+        placed.join(starts, keys)
+        .withColumn(name, F.col("_place") - F.col("_start"))
+        .drop("_place", "_start")
     )
 
 
