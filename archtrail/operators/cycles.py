@@ -30,9 +30,12 @@ def _trim_fully(links: DataFrame) -> tuple[DataFrame, int]:
     while count:
         into = links.groupBy(F.col("target").alias("source")).agg(F.count(F.lit(1)).alias("way_in"))
         out = links.groupBy(F.col("source").alias("target")).agg(F.count(F.lit(1)).alias("way_out"))
-        counted = links.join(into, "source").join(out, "target")
+        counted = links.join(into, "source", "left").join(out, "target", "left")
         links = cut_lineage(
-            counted.select("source", "target", "way_in", "way_out").mapInPandas(
+            counted.select(
+                "source", "target", F.coalesce("way_in", F.lit(0)).alias("way_in"),
+                F.coalesce("way_out", F.lit(0)).alias("way_out"),
+            ).mapInPandas(
                 blocks.peel, "source string, target string"
             )
         )

@@ -84,13 +84,13 @@ def slug_id(spark, sf_dir):
 
 @query(
     "title_labels",
-    r"""WITH words AS (SELECT p_partkey, regexp_extract_all(p_name || '_' || p_type || '7b', '[A-Za-z0-9]+') AS list
+    r"""WITH words AS (SELECT p_partkey, regexp_extract_all(p_name || '_' || p_type || '7b', '[A-Za-z0-9]+') AS found
       FROM part),
-    parts AS (SELECT p_partkey, unnest(list) AS word, generate_subscripts(list, 1) AS at FROM words),
+    parts AS (SELECT p_partkey, unnest(found) AS word, generate_subscripts(found, 1) AS place FROM words),
     runs AS (SELECT *, list_transform(regexp_extract_all(word, '[A-Za-z]+|[0-9]+'),
-        lambda x: upper(left(x, 1)) || lower(substr(x, 2))) AS capital FROM parts)
+        lambda x: upper(x[1:1]) || lower(x[2:])) AS capital FROM parts)
     SELECT p_partkey, string_agg(CASE WHEN length(word) <= 2 THEN upper(word)
-      ELSE array_to_string(capital, '') END, ' ' ORDER BY at) AS label FROM runs GROUP BY p_partkey""",
+      ELSE array_to_string(capital, '') END, ' ' ORDER BY place) AS label FROM runs GROUP BY p_partkey""",
 )
 def title_labels(spark, sf_dir):
     raw = F.concat("p_name", F.lit("_"), "p_type", F.lit("7b"))
@@ -369,9 +369,9 @@ def cycle_representative(spark, sf_dir):
         WHERE NOT list_contains(done, grp) AND NOT EXISTS (SELECT 1 FROM needs
           WHERE needs.grp = grps.grp AND NOT list_contains(done, needs.needs))))
       FROM kahn WHERE step < (SELECT count(*) FROM grps)),
-    placed AS (SELECT unnest(done) AS grp, generate_subscripts(done, 1) AS at FROM kahn
+    placed AS (SELECT unnest(done) AS grp, generate_subscripts(done, 1) AS place FROM kahn
       WHERE step = (SELECT count(*) FROM grps)),
-    mapped AS (SELECT 'path/' || node AS path, row_number() OVER (ORDER BY at, node) AS position
+    mapped AS (SELECT 'path/' || node AS path, row_number() OVER (ORDER BY place, node) AS position
       FROM placed JOIN comps ON component = grp)
     SELECT position, path FROM mapped UNION ALL
     SELECT (SELECT count(*) FROM mapped) + row_number() OVER (ORDER BY 'new/' || doc_id), 'new/' || doc_id
