@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths
-from archtrail.functions.text import line_count
 
 IMPORT_TYPE = "array<struct<module:string,line:bigint,fallbacks:array<string>,symbols:array<string>>>"
 FACT_TYPE = (
     "path string, definitions array<string>, exports array<string>, "
-    f"public_names array<string>, imports {IMPORT_TYPE}, docstring string, error string"
+    f"public_names array<string>, imports {IMPORT_TYPE}, docstring string, loc bigint, error string"
 )
 
 # ---------------------------------------------------------------------------
@@ -155,29 +154,24 @@ def _facts_of(path: str, content: bytes) -> dict:
             {"module": m, "line": n, "fallbacks": list(b), "symbols": list(s)} for m, n, b, s in ordered
         ],
         "docstring": found.get("docstring"),
+        "loc": len(content.decode("utf-8", errors="replace").splitlines()),
         "error": error,
     }
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [field.split()[0] for field in
-               "path,definitions,exports,public_names,imports,docstring,error".split(",")]
+               "path,definitions,exports,public_names,imports,docstring,loc,error".split(",")]
     for batch in batches:
         rows = [_facts_of(path, bytes(content)) for path, content in zip(batch["path"], batch["content"])]
         yield pd.DataFrame(rows, columns=columns)
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Facts per file from ``files(path, content)``; content is binary.
-
-    Adds language and line count, which need no Python."""
+    """Facts per file from ``files(path, content)``; content is binary. A file is
+    read and parsed once; lines are counted in the same pass."""
     parsed = files.select("path", "content").mapInPandas(_parse, FACT_TYPE)
-    measured = files.select(
-        "path",
-        paths.language(F.col("path")).alias("language"),
-        line_count(F.decode(F.col("content"), "UTF-8")).alias("loc"),
-    )
-    return parsed.join(measured, "path")
+    return parsed.withColumn("language", paths.language(F.col("path")))
 
 
 def import_sites(facts: DataFrame) -> DataFrame:

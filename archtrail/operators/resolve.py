@@ -129,8 +129,10 @@ def _direct_python(sites: DataFrame, facts: DataFrame, markers: DataFrame) -> Da
         )
     )
     relative = F.col("module").startswith(".")
-    outright = _closest(live.where(~relative), rooted, named, ["module"]).unionByName(
-        _relative(live.where(relative), files, F.col("module"))
+    outright = cut_lineage(
+        _closest(live.where(~relative), rooted, named, ["module"]).unionByName(
+            _relative(live.where(relative), files, F.col("module"))
+        )
     )
     open_sites = live.where(F.col("package").isNotNull()).join(outright, "site", "left_anti")
     package_relative = F.col("package").startswith(".")

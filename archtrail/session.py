@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and forget how it was computed."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and continue from there.
+
+    A written table rather than ``checkpoint()``: it survives lost executors just
+    as well, and the planner then knows the real size (so it may broadcast a
+    small side) and forgets the constraints of the old plan, which in a loop
+    would otherwise grow from round to round."""
+    spark = df.sparkSession
+    application = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/archtrail-{application}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
