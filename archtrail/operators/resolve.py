@@ -67,7 +67,7 @@ def _provided(facts: DataFrame) -> DataFrame:
     return facts.select("path", F.explode(names).alias("symbol"))
 
 
-def _closest(sites: DataFrame, rooted: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+def closest_files(sites: DataFrame, rooted: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
     """(site, target): the closest file per site. ``sites``: site, importer and the
     ``keys`` to look up (module, maybe symbol)."""
     below = rooted.select(
@@ -130,7 +130,7 @@ def _direct_python(sites: DataFrame, facts: DataFrame, markers: DataFrame) -> Da
     )
     relative = F.col("module").startswith(".")
     outright = cut_lineage(
-        _closest(live.where(~relative), rooted, named, ["module"]).unionByName(
+        closest_files(live.where(~relative), rooted, named, ["module"]).unionByName(
             _relative(live.where(relative), files, F.col("module"))
         )
     )
@@ -146,7 +146,7 @@ def _direct_python(sites: DataFrame, facts: DataFrame, markers: DataFrame) -> Da
     provided = _provided(facts)
     wanted = asked.select("module", "symbol").distinct()
     with_symbol = named.join(provided, "path").join(wanted, ["module", "symbol"], "left_semi")
-    providing = _closest(
+    providing = closest_files(
         asked.where(F.col("symbol").isNotNull()),
         with_symbol.join(roots, "root", "left_semi"), with_symbol, ["module", "symbol"],
     )

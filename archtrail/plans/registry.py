@@ -27,4 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # Importing the modules fills the registry.
-from archtrail.plans import activity_queries, document_queries, trade_queries  # noqa: E402,F401
+from archtrail.plans import (  # noqa: E402,F401
+    activity_queries,
+    document_queries,
+    source_queries,
+    trade_queries,
+)
