@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from archtrail.session import cut_lineage
 
-MAX_ROUNDS = 12
+# Two turns for every node per level; what is left to gain is found after
+# contraction, on a smaller graph.
+MAX_ROUNDS = 4
 MAX_LEVELS = 10
 # A move must gain more than this share of the total weight.
 SMALLEST_GAIN = 1e-9

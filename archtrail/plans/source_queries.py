@@ -171,8 +171,8 @@ def resolve_nearest_config(spark, sf_dir):
 @query(
     "resolve_alias",
     r"""WITH links AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"/]+)"', 1)) AS word FROM pages)
-    SELECT page_id, word, CASE WHEN starts_with(word, 'th') THEN 'base/short/' || word[3:]
-        WHEN ends_with(word, '.') THEN 'base/stop/' || word[:-2] ELSE 'base/' || word END AS place
+    SELECT page_id, word, CASE WHEN ends_with(word, '.') THEN 'base/stop/' || word[:-2]
+        WHEN starts_with(word, 'th') THEN 'base/short/' || word[3:] ELSE 'base/' || word END AS place
     FROM links WHERE word NOT IN ('.', '..')""",
 )
 def resolve_alias(spark, sf_dir):
@@ -186,9 +186,8 @@ def resolve_alias(spark, sf_dir):
         F.concat_ws(" ", F.col("page_id").cast("string"), "module").alias("site"), "module",
         F.lit("").alias("directory"),
     )
-    # A prefix alias goes before the suffix alias here, so rank by the reverse.
     placed = resolve.aliased_places(asked, configs).groupBy("site").agg(
-        F.min_by("place", F.struct(F.col("rank.last"), F.col("rank.pattern") == "*.")).alias("place")
+        F.min_by("place", "rank").alias("place")
     )
     return placed.select(
         F.substring_index("site", " ", 1).cast("bigint").alias("page_id"),

@@ -15,7 +15,7 @@ def spark():
     from archtrail.session import build_session
 
     session = build_session(
-        "archtrail-tests", master="local[4]", shuffle_partitions=4, extra={"spark.driver.memory": "6g"}
+        "archtrail-tests", master="local[8]", shuffle_partitions=2, extra={"spark.driver.memory": "6g"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
