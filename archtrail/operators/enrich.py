@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archtrail.operators.incremental import same_structure
+from archtrail.operators.ranking import first_n
 
 # ---------------------------------------------------------------------------
 # Limits of prompts and answers.
@@ -85,10 +86,13 @@ def bounded_prompts(context: DataFrame, required: DataFrame, instruction: str, l
     ``required``: component, head (JSON that must be in). The length of a prompt
     with its first n items is head and frame plus a running sum, so the cut is a
     filter on that sum, and only what fits is gathered."""
+    # An item is at least two characters, so no more than half the limit can fit.
+    # Cutting to that many per component first happens in the map tasks.
+    totals = context.groupBy("component").agg(F.count(F.lit(1)).alias("_all"))
+    context = first_n(context, ["component"], [F.col("at")], limit // 2)
     ordered = Window.partitionBy("component").orderBy("at")
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     frame = len('{"context":[],"omitted_context":,"required":}') + len(instruction) + 1
-    totals = context.groupBy("component").agg(F.count(F.lit(1)).alias("_all"))
     sized = (
         context.withColumn("_n", F.row_number().over(ordered))
         .withColumn("_sum", F.sum(F.length("item")).over(running) + F.col("_n") - 1)

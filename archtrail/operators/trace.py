@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from archtrail.functions.paths import event_path
 from archtrail.operators.hierarchy import nearest_visible
-from archtrail.operators.ranking import ordinal_in_group
+from archtrail.operators.ranking import ordinal_in_group, with_position
 
 EDITS = ("Edit", "Write")
 READS = ("Read", "Grep")
@@ -198,9 +198,9 @@ def unread_overlay(
 def value_at_rank(values: DataFrame, column: str, fraction: float) -> DataFrame:
     """The value at index ``floor(fraction * n)`` of the sorted column, never past
     the end. No interpolation."""
-    from archtrail.operators.ranking import with_position
-
-    placed = with_position(values.select(column), F.col(column), name="_place")
+    # The tie breaker lets a value that fills many rows span several partitions.
+    rows = values.select(column, F.monotonically_increasing_id().alias("_tie"))
+    placed = with_position(rows, F.col(column), F.col("_tie"), name="_place")
     total = placed.agg(F.count(F.lit(1)).alias("_rows")).first()["_rows"]
     index = min(total - 1, int(total * fraction)) if total else 0
     return placed.where(F.col("_place") == index + 1).select(F.col(column))

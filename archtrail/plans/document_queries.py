@@ -10,6 +10,7 @@ from archtrail.operators import audit, cycles, edges, hierarchy, impact
 from archtrail.plans import tables as t
 from archtrail.plans.registry import query
 from archtrail.plans.trade_queries import CLOSURE
+from archtrail.sources import events
 
 WITH = f"WITH {t.DOCS_SQL}"
 RECURSIVE = f"WITH RECURSIVE {t.DOCS_SQL}, {t.POINTERS_SQL}, ids AS (SELECT 'doc:' || doc_id AS id FROM docs)"
@@ -124,15 +125,41 @@ COMMAND_SQL = r"""commands AS (SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN
       '(\s|$)') THEN 'Test' ELSE 'Bash' END AS tool FROM commands""".replace("'\n      '", ""),
 )
 def classify_command(spark, sf_dir):
+    parts = t.table(spark, sf_dir, "part")
+    return parts.select("p_partkey", text.classify_tool(F.lit("Bash"), _command()).alias("tool"))
+
+
+def _command():
     kind, name = F.col("p_type"), F.col("p_name")
-    command = (
+    return (
         F.when(kind == "ECONOMY", F.concat(F.lit("cd "), name, F.lit("; pytest -q")))
         .when(kind == "SMALL", F.concat(F.lit("npm run test "), name))
         .when(kind == "STANDARD", F.concat(F.lit("echo pytester "), name))
         .otherwise(F.concat(F.lit("make "), name))
     )
-    parts = t.table(spark, sf_dir, "part")
-    return parts.select("p_partkey", text.classify_tool(F.lit("Bash"), command).alias("tool"))
+
+
+@query(
+    "capture_records",
+    rf"""WITH {COMMAND_SQL} SELECT p_partkey AS sequence, CASE WHEN p_type = 'LARGE' THEN 'Read' WHEN
+        p_type IN ('ECONOMY', 'SMALL') THEN 'Test' ELSE 'Bash' END AS tool,
+      CASE WHEN p_type = 'LARGE' THEN p_name ELSE '' END AS path,
+      CASE WHEN p_type = 'LARGE' THEN '{{}}' ELSE '{{"command":"' || command || ' --token [REDACTED]"}}' END AS detail
+    FROM commands JOIN part USING (p_partkey) WHERE p_type <> 'PROMO'""",
+)
+def capture_records(spark, sf_dir):
+    """Hook payloads made of parts: large ones are read, promoted ones use a tool
+    that is not recorded, all others run a command with a secret in it."""
+    kind, name = F.col("p_type"), F.col("p_name")
+    payloads = t.table(spark, sf_dir, "part").select(
+        F.lit("s").alias("session_id"),
+        F.when(kind == "LARGE", "Read").when(kind == "PROMO", "Other").otherwise("Bash").alias("tool_name"),
+        F.concat(_command(), F.lit(" --token "), F.sha2("p_name", 256)).alias("command"),
+        name.alias("file_path"), F.lit("").alias("search_path"), F.lit("").alias("tool_use_id"),
+        F.lit("PreToolUse").alias("hook_event"), F.lit(0.0).alias("timestamp"),
+        F.col("p_partkey").alias("sequence"),
+    )
+    return events.capture(payloads).select("sequence", "tool", "path", "detail")
 
 
 @query(

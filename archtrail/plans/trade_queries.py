@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archtrail.operators import cycles, edges, hierarchy, impact
+from archtrail.operators import cycles, edges, enrich, hierarchy, impact
 from archtrail.operators import query as ask
 from archtrail.plans import tables as t
 from archtrail.plans.registry import query
+from archtrail.sources import artifacts
 
 WITH = f"WITH {t.SITES_SQL}, {t.TRADE_SQL}"
 
@@ -414,3 +415,61 @@ def impact_risk(spark, sf_dir):
     mapped = mapped_changes(spark, sf_dir)
     statuses = impact.status_overlay(mapped, above, visible)
     return impact.risk_overlay(direct_dependents(spark, sf_dir), statuses, above, visible)
+
+
+# --------------------------------------------------------------- export and checks
+@query(
+    "mermaid_lines",
+    f"""{WITH}, {ROLLED}, shown AS ({ROLLED_EDGES})
+    SELECT '  n_n_' || n_nationkey || '["' || n_name || '"]' AS line FROM nation UNION ALL
+    SELECT '  n_' || replace(source, ':', '_') || ' -->|"' || label || '"| n_' || replace(target, ':', '_') FROM shown""",
+)
+def mermaid_lines(spark, sf_dir):
+    return artifacts.mermaid_lines(nations(spark, sf_dir), rolled_edges_module(spark, sf_dir)).select("line")
+
+
+@query(
+    "contract_violations",
+    """SELECT 'c:' || c_custkey AS subject, 'metrics are not negative' AS rule FROM customer WHERE floor(c_acctbal) < 0
+    UNION ALL SELECT 's:' || s_suppkey, 'metrics are not negative' FROM supplier WHERE floor(s_acctbal) < 0""",
+)
+def contract_violations(spark, sf_dir):
+    """The trade graph with balances as they are: a negative one breaks the contract."""
+    balances = [
+        t.table(spark, sf_dir, name).select(
+            t._key(f"{name[0]}:", f"{name[0]}_{key}").alias("id"), F.floor(f"{name[0]}_acctbal").alias("_loc")
+        )
+        for name, key in (("customer", "custkey"), ("supplier", "suppkey"))
+    ]
+    sites = t.trade_sites(spark, sf_dir)
+    links = edges.edge_weights(sites)
+    nodes = t.trade_files(spark, sf_dir).withColumn("kind", F.lit("file"))
+    nodes = nodes.join(balances[0].unionByName(balances[1]), "id").withColumn("loc", F.col("_loc"))
+    measured = nodes.drop("_loc").join(edges.fan_metrics(nodes, links), "id")
+    return artifacts.map_violations(measured, links, edges.evidence(sites))
+
+
+@query(
+    "prompt_context",
+    f"""{WITH}, {ROLLED}, links AS (SELECT DISTINCT source, target FROM rolled)
+    SELECT parent AS component, count(*) AS items FROM (
+      SELECT parent FROM members WHERE parent LIKE 'r:%' UNION ALL
+      SELECT a.parent FROM links JOIN members a ON a.child = source JOIN members b ON b.child = target
+      WHERE a.parent = b.parent) GROUP BY parent""",
+)
+def prompt_context(spark, sf_dir):
+    """How many context items each component offers to a prompt."""
+    nodes = t.trade_nodes(spark, sf_dir).select(
+        "*", F.col("id").alias("path"), F.lit("").alias("summary"),
+        F.lit(0).alias("fan_in"), F.lit(0).alias("fan_out"),
+    )
+    context = enrich.module_context(nodes, rolled_edges_module(spark, sf_dir), t.trade_membership(spark, sf_dir))
+    return context.groupBy("component").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query(
+    "change_set",
+    f"{WITH}, {CHANGES_SQL} SELECT status, count(*) AS paths FROM changes GROUP BY status",
+)
+def change_set_by_status(spark, sf_dir):
+    return change_set(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("paths"))
