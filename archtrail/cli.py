@@ -56,13 +56,15 @@ def main() -> None:
     spark = build_session(master=options.master)
     if options.command == "analyze":
         sources = plan.tree_sources(spark, options.repo)
-        facts = None
+        facts = earlier = None
         if options.previous:
-            known = spark.read.parquet(f"{options.previous}/facts")
+            if options.previous == options.map:
+                raise SystemExit("write the new map to another folder than the previous one")
+            earlier = artifacts.load_map(spark, options.previous)
             before = spark.read.parquet(f"{options.previous}/digests")
-            facts, changes = incremental.refresh_facts(sources.files, before, known)
-            _print(incremental.report(sources.files, changes, "full"))
-        result = plan.analyze(sources, options.generated, options.vendored, facts)
+            facts, changes = incremental.refresh_facts(sources.files, before, earlier.facts)
+            _print(incremental.report(sources.files, changes))
+        result = plan.analyze(sources, options.generated, options.vendored, facts, earlier)
         artifacts.save_map(result, options.map)
         incremental.fingerprint(sources.files).write.mode("overwrite").parquet(f"{options.map}/digests")
         try:

@@ -32,7 +32,7 @@ SCRIPT_IMPORT = re.compile(r"\b(import|export)\b(?!\s*\()([^;()'\"]*?)(?:\bfrom\
 SCRIPT_CALL = re.compile(r"(?<![.\w$])(?:require|import)\s*\(\s*(?=['\"])")
 SCRIPT_DEFINITION = re.compile(rf"\b(?:function\s*\*?|class)\s+({SCRIPT_NAME})")
 SCRIPT_METHOD = re.compile(
-    rf"^\s*(?:(?:static|async|get|set|public|private|protected|override|readonly)\s+)*\*?\s*({SCRIPT_NAME})"
+    rf"(?:^|(?<=[{{}};]))\s*(?:(?:static|async|get|set|public|private|protected|override|readonly)\s+)*\*?\s*({SCRIPT_NAME})"
     r"\s*(?:<[^>{};]*>)?\([^;{}]*\)\s*(?::[^;{}=]+)?\{",
     re.MULTILINE,
 )

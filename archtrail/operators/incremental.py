@@ -54,8 +54,8 @@ def same_structure(before: DataFrame, after: DataFrame, columns: list[str]) -> b
     return structural_difference(before, after, columns).isEmpty()
 
 
-def report(files: DataFrame, changes: DataFrame, clustering: str) -> DataFrame:
-    """One row: changed, parsed and reused files and how layers were made."""
+def report(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: changed, parsed and reused files."""
     tagged = files.select(F.lit("file").alias("tag")).unionByName(changes.select(F.col("status").alias("tag")))
     return tagged.agg(
         F.count_if(F.col("tag") != "file").alias("changed_files"),
@@ -63,4 +63,4 @@ def report(files: DataFrame, changes: DataFrame, clustering: str) -> DataFrame:
         (F.count_if(F.col("tag") == "file") - F.count_if(F.col("tag").isin("added", "modified"))).alias(
             "reused_files"
         ),
-    ).withColumn("clustering", F.lit(clustering))
+    )

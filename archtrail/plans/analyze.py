@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths
-from archtrail.operators import audit, communities, cycles, edges, hierarchy, naming, resolve
+from archtrail.operators import audit, communities, cycles, edges, incremental, naming, resolve
 from archtrail.operators.facts import extract, import_sites
 from archtrail.session import cut_lineage
 from archtrail.sources import tree
@@ -204,15 +204,44 @@ def assemble(
     return Map(nodes, all_edges, evidence, membership, findings, facts)
 
 
+def keeps_layers(files: DataFrame, sites: DataFrame, previous: Map) -> bool:
+    """Whether files, roles and edge weights are those of an earlier map, so that
+    its membership still holds."""
+    known = previous.nodes.where(F.col("kind") == "file")
+    if not incremental.same_structure(known, files, ["id", "role"]):
+        return False
+    old = previous.edges.join(known.select(F.col("id").alias("source")), "source", "left_semi")
+    return incremental.same_structure(old, edges.edge_weights(sites), ["source", "target", "weight"])
+
+
+def kept_layers(previous: Map) -> tuple[DataFrame, DataFrame]:
+    """Layers of an earlier map in the form ``layers`` gives them."""
+    files = previous.nodes.where(F.col("kind") == "file").select(F.col("id").alias("child"))
+    of_files = previous.membership.join(files, "child", "left_semi")
+    of_modules = previous.membership.join(files, "child", "left_anti")
+    names = of_files.groupBy("parent").agg(F.min("child").alias("group"))
+    modules = of_files.join(names, "parent").select(F.col("child").alias("node"), "group")
+    inside = of_modules.join(
+        names.select(F.col("parent").alias("child"), F.col("group").alias("node")), "child"
+    )
+    outer = inside.groupBy("parent").agg(F.min("node").alias("group"))
+    return modules, inside.join(outer, "parent").select("node", "group")
+
+
 def analyze(
     sources: Sources,
     generated: Sequence[str] = (),
     vendored: Sequence[str] = (),
     facts: DataFrame | None = None,
+    previous: Map | None = None,
 ) -> Map:
-    """Analyse ``sources``. ``facts`` of an earlier step are taken as they are."""
+    """Analyse ``sources``. ``facts`` of an earlier step are taken as they are, and
+    the membership of a ``previous`` map is kept while it still holds."""
     facts = cut_lineage(extract(sources.files)) if facts is None else facts
     files, sites = file_graph(facts, sources, generated, vendored)
-    modules, components = layers(files, sites)
+    if previous is not None and keeps_layers(files, sites, previous):
+        modules, components = kept_layers(previous)
+    else:
+        modules, components = layers(files, sites)
     named = name_layers(files, modules, components, facts, sources.headings)
     return assemble(files, sites, *named, facts)

@@ -2,7 +2,7 @@
 
 The state of the query is one record per (session, call), merged with the same
 aggregate the batch path uses. There is no watermark: a late record is always
-accepted, as a full recomputation would accept it. ``retention`` turns one on.
+accepted, as a full recomputation would accept it.
 """
 
 from __future__ import annotations
@@ -103,13 +103,6 @@ def read_tail(spark: SparkSession, directory: str) -> DataFrame:
     return spark.readStream.format("jsonl_tail").option("path", str(directory)).load()
 
 
-def current_calls(raw: DataFrame, retention: str | None = None) -> DataFrame:
-    """Streaming version of ``trace.deduplicate``."""
-    if retention:
-        raw = raw.withColumn("_at", F.timestamp_seconds("timestamp")).withWatermark("_at", retention)
-    return trace.deduplicate(raw)
-
-
 def follow(
     raw: DataFrame,
     file_nodes: DataFrame,
@@ -130,7 +123,7 @@ def follow(
         events.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
     writer = (
-        current_calls(raw)
+        trace.deduplicate(raw)
         .writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(publish)

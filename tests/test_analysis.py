@@ -175,6 +175,29 @@ def test_incremental_equals_full(spark, result):
     assert edge("bar", "consumer.py", "lib/core.py") not in pairs(partly)
 
 
+def test_layers_are_kept_while_weights_are(spark, result, monkeypatch):
+    """A longer file changes lines only: membership is taken over, totals are not."""
+    from archtrail.plans import analyze as plan
+    from archtrail.sources.artifacts import map_document, map_violations
+
+    built, nodes, parents, found = result
+    sources = table_sources(make_files(spark, {**TREES, "bar/lib/core.py": "def build():\n    return 1\n# more\n"}))
+    before = table_sources(make_files(spark, TREES)).files
+    refreshed, _ = incremental.refresh_facts(sources.files, incremental.fingerprint(before), built.facts)
+    monkeypatch.setattr(plan, "layers", None)  # clustering again would fail
+    again = analyze(sources, facts=refreshed, previous=built)
+    assert pairs(again.edges) == found
+    assert {r.child: r.parent for r in again.membership.collect()} == parents
+    loc = {r.id: r.loc for r in again.nodes.collect()}
+    home = parents["file:bar/lib/core.py"]
+    grown = {"file:bar/lib/core.py", home, parents[home]}
+    assert {i for i in loc if loc[i] != nodes[i].loc} == grown
+    assert map_violations(again.nodes, again.edges, again.evidence).isEmpty()
+    document = map_document(again, "c")
+    assert document["audit"]["summary"]["files"] == sum(n.kind == "file" for n in nodes.values())
+    assert all(len(e["evidence"]) == e["weight"] for e in document["edges"])
+
+
 def test_python_facts():
     found = python_facts(b"import a.b as c, d\nfrom . import x\nfrom m import *\nV: int = 1\ndef f():\n    class G: pass\n")
     assert found["definitions"] == {"f", "G"}
