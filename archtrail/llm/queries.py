@@ -40,3 +40,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.jaccard_join import similar_groups
+
+    groups = similar_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return groups.select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("group_id").alias("component_id"))
