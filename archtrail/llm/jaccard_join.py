@@ -12,13 +12,15 @@ Two sets link when ``100 * intersection >= percent * union``.
   are indexed and those of every other block scan that index, so no pair of a long list
   becomes a row. A list whose grams are frequent everywhere is dealt out in such
   blocks from the start and never collected.
-* All candidates are checked on whole sets; a block passes on only links that join what
-  was apart in it.
+* Pairs are first compared by sketches, how many grams fall into each of about n / 16
+  classes: the sum of the smaller counts is at least the intersection, so what it
+  rules out is no link. The rest is checked on whole sets; a block passes on only
+  links that join what was apart in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -218,16 +220,9 @@ def _candidates(docs: DataFrame, text_col: str, size: int, percent: int, levels:
     shared = spark.sparkContext.broadcast(levels)  # CELLS bytes, whatever the input
     n_buckets = 3 * dealt_parts(spark)
     hot_level = int(_levels(np.array([HOT_COUNT]))[0])
-    schema = f"bucket int, data binary, {STEP}"
+    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())], names=["kind", "a", "b", "block", "blocks"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def full(rows: pa.RecordBatch, bucket: list, data: list) -> pa.RecordBatch:
-            kinds = {"kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "block": pa.int32(), "blocks": pa.int32()}
-            n = len(bucket) if rows is None else rows.num_rows
-            first = [pa.array(bucket, pa.int32()) if rows is None else pa.nulls(n, pa.int32()), pa.array(data, pa.binary()) if rows is None else pa.nulls(n, pa.binary())]
-            rest = [pa.nulls(n, t) for t in kinds.values()] if rows is None else rows.columns
-            return pa.RecordBatch.from_arrays([*first, *rest], names=["bucket", "data", *kinds])
-
         level_of = shared.value
         for batch in batches:
             for _, _, data, at in slices(batch.column(0)):
@@ -253,7 +248,8 @@ def _candidates(docs: DataFrame, text_col: str, size: int, percent: int, levels:
                     count = 2.0 ** ((token[hot] >> np.uint64(56)).astype(np.float64) / 8)
                     blocks = np.ceil(count / BLOCK_SETS).astype(np.int64)
                     node = sets.node[owner[hot]]
-                    yield full(_step("list", token[hot].view(np.int64), node, mix(node.view(np.uint64)) % blocks.astype(np.uint64), blocks), [], [])
+                    block = (mix(node.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                    yield _blobs([-1], [squeeze(token[hot].view(np.int64), node, block, blocks)])
                     token, owner, place = token[~hot], owner[~hot], place[~hot]
                 bucket, lit = mix(token) % np.uint64(n_buckets), mix(lightly[0]) % np.uint64(n_buckets)
                 order, light_order = np.argsort(bucket, kind="stable"), np.argsort(lit, kind="stable")
@@ -265,22 +261,66 @@ def _candidates(docs: DataFrame, text_col: str, size: int, percent: int, levels:
                     for b in range(n_buckets) if cuts[b] < cuts[b + 1] or light_cuts[b] < light_cuts[b + 1]
                 ]
                 if out:
-                    yield full(None, [b for b, _ in out], [x for _, x in out])
+                    yield _blobs([b for b, _ in out], [x for _, x in out])
 
     def scan(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, node, n, place, *lightly = (np.concatenate(x) for x in zip(*(expand(x) for x in table["data"].to_pylist()), strict=True))
+        blobs = [expand(x) for x in table["data"].to_pylist()]
+        token, node, n, place, *lightly = (np.concatenate(x) for x in zip(*blobs, strict=True))
         yield _step("link", *_light_links(*lightly))
         if len(token):
             yield from _scan_lists(token, node, n, place, light, percent)
 
-    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())], names=["kind", "a", "b", "block", "blocks"])
-    sent = written(docs.select(text_col).mapInArrow(send, schema))
-    scanned = sent.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches([empty, *scan(t)]), STEP)
-    return written(scanned.unionByName(sent.where("bucket is null").drop("bucket", "data")))
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column("data").to_pylist():
+                yield _step("list", *expand(row))
+
+    sent = docs.select(text_col).mapInArrow(send, "bucket int, data binary")
+    if not (levels >= hot_level).any():
+        return written(sent.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches([empty, *scan(t)]), STEP))
+    sent = written(sent)
+    scanned = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches([empty, *scan(t)]), STEP)
+    return written(scanned.unionByName(sent.where("bucket < 0").mapInArrow(pass_on, STEP)))
+
+
+def _blobs(bucket: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return _longs(bucket=pa.array(bucket, pa.int32()), data=pa.array(data, pa.binary()))
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """How many grams fall into each class, by their low bits."""
+    classes = 1 << min(12, max(4, (len(grams) // 16).bit_length()))
+    return np.minimum(np.bincount((grams & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 65535).astype(np.uint16).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """No intersection is larger than this (counts that reach 65,535 rule nothing out)."""
+    x, y = np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.uint16).astype(np.int64)
+    if max(x.max(), y.max()) == 65535:
+        return 1 << 40
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            size = [(int(np.frombuffer(v, np.uint16).sum(dtype=np.int64)), int(np.frombuffer(w, np.uint16).sum(dtype=np.int64))) for v, w in zip(x, y, strict=True)]
+            keep = [most_shared(v, w) >= overlap_needed(n, m, percent) for v, w, (n, m) in zip(x, y, size, strict=True)]
+            yield _longs(a=batch.column(0), b=batch.column(1)).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _whole_sets(docs: DataFrame, text_col: str, size: int, nodes: DataFrame) -> DataFrame:
-    """``node`` and its whole set for the distinct ``nodes``; others are left out early by a bit filter."""
+def _sets_of(nodes: DataFrame, docs: DataFrame, text_col: str, size: int, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``node`` and its whole set, or its sketch, for the distinct ``nodes``; others are left out early by a bit filter."""
     spot = F.pmod("node", F.lit(FILTER_BITS)) + 1
     got = nodes.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS, bool)
@@ -296,7 +336,7 @@ def _whole_sets(docs: DataFrame, text_col: str, size: int, nodes: DataFrame) ->
                 sets = GramSets(data, at, size)
                 keep = sets.once[asked[sets.node[sets.once] % FILTER_BITS]]
                 if len(keep):
-                    yield _longs(node=sets.node[keep], grams=pa.array([sets.value[sets.at[k] : sets.at[k + 1]].tobytes() for k in keep], pa.binary()))
+                    yield _longs(node=sets.node[keep], grams=pa.array([form(sets.value[sets.at[k] : sets.at[k + 1]]) for k in keep], pa.binary()))
 
     found = docs.select(text_col).mapInArrow(run, "node long, grams binary")
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
@@ -377,10 +417,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     levels, list_length = _cell_levels(facts)
     light = light_limit(percent, list_length)
     steps = _candidates(docs, text_col, size, percent, levels, light)
-    pairs = steps.where("kind = 'pair'").select("a", "b").distinct()
-    lists = steps.where("kind = 'list'").select("a", "b", "block", "blocks").distinct()
-    some = [pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")), lists.select(F.col("b").alias("node"))]
-    sets = written(_whole_sets(docs, text_col, size, written(some[0].unionByName(some[1]).unionByName(some[2]).distinct())))
+    pairs = written(steps.where("kind = 'pair'").select("a", "b").distinct())
+    lists = written(steps.where("kind = 'list'").select("a", "b", "block", "blocks").distinct())
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sketches = written(_sets_of(written(ends(pairs).distinct()), docs, text_col, size, sketch))
+    pairs = written(_possible(pairs, sketches, percent))
+    sets = written(_sets_of(written(ends(pairs).unionByName(lists.select(F.col("b").alias("node"))).distinct()), docs, text_col, size, np.ndarray.tobytes))
     job = F.struct(F.lit(0).alias("kind"), F.col("a").alias("a"), F.pmod(F.xxhash64("b"), F.lit(4)).cast("int").alias("i"), F.lit(0).alias("j"))
     held = pairs.select(job.alias("job"), F.lit(0).alias("side"), F.col("a").alias("node")).distinct()
     scans = pairs.select(job.alias("job"), F.lit(1).alias("side"), F.col("b").alias("node"))
