@@ -22,7 +22,7 @@ Nothing is bounded by a cap: a passage in every document costs one entry per chu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,39 +42,40 @@ _NO_ID = np.int64(2**63 - 1)
 SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
-def multikey_sort(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by ``tokens`` and, in that order, where a row differs from the one before.
+def multikey_sort(n: int, tokens: list[Callable[[np.ndarray | slice], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``n`` rows by their tokens and, in that order, where a row differs from the one before.
 
-    The first token is sorted for all rows, each further one only for rows still tied.
+    The first token is taken and sorted for all rows, each further one only for rows
+    that are still tied. A token is a function from rows to values.
     """
-    n = len(tokens[0])
-    order = np.argsort(tokens[0], kind="stable")
+    value = tokens[0](slice(None))
+    order = np.argsort(value)
     fresh = np.ones(n, bool)
-    fresh[1:] = tokens[0][order[1:]] != tokens[0][order[:-1]]
+    fresh[1:] = value[order[1:]] != value[order[:-1]]
     for token in tokens[1:]:
         tied = ~fresh
         tied[:-1] |= ~fresh[1:]
         at = np.flatnonzero(tied)
         if not len(at):
             break
-        group = np.cumsum(fresh[at])
         rows = order[at]
-        value = token[rows]
-        by_value = np.argsort(value, kind="stable")
-        within = by_value[np.argsort(group[by_value], kind="stable")]
+        value = token(rows)
+        by_value = np.argsort(value)
+        rank = np.empty(len(at), np.int64)
+        rank[by_value] = np.cumsum(np.append(0, value[by_value[1:]] != value[by_value[:-1]]))
+        key = (np.cumsum(fresh[at]) << 32) | rank
+        within = np.argsort(key)
         order[at] = rows[within]
-        value, group = value[within], group[within]
-        fresh[at[1:]] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
+        key = key[within]
+        fresh[at[1:]] = key[1:] != key[:-1]
     return order, fresh
 
 
 def token_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place as one number that sorts as they do (zeros after the end)."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[at + k]
-    return out
+    every = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
+    return every[at].astype(np.uint64)
 
 
 def _anchors(data: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +121,7 @@ class _Leads:
         self.anchor, self.low, self.high, lead, doc = (x[usable] for x in (self.anchor, self.low, self.high, lead, doc))
         self.id = self.ids[doc]
         token = token_at(self.data, self.anchor)
-        order, fresh = multikey_sort([token, lead])
+        order, fresh = multikey_sort(len(token), [token.__getitem__, lead.__getitem__])
         self.order, self.group = order, np.cumsum(fresh) - 1
         heads = np.flatnonzero(fresh)
         self.token, self.lead = token[order[heads]], lead[order[heads]].astype(np.uint32)
@@ -155,7 +156,7 @@ def _mark_shared(table: pa.Table) -> pa.Table:
     """Per sender: which of its leading strings occur in another document too."""
     blobs = [expand(x) for x in table["data"].to_pylist()]
     token, lead, several = (np.concatenate(x) for x in zip(*blobs, strict=True))
-    order, fresh = multikey_sort([token, lead])
+    order, fresh = multikey_sort(len(token), [token.__getitem__, lead.__getitem__])
     heads = np.flatnonzero(fresh)
     size = np.diff(np.append(heads, len(order)))
     group = np.cumsum(fresh) - 1
@@ -178,7 +179,8 @@ def _regions(row: dict, marks: list[dict], span: int, splitters: np.ndarray) ->
     rows, bucket = leads.order[keep], leads.bucket[leads.group[keep]]
     sums = prefix_sums(leads.data)
     content = span_hash(sums, leads.low[rows], leads.high[rows] + span)
-    order, fresh = multikey_sort([content, (leads.anchor - leads.low)[rows].astype(np.uint64)])
+    offset = leads.anchor[rows] - leads.low[rows]
+    order, fresh = multikey_sort(len(rows), [content.__getitem__, offset.__getitem__])
     heads = np.flatnonzero(fresh)
     rows, bucket = rows[order], bucket[order]
     least = np.minimum.reduceat(leads.id[rows], heads) if len(heads) else np.zeros(0, np.int64)
@@ -191,14 +193,20 @@ def _find_repeats(table: pa.Table, span: int) -> pa.Table:
     least, count, body = (np.concatenate(x) for x in zip(*blobs, strict=True))
     count = count.astype(np.int64)
     size = count + span - 1
-    start = np.repeat(np.cumsum(size) - size, count) + spread(count)
-    owner = np.repeat(least, count)
-    steps = [*range(0, span - 7, 8), span - 8]
-    order, fresh = multikey_sort([token_at(body, start + k) for k in dict.fromkeys(steps)])
-    heads = np.flatnonzero(fresh)
-    smallest = np.minimum.reduceat(owner[order], heads)
-    repeat = np.zeros(len(order), bool)
-    repeat[order] = smallest[np.cumsum(fresh) - 1] < owner[order]
+    at = np.cumsum(size) - size
+    content = span_hash(prefix_sums(body), at, at + size)  # equal regions of several senders are sorted once
+    order, fresh = multikey_sort(len(at), [content.__getitem__, size.__getitem__])
+    heads, group = np.flatnonzero(fresh), np.empty(len(at), np.int64)
+    group[order] = np.cumsum(fresh) - 1
+    region_least, region = np.minimum.reduceat(least[order], heads), order[heads]
+    start = np.repeat(at[region], count[region]) + spread(count[region])
+    owner = np.repeat(region_least, count[region])
+    steps = dict.fromkeys([*range(0, span - 7, 8), span - 8])
+    order, fresh = multikey_sort(len(start), [lambda rows, k=k: token_at(body, start[rows] + k) for k in steps])
+    smallest = np.empty(len(start), np.int64)
+    smallest[order] = np.minimum.reduceat(owner[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+    place = np.cumsum(count[region]) - count[region]
+    repeat = smallest[np.repeat(place[group], count) + spread(count)] < np.repeat(least, count)
     cuts = np.cumsum([int(b[1].sum()) for b in blobs])[:-1]
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "data": [np.packbits(m).tobytes() for m in np.split(repeat, cuts)]},
                     schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]))
@@ -262,11 +270,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         each = leads.high[rows] - leads.low[rows] + 1
         within = spread(each)
         hit = bit[np.repeat(place[group], each) + within] | np.repeat(leads.id[rows] > least[group], each)
-        start = np.sort((np.repeat(leads.low[rows], each) + within)[hit])
-        cover = np.zeros(len(leads.data) + 1, np.int32)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + span, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        start = (np.repeat(leads.low[rows], each) + within)[hit]
+        n = len(leads.data) + 1
+        gone = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + span, minlength=n))[:-1] > 0
         return _cut_documents(leads, gone)
 
     return answer_chunks(chunks, both, cut, SCHEMA)
