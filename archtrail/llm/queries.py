@@ -48,3 +48,37 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     groups = similar_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
     return groups.select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("group_id").alias("component_id"))
+
+
+@query()
+def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.sharding import assign, slots
+
+    docs = table(spark, sf_dir, "documents")
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    assigned = assign(docs, "doc_id", [1.0] * 16, [1.0] * 17).select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "grown_shard")
+    return slots(assigned, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query()
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.url_filter import filter_urls
+
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    judged = filter_urls(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
