@@ -82,3 +82,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query()
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.quality import clean_documents
+
+    return clean_documents(table(spark, sf_dir, "documents")).drop("text")
