@@ -89,3 +89,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.quality import clean_documents
 
     return clean_documents(table(spark, sf_dir, "documents")).drop("text")
+
+
+@query()
+def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
