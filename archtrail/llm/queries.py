@@ -96,3 +96,35 @@ def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.lm_score import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.token_files import token_file_report
+
+    return token_file_report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query()
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.sentencepiece_codec import decode, encode
+
+    model = vocabulary("piece_bpe_32k.model")
+    both = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    text = F.encode("decoded", "UTF-8")
+    ids = F.crc32(F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))).cast("binary"))
+    return both.select("doc_id", "n_tokens", ids.alias("ids_crc32"), F.length(text).cast("long").alias("n_bytes"), F.crc32(text).alias("text_crc32"))
