@@ -6,17 +6,18 @@ written before use), so what a later stage finds out about a row can be sent bac
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from archtrail.llm.packed import slices
 
-CHUNK = "chunk long, n_bytes long, ids binary, known binary, at binary, body binary"
+CHUNK = "chunk long, n_bytes long, ids binary, known binary, at binary, body binary, rest binary"
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -61,12 +62,14 @@ def dealt_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4_000_000, carry: Sequence[str] = ()) -> DataFrame:
     """Documents as numbered rows of about ``chunk_bytes`` (a longer text has a row of its own).
 
     Columns: ``chunk``, ``n_bytes``, ``ids`` (int64), ``known`` (0 where the id is null),
-    ``at`` (offsets) and ``body`` (UTF-8, a null text is empty).
+    ``at`` (offsets), ``body`` (UTF-8, a null text is empty) and ``rest`` (the columns
+    of ``carry``, see ``carried``).
     """
+    carry = list(carry)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -74,12 +77,14 @@ def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4_000_0
 
         def row() -> pa.RecordBatch:
             nonlocal number, waiting
-            ids, known, sizes, bodies = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            *arrays, rest = zip(*waiting, strict=True)
+            ids, known, sizes, bodies = (np.concatenate(x) for x in arrays)
             waiting = []
             number += 1
             at = np.concatenate([[0], np.cumsum(sizes)])
             values = [number - 1, int(at[-1]), squeeze(ids), squeeze(known), squeeze(at), squeeze(bodies)]
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["chunk", "n_bytes", "ids", "known", "at", "body"])
+            columns = [*(pa.array([v]) for v in values), pa.array([_ipc(pa.Table.from_batches(rest)) if carry else None], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "n_bytes", "ids", "known", "at", "body", "rest"])
 
         held = 0
         for batch in batches:
@@ -89,12 +94,24 @@ def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4_000_0
                 if held and held + len(body) > chunk_bytes:
                     yield row()
                     held = 0
-                waiting.append((ids[first:end], known[first:end].astype(np.uint8), np.diff(at), body))
+                waiting.append((ids[first:end], known[first:end].astype(np.uint8), np.diff(at), body, batch.select(range(2, 2 + len(carry))).slice(first, end - first)))
                 held += len(body) + 16 * (end - first)
         if waiting:
             yield row()
 
-    return written(docs.select(id_col, text_col).mapInArrow(rows, CHUNK))
+    return written(docs.select(id_col, text_col, *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry))).mapInArrow(rows, CHUNK))
+
+
+def _ipc(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return zstandard.ZstdCompressor(level=1).compress(out.getvalue().to_pybytes())
+
+
+def carried(row: dict) -> list[pa.ChunkedArray]:
+    """The columns carried by a packed row, in the order of ``carry``."""
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_all().columns if row["rest"] else []
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -35,7 +35,8 @@ def _passes(terms: DataFrame) -> list[list[str]]:
     return [[r[0] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()] for k in range(parts)]
 
 
-def _small(frame: DataFrame) -> DataFrame:
+def checked_broadcast(frame: DataFrame) -> DataFrame:
+    """``frame`` with a broadcast hint where it has few rows; counted first, so it should be written."""
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
@@ -92,9 +93,9 @@ def phrase_starts(index: DataFrame, points: DataFrame, slop: int = 0) -> DataFra
     ``shift`` is where the item's first word would be. With ``slop`` the second word may stand
     up to that many words off its place (a proximity match).
     """
-    rarest = index.join(_small(points.select("key", "term", "offset", "mate").distinct()), "term")
+    rarest = index.join(checked_broadcast(points.select("key", "term", "offset", "mate").distinct()), "term")
     rarest = rarest.select("doc", "text_key", "key", "mate", (F.col("position") - F.col("offset")).alias("shift"))
-    mates = index.join(_small(points.select("key", F.col("mate_term").alias("term"), "mate").distinct()), "term")
+    mates = index.join(checked_broadcast(points.select("key", F.col("mate_term").alias("term"), "mate").distinct()), "term")
     mates = mates.select("doc", "text_key", "key", "mate", (F.col("position") - F.col("mate")).alias("shift"))
     if slop:
         mates = mates.withColumn("shift", F.explode(F.sequence(F.col("shift") - slop, F.col("shift") + slop)))
@@ -117,12 +118,12 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     used = points.select("term").unionByName(points.select(F.col("mate_term").alias("term"))).distinct()
     index = written(postings(base, _passes(used) or [[]]))
     starts = written(phrase_starts(index, points))
-    wanted = _small(starts.select("doc", "text_key").distinct())
+    wanted = checked_broadcast(starts.select("doc", "text_key").distinct())
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     same = texts["doc"].eqNullSafe(wanted["doc"]) & (texts["text_key"] == wanted["text_key"])
     found = texts.join(wanted, same, "left_semi").dropDuplicates(["doc", "text_key"]).select("doc", "text_key", words_of(F.col("text")).alias("doc_words"))
     pairs = starts.alias("s").join(found.alias("f"), F.col("s.doc").eqNullSafe(F.col("f.doc")) & (F.col("s.text_key") == F.col("f.text_key"))).select("s.*", "doc_words")
-    aligned = pairs.join(_small(windows), "key")
+    aligned = pairs.join(checked_broadcast(windows), "key")
     inside = F.slice("doc_words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("words") - F.greatest(-F.col("shift"), F.lit(0)))
     cut = F.slice("words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("words"))
     agree = F.zip_with(inside, cut, lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -136,12 +137,13 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13, share: int = 20) -> DataFrame:
-    """Per input row ``doc_id, n_words, n_hit, items`` (sorted texts), ``spans`` and ``contaminated``.
+    """Per input row ``doc_id, text_key, n_words, n_hit, items`` (sorted texts), ``spans`` and ``contaminated``.
 
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z; null has
     none. A word inside any occurrence of an item's window (``size`` words; a shorter item
     is one window, one without words none) is hit. Contaminated: ``share * n_hit >= n_words``
-    and any hit. Rows with a null or repeated id are judged by their own text.
+    and any hit. Rows with a null or repeated id are judged by their own text, whose
+    64-bit hash is ``text_key``.
     """
     counts, runs = find_passages(docs, items, id_col, text_col, item_col, item_text, size)
     merged = F.expr(
@@ -155,6 +157,6 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     both = counts.join(hits, F.col("doc").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key")), "left")
     n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first + 1)"), F.lit(0).cast("long"))
     return both.select(
-        F.col("doc").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.col("doc").alias("doc_id"), "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<first: int, last: int>>")).alias("spans"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

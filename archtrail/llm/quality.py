@@ -6,13 +6,14 @@ document never leaves its task and nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from archtrail.llm.packed import LOWER, SPACES, mix, prefix_sums, shingle_hash, slices, span_hash, spread, words
 
@@ -144,7 +145,7 @@ class _Texts:
         return pa.LargeStringArray.from_buffers(n, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)).cast(pa.string())
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), carry: Sequence[str] = ()) -> DataFrame:
     """Per input row ``doc_id``, the cleaned ``text``, counts, ``base_failed`` and ``kept``.
 
     Line rules, for lines with a word: *punctuation* (3 words or more, and ASCII punctuation is
@@ -153,8 +154,11 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words, with a phrase of page furniture). A document is kept where the base rules hold
     (``min_words``; at most ``max_repeat_percent`` of its words in repeated windows) and the
     removed lines had at most ``max_lost_share`` of its characters. Counts are of the input
-    text; a null text is empty, fails and stays null. Other columns are not read.
+    text; a null text is empty, fails and stays null. Of the other columns those of
+    ``carry`` come along, in a struct ``row``.
     """
+    fields = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = SCHEMA + (f", row struct<{fields}>" if carry else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +169,9 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 text = pa.array([], pa.string()) if not len(text) else pc.if_else(null, pa.scalar(None, pa.string()), text)
                 columns = [batch.column(0)[first:end].cast(pa.int64()), text, t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, t.n_lines, t.n_removed, t.base_failed, t.kept]
                 names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+                if carry:
+                    columns.append(batch.column(2)[first:end])
+                    names.append("row")
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return docs.select(id_col, text_col, *([F.struct(*carry).alias("row")] if carry else [])).mapInArrow(run, schema)

@@ -22,14 +22,14 @@ Nothing is bounded by a cap: a passage in every document costs one entry per chu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archtrail.llm.chunks import answer_chunks, dealt_parts, each_chunk, expand, pack, squeeze, unpack, written
+from archtrail.llm.chunks import answer_chunks, carried, dealt_parts, each_chunk, expand, pack, squeeze, unpack, written
 from archtrail.llm.packed import prefix_sums, span_hash, spread
 
 #: Bytes of a suffix that an anchor is chosen by and that deal it out (two tokens of 8).
@@ -212,18 +212,20 @@ def _find_repeats(table: pa.Table, span: int) -> pa.Table:
                     schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, carry: Sequence[str] = ()) -> DataFrame:
     """Cut every byte covered by a ``span``-byte string that also starts in a smaller document.
 
     Returns ``doc_id``, ``n_bytes`` (of the UTF-8 text), ``spans`` (maximal removed runs,
     byte offsets, end exclusive) and ``kept`` (the other bytes, joined). Matches never cross
-    documents and are judged on the input. One row per input row; other columns are not
-    read. A null text is empty. Rows with equal ids are no smaller than each other; a row
+    documents and are judged on the input. One row per input row; of the other columns
+    those of ``carry`` come along, in a struct ``row``. A null text is empty. Rows with equal ids are no smaller than each other; a row
     with a null id keeps all and removes nothing elsewhere. ``span`` is 24 at least.
     """
     if span < LEAD + 8:
         raise ValueError(f"span must be {LEAD + 8} at least")
-    chunks = pack(docs, id_col, text_col)
+    chunks = pack(docs, id_col, text_col, carry=carry)
+    fields = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
+    schema = SCHEMA + (f", row struct<{fields}>" if carry else "")
     total, n_chunks = chunks.agg(F.sum("n_bytes"), F.count("*")).first()
     n_buckets = 3 * max(dealt_parts(docs.sparkSession), (total or 0) // BUCKET_BYTES)  # several a task even out
     splitters = _splitters(chunks, span, n_buckets, n_chunks)
@@ -273,12 +275,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         start = (np.repeat(leads.low[rows], each) + within)[hit]
         n = len(leads.data) + 1
         gone = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + span, minlength=n))[:-1] > 0
-        return _cut_documents(leads, gone)
+        return _cut_documents(leads, gone, dict(zip(carry, carried(row), strict=True)))
 
-    return answer_chunks(chunks, both, cut, SCHEMA)
+    return answer_chunks(chunks, both, cut, schema)
 
 
-def _cut_documents(leads: _Leads, gone: np.ndarray) -> pa.Table:
+def _cut_documents(leads: _Leads, gone: np.ndarray, rest: dict[str, pa.ChunkedArray]) -> pa.Table:
     at, n = leads.at, len(leads.data)
     edge = np.zeros(n + 1, bool)  # a run also ends where its document does
     edge[at] = True
@@ -290,9 +292,10 @@ def _cut_documents(leads: _Leads, gone: np.ndarray) -> pa.Table:
     kept_at = np.concatenate([[0], np.cumsum(~gone)])[at]
     kept = leads.data[~gone]
     body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(kept_at.astype(np.int64)), pa.py_buffer(kept)])
+    row = {"row": pa.StructArray.from_arrays([c.combine_chunks() for c in rest.values()], names=list(rest))} if rest else {}
     return pa.table(
         {
             "doc_id": pa.array(leads.ids, mask=~leads.known), "n_bytes": np.diff(at),
-            "spans": pa.ListArray.from_arrays(pa.array(of, pa.int32()), spans), "kept": body.cast(pa.binary()),
+            "spans": pa.ListArray.from_arrays(pa.array(of, pa.int32()), spans), "kept": body.cast(pa.binary()), **row,
         }
     )
