@@ -133,13 +133,16 @@ def each_chunk(chunks: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch
 def answer_chunks(chunks: DataFrame, answers: DataFrame, work: Callable[[dict, list[dict]], pa.Table], schema: str) -> DataFrame:
     """Apply ``work`` to every packed row with the ``answers`` (column ``chunk``) sent to it."""
 
+    empty = no_rows(schema)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left.to_pylist()[0], right.to_pylist()) if left.num_rows else no_rows(schema)
+        return work(left.to_pylist()[0], right.to_pylist()) if left.num_rows else empty
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def no_rows(schema: str) -> pa.Table:
+    """An empty table; made on the driver, as it needs a session."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 

@@ -9,12 +9,13 @@ bytes and the symbol, so it is worked out once for every such gram of the corpus
 
 Counts and costs travel between chunks of documents and ranges of the trie:
 
-1. A chunk sends its distinct grams with their training counts to the range of the last
-   two bytes (words, for the base score, to a range of hashes).
-2. Ranges merge in groups of chunks first, then across groups, so a frequent context costs
+1. A unit of chunks (those of one input split) sends its distinct grams with their training
+   counts to the range of the last two bytes (words, for the base score, to a range of
+   hashes).
+2. Ranges merge in groups of units first, then across groups, so a frequent context costs
    a row per group. All longer contexts of two bytes are in one range; orders 1 and 0
    are a table of 256 x 257 counts, the only thing that is handed to all.
-3. The costs go back to the groups and from there to the chunks that asked.
+3. The costs go back to the groups and from there to the units that asked.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archtrail.llm.chunks import answer_chunks, dealt_parts, each_chunk, expand, no_rows, pack, squeeze, unpack, written
+from archtrail.llm.chunks import dealt_parts, each_chunk, expand, no_rows, pack, squeeze, unpack, written
 from archtrail.llm.packed import LOWER, prefix_sums, span_hash, spread, words
 
 #: Symbols: 256 bytes and the end of the text.
 END, SYMBOLS = 256, 257
-#: So many chunks form a group that merges first; range bounds come from at most SAMPLED chunks.
-GROUP_CHUNKS, SAMPLED = 512, 64
-BLOB = "bucket int, part int, chunk long, data binary"
+#: So many units form a group that merges first; range bounds come from at most SAMPLED chunks.
+GROUP_UNITS, SAMPLED = 256, 64
+BLOB = "bucket int, part int, unit long, data binary"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, n_bytes long, base_score double, score double"
 
 
@@ -46,13 +47,17 @@ def held_out(ids: np.ndarray, known: np.ndarray, folds: int, fold: int) -> np.nd
 def grams(data: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Text and gram of every byte and end: ``order`` bytes before it (zeros before the text), latest first, then 9 bits of symbol."""
     size = np.diff(at)
-    text, place = np.repeat(np.arange(len(size)), size + 1), spread(size + 1)
-    at_byte = at[:-1][text] + place
-    padded = np.concatenate([data, np.zeros(1, np.uint8)])
-    key = np.where(place == size[text], np.uint64(END), padded[at_byte].astype(np.uint64))
+    end = np.cumsum(size + order + 1)
+    stream, is_symbol = np.zeros(int(end[-1]) if len(end) else 0, np.uint16), np.ones(int(end[-1]) if len(end) else 0, bool)
+    is_symbol[(np.repeat(end - size - order - 1, order) + spread(np.full(len(size), order)))] = False
+    is_end = np.zeros(len(stream), bool)
+    is_end[end - 1] = True
+    stream[is_symbol & ~is_end] = data
+    key = stream.astype(np.uint64)
+    key[is_end] = END
     for k in range(1, order + 1):
-        key |= np.where(place >= k, padded[np.maximum(at_byte - k, 0)], np.uint8(0)).astype(np.uint64) << np.uint64(64 - 8 * k)
-    return text, key
+        key[k:] |= stream[:-k].astype(np.uint64) << np.uint64(64 - 8 * k)
+    return np.repeat(np.arange(len(size)), size + 1), key[is_symbol]
 
 
 def distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,21 +127,46 @@ class _Chunk:
         starts, stops, first = words(self.data, self.at)
         return span_hash(prefix_sums(self.data), starts, stops), first
 
-    def distinct_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct words and training counts, and per word of the chunk its number and text."""
+    def distinct_words(self) -> tuple[np.ndarray, np.ndarray]:
         hashed, first = self.words()
-        text = np.repeat(np.arange(len(self.ids)), np.diff(first))
-        keys, number = np.unique(hashed, return_inverse=True)
-        return keys, np.bincount(number, ~self.held[text], len(keys)).astype(np.int64), number, text
+        return distinct(hashed, (~np.repeat(self.held, np.diff(first))).astype(np.int64))
 
     def distinct_grams(self) -> tuple[np.ndarray, np.ndarray]:
         text, keys = grams(self.data, self.at, self.order)
         return distinct(keys, (~self.held[text]).astype(np.int64))
 
 
-def _rows(bucket: list[int], part: int, chunk: list[int], data: list[bytes]) -> pa.RecordBatch:
-    columns = [pa.array(bucket, pa.int32()), pa.array([part] * len(bucket), pa.int32()), pa.array(chunk, pa.int64()), pa.array(data, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "chunk", "data"])
+class _Merged:
+    """Distinct keys and counts of several chunks, merged as they come."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > 2 * len(self.parts[0][0]) + 1_000_000:
+            self.parts = [self.total()]
+            self.waiting = 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return distinct(*(np.concatenate(x) for x in zip(none, *self.parts, strict=True)))
+
+
+def _spread_costs(keys: np.ndarray, text: np.ndarray, known: np.ndarray, value: np.ndarray, n: int, worth) -> list[np.ndarray]:  # noqa: ANN001
+    """Sums per text of ``worth`` (functions of a value) over ``keys``, whose values stand beside the sorted ``known``."""
+    order = np.argsort(keys)
+    heads = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)) if len(keys) else np.zeros(0, np.int64)
+    found = value[np.searchsorted(known, keys[order[heads]])]
+    times, owner = np.diff(np.append(heads, len(keys))), text[order]
+    return [np.bincount(owner, np.repeat(w(found), times), n) for w in worth]
+
+
+def _rows(bucket: list[int], part: int, unit: list[int], data: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(bucket, pa.int32()), pa.array([part] * len(bucket), pa.int32()), pa.array(unit, pa.int64()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "unit", "data"])
 
 
 def _deltas(keys: np.ndarray) -> np.ndarray:
@@ -190,22 +220,36 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(low)  # 256 x 257 counts
     n_buckets = 3 * dealt_parts(spark)
     range_of = (np.cumsum(load) - load // 2) * n_buckets // max(1, load.sum())  # of the last two bytes
-    groups = max(1, n_chunks // GROUP_CHUNKS)
-
-    def send(row: dict) -> Iterator[pa.RecordBatch]:
-        c = _Chunk(row, order, folds, fold)
-        part = zlib.crc32(str(row["chunk"]).encode()) % groups
-        keys, counts, _, _ = c.distinct_words()
-        cuts = np.searchsorted(keys, (np.arange(1, n_buckets, dtype=np.uint64) * np.uint64(0xFFFFFFFFFFFFFFFF // n_buckets)))
-        for b, (k, n) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
-            if len(k):
-                yield _rows([b], part, [row["chunk"]], [squeeze(_deltas(k), n.astype(np.int32))])
-        keys, counts = c.distinct_grams()
-        bucket = range_of[(keys >> np.uint64(48)).astype(np.int64)]
-        for b, first, end in _runs(bucket):
-            yield _rows([n_buckets + b], part, [row["chunk"]], [squeeze(_deltas(keys[first:end]), counts[first:end].astype(np.int32))])
-
-    asked = each_chunk(chunks, send, BLOB)
+    chunks = chunks.withColumn("unit", F.shiftright("chunk", 32))
+    groups = max(1, chunks.select("unit").distinct().count() // GROUP_UNITS)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, word_counts, gram_counts = None, _Merged(), _Merged()
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            part = zlib.crc32(str(unit).encode()) % groups
+            keys, counts = word_counts.total()
+            cuts = np.searchsorted(keys, (np.arange(1, n_buckets, dtype=np.uint64) * np.uint64(0xFFFFFFFFFFFFFFFF // n_buckets)))
+            for b, (k, n) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
+                if len(k):
+                    yield _rows([b], part, [unit], [squeeze(_deltas(k), n.astype(np.int32))])
+            keys, counts = gram_counts.total()
+            for b, first, end in _runs(range_of[(keys >> np.uint64(48)).astype(np.int64)]):
+                yield _rows([n_buckets + b], part, [unit], [squeeze(_deltas(keys[first:end]), counts[first:end].astype(np.int32))])
+
+        for row in (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+            if unit is not None and row["unit"] != unit:
+                yield from emit()
+                word_counts, gram_counts = _Merged(), _Merged()
+            unit = row["unit"]
+            c = _Chunk(row, order, folds, fold)
+            word_counts.add(*c.distinct_words())
+            gram_counts.add(*c.distinct_grams())
+        if unit is not None:
+            yield from emit()
+
+    asked = written(chunks.mapInArrow(send, BLOB))
+    no_blobs, no_scores = no_rows(BLOB), no_rows(SCHEMA)
 
     def merge(table: pa.Table) -> pa.Table:
         blobs = [expand(x) for x in table["data"].to_pylist()]
@@ -230,46 +274,54 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def reply(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return no_rows(BLOB)
+            return no_blobs
         keys, value = expand(right["data"][0].as_py())
         keys = np.cumsum(keys, dtype=np.uint64)
         bucket, part = left["bucket"][0].as_py(), left["part"][0].as_py()
         kind = np.int64 if bucket < n_buckets else np.float32
         out = []
-        for chunk, blob in zip(left["chunk"].to_pylist(), left["data"].to_pylist(), strict=True):
+        for unit, blob in zip(left["unit"].to_pylist(), left["data"].to_pylist(), strict=True):
             own = np.cumsum(expand(blob)[0], dtype=np.uint64)
-            out.append(_rows([bucket], part, [chunk], [squeeze(value[np.searchsorted(keys, own)].astype(kind))]))
+            out.append(_rows([bucket], part, [unit], [squeeze(_deltas(own), value[np.searchsorted(keys, own)].astype(kind))]))
         return pa.Table.from_batches(out)
 
     both = asked.groupBy("bucket", "part").cogroup(decided.groupBy("bucket", "part"))
     answers = both.applyInArrow(reply, BLOB)
 
-    distinct_words = decided.agg(F.sum("chunk")).first()[0] or 0
+    distinct_words = decided.agg(F.sum("unit")).first()[0] or 0
     trained = int(low[:, END].sum())
     train_words = each_chunk(chunks, lambda row: _count_words(row, folds, fold), "n long").agg(F.sum("n")).first()[0] or 0
     all_tokens, kinds = train_words + trained, distinct_words + (trained > 0)
     below = all_tokens + 0.5 * (kinds + 1)
 
-    def finish(row: dict, got: list[dict]) -> pa.Table:
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = sorted(right.to_pylist(), key=lambda g: g["bucket"])
+
+        def take(words: bool) -> tuple[np.ndarray, np.ndarray]:
+            parts = [expand(g["data"]) for g in got if (g["bucket"] < n_buckets) == words]
+            keys = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(p[0], dtype=np.uint64) for p in parts)])
+            return keys, np.concatenate([np.zeros(0), *(p[1].astype(np.float64) for p in parts)])
+
+        word_values, gram_values = take(True), take(False)
+        return pa.concat_tables([no_scores, *(score(row, word_values, gram_values) for row in left.to_pylist())], promote_options="permissive")
+
+    def score(row: dict, word_values: tuple, gram_values: tuple) -> pa.Table:
         c = _Chunk(row, order, folds, fold)
         n = len(c.ids)
-        got = sorted(got, key=lambda g: g["bucket"])
-        take = lambda wanted, kind: np.concatenate([np.zeros(0, kind), *(expand(g["data"])[0] for g in got if (g["bucket"] < n_buckets) == wanted)])
-        _, _, number, text = c.distinct_words()
-        count = take(True, np.int64)[number]
-        base = np.bincount(text, np.log10((count + 0.5) / below), n) + np.log10((trained + 0.5) / below)
-        known = np.bincount(text, count > 0, n).astype(np.int64) + (trained > 0)
-        text_of_gram, keys = grams(c.data, c.at, order)
-        bits = take(False, np.float32).astype(np.float64)
-        score = -np.bincount(text_of_gram, bits[np.unique(keys, return_inverse=True)[1]], n) * np.log10(2)
+        hashed, first = c.words()
+        n_words = np.diff(first)
+        base, known = _spread_costs(hashed, np.repeat(np.arange(n), n_words), *word_values, n, [lambda v: np.log10((v + 0.5) / below), lambda v: v > 0])
+        text, keys = grams(c.data, c.at, order)
+        (bits,) = _spread_costs(keys, text, *gram_values, n, [lambda v: v])
         return pa.table(
             {
-                "doc_id": pa.array(c.ids, mask=~c.known), "held_out": c.held, "n_tokens": np.bincount(text, minlength=n) + 1, "n_known": known,
-                "train_tokens": np.full(n, all_tokens), "n_bytes": np.diff(c.at), "base_score": base, "score": score,
+                "doc_id": pa.array(c.ids, mask=~c.known), "held_out": c.held, "n_tokens": n_words + 1, "n_known": known.astype(np.int64) + (trained > 0),
+                "train_tokens": np.full(n, all_tokens), "n_bytes": np.diff(c.at), "base_score": base + np.log10((trained + 0.5) / below), "score": -bits * np.log10(2),
             }
         )
 
-    return answer_chunks(chunks, answers.select("chunk", "bucket", "data"), finish, SCHEMA)
+    both = chunks.groupBy("unit").cogroup(answers.groupBy("unit"))
+    return both.applyInArrow(finish, SCHEMA)
 
 
 def _runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
