@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from archtrail.llm.packed import prefix_sums, span_hash
@@ -66,6 +68,12 @@ class Pieces:
         return place, self.keys[place] == hashed
 
 
+@lru_cache(maxsize=2)
+def load(model_file: str, scores: str = "zipf") -> Pieces:
+    """The pieces of a model file, read once in a worker process."""
+    return Pieces(model_file, scores)
+
+
 def escape(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts as the model sees them: a space before each text that is not empty, spaces as marks."""
     size = np.diff(at)

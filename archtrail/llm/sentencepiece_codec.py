@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from archtrail.llm.packed import prefix_sums, slices, span_hash
-from archtrail.llm.pieces import SPACE_MARK, Pieces, escape, pre_tokens
+from archtrail.llm.pieces import SPACE_MARK, Pieces, escape, load, pre_tokens
 from archtrail.llm.word_cache import WordCache
 
 #: Longer pre-tokens (in bytes) are segmented one at a time.
@@ -139,7 +139,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file, scores)
+        pieces = load(model_file, scores)
         cache = WordCache(lambda found: segment(pieces, found), np.dtype(np.int32))
         for batch in batches:
             for first, end, data, at in slices(batch.column(1)):
@@ -164,7 +164,7 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFra
     columns = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file)
+        pieces = load(model_file)
         size = np.array([len(b) for b in pieces.bytes], np.int64)
         at = np.concatenate([[0], np.cumsum(size)])
         body = np.frombuffer(b"".join(pieces.bytes), np.uint8)

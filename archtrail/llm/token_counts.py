@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from archtrail.llm.packed import prefix_sums, slices, span_hash
-from archtrail.llm.pieces import Pieces, escape, pre_tokens
+from archtrail.llm.pieces import Pieces, escape, load, pre_tokens
 from archtrail.llm.sentencepiece_codec import BATCHED_BYTES, segment_long
 from archtrail.llm.word_cache import WordCache
 
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file, scores)
+        pieces = load(model_file, scores)
         cache = WordCache(lambda found: (count_words(pieces, found), np.ones(len(found), np.int64)), np.dtype(np.int64))
         for batch in batches:
             for first, end, data, at in slices(batch.column(1)):

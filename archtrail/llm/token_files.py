@@ -11,6 +11,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ ORC_OPTIONS = {
 }
 
 
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """One cache for the tasks of a worker process."""
+    return WordCache(word_encoder(path), np.dtype(np.int32))
+
+
 def word_encoder(path: str):
     """Encode words by the tokenizers library: many per call, taken apart by their offsets."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,9 +66,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[
     limits = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(word_encoder(tokenizer), np.dtype(np.int32))
+        cache = word_cache(tokenizer)
         for batch in batches:
-            for first, end, data, at in slices(batch.column(1)):
+            for first, end, data, at in slices(batch.column(1), 1_500_000):
                 starts, stops, of = words(data, at)
                 where, size = cache.look_up(data, starts, stops, span_hash(prefix_sums(data), starts, stops))
                 per_text = np.concatenate([[0], np.cumsum(size)])[of]
