@@ -17,6 +17,8 @@ from archtrail.llm.chunks import written
 
 #: Second labels that form a suffix together with a two-letter country label.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Bounds of a parent's weight in pages.
+MIN_WEIGHT, MAX_WEIGHT = 10.0, 10_000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,46 +56,60 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return name, verdict
 
 
-def _weight(children: DataFrame) -> float:
+def _weight(children: DataFrame, parent: str | None) -> float:
     """Prior weight (pages) of a parent: how alike the shares of its children are, by moments.
 
-    Sum n (p - m)^2 over children of k groups is m (1 - m) (k + r (N - k)) for a correlation
-    r of pages of one child; the weight is 1 / r - 1, between 1 and 10,000.
+    Sum n (p - m)^2 / (m (1 - m)) over k children of j parents is about (k - j) + r (n - k)
+    for a correlation r of pages of one child; the weight is 1 / r - 1 within MIN_WEIGHT
+    and MAX_WEIGHT, the former where no parent has two labelled children.
     """
-    m = F.col("parent_share")
-    row = children.where("n > 0").agg(
-        F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - m, 2) / (m * (1 - m))).alias("spread"), F.count("*").alias("k"), F.sum("n").alias("n")
+    labelled = children.where("n > 0")
+    keys = [parent] if parent else []
+    means = labelled.groupBy(*keys).agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("m"))
+    if not parent:
+        m = means.first()["m"]
+        joined, parents = labelled.withColumn("m", F.lit(m if m is not None else 0.5)), 1
+    else:
+        joined, parents = labelled.join(means, parent), means.count()
+    row = joined.agg(
+        F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("m"), 2) / (F.col("m") * (1 - F.col("m")))).alias("spread"), F.count("*").alias("k"), F.sum("n").alias("n")
     ).first()
-    if not row["k"] or row["n"] <= row["k"]:
-        return 1.0
-    r = (row["spread"] - row["k"]) / (row["n"] - row["k"])
-    return round(min(10_000.0, max(1.0, 1 / r - 1 if r > 0 else 10_000.0)), 6)
+    if row["k"] <= parents or row["n"] <= row["k"]:
+        return MIN_WEIGHT
+    r = (row["spread"] - (row["k"] - parents)) / (row["n"] - row["k"])
+    return round(min(MAX_WEIGHT, max(MIN_WEIGHT, 1 / r - 1 if r > 0 else MAX_WEIGHT)), 6)
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, page_key: str = "page_id", url_col: str = "url", bad_col: str = "bad", z: float = 1.645) -> DataFrame:
     """``host, n, bad, share, low, high``: labelled pages, bad ones, posterior mean and bounds of every host.
 
     ``outcomes`` has ``page_key`` and ``bad_col`` (0 or 1; null and unlabelled pages say
-    nothing). A page with several outcomes counts them all.
+    nothing). A page with several outcomes counts them all. ``n`` pages of a child tell its
+    parent as much as ``n w / (w + n)`` of its own would, ``w`` being the parent's weight.
     """
     labelled = pages.select(page_key, host_of(F.col(url_col)).alias("host")).join(outcomes.select(page_key, F.col(bad_col).alias("bad")), page_key, "left")
-    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    hosts = labelled.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     hosts = written(hosts.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    overall = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
 
-    def shrunk(children: DataFrame) -> tuple[DataFrame, float]:
-        weight = _weight(children)
-        return children.withColumn("share", (weight * F.col("parent_share") + F.col("bad")) / (weight + F.col("n"))), weight
+    def told(children: DataFrame, weight: float, *keys: str) -> DataFrame:
+        part = F.lit(weight) / (weight + F.col("n"))
+        return children.groupBy(*keys).agg(F.sum(F.col("n") * part).alias("n"), F.sum(F.col("bad") * part).alias("bad"))
+
+    def shrunk(children: DataFrame, weight: float) -> DataFrame:
+        return children.withColumn("share", (weight * F.col("parent_share") + F.col("bad")) / (weight + F.col("n")))
 
-    suffixes, _ = shrunk(suffixes.withColumn("parent_share", F.lit(overall)))
-    domains, _ = shrunk(domains.join(suffixes.select("suffix", F.col("share").alias("parent_share")), "suffix"))
-    hosts, weight = shrunk(hosts.join(domains.select("domain", F.col("share").alias("parent_share")), "domain"))
-    size = weight + F.col("n")
-    error = z * F.sqrt(F.col("share") * (1 - F.col("share")) / (size + 1))
-    return hosts.select("host", "n", "bad", "share", (F.col("share") - error).alias("low"), (F.col("share") + error).alias("high"))
+    on_host = _weight(hosts, "domain")
+    domains = written(told(hosts, on_host, "domain", "suffix"))
+    on_domain = _weight(domains, "suffix")
+    suffixes = written(told(domains, on_domain, "suffix"))
+    on_suffix = _weight(suffixes, None)
+    total = told(suffixes, on_suffix).first()
+    overall = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
+    suffixes = shrunk(suffixes.withColumn("parent_share", F.lit(overall)), on_suffix)
+    domains = shrunk(domains.join(suffixes.select("suffix", F.col("share").alias("parent_share")), "suffix"), on_domain)
+    hosts = shrunk(hosts.join(domains.select("domain", F.col("share").alias("parent_share")), "domain"), on_host)
+    error = z * F.sqrt(F.col("share") * (1 - F.col("share")) / (on_host + F.col("n") + 1))
+    return hosts.select("host", F.col("n").cast("long"), F.col("bad").cast("long"), "share", (F.col("share") - error).alias("low"), (F.col("share") + error).alias("high"))
 
 
 def filter_urls(
