@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archtrail.llm.packed import slices
+from archtrail.llm.packed import release, slices
 
 CHUNK = "chunk long, n_bytes long, ids binary, known binary, at binary, body binary, rest binary"
 
@@ -126,6 +126,7 @@ def each_chunk(chunks: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch
         for batch in batches:
             for k in range(batch.num_rows):
                 yield from work(batch.slice(k, 1).to_pylist()[0])
+                release()
 
     return chunks.mapInArrow(run, schema)
 
@@ -136,7 +137,9 @@ def answer_chunks(chunks: DataFrame, answers: DataFrame, work: Callable[[dict, l
     empty = no_rows(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left.to_pylist()[0], right.to_pylist()) if left.num_rows else empty
+        out = work(left.to_pylist()[0], right.to_pylist()) if left.num_rows else empty
+        release()
+        return out
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import dealt_parts, each_chunk, expand, no_rows, pack, squeeze, unpack, written
-from archtrail.llm.packed import LOWER, prefix_sums, span_hash, spread, words
+from archtrail.llm.packed import LOWER, prefix_sums, release, span_hash, spread, words
 
 #: Symbols: 256 bytes and the end of the text.
 END, SYMBOLS = 256, 257
@@ -245,6 +245,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             c = _Chunk(row, order, folds, fold)
             word_counts.add(*c.distinct_words())
             gram_counts.add(*c.distinct_grams())
+            release()
         if unit is not None:
             yield from emit()
 

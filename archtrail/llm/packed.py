@@ -7,6 +7,7 @@ mixing step spreads it over all bits. Equal bytes always hash equal.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -28,6 +29,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Give memory that was freed back to the system; a worker process stays between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -61,6 +70,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
             end = int(max(first + 1, np.searchsorted(at, at[first] + limit, "right") - 1))
             yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
             first = end
+    release()
 
 
 def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import answer_chunks, carried, dealt_parts, each_chunk, expand, pack, squeeze, unpack, written
-from archtrail.llm.packed import prefix_sums, span_hash, spread
+from archtrail.llm.packed import prefix_sums, release, span_hash, spread
 
 #: Bytes of a suffix that an anchor is chosen by and that deal it out (two tokens of 8).
 LEAD = 16
@@ -208,6 +208,8 @@ def _find_repeats(table: pa.Table, span: int) -> pa.Table:
     place = np.cumsum(count[region]) - count[region]
     repeat = smallest[np.repeat(place[group], count) + spread(count)] < np.repeat(least, count)
     cuts = np.cumsum([int(b[1].sum()) for b in blobs])[:-1]
+    del body, start, owner, order, fresh, smallest
+    release()
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "data": [np.packbits(m).tobytes() for m in np.split(repeat, cuts)]},
                     schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]))
 
