@@ -85,7 +85,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, page_key: str = "page
 
     ``outcomes`` has ``page_key`` and ``bad_col`` (0 or 1; null and unlabelled pages say
     nothing). A page with several outcomes counts them all. ``n`` pages of a child tell its
-    parent as much as ``n w / (w + n)`` of its own would, ``w`` being the parent's weight.
+    parent as much as ``n w / (w + n)`` of its own would, ``w`` being the parent's weight;
+    the bounds are ``z`` standard deviations off, with what is uncertain about the parents.
     """
     labelled = pages.select(page_key, host_of(F.col(url_col)).alias("host")).join(outcomes.select(page_key, F.col(bad_col).alias("bad")), page_key, "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
@@ -96,7 +97,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, page_key: str = "page
         return children.groupBy(*keys).agg(F.sum(F.col("n") * part).alias("n"), F.sum(F.col("bad") * part).alias("bad"))
 
     def shrunk(children: DataFrame, weight: float) -> DataFrame:
-        return children.withColumn("share", (weight * F.col("parent_share") + F.col("bad")) / (weight + F.col("n")))
+        out = children.withColumn("share", (weight * F.col("parent_share") + F.col("bad")) / (weight + F.col("n")))
+        own, passed_on = F.col("share") * (1 - F.col("share")) / (weight + F.col("n") + 1), weight / (weight + F.col("n"))
+        return out.withColumn("variance", own + passed_on * passed_on * F.col("parent_variance"))
+
+    def prior(parents: DataFrame, name: str) -> DataFrame:
+        return parents.select(name, F.col("share").alias("parent_share"), F.col("variance").alias("parent_variance"))
 
     on_host = _weight(hosts, "domain")
     domains = written(told(hosts, on_host, "domain", "suffix"))
@@ -105,10 +111,11 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, page_key: str = "page
     on_suffix = _weight(suffixes, None)
     total = told(suffixes, on_suffix).first()
     overall = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1.0)
-    suffixes = shrunk(suffixes.withColumn("parent_share", F.lit(overall)), on_suffix)
-    domains = shrunk(domains.join(suffixes.select("suffix", F.col("share").alias("parent_share")), "suffix"), on_domain)
-    hosts = shrunk(hosts.join(domains.select("domain", F.col("share").alias("parent_share")), "domain"), on_host)
-    error = z * F.sqrt(F.col("share") * (1 - F.col("share")) / (on_host + F.col("n") + 1))
+    first = {"parent_share": F.lit(overall), "parent_variance": F.lit(overall * (1 - overall) / ((total["n"] or 0) + 2.0))}
+    suffixes = shrunk(suffixes.withColumns(first), on_suffix)
+    domains = shrunk(domains.join(prior(suffixes, "suffix"), "suffix"), on_domain)
+    hosts = shrunk(hosts.join(prior(domains, "domain"), "domain"), on_host)
+    error = z * F.sqrt("variance")
     return hosts.select("host", F.col("n").cast("long"), F.col("bad").cast("long"), "share", (F.col("share") - error).alias("low"), (F.col("share") + error).alias("high"))
 
 
