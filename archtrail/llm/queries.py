@@ -11,10 +11,109 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archtrail.llm.quality import BOILERPLATE
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL_JACCARD = f"""
+with recursive w as (select doc_id, {_WORDS.format(_LOWER)} as w from documents),
+grams as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else [array_to_string(w[k:k + 3], ' ') for k in range(1, len(w) - 2)] end) as g from w),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (
+  select x, y from pairs join sizes s on s.doc_id = x join sizes t on t.doc_id = y where 100 * shared >= 85 * (s.n + t.n - shared)),
+reach as (
+  select doc_id, doc_id as other from sizes
+  union select r.doc_id, l.far from reach r join (select x as near, y as far from links union all select y, x from links) l on l.near = r.other)
+select w.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(min(r.other), w.doc_id) as component_id
+from w left join sizes s using (doc_id) left join reach r on r.doc_id = w.doc_id group by w.doc_id, s.n
+"""
+
+SQL_DECONTAMINATE = f"""
+with items as (select cast(item_id as varchar) as item, {_ITEM_WORDS} as w from benchmark),
+windows as (
+  select distinct item, least(len(w), 13) as size, unnest([w[k:k + least(len(w), 13) - 1] for k in range(1, len(w) - least(len(w), 13) + 2)]) as words
+  from items where len(w) > 0),
+d as (select doc_id, {_ITEM_WORDS} as w from documents),
+places as (select d.doc_id, size, unnest(range(1, len(w) - size + 2)) as k, w from d, (select distinct size from windows)),
+hits as (select p.doc_id, p.k, p.size, v.item from places p join windows v on v.size = p.size and v.words = p.w[p.k:p.k + p.size - 1]),
+covered as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(k, k + size)) from hits) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join covered using (doc_id) left join named using (doc_id)
+"""
+
+SQL_QUALITY = rf"""
+with d as (select doc_id, coalesce(text, '') as text, {_WORDS.format("coalesce(text, '')")} as w from documents),
+windows as (select doc_id, unnest(range(1, len(w) - 3)) as k, w from d),
+twice as (select doc_id, k from (select doc_id, k, count(*) over (partition by doc_id, w[k:k + 4]) as n from windows) where n > 1),
+repeated as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(k, k + 5)) from twice) group by doc_id),
+split as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+lines as (
+  select doc_id, line, {_WORDS.format("line")} as w, length(regexp_replace(line, '[ 	-
+]', '', 'g')) as chars,
+    length(line) - length(regexp_replace(line, '[!-/:-@\[-`{{-~]', '', 'g')) as marks from split where regexp_matches(line, '[^ 	-
+]')),
+judged as (
+  select *, (len(w) >= 3 and marks > 0.2 * chars) or (seps >= 2 and seps > 0.2 * len(w)) or (len(w) <= 15 and furniture) as bad
+  from (select *, len([x for x in w if regexp_full_match(x, '[|<>/*-]')]) as seps, regexp_matches(lower(line), '__PHRASES__') as furniture from lines)),
+per as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct line) as dups, count(*) filter (bad) as removed, coalesce(sum(chars) filter (bad), 0) as lost
+  from judged group by doc_id),
+counts as (
+  select d.doc_id, len(w) as n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(dups, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(removed, 0) as n_lines_removed, coalesce(lost, 0) as lost
+  from d left join per using (doc_id) left join repeated r using (doc_id)),
+base as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts)
+select * exclude (lost), not base_failed and lost <= 0.5 * word_chars as kept from base
+"""
+
+SQL_URLS = r"""
+with p as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+o as (select doc_id as page_id, case when quality = 0 or toxic = 1 then 1 when quality is not null or toxic is not null then 0 end as bad from labels),
+h as (select host, cast(count(bad) as double) as n, cast(coalesce(sum(bad), 0) as double) as bad from p left join o using (page_id) group by host),
+named as (select *, len(parts) > 2 and length(parts[-1]) = 2 and parts[-2] in ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') as long from (select *, string_split(host, '.') as parts from h)),
+hosts as (select host, n, bad, array_to_string(parts[case when long then -3 else -2 end:], '.') as domain, array_to_string(parts[case when long then -2 else -1 end:], '.') as suffix from named),
+rh as (select sum(n * pow(bad / n - m, 2) / (m * (1 - m))) as spread, count(*) as k, sum(n) as n, count(distinct domain) as j
+  from hosts join (select domain, (sum(bad) + 0.5) / (sum(n) + 1.0) as m from hosts where n > 0 group by domain) using (domain) where n > 0),
+wh as (select case when k <= j or n <= k then 10.0 when spread <= k - j then 10000.0 else round(least(10000.0, greatest(10.0, 1 / ((spread - (k - j)) / (n - k)) - 1)), 6) end as w from rh),
+domains as (select domain, suffix, sum(n * w / (w + n)) as n, sum(bad * w / (w + n)) as bad from hosts, wh group by domain, suffix),
+rd as (select sum(n * pow(bad / n - m, 2) / (m * (1 - m))) as spread, count(*) as k, sum(n) as n, count(distinct suffix) as j
+  from domains join (select suffix, (sum(bad) + 0.5) / (sum(n) + 1.0) as m from domains where n > 0 group by suffix) using (suffix) where n > 0),
+wd as (select case when k <= j or n <= k then 10.0 when spread <= k - j then 10000.0 else round(least(10000.0, greatest(10.0, 1 / ((spread - (k - j)) / (n - k)) - 1)), 6) end as w from rd),
+suffixes as (select suffix, sum(n * w / (w + n)) as n, sum(bad * w / (w + n)) as bad from domains, wd group by suffix),
+rs as (select sum(n * pow(bad / n - m, 2) / (m * (1 - m))) as spread, count(*) as k, sum(n) as n, 1 as j
+  from suffixes, (select (sum(bad) + 0.5) / (sum(n) + 1.0) as m from suffixes where n > 0) where n > 0),
+ws as (select case when k <= j or n <= k then 10.0 when spread <= k - j then 10000.0 else round(least(10000.0, greatest(10.0, 1 / ((spread - (k - j)) / (n - k)) - 1)), 6) end as w from rs),
+overall as (select (coalesce(sum(bad * w / (w + n)), 0) + 0.5) / (coalesce(sum(n * w / (w + n)), 0) + 1.0) as m, coalesce(sum(n * w / (w + n)), 0) as n from suffixes, ws),
+s1 as (select suffix, w, s.n, (w * m + bad) / (w + s.n) as share, m * (1 - m) / (o.n + 2.0) as v0 from suffixes s, ws, overall o),
+s2 as (select suffix, share as ps, share * (1 - share) / (w + n + 1) + pow(w / (w + n), 2) * v0 as pv from s1),
+d1 as (select domain, w, n, (w * ps + bad) / (w + n) as share, pv from domains join s2 using (suffix), wd),
+d2 as (select domain, share as ps, share * (1 - share) / (w + n + 1) + pow(w / (w + n), 2) * pv as pv from d1),
+h1 as (select host, w, n, (w * ps + bad) / (w + n) as share, pv from hosts join d2 using (domain), wh),
+h2 as (select host, share - 1.645 * sqrt(share * (1 - share) / (w + n + 1) + pow(w / (w + n), 2) * pv) as low from h1),
+rules as (select * from (values ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')) t (what, rule)),
+fits as (
+  select page_id, max_by(rule, length(rule)) as rule, max_by(what, length(rule)) as what from p, rules
+  where (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, strpos(rule, '/'))) group by page_id)
+select page_id, host, path, rule, coalesce(what, case when low > 0.25 then 'block' else 'allow' end) as verdict
+from p left join fits using (page_id) left join h2 using (host)
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,7 +141,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(SQL_JACCARD)
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.jaccard_join import similar_groups
 
@@ -63,7 +162,7 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
-@query()
+@query(SQL_URLS)
 def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.url_filter import filter_urls
 
@@ -73,7 +172,7 @@ def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-@query()
+@query(SQL_DECONTAMINATE)
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.decontaminate import contamination
 
@@ -84,7 +183,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(SQL_QUALITY.replace("__PHRASES__", "|".join(BOILERPLATE)))
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.quality import clean_documents
 
