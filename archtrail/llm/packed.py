@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 2_000_000
+#: Tables of powers beyond this length (left by a very long text) are dropped.
+KEPT_POWERS = 4_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,6 +33,8 @@ LOWER[65:91] += 32
 
 def release() -> None:
     """Give memory that was freed back to the system; a worker process stays between tasks and stages."""
+    if len(_POWERS[0]) > KEPT_POWERS:
+        _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
@@ -47,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(n + (n >> 2), base, np.uint64)
+            table = np.full(n + 65_536, base, np.uint64)
             table[0] = 1
             _POWERS[k] = np.cumprod(table)
     return _POWERS[0], _POWERS[1]
@@ -103,6 +107,17 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nda
     return mix((sums[stops] - sums[starts]) * _POWERS[1][starts] + (stops - starts).astype(np.uint64))
 
 
+def piece_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of every piece between consecutive ``at``, a few megabytes at a time."""
+    out, first = [np.zeros(0, np.uint64)], 0
+    while first < len(at) - 1:
+        end = int(max(first + 1, np.searchsorted(at, at[first] + SLICE_BYTES, "right") - 1))
+        part = at[first : end + 1] - at[first]
+        out.append(span_hash(prefix_sums(data[at[first] : at[end]]), part[:-1], part[1:]))
+        first = end
+    return np.concatenate(out)
+
+
 def shingle_hash(word_hash: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words, by position of its first word."""
     n = len(word_hash) - size + 1

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import answer_chunks, carried, dealt_parts, each_chunk, expand, pack, squeeze, unpack, written
-from archtrail.llm.packed import prefix_sums, release, span_hash, spread
+from archtrail.llm.packed import piece_hashes, prefix_sums, release, span_hash, spread
 
 #: Bytes of a suffix that an anchor is chosen by and that deal it out (two tokens of 8).
 LEAD = 16
@@ -194,7 +194,7 @@ def _find_repeats(table: pa.Table, span: int) -> pa.Table:
     count = count.astype(np.int64)
     size = count + span - 1
     at = np.cumsum(size) - size
-    content = span_hash(prefix_sums(body), at, at + size)  # equal regions of several senders are sorted once
+    content = piece_hashes(body, np.append(at, len(body)))  # equal regions of several senders are sorted once
     order, fresh = multikey_sort(len(at), [content.__getitem__, size.__getitem__])
     heads, group = np.flatnonzero(fresh), np.empty(len(at), np.int64)
     group[order] = np.cumsum(fresh) - 1
