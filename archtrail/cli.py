@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from archtrail.operators import cycles, edges, hierarchy, impact, incremental, trace
 from archtrail.operators import query as ask
 from archtrail.plans import analyze as plan
-from archtrail.session import build_session
-from archtrail.sources import artifacts, events, git
+from archtrail.session import build_session, cut_lineage
+from archtrail.sources import artifacts, changes, events
 from archtrail.streaming import tail
 
 
@@ -33,14 +33,14 @@ def _arguments() -> argparse.Namespace:
 
     many = {"action": "append", "default": []}
     command("analyze", "repo", "map", json={}, previous={}, generated=many, vendored=many)
-    command("impact", "repo", "map", base={"required": True}, head={}, map_version={"required": True})
+    command("impact", "repo", "map", changes={"required": True}, map_version={})
     command("ingest", "log", "map", repo={"required": True}, output={"required": True})
     command("watch", "directory", "map", output={"required": True}, state={"required": True})
     for name in ("deps", "rdeps", "explain"):
         command(name, "node", "map")
     command("cycles", "map")
     command("audit", "map")
-    command("hotspots", "map", repo={"required": True}, limit={"type": int, "default": 20})
+    command("hotspots", "map", churn={"required": True}, limit={"type": int, "default": 20})
     return parser.parse_args()
 
 
@@ -62,15 +62,13 @@ def main() -> None:
                 raise SystemExit("write the new map to another folder than the previous one")
             earlier = artifacts.load_map(spark, options.previous)
             before = spark.read.parquet(f"{options.previous}/digests")
-            facts, changes = incremental.refresh_facts(sources.files, before, earlier.facts)
-            _print(incremental.report(sources.files, changes))
+            facts, found = incremental.refresh_facts(sources.files, before, earlier.facts)
+            _print(incremental.report(sources.files, found))
+        digests = cut_lineage(incremental.fingerprint(sources.files))
         result = plan.analyze(sources, options.generated, options.vendored, facts, earlier)
         artifacts.save_map(result, options.map)
-        incremental.fingerprint(sources.files).write.mode("overwrite").parquet(f"{options.map}/digests")
-        try:
-            version = git.version(options.repo)
-        except ValueError:
-            version = git.snapshot_version(sources.files)
+        digests.write.mode("overwrite").parquet(f"{options.map}/digests")
+        version = changes.content_version(digests)
         print(f"version\t{version}")
         if options.json:
             artifacts.write_json(artifacts.map_document(result, version), options.json)
@@ -78,9 +76,9 @@ def main() -> None:
     known = artifacts.load_map(spark, options.map)
     file_nodes = known.nodes.where("kind = 'file'").select("id", "path")
     if options.command == "impact":
-        _, head, changes = git.changed_files(spark, options.repo, options.base, options.head)
-        git.check_comparison(options.repo, options.map_version, options.head, head)
-        mapped = impact.changed_nodes(changes, file_nodes)
+        if options.map_version:
+            changes.check_version(options.map_version, spark.read.parquet(f"{options.map}/digests"))
+        mapped = impact.changed_nodes(changes.read_changes(spark, options.changes), file_nodes)
         dependents = impact.direct_dependents(mapped, known.edges, file_nodes)
         for part in (mapped, dependents, impact.review_order(mapped, known.edges).orderBy("position"),
                      impact.impact_summary(mapped, dependents)):
@@ -106,7 +104,7 @@ def main() -> None:
         _print(known.findings)
     elif options.command == "hotspots":
         below = hierarchy.descendant_files(known.nodes, known.membership)
-        churn = ask.node_churn(below, git.churn(spark, options.repo))
+        churn = ask.node_churn(below, changes.read_churn(spark, options.churn))
         _print(ask.hotspots(known.nodes, churn, options.limit))
 
 

@@ -1,19 +1,11 @@
 """Optional prose: bounded prompts, checked answers, guarded write-back.
 
-Prompts are made by Spark, one row per component. Asking a provider is a call per
-prompt under one budget, so it runs in order where the session is; prompts are
-streamed to it one at a time and each is bounded by the prompt limit.
+Prompts are one row per component, answers come back as tables and are checked as
+such. Who answers them, and under what budget, is not this package's business.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Iterable
-from dataclasses import dataclass, field
-from math import isfinite
-from typing import Protocol
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +23,6 @@ FILES_SHOWN = 12
 # ---------------------------------------------------------------------------
 
 
-class BudgetExceeded(RuntimeError):
-    """A call could cost, or has cost, more than what is left."""
-
-
-class BadAnswer(RuntimeError):
-    """An answer that cannot be used."""
-
-
-class Provider(Protocol):
-    def complete(self, prompt: str, max_tokens: int) -> tuple[str, int, int]:
-        """(answer, input tokens, output tokens)."""
-
-
 def output_limit(items: int, limit: int = MAX_OUTPUT) -> int:
     return min(limit, max(LEAST_OUTPUT, OUTPUT_PER_ITEM * items))
 
@@ -117,83 +96,29 @@ def bounded_prompts(context: DataFrame, required: DataFrame, instruction: str, l
     return joined.select("component", prompt.alias("prompt"), items.alias("items"), left_out.alias("omitted"))
 
 
-@dataclass
-class Client:
-    """Asks a provider under a budget, remembers answers, keeps a record per call."""
-
-    provider: Provider
-    input_price: float  # per million tokens
-    output_price: float
-    budget: float
-    cache: dict[str, str] = field(default_factory=dict)
-    records: list[dict] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        for amount in (self.input_price, self.output_price, self.budget):
-            if not isfinite(amount) or amount < 0:
-                raise ValueError("prices and budget must be finite and not negative")
-
-    @property
-    def spent(self) -> float:
-        return sum(record["cost"] for record in self.records)
-
-    def _cost(self, tokens_in: int, tokens_out: int) -> float:
-        return (tokens_in * self.input_price + tokens_out * self.output_price) / 1_000_000
-
-    def ask(self, purpose: str, prompt: str, max_tokens: int) -> dict:
-        if len(prompt) > MAX_PROMPT:
-            raise ValueError(f"{purpose}: prompt is longer than {MAX_PROMPT} characters")
-        key = hashlib.sha256(f"{max_tokens}\0{prompt}".encode()).hexdigest()
-        if key in self.cache:
-            self.records.append({"purpose": purpose, "cost": 0.0, "cached": True})
-            return json.loads(self.cache[key])
-        # A byte is at least a token's worth, so this bounds the price from above.
-        worst = self._cost(len(prompt.encode()) + 100, max_tokens)
-        if self.spent + worst > self.budget:
-            raise BudgetExceeded(f"{purpose} could cost ${worst:.6f}; ${self.budget - self.spent:.6f} is left")
-        answer, tokens_in, tokens_out = self.provider.complete(prompt, max_tokens)
-        if min(tokens_in, tokens_out) < 0 or tokens_out > max_tokens:
-            raise BadAnswer(f"{purpose}: token usage outside the limits")
-        try:
-            parsed = json.loads(answer)
-        except ValueError as error:
-            raise BadAnswer(f"{purpose}: {error}") from error
-        cost = self._cost(tokens_in, tokens_out)
-        if self.spent + cost > self.budget:
-            raise BudgetExceeded(f"{purpose} has already cost ${cost:.6f}, more than was left")
-        self.records.append({"purpose": purpose, "cost": cost, "cached": False})
-        self.cache[key] = answer
-        return parsed
-
-
-def check_answer(answer: dict, expected: set[str], shown: set[tuple[str, str]], purpose: str) -> None:
-    """Every id exactly once, edge labels only for pairs in the prompt, once each."""
-    nodes, links = answer.get("nodes", []), answer.get("edges", [])
-    ids = [node.get("id") for node in nodes]
-    if sorted(ids) != sorted(expected):
-        raise BadAnswer(f"{purpose} must name every given id exactly once")
-    pairs = [(link.get("source"), link.get("target")) for link in links]
-    if len(pairs) != len(set(pairs)) or not set(pairs) <= shown:
-        raise BadAnswer(f"{purpose} names an edge twice or one it was not shown")
-    bounded = [(node.get("label"), LABEL_LIMIT) for node in nodes]
-    bounded += [(node.get("summary"), SUMMARY_LIMIT) for node in nodes]
-    bounded += [(link.get("label"), EDGE_LABEL_LIMIT) for link in links]
-    if any(not isinstance(text, str) or not 0 < len(text) <= most for text, most in bounded):
-        raise BadAnswer(f"{purpose} has an empty or overlong text")
-
-
-def ask_all(client: Client, prompts: Iterable, expected: dict[str, set[str]]) -> tuple[list, list]:
-    """Answers as rows (id, label, summary) and (source, target, label)."""
-    nodes, links = [], []
-    for row in prompts:
-        items = [json.loads(item) for item in row["items"]]
-        shown = {(item["source"], item["target"]) for item in items if item["kind"] == "edge"}
-        ids = expected[row["component"]]
-        answer = client.ask(row["component"], row["prompt"], output_limit(len(ids)))
-        check_answer(answer, ids, shown, row["component"])
-        nodes += [(node["id"], node["label"], node["summary"]) for node in answer["nodes"]]
-        links += [(link["source"], link["target"], link["label"]) for link in answer.get("edges", [])]
-    return nodes, links
+def answer_violations(prompts: DataFrame, expected: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(component, subject, rule) for every answer row that may not be written back.
+
+    ``prompts``: component, items (what was shown). ``expected``: component, id. ``nodes``:
+    component, id, label, summary. ``links``: component, source, target, label. Every
+    expected id is named exactly once; links are among those shown, once each; texts
+    are neither empty nor overlong. All of it is joins and counts."""
+    wanted = expected.groupBy("component", "id").agg(F.lit(1).alias("_asked"))
+    named = nodes.groupBy("component", "id").agg(F.count(F.lit(1)).alias("_named"))
+    ids = wanted.join(named, ["component", "id"], "full").where("_asked IS NULL OR _named IS NULL OR _named > 1")
+    item = F.from_json("item", "kind string, source string, target string")
+    offered = prompts.select("component", F.explode("items").alias("item")).select("component", item.alias("_i"))
+    offered = offered.where("_i.kind = 'edge'").select("component", "_i.source", "_i.target", F.lit(1).alias("_offered")).distinct()
+    pairs = links.groupBy("component", "source", "target").agg(F.count(F.lit(1)).alias("_times"))
+    pairs = pairs.join(offered, ["component", "source", "target"], "left").where("_offered IS NULL OR _times > 1")
+    bad = lambda name, most: F.coalesce(F.length(name), F.lit(0)).between(1, most) == F.lit(False)
+    arrow = F.concat("source", F.lit(" -> "), "target")
+    return (
+        ids.select("component", F.col("id").alias("subject"), F.lit("every id is named exactly once").alias("rule"))
+        .unionByName(pairs.select("component", arrow.alias("subject"), F.lit("links are those shown, once each").alias("rule")))
+        .unionByName(nodes.where(bad("label", LABEL_LIMIT) | bad("summary", SUMMARY_LIMIT)).select("component", F.col("id").alias("subject"), F.lit("texts fit").alias("rule")))
+        .unionByName(links.where(bad("label", EDGE_LABEL_LIMIT)).select("component", arrow.alias("subject"), F.lit("texts fit").alias("rule")))
+    )
 
 
 def write_back(

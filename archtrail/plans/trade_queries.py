@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from archtrail.operators import cycles, edges, enrich, hierarchy, impact
 from archtrail.operators import query as ask
 from archtrail.plans import tables as t
+from archtrail.session import cut_lineage
 from archtrail.plans.registry import query
 from archtrail.sources import artifacts
 
@@ -149,8 +150,8 @@ def rdeps(spark, sf_dir):
     LEFT JOIN nodes n ON n.id = e.source WHERE e.target = (SELECT id FROM busiest)""",
 )
 def explain_relationships(spark, sf_dir):
-    links = edges.build_edges(t.trade_sites(spark, sf_dir))
-    return ask.relationships(links, t.trade_nodes(spark, sf_dir), _busiest(_edges(spark, sf_dir)))
+    links = cut_lineage(edges.build_edges(t.trade_sites(spark, sf_dir)))
+    return ask.relationships(links, t.trade_nodes(spark, sf_dir), _busiest(links))
 
 
 @query(
@@ -163,9 +164,10 @@ def explain_relationships(spark, sf_dir):
 )
 def explain_hierarchy(spark, sf_dir):
     nodes = t.trade_nodes(spark, sf_dir)
-    one = nodes.where(F.col("id") == _busiest(_edges(spark, sf_dir)))
+    busiest = _busiest(_edges(spark, sf_dir))
+    one = nodes.where(F.col("id") == busiest)
     above = hierarchy.ancestors(one, t.trade_membership(spark, sf_dir))
-    return ask.lineage_of(above, nodes, _busiest(_edges(spark, sf_dir)))
+    return ask.lineage_of(above, nodes, busiest)
 
 
 # ------------------------------------------------------------------- hierarchy
@@ -283,8 +285,8 @@ comps AS (SELECT id AS node, least(id, coalesce(min(other), id)) AS component
 def firm_graph(spark, sf_dir):
     sites = t.trade_sites(spark, sf_dir)
     links = sites.select(
-        F.concat(F.lit("f:"), F.substring("source", 3, 40)).alias("source"),
-        F.concat(F.lit("f:"), F.substring("target", 3, 40)).alias("target"),
+        F.concat(F.lit("f:"), F.expr("substring(source, 3)")).alias("source"),
+        F.concat(F.lit("f:"), F.expr("substring(target, 3)")).alias("target"),
     ).distinct()
     customers = t.table(spark, sf_dir, "customer").select(t._key("f:", "c_custkey").alias("id"))
     suppliers = t.table(spark, sf_dir, "supplier").select(t._key("f:", "s_suppkey").alias("id"))

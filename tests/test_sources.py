@@ -1,14 +1,13 @@
-"""Trees, Git, logs, streaming, artifacts and prose on small inputs."""
+"""Trees, changes, logs, streaming, artifacts and prose on small inputs."""
 
 import json
-import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths, text
 from archtrail.operators import enrich, impact, trace
-from archtrail.sources import artifacts, events, git, tree
+from archtrail.sources import artifacts, changes, events, tree
 from archtrail.streaming import tail
 
 
@@ -112,48 +111,42 @@ def test_event_paths_and_labels(spark):
         "Foo Bar", "X9Y", "UI V2 Kit", "Api"]
 
 
-def commit(repo, message):
-    for arguments in (["add", "-A"], ["-c", "user.name=t", "-c", "user.email=t@e", "commit", "-qm", message]):
-        subprocess.run(["git", "-C", str(repo), *arguments], check=True)
-
-
-def test_git_changes_become_an_impact(spark, tmp_path):
-    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
-    for name, body in {"a.py": "import b\n", "b.py": "V = 1\n", "deleted.py": "", "README.md": "x\n"}.items():
-        (tmp_path / name).write_text(body)
-    commit(tmp_path, "first")
-    base = git.version(tmp_path)
-    (tmp_path / "b.py").write_text("V = 2\n")
-    (tmp_path / "README.md").write_text("y\n")
-    (tmp_path / "deleted.py").unlink()
-    (tmp_path / "new.py").write_text("import b\n")
-    (tmp_path / "notes.txt").write_text("n\n")
-    assert git.version(tmp_path).startswith(f"worktree:{base}:")
-    _, head, changes = git.changed_files(spark, tmp_path, "HEAD")
-    nodes = spark.createDataFrame(
-        [(f"file:{n}", n) for n in ("a.py", "b.py", "new.py")], "id string, path string")
+def test_a_change_table_becomes_an_impact(spark, tmp_path):
+    log = tmp_path / "changes.jsonl"
+    rows = [("core/disk.py", "M", None), ("GUIDE.md", "modified", None), ("core/tape.py", "D", None),
+            ("core/cloud.py", "added", None), ("todo.txt", "A", None), ("core/new_name.py", "R090", "core/old.py")]
+    log.write_text("".join(json.dumps(dict(zip(("path", "status", "old_path"), row))) + "\n" for row in rows))
+    found = changes.read_changes(spark, str(log))
+    assert {(r.path, r.status) for r in found.collect()} == {
+        ("core/disk.py", "modified"), ("GUIDE.md", "modified"), ("core/tape.py", "deleted"),
+        ("core/cloud.py", "added"), ("todo.txt", "added"), ("core/new_name.py", "renamed")}
+    names = ("core/disk.py", "core/cloud.py", "app/start.py")
+    nodes = spark.createDataFrame([(f"file:{n}", n) for n in names], "id string, path string")
     edges = spark.createDataFrame(
-        [("file:a.py", "file:b.py", 1), ("file:new.py", "file:b.py", 1)], "source string, target string, weight int")
-    mapped = impact.changed_nodes(changes, nodes)
+        [("file:app/start.py", "file:core/disk.py", 1), ("file:core/cloud.py", "file:core/disk.py", 1)],
+        "source string, target string, weight int")
+    mapped = impact.changed_nodes(found.where("old_path IS NULL"), nodes)
     dependents = impact.direct_dependents(mapped, edges, nodes)
-    assert [tuple(r) for r in dependents.collect()] == [("file:b.py", "file:a.py")]
+    assert [tuple(r) for r in dependents.collect()] == [("file:core/disk.py", "file:app/start.py")]
     assert tuple(impact.impact_summary(mapped, dependents).first()) == (5, 2, 1)
     order = [r.path for r in impact.review_order(mapped, edges).orderBy("position").collect()]
-    assert order == ["b.py", "new.py", "README.md", "deleted.py", "notes.txt"]
+    assert order == ["core/disk.py", "core/cloud.py", "GUIDE.md", "core/tape.py", "todo.txt"]
     assert artifacts.impact_violations(mapped).isEmpty()
-    git.check_comparison(tmp_path, git.version(tmp_path), None, head)
+    log.write_text(json.dumps({"path": "a", "status": "Z"}) + "\n")
     with pytest.raises(ValueError):
-        git.check_comparison(tmp_path, base[::-1], None, head)
-    commit(tmp_path, "second")
-    commits = {r.file: r.commits for r in git.churn(spark, tmp_path).collect()}
-    assert commits["file:b.py"] == 2 and commits["file:new.py"] == 1
+        changes.read_changes(spark, str(log))
+
 
+def test_versions_follow_contents(spark):
+    def digests(*rows):
+        return spark.createDataFrame(rows, "path string, digest string")
 
-def test_status_records():
-    assert git.parse_changes("M\0a\0R90\0b\0c\0") == [("a", "modified", None), ("c", "renamed", "b")]
-    for broken in ("X\0a\0", "R100\0a\0"):
-        with pytest.raises(ValueError):
-            git.parse_changes(broken)
+    one = changes.content_version(digests(("a", "1"), ("b", "2")))
+    assert one == changes.content_version(digests(("b", "2"), ("a", "1")))
+    assert one != changes.content_version(digests(("a", "2"), ("b", "1")))
+    changes.check_version(one, digests(("a", "1"), ("b", "2")))
+    with pytest.raises(ValueError):
+        changes.check_version(one, digests(("a", "1")))
 
 
 def test_contract_violations(spark):
@@ -167,15 +160,6 @@ def test_contract_violations(spark):
                      "edge weight is at least 1", "edge has evidence"}
 
 
-class Recorded:
-    def __init__(self, answer, usage=(10, 10)):
-        self.answer, self.usage, self.calls = answer, usage, 0
-
-    def complete(self, prompt, max_tokens):
-        self.calls += 1
-        return json.dumps(self.answer), *self.usage
-
-
 def test_prose_is_bounded_checked_and_guarded(spark):
     nodes = spark.createDataFrame(
         [("mod:a", "module", "A", "old", None, 5, 0, 1), ("mod:b", "module", "B", "old", None, 5, 1, 0),
@@ -191,19 +175,18 @@ def test_prose_is_bounded_checked_and_guarded(spark):
     short = enrich.bounded_prompts(context, required, "Do.", len(whole["prompt"]) - 1).first()
     assert len(short["items"]) == 2 and short["omitted"] == 1 and len(short["prompt"]) < len(whole["prompt"])
 
-    answer = {"nodes": [{"id": i, "label": "New", "summary": "Text."} for i in ("mod:a", "mod:b")],
-              "edges": [{"source": "mod:a", "target": "mod:b", "label": "runs"}]}
-    provider = Recorded(answer)
-    client = enrich.Client(provider, 1.0, 1.0, 0.5)
-    expected = {"comp:x": {"mod:a", "mod:b"}}
-    found = enrich.ask_all(client, [whole], expected)
-    assert enrich.ask_all(client, [whole], expected) == found and provider.calls == 1
-    with pytest.raises(enrich.BadAnswer):
-        enrich.ask_all(enrich.Client(provider, 1.0, 1.0, 0.5), [whole], {"comp:x": {"mod:a"}})
-    with pytest.raises(enrich.BudgetExceeded):
-        enrich.ask_all(enrich.Client(provider, 1.0, 1.0, 0.0001), [whole], expected)
-    prose = spark.createDataFrame(found[0], "id string, label string, summary string")
-    labels = spark.createDataFrame(found[1], "source string, target string, label string")
+    prompts = enrich.bounded_prompts(context, required, "Do.")
+    expected = spark.createDataFrame([("comp:x", "mod:a"), ("comp:x", "mod:b")], "component string, id string")
+    answers = "component string, id string, label string, summary string"
+    prose = spark.createDataFrame([("comp:x", i, "New", "Text.") for i in ("mod:a", "mod:b")], answers)
+    told = "component string, source string, target string, label string"
+    labels = spark.createDataFrame([("comp:x", "mod:a", "mod:b", "runs")], told)
+    assert enrich.answer_violations(prompts, expected, prose, labels).isEmpty()
+    wrong = spark.createDataFrame([("comp:x", "mod:a", "New", ""), ("comp:x", "mod:c", "New", "Text.")], answers)
+    unseen = spark.createDataFrame([("comp:x", "mod:b", "mod:a", "l" * 121)] * 2, told)
+    rules = {(r.subject, r.rule.split(" ")[0]) for r in enrich.answer_violations(prompts, expected, wrong, unseen).collect()}
+    assert rules == {("mod:b", "every"), ("mod:c", "every"), ("mod:a", "texts"), ("mod:b -> mod:a", "links"), ("mod:b -> mod:a", "texts")}
+    prose, labels = prose.drop("component"), labels.drop("component")
     new_nodes, new_edges = enrich.write_back(nodes, edges, prose, labels)
     assert {r.label for r in new_nodes.where("prose_source = 'llm'").collect()} == {"New"}
     assert new_edges.first().label == "runs"
