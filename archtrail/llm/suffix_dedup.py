@@ -37,7 +37,7 @@ LEAD = 16
 #: A bucket is planned for about this many bytes of text.
 BUCKET_BYTES = 32_000_000
 #: Splitters are taken from at most about this many chunks and this many suffixes of each.
-SAMPLED_CHUNKS, SAMPLED_SUFFIXES = 64, 256
+SAMPLED_CHUNKS, SAMPLED_SUFFIXES = 64, 512
 _NO_ID = np.int64(2**63 - 1)
 SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
     schema = SCHEMA + (f", row struct<{fields}>" if carry else "")
     total, n_chunks = chunks.agg(F.sum("n_bytes"), F.count("*")).first()
-    n_buckets = 3 * max(dealt_parts(docs.sparkSession), (total or 0) // BUCKET_BYTES)  # several a task even out
+    n_buckets = 6 * max(dealt_parts(docs.sparkSession), (total or 0) // BUCKET_BYTES)  # several a task even out
     splitters = _splitters(chunks, span, n_buckets, n_chunks)
 
     def send_leads(row: dict) -> Iterator[pa.RecordBatch]:
