@@ -7,7 +7,6 @@ Parsing is the one step that needs Python. It runs per file inside
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths
+from archtrail.operators.script import script_facts
 
 IMPORT_TYPE = "array<struct<module:string,line:bigint,fallbacks:array<string>,symbols:array<string>>>"
 FACT_TYPE = (
@@ -22,31 +22,6 @@ FACT_TYPE = (
     f"public_names array<string>, imports {IMPORT_TYPE}, docstring string, loc bigint, error string"
 )
 
-# ---------------------------------------------------------------------------
-# What counts as an import, a definition or an export in scripts.
-SCRIPT_TOKEN = re.compile(
-    r"//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", re.DOTALL
-)
-SCRIPT_NAME = r"[A-Za-z_$][\w$]*"
-SCRIPT_IMPORT = re.compile(r"\b(import|export)\b(?!\s*\()([^;()'\"]*?)(?:\bfrom\s*)?(['\"])")
-SCRIPT_CALL = re.compile(r"(?<![.\w$])(?:require|import)\s*\(\s*(?=['\"])")
-SCRIPT_DEFINITION = re.compile(rf"\b(?:function\s*\*?|class)\s+({SCRIPT_NAME})")
-SCRIPT_METHOD = re.compile(
-    rf"(?:^|(?<=[{{}};]))\s*(?:(?:static|async|get|set|public|private|protected|override|readonly)\s+)*\*?\s*({SCRIPT_NAME})"
-    r"\s*(?:<[^>{};]*>)?\([^;{}]*\)\s*(?::[^;{}=]+)?\{",
-    re.MULTILINE,
-)
-SCRIPT_EXPORT = re.compile(
-    r"\bexport\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
-    rf"(?:function\s*\*?|class|interface|type|enum)\s+({SCRIPT_NAME})"
-)
-SCRIPT_PUBLIC = re.compile(
-    r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+([A-Za-z_$][\w$]*)"
-)
-NOT_SYMBOLS = frozenset({"as", "export", "from", "import", "type"})
-NOT_METHODS = frozenset({"catch", "for", "function", "if", "return", "switch", "while", "with"})
-# ---------------------------------------------------------------------------
-
 _DEFINITION = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
@@ -85,62 +60,10 @@ def python_facts(content: bytes) -> dict:
     }
 
 
-def _balanced(code: str) -> bool:
-    opened = []
-    for sign in re.findall(r"[(){}\[\]]", code):
-        if sign in "([{":
-            opened.append(sign)
-        elif not opened or "([{".index(opened.pop()) != ")]}".index(sign):
-            return False
-    return not opened
-
-
-def script_facts(content: bytes) -> dict:
-    """JavaScript and TypeScript by pattern: comments and templates are blanked
-    and string bodies masked first, so patterns never match inside them."""
-    source = content.decode("utf-8")
-
-    def masked(found: re.Match) -> str:
-        text = found.group()
-        if text[0] in "'\"":
-            return text[0] + "_" * (len(text) - 2) + text[0]
-        return re.sub(r"[^\n]", " ", text)
-
-    code = SCRIPT_TOKEN.sub(masked, source)
-    if not _balanced(re.sub(r"(['\"])_*\1", "", code)):
-        raise SyntaxError("brackets do not match")
-
-    def quoted(at: int) -> str:
-        return source[at + 1 : code.index(code[at], at + 1)]
-
-    imports = set()
-    for found in SCRIPT_IMPORT.finditer(code):
-        word, clause = found.group(1), found.group(2)
-        bare = not re.search(r"\bfrom\s*$", code[: found.start(3)])
-        if re.match(r"\s+type\b", clause) or (bare and (word == "export" or clause.strip())):
-            continue
-        module = quoted(found.start(3))
-        named = clause if not bare else module
-        symbols = set(re.findall(SCRIPT_NAME, named)) - NOT_SYMBOLS
-        line = source.count("\n", 0, found.start()) + 1
-        imports.add((module, line, (), tuple(sorted(symbols))))
-    for found in SCRIPT_CALL.finditer(code):
-        line = source.count("\n", 0, found.start()) + 1
-        imports.add((quoted(found.end()), line, (), ()))
-    methods = set(SCRIPT_METHOD.findall(code)) - NOT_METHODS if "class" in code else set()
-    return {
-        "definitions": set(SCRIPT_DEFINITION.findall(code)) | methods,
-        "exports": set(SCRIPT_EXPORT.findall(code)),
-        "public_names": set(SCRIPT_PUBLIC.findall(source)),
-        "imports": {fact for fact in imports if fact[0]},
-        "docstring": None,
-    }
-
-
 def _facts_of(path: str, content: bytes) -> dict:
     """Facts of one file; a file that cannot be parsed keeps its place without any."""
     try:
-        found = python_facts(content) if path.lower().endswith(".py") else script_facts(content)
+        found = python_facts(content) if path.lower().endswith(".py") else script_facts(content, jsx=not path.lower().endswith(".ts"))
         error = None
     except (SyntaxError, ValueError, RecursionError) as problem:
         found, error = {}, str(problem) or type(problem).__name__

@@ -1,129 +1,82 @@
-"""The whole analysis on small trees. All trees share one run, each in its own
-top directory, where absolute imports resolve from that directory."""
+"""The whole analysis on one invented depot, and the readers of single files."""
 
 import pytest
 from conftest import make_files, pairs
 from pyspark.sql import functions as F
 
 from archtrail.operators import incremental
-from archtrail.operators.facts import python_facts, script_facts
-from archtrail.plans.analyze import analyze, table_sources
-
-TREES = {
-    # golden tree: packages, a package file, a script alias
-    "g/src/app.py": "from auth.session import Session\n\n\ndef create_session() -> Session:\n    return Session()\n",
-    "g/src/auth/__init__.py": "from .session import Session\n\n__all__ = [\"Session\"]\n",
-    "g/src/auth/session.py": "from .tokens import Token\n\n\nclass Session:\n    token: Token | None = None\n",
-    "g/src/auth/tokens.py": "class Token:\n    pass\n",
-    "g/web/lib/client.ts": "import { endpoint } from \"./helper.js\";\n\nexport async function request(path: string): Promise<string> {\n  return endpoint(path);\n}\n",
-    "g/web/lib/helper.js": "export function endpoint(path) {\n  return `/api${path}`;\n}\n",
-    "g/web/main.ts": "import { request } from \"@lib/client\";\n\nexport function loadSession() {\n  return request(\"/session\");\n}\n",
-    "g/tsconfig.json": "{\n  // aliases\n  \"compilerOptions\": {\"baseUrl\": \"web\", \"paths\": {\"@lib/*\": [\"lib/*\"],}},\n}\n",
-    # package and relative submodules
-    "rel/package/__init__.py": "from . import child\n",
-    "rel/package/child.py": "VALUE = 1\n",
-    "rel/main.py": "from package import child\n",
-    # a standard library name is never a local file
-    "std/logging.py": "def setup():\n    pass\n",
-    "std/app/main.py": "import logging\n",
-    # the named file must provide the symbol
-    "sym/pkg_a/utils.py": "def shared_helper():\n    return 1\n",
-    "sym/pkg_b/utils.py": "def only_in_b():\n    return 2\n",
-    "sym/pkg_b/service.py": "from utils import shared_helper\n",
-    # re-export, chained and circular
-    "bar/lib/__init__.py": "from lib.core import build\n",
-    "bar/lib/core.py": "def build():\n    return 1\n",
-    "bar/consumer.py": "from lib import build\n",
-    "bar/outer/__init__.py": "from lib import build\n",
-    "bar/far.py": "from outer import build\n",
-    "bar/x/__init__.py": "from y import ghost\n",
-    "bar/y/__init__.py": "from x import ghost\n",
-    # a src root reachable from elsewhere
-    "nest/analyzer/src/mypkg/__init__.py": "",
-    "nest/analyzer/src/mypkg/core.py": "def entry():\n    return 1\n",
-    "nest/scripts/run.py": "from mypkg.core import entry\n",
-    # scripts: static, type-only, dynamic
-    "js/a.ts": "export const A = 1;\n",
-    "js/t.ts": "export type T = number;\n",
-    "js/b.ts": "export const B = 2;\n",
-    "js/main.ts": "import { A } from \"./a\";\nimport type { T } from \"./t\";\n// import './c'\nasync function go() {\n  return await import(\"./b\");\n}\n",
-    "js/c.ts": "export {};\n",
-    # a file that cannot be parsed stays, without edges
-    "old/legacy.py": "print 'python 2 syntax'\n",
-    # roles
-    "role/pkg/core.py": "from pkg import util\n",
-    "role/pkg/util.py": "VALUE = 1\n",
-    "role/tests/test_core.py": "from pkg import core\n",
-    "role/pkg/generated/models.py": "from pkg import util\n",
-    "role/pkg/fixtures/sample.py": "from pkg import core\n",
-    # seven symbols on one edge
-    "seven/alpha/client.py": "from beta.api import a, b, c, d, e, f, g\n",
-    "seven/beta/api.py": "".join(f"def {n}():\n    return 0\n\n\n" for n in "abcdefg"),
-    # equal leaf names
-    "two/alpha/api/one.py": "from .two import Two\n",
-    "two/alpha/api/two.py": "class Two:\n    pass\n",
-    "two/alpha/api/README.md": "text\n\n## The alpha service ##\n",
-    # two mutually importing files
-    "cyc/one/a.py": "import one.b\n",
-    "cyc/one/b.py": "import one.a\n",
-    "doc/widget/__init__.py": "\"\"\"The widget package.\n\nMore.\"\"\"\n",
-    "doc/widget/core.py": "def run():\n    return 1\n",
+from archtrail.operators.facts import extract, python_facts
+from archtrail.operators.script import script_facts
+from archtrail.plans.analyze import analyze, file_graph, table_sources
+
+MAPS = "".join(f"def {name}(leg):\n    return leg\n\n\n" for name in ("ebb", "flow", "gale", "isle", "jetty", "knot", "lock"))
+DEPOT = {
+    "README.md": "# Depot\n",
+    "depot/intake/__init__.py": '"""Goods come in here.\n\nThey are weighed and labelled."""\nfrom depot.intake.weigh import weigh\n',
+    "depot/intake/weigh.py": "import json\nimport depot.intake.scales\nfrom depot.intake.scales import Scale, zero\nfrom . import labels\n\nLIMIT: int = 40\n\n\ndef weigh(crate):\n    return Scale().read(crate)\n",
+    "depot/intake/scales.py": "class Scale:\n    def read(self, crate):\n        return crate\n\n\ndef zero():\n    return 0\n",
+    "depot/intake/labels.py": "STICKER = 'fragile'\n",
+    "depot/json.py": "def dumps():\n    return ''\n",
+    "depot/ship/README.md": "no heading yet\n\n### Everything that sails\n",
+    "depot/ship/route.py": "from depot.intake import weigh\nfrom depot.ship.maps import ebb, flow, gale, isle, jetty, knot, lock\nfrom depot.ship.crew import captain\n",
+    "depot/ship/maps.py": MAPS,
+    "depot/ship/crew.py": "def cook():\n    return 'soup'\n",
+    "depot/ship/queue.py": "from depot.ship import wharf\n",
+    "depot/ship/wharf.py": "from depot.ship import queue\n",
+    "tools/src/gauge/__init__.py": "",
+    "tools/src/gauge/dial.py": "def turn():\n    return 7\n",
+    "scripts/inspect_all.py": "import gauge.dial\nfrom depot.intake.scales import zero\n",
+    "scripts/ancient.py": "exec 'no longer python'\n",
+    "tests/test_weigh.py": "from depot.intake.weigh import weigh\n",
+    "depot/generated/tariffs.py": "from depot.ship import maps\n",
+    "panel/tsconfig.json": '{ "compilerOptions": { "paths": { "~parts/*": ["./pieces/*"], }, "baseUrl": "." } } // for the panel\n',
+    "panel/main.tsx": "import { Knob } from '~parts/knob'\nimport type { Shade } from './shade'\n\nexport const Panel = () => <main>Don't (touch) {'}'}<Knob /></main>\n\nexport async function later() {\n  return (await import('./lazy')).default\n}\n",
+    "panel/pieces/knob.tsx": "import { round } from '../maths'\n\nexport class Knob { turn(by: number) { return round(by) } }\n",
+    "panel/maths.js": "export const round = (x) => /[.,]\\d+/.test(x) ? x | 0 : x\n",
+    "panel/shade.ts": "export type Shade = 'dark'\n",
+    "panel/lazy.ts": "export default 1\n",
 }
 
 
 @pytest.fixture(scope="module")
 def result(spark):
-    built = analyze(table_sources(make_files(spark, TREES)))
+    built = analyze(table_sources(make_files(spark, DEPOT)))
     nodes = {r.id: r for r in built.nodes.collect()}
     parents = {r.child: r.parent for r in built.membership.collect()}
     return built, nodes, parents, pairs(built.edges)
 
 
-def edge(tree, source, target):
-    return (f"file:{tree}/{source}", f"file:{tree}/{target}")
-
-
-def test_expected_edges(result):
-    _, _, _, found = result
-    for expected in [
-        edge("g", "src/app.py", "src/auth/session.py"),
-        edge("g", "src/auth/__init__.py", "src/auth/session.py"),
-        edge("g", "src/auth/session.py", "src/auth/tokens.py"),
-        edge("g", "web/lib/client.ts", "web/lib/helper.js"),
-        edge("g", "web/main.ts", "web/lib/client.ts"),
-        edge("rel", "main.py", "package/child.py"),
-        edge("rel", "package/__init__.py", "package/child.py"),
-        edge("bar", "consumer.py", "lib/core.py"),
-        edge("bar", "far.py", "lib/core.py"),
-        edge("nest", "scripts/run.py", "analyzer/src/mypkg/core.py"),
-        edge("js", "main.ts", "a.ts"),
-        edge("js", "main.ts", "b.ts"),
-    ]:
-        assert expected in found, expected
-
-
-def test_edges_that_must_not_exist(result):
-    _, _, _, found = result
-    for missing in [
-        edge("std", "app/main.py", "logging.py"),
-        edge("sym", "pkg_b/service.py", "pkg_b/utils.py"),
-        edge("bar", "consumer.py", "lib/__init__.py"),
-        edge("js", "main.ts", "t.ts"),
-        edge("js", "main.ts", "c.ts"),
-    ]:
-        assert missing not in found, missing
-    assert not [p for p in found if "file:old/legacy.py" in p]
+def edge(source, target):
+    return (f"file:{source}", f"file:{target}")
+
+
+@pytest.mark.parametrize(("source", "target"), [
+    ("depot/intake/__init__.py", "depot/intake/weigh.py"), ("depot/intake/weigh.py", "depot/intake/scales.py"),
+    ("depot/intake/weigh.py", "depot/intake/labels.py"), ("depot/ship/route.py", "depot/ship/maps.py"),
+    ("depot/ship/route.py", "depot/intake/weigh.py"),  # through the package file that hands it on
+    ("scripts/inspect_all.py", "tools/src/gauge/dial.py"), ("scripts/inspect_all.py", "depot/intake/scales.py"),
+    ("depot/ship/queue.py", "depot/ship/wharf.py"), ("depot/ship/wharf.py", "depot/ship/queue.py"),
+    ("panel/main.tsx", "panel/pieces/knob.tsx"), ("panel/main.tsx", "panel/lazy.ts"), ("panel/pieces/knob.tsx", "panel/maths.js"),
+])
+def test_edges(result, source, target):
+    assert edge(source, target) in result[3]
+
+
+@pytest.mark.parametrize(("source", "target"), [
+    ("depot/intake/weigh.py", "depot/json.py"),  # the library's module, not a file that shares its name
+    ("depot/ship/route.py", "depot/ship/crew.py"),  # the file does not provide the name
+    ("depot/ship/route.py", "depot/intake/__init__.py"), ("panel/main.tsx", "panel/shade.ts"),
+])
+def test_no_edges(result, source, target):
+    assert edge(source, target) not in result[3]
 
 
 def test_nodes_and_roles(result):
-    _, nodes, parents, _ = result
-    assert nodes["file:old/legacy.py"].loc == 1
-    assert (nodes["file:g/src/auth/session.py"].fan_in, nodes["file:g/src/auth/session.py"].fan_out) == (2, 1)
-    roles = {i.removeprefix("file:role/"): n.role for i, n in nodes.items() if i.startswith("file:role/")}
-    assert roles == {
-        "pkg/core.py": "source", "pkg/util.py": "source", "pkg/fixtures/sample.py": "fixture",
-        "pkg/generated/models.py": "generated", "tests/test_core.py": "test",
-    }
+    _, nodes, parents, found = result
+    assert nodes["file:scripts/ancient.py"].loc == 1 and not any("ancient" in end for pair in found for end in pair)
+    scales = nodes["file:depot/intake/scales.py"]
+    assert (scales.fan_in, scales.fan_out) == (2, 0)
+    assert nodes["file:tests/test_weigh.py"].role == "test" and nodes["file:depot/generated/tariffs.py"].role == "generated"
     files = {i for i, n in nodes.items() if n.kind == "file" and n.role == "source"}
     modules = {i for i, n in nodes.items() if n.kind == "module"}
     assert {c for c in parents if c.startswith("file:")} == files
@@ -131,71 +84,52 @@ def test_nodes_and_roles(result):
 
 
 def test_layers_are_named(result):
-    built, nodes, parents, _ = result
+    _, nodes, parents, _ = result
     for kind in ("module", "component"):
         labels = [n.label for n in nodes.values() if n.kind == kind]
         assert len(labels) == len(set(labels))
         assert all(n.summary for n in nodes.values() if n.kind == kind)
-    widget = nodes[parents["file:doc/widget/core.py"]]
-    assert widget.summary == "The widget package."
-    alpha = nodes[parents["file:two/alpha/api/one.py"]]
-    assert alpha.summary == "The alpha service ##"
-    # Two groups are called Api; the segments that differ tell them apart.
-    assert {alpha.label, nodes[parents["file:seven/beta/api.py"]].label} == {"Api / Api", "Api / Beta"}
-    plain = nodes[parents["file:bar/lib/core.py"]]
-    assert plain.summary.endswith("LOC; exports build.")
+    assert nodes[parents["file:depot/intake/weigh.py"]].summary == "Goods come in here."
+    assert nodes[parents["file:depot/ship/maps.py"]].summary == "Everything that sails"
 
 
 def test_weights_and_labels(result):
-    built, _, _, _ = result
+    built = result[0]
     counted = built.evidence.groupBy("source", "target").count().withColumnRenamed("count", "n")
     joined = built.edges.join(counted, ["source", "target"], "left")
     assert joined.where(~F.col("weight").eqNullSafe(F.col("n"))).isEmpty()
-    overflow = [r.label for r in built.edges.where("source NOT LIKE 'file:%'").collect() if r.label and "(+" in r.label]
-    assert overflow and all(label == "a, b, c, d, e (+2 more)" for label in overflow)
+    label = {(r.source, r.target): r.label for r in built.edges.collect()}
+    assert label[edge("depot/ship/route.py", "depot/ship/maps.py")] == "ebb, flow, gale, isle, jetty, knot, lock"
 
 
 def test_incremental_equals_full(spark, result):
-    built, _, _, _ = result
-    before = make_files(spark, TREES)
-    edited = {**TREES, "bar/lib/core.py": "def built():\n    return 2\n"}
-    after = table_sources(make_files(spark, edited))
-    refreshed, changes = incremental.refresh_facts(
-        after.files, incremental.fingerprint(table_sources(before).files), built.facts
-    )
-    assert [(r.path, r.status) for r in changes.collect()] == [("bar/lib/core.py", "modified")]
-    from archtrail.operators.facts import extract
-    from archtrail.plans.analyze import file_graph
-
-    _, partly = file_graph(refreshed, after)
-    _, fully = file_graph(extract(after.files), after)
-    columns = ["source", "target", "file", "line", "symbols"]
-    assert incremental.same_structure(partly, fully, columns)
-    # An importer that was not edited sees the symbol go.
-    assert edge("bar", "consumer.py", "lib/core.py") not in pairs(partly)
+    before = table_sources(make_files(spark, DEPOT))
+    after = table_sources(make_files(spark, {**DEPOT, "depot/intake/scales.py": "def one():\n    return 1\n"}))
+    refreshed, changes = incremental.refresh_facts(after.files, incremental.fingerprint(before.files), result[0].facts)
+    assert [(r.path, r.status) for r in changes.collect()] == [("depot/intake/scales.py", "modified")]
+    partly, fully = file_graph(refreshed, after)[1], file_graph(extract(after.files), after)[1]
+    assert incremental.same_structure(partly, fully, ["source", "target", "file", "line", "symbols"])
+    assert edge("scripts/inspect_all.py", "depot/intake/scales.py") not in pairs(partly)  # not edited, but it asked for what is gone
 
 
 def test_layers_are_kept_while_weights_are(spark, result, monkeypatch):
     """A longer file changes lines only: membership is taken over, totals are not."""
     from archtrail.plans import analyze as plan
-    from archtrail.sources.artifacts import map_document, map_violations
+    from archtrail.sources.artifacts import map_violations
 
     built, nodes, parents, found = result
-    sources = table_sources(make_files(spark, {**TREES, "bar/lib/core.py": "def build():\n    return 1\n# more\n"}))
-    before = table_sources(make_files(spark, TREES)).files
+    longer = {**DEPOT, "depot/ship/maps.py": MAPS + "# end\n"}
+    sources = table_sources(make_files(spark, longer))
+    before = table_sources(make_files(spark, DEPOT)).files
     refreshed, _ = incremental.refresh_facts(sources.files, incremental.fingerprint(before), built.facts)
     monkeypatch.setattr(plan, "layers", None)  # clustering again would fail
     again = analyze(sources, facts=refreshed, previous=built)
     assert pairs(again.edges) == found
     assert {r.child: r.parent for r in again.membership.collect()} == parents
     loc = {r.id: r.loc for r in again.nodes.collect()}
-    home = parents["file:bar/lib/core.py"]
-    grown = {"file:bar/lib/core.py", home, parents[home]}
-    assert {i for i in loc if loc[i] != nodes[i].loc} == grown
+    home = parents["file:depot/ship/maps.py"]
+    assert {i for i in loc if loc[i] != nodes[i].loc} == {"file:depot/ship/maps.py", home, parents[home]}
     assert map_violations(again.nodes, again.edges, again.evidence).isEmpty()
-    document = map_document(again, "c")
-    assert document["audit"]["summary"]["files"] == sum(n.kind == "file" for n in nodes.values())
-    assert all(len(e["evidence"]) == e["weight"] for e in document["edges"])
 
 
 def test_python_facts():
@@ -207,22 +141,51 @@ def test_python_facts():
     }
 
 
-def test_script_facts():
-    code = b"""/* import 'no' */
-import React, { useState as use } from 'react';
-import './setup';
-export { a } from "./a";
-export type { T } from './t';
-const s = "import x from 'y'";
-const z = require("./z");
-class K { run(x) { if (x) { return 1; } } }
-export default function main() {}
+SCRIPTS = {
+    "pattern": ("import { a } from './b'; const r = /\\(/;", {("./b", 1, ("a",))}),
+    "tag text": ("const x = <p>Don't (</p>\nimport z from './z'", {("./z", 2, ("z",))}),
+    "type before import": ("export type X = { a: number }\nimport { y } from './y'", {("./y", 2, ("y",))}),
+    "interface before import": ("export interface P { a: string }\nexport const q = 1\nimport { y } from './y'", {("./y", 3, ("y",))}),
+    "class before import": ("export default class B {}\nimport './s'", {("./s", 2, ("s",))}),
+    "template": ("const t = `${require('./in')} ${`so ${import('./deep')}`} import x from './no'`", {("./in", 1, ()), ("./deep", 1, ())}),
+    "long clause": ("import {\n  a,\n  b as c,\n} from './m'\nimport d, * as e from './n'", {("./m", 1, ("a", "b", "c")), ("./n", 5, ("d", "e"))}),
+    "hand on": ("export { k }\nexport * from './all'\nexport { d as e } from './d'\nexport type { T } from './t'", {("./all", 2, ()), ("./d", 3, ("d", "e"))}),
+    "types": ("import type { U } from './u'\nimport type from './type'\nimport { type V, w } from './v'", {("./type", 2, ()), ("./v", 3, ("V", "w"))}),
+    "comments": ("// import './a'\n/* require('b') */ s = \"import q from './no'\"; o.require('c'); x / y / require('./yes')", {("./yes", 2, ())}),
+    "tags": ("const F = () => (<div a='x' b={require('./in')}>it's {import('./kid')} <br/> ( </div>)\nimport q from './q'", {("./in", 1, ()), ("./kid", 1, ()), ("./q", 2, ("q",))}),
+    "generic": ("const f = <T,>(x: T) => x\nlet a = b < c\nimport fs = require('fs')", {("fs", 3, ())}),
+    "bracket": ("function f( {\nimport x from './x'", {("./x", 2, ("x",))}),
+    "key": ("x = {\nimport: 'a', from: 'b' }", set()),
+}
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+def test_script_imports(name):
+    code, expected = SCRIPTS[name]
+    assert {(m, line, s) for m, line, _, s in script_facts(code.encode())["imports"]} == expected
+
+
+def test_script_definitions():
+    code = """
+export default class Crane extends Machine {
+  static async lift<T>(load: T): Promise<void> { if (load) { swing(load) } }
+  get height() { return this.#h }
+  handler = () => { while (true) { break } }
+  render(): { a: string } { return { a: `${1}` } }
+}
+export abstract class Hoist {}
+export async function* steps() {}
+export const enum Gear { Low }
+export interface Rope { length: number }
+function helper() { const inner = class Named { go() {} } }
 """
-    found = script_facts(code)
-    assert {(m, n, s) for m, n, _, s in found["imports"]} == {
-        ("react", 2, ("React", "use", "useState")), ("./setup", 3, ("setup",)), ("./a", 4, ("a",)), ("./z", 7, ()),
-    }
-    assert found["definitions"] == {"K", "run", "main"}
-    assert found["exports"] == {"main"}
-    with pytest.raises(SyntaxError):
-        script_facts(b"function f( {")
+    found = script_facts(code.encode())
+    assert found["definitions"] == {"Crane", "lift", "height", "render", "Hoist", "steps", "helper", "Named", "go"}
+    assert found["exports"] == {"Crane", "Hoist", "steps", "Gear", "Rope"}
+    assert found["public_names"] == {"Crane", "Hoist", "steps"}
+
+
+def test_bytes_that_are_no_text_keep_their_place(spark):
+    files = spark.createDataFrame([("a.ts", bytearray(b"\xff\xfe import"))], "path string, content binary")
+    row = extract(files).first()
+    assert row.error and not row.imports
