@@ -52,6 +52,16 @@ def store_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python 2,000 at a time, unless the session says how many.
+
+    The usual 10,000 texts are tens of megabytes, which JVM and worker hold several times.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "2000")
+
+
 def written(frame: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder and go on from there."""
     store_folder(frame.sparkSession)
@@ -70,6 +80,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = 4_000_0
     of ``carry``, see ``carried``).
     """
     carry = list(carry)
+    bounded_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32

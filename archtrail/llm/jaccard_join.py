@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archtrail.llm.chunks import dealt_parts, expand, squeeze, written
+from archtrail.llm.chunks import bounded_batches, dealt_parts, expand, squeeze, written
 from archtrail.llm.components import components
 from archtrail.llm.packed import LOWER, mix, prefix_sums, shingle_hash, slices, span_hash, spread, words
 
@@ -412,6 +412,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     only by their texts. A row with a null id takes part, but its id is never a group's
     (a group of such rows alone has a null ``group_id``). Sets are told apart by 64-bit hashes.
     """
+    bounded_batches(docs.sparkSession)
     facts = written(_facts(docs, id_col, text_col, size))
     members = facts.where("block is null").select("doc_id", "n", "node")
     levels, list_length = _cell_levels(facts)

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archtrail.llm.chunks import bounded_batches
 from archtrail.llm.packed import LOWER, SPACES, mix, prefix_sums, shingle_hash, slices, span_hash, spread, words
 
 SYMBOLS, SEPARATORS = b"#*$%&|<>", b"|<>/-*"
@@ -157,6 +158,7 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text; a null text is empty, fails and stays null. Of the other columns those of
     ``carry`` come along, in a struct ``row``.
     """
+    bounded_batches(docs.sparkSession)
     fields = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
     schema = SCHEMA + (f", row struct<{fields}>" if carry else "")
 

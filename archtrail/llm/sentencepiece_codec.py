@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from archtrail.llm.chunks import bounded_batches
 from archtrail.llm.packed import prefix_sums, slices, span_hash
 from archtrail.llm.pieces import SPACE_MARK, Pieces, escape, load, pre_tokens
 from archtrail.llm.word_cache import WordCache
@@ -137,6 +138,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     is empty and has no ids. Of segmentations with one score, that with the longer last
     piece is taken. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file, scores)

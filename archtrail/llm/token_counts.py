@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from archtrail.llm.chunks import bounded_batches
 from archtrail.llm.packed import prefix_sums, slices, span_hash
 from archtrail.llm.pieces import Pieces, escape, load, pre_tokens
 from archtrail.llm.sentencepiece_codec import BATCHED_BYTES, segment_long
@@ -102,6 +103,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     ``sentencepiece_codec.encode`` gives them, without making them. A null text has none.
     Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file, scores)

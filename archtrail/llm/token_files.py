@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from archtrail.llm.chunks import dealt_parts, store_folder
+from archtrail.llm.chunks import bounded_batches, dealt_parts, store_folder
 from archtrail.llm.packed import prefix_sums, slices, span_hash, words
 from archtrail.llm.word_cache import WordCache
 
@@ -63,6 +63,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[
 
     White space separates tokens of this kind of tokenizer, so a text is the sum of its words.
     """
+    bounded_batches(docs.sparkSession)
     limits = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
