@@ -1,11 +1,15 @@
 """Communities of a weighted graph, kept inside directory anchors.
 
 Modularity is improved by moving many nodes at once: every node sees the weight
-it has to each neighbouring community and the best gain wins. In each round one
-half of the nodes (chosen by a hash of node and round) may move, which keeps
-neighbours from swapping places for ever. Communities are then contracted and
-the same runs on the smaller graph. A round is joins and aggregates over links;
-no community is gathered anywhere.
+it has to each neighbouring community and the best gain wins. One half of the
+nodes that want to move (by a hash of node and turn) does so; the result counts
+only if modularity grew. Where it did not, because moves got in each other's way,
+those moves are made that are the best of both communities they touch: no two of
+them share a community, so each gains what it promised. Either way modularity grows
+with every step, which is why the search ends, and it ends only when no single move
+gains anything. Communities are then contracted and the same runs on the smaller
+graph until nothing moves there. A step is joins and aggregates over links; no
+community is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -15,10 +19,6 @@ from pyspark.sql import functions as F
 
 from archtrail.session import cut_lineage
 
-# Two turns for every node per level; what is left to gain is found after
-# contraction, on a smaller graph.
-MAX_ROUNDS = 4
-MAX_LEVELS = 10
 # A move must gain more than this share of the total weight.
 SMALLEST_GAIN = 1e-9
 
@@ -30,76 +30,107 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def _move_nodes(links: DataFrame) -> tuple[DataFrame, bool]:
-    """(node, community) after local moves, and whether anything moved."""
+def _offers(ends: DataFrame, state: DataFrame, total: float) -> tuple[DataFrame, float]:
+    """Per node its community, what it gains by staying and by its best move, and
+    the modularity of ``state`` (times twice the weight, up to a constant)."""
+    mass = cut_lineage(state.groupBy("community").agg(F.sum("degree").alias("mass")))
+    where = state.select(F.col("node").alias("other"), F.col("community").alias("near"))
+    toward = ends.where(F.col("node") != F.col("other")).join(where, "other").select(
+        "node", "near", F.col("weight").cast("double").alias("shared")
+    )
+    # The own community always takes part, even without a link to it.
+    stay = state.select("node", F.col("community").alias("near"), F.lit(0.0).alias("shared"))
+    options = toward.unionByName(stay).groupBy("node", "near").agg(F.sum("shared").alias("shared"))
+    weighed = options.join(state, "node").join(mass.withColumnRenamed("community", "near"), "near")
+    own = F.col("near") == F.col("community")
+    rest = F.col("mass") - F.when(own, F.col("degree")).otherwise(0.0)
+    gain = F.col("shared") - F.col("degree") * rest / F.lit(total)
+    scored = weighed.select("node", "community", "degree", "near", "shared", gain.alias("gain"), own.alias("own"))
+    best = cut_lineage(scored.groupBy("node", "community", "degree").agg(
+        F.max("gain").alias("best"),
+        F.max(F.when(F.col("own"), F.col("gain"))).alias("now"),
+        F.max(F.when(F.col("own"), F.col("shared"))).alias("inside"),
+        F.min_by("near", F.struct(-F.round("gain", 9), F.col("near"))).alias("to"),
+    ))
+    inside = best.agg(F.sum("inside")).first()[0] or 0.0
+    spread = mass.agg(F.sum(F.col("mass") * F.col("mass"))).first()[0] or 0.0
+    return best, inside - spread / total
+
+
+def _apart(movers: DataFrame) -> DataFrame:
+    """Movers that are first, by gain and then name, in both communities they touch."""
+    worth = F.struct(F.col("best") - F.col("now"), F.col("node"))
+    touched = movers.select("node", worth.alias("_worth"), F.explode(F.array("community", "to")).alias("_at"))
+    first = touched.groupBy("_at").agg(F.max("_worth").alias("_first"))
+    held = touched.join(first, "_at").where(F.col("_worth") == F.col("_first")).groupBy("node").count()
+    return held.where("count = 2").select("node")
+
+
+def _moved(best: DataFrame, movers: DataFrame) -> DataFrame:
+    going = movers.select("node", F.lit(True).alias("_goes"))
+    there = F.when(F.col("_goes"), F.col("to")).otherwise(F.col("community"))
+    return cut_lineage(best.join(going, "node", "left").select("node", "degree", there.alias("community")))
+
+
+def _move_nodes(links: DataFrame, start: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """(node, community) when no single move gains any more, and whether anything moved.
+
+    The search begins with every node on its own, or with ``start`` (node, community)."""
     ends = cut_lineage(_both_ways(links))
-    degrees = cut_lineage(ends.groupBy("node").agg(F.sum("weight").cast("double").alias("degree")))
-    total = degrees.agg(F.sum("degree")).first()[0]
-    state = cut_lineage(degrees.select("node", "degree", F.col("node").alias("community")))
-    ever, quiet = False, 0
-    for turn in range(MAX_ROUNDS):
-        mass = state.groupBy("community").agg(F.sum("degree").alias("mass"))
-        where = state.select(F.col("node").alias("other"), F.col("community").alias("near"))
-        toward = (
-            ends.where(F.col("node") != F.col("other"))
-            .join(where, "other")
-            .groupBy("node", "near")
-            .agg(F.sum("weight").cast("double").alias("shared"))
-        )
-        # The own community always takes part, even without a link to it.
-        stay = state.select("node", F.col("community").alias("near"), F.lit(0.0).alias("shared"))
-        options = toward.unionByName(stay).groupBy("node", "near").agg(F.sum("shared").alias("shared"))
-        weighed = options.join(state, "node").join(mass.withColumnRenamed("community", "near"), "near")
-        own = F.col("near") == F.col("community")
-        rest = F.col("mass") - F.when(own, F.col("degree")).otherwise(0.0)
-        gain = F.col("shared") - F.col("degree") * rest / F.lit(total)
-        scored = weighed.select("node", "community", "degree", "near", gain.alias("gain"), own.alias("own"))
-        best = scored.groupBy("node", "community", "degree").agg(
-            F.max("gain").alias("_best"),
-            F.max(F.when(F.col("own"), F.col("gain"))).alias("_now"),
-            F.min_by("near", F.struct(-F.round("gain", 9), F.col("near"))).alias("_to"),
-        )
-        allowed = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-        moves = allowed & (F.col("_best") > F.col("_now") + F.lit(SMALLEST_GAIN * total))
-        moved = cut_lineage(
-            best.select(
-                "node", "degree", F.when(moves, F.col("_to")).otherwise(F.col("community")).alias("community"),
-                moves.alias("_moved"),
-            )
-        )
-        state = moved.select("node", "degree", "community")
-        if moved.where("_moved").isEmpty():
-            quiet += 1
-            if quiet == 2:  # both halves had their turn
-                break
-        else:
-            ever, quiet = True, 0
-    return state.select("node", "community"), ever
+    degrees = ends.groupBy("node").agg(F.sum("weight").cast("double").alias("degree"))
+    alone = degrees.select("node", "degree", F.col("node").alias("community"))
+    state = cut_lineage(alone if start is None else degrees.join(start, "node").select("node", "degree", "community"))
+    total = state.agg(F.sum("degree")).first()[0]
+    least = SMALLEST_GAIN * total
+    best, value = _offers(ends, state, total)
+    ever, turn = False, 0
+    while True:
+        movers = cut_lineage(best.where(F.col("best") > F.col("now") + F.lit(least)).select("node", "community", "to", "best", "now"))
+        if movers.isEmpty():
+            return state.select("node", "community"), ever
+        half = movers.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+        turn += 1
+        state = _moved(best, half)
+        tried, reached = _offers(ends, state, total)
+        if reached <= value + least:
+            state = _moved(best, _apart(movers))
+            tried, reached = _offers(ends, state, total)
+        best, value, ever = tried, reached, True
+
+
+def _contracted(links: DataFrame, homes: DataFrame) -> DataFrame:
+    low = homes.select(F.col("node").alias("low"), F.col("community").alias("_low"))
+    high = homes.select(F.col("node").alias("high"), F.col("community").alias("_high"))
+    return cut_lineage(
+        links.join(low, "low")
+        .join(high, "high")
+        .groupBy(F.least("_low", "_high").alias("low"), F.greatest("_low", "_high").alias("high"))
+        .agg(F.sum("weight").alias("weight"))
+    )
 
 
 def communities(links: DataFrame) -> DataFrame:
     """(node, community) for ``links(low, high, weight)``; isolated nodes do not
-    occur. The community is named by its smallest node."""
-    assigned, level = None, cut_lineage(links)
-    for _ in range(MAX_LEVELS):
-        moved, any_move = _move_nodes(level)
-        if assigned is None:
-            assigned = moved
-        else:
+    occur. The community is named by its smallest node.
+
+    Nodes move, then communities as wholes, level by level; when those rest, nodes may
+    move again out of what came together. The end is where neither a node nor a
+    community gains by a move; modularity grew at every step before."""
+    links = cut_lineage(links)
+    assigned, changed = _move_nodes(links)
+    while changed:
+        level, merged = _contracted(links, assigned), False
+        while True:  # every level but the last has fewer nodes
+            moved, any_move = _move_nodes(level)
+            if not any_move:
+                break
+            merged = True
             outer = moved.select(F.col("node").alias("community"), F.col("community").alias("_outer"))
-            assigned = cut_lineage(
-                assigned.join(outer, "community").select("node", F.col("_outer").alias("community"))
-            )
-        if not any_move:
+            assigned = cut_lineage(assigned.join(outer, "community").select("node", F.col("_outer").alias("community")))
+            level = _contracted(level, moved)
+        if not merged:
             break
-        low = moved.select(F.col("node").alias("low"), F.col("community").alias("_low"))
-        high = moved.select(F.col("node").alias("high"), F.col("community").alias("_high"))
-        level = cut_lineage(
-            level.join(low, "low")
-            .join(high, "high")
-            .groupBy(F.least("_low", "_high").alias("low"), F.greatest("_low", "_high").alias("high"))
-            .agg(F.sum("weight").alias("weight"))
-        )
+        assigned, changed = _move_nodes(links, assigned)
     names = assigned.groupBy("community").agg(F.min("node").alias("_name"))
     return assigned.join(names, "community").select("node", F.col("_name").alias("community"))
 

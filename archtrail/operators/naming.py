@@ -32,7 +32,8 @@ def group_profiles(members: DataFrame) -> DataFrame:
 
 def unique_labels(profiles: DataFrame) -> DataFrame:
     """Make labels unique: equal ones get the path segment that tells them apart,
-    what is still equal a number from 2 in the order of the groups.
+    what is still equal a number from 2 in the order of the groups, leaving out
+    numbers with which another label already ends.
 
     The trailing segments all directories of one label share are the common
     prefix of the reversed directories, again from the smallest and largest."""
@@ -50,9 +51,19 @@ def unique_labels(profiles: DataFrame) -> DataFrame:
     labelled = parted.join(shared, "label").withColumn("_label", told_apart)
     numbered = ordinal_in_group(labelled.drop("_parts", "_same", "_shared"), ["_label"], F.col("group"),
                                 name="_nth")
-    suffix = F.concat(F.lit(" "), (F.col("_nth") + 1).cast("string"))
+    # A label like "Core 3" takes the number 3 from "Core". The k-th number left is k
+    # and one for every taken number that does not exceed what it is then.
+    number = F.regexp_extract("_label", r" ([2-9]|[1-9]\d{1,8})$", 1)
+    taken = (
+        numbered.select("_label", number.alias("_number")).where("_number <> ''").distinct()
+        .select(F.expr("left(_label, length(_label) - length(_number) - 1)").alias("_label"), F.col("_number").cast("int").alias("_number"))
+        .groupBy("_label").agg(F.array_sort(F.collect_set("_number")).alias("_taken"))
+    )
+    wanted = F.col("_nth") + 1
+    skipped = F.size(F.filter(F.transform(F.coalesce("_taken", F.array().cast("array<int>")), lambda e, i: e - i), lambda e: e <= wanted))
+    suffix = F.concat(F.lit(" "), (wanted + skipped).cast("string"))
     label = F.when(F.col("_nth") == 0, F.col("_label")).otherwise(F.concat("_label", suffix))
-    return numbered.withColumn("label", label).drop("_label", "_nth")
+    return numbered.join(taken, "_label", "left").withColumn("label", label).drop("_label", "_nth", "_taken")
 
 
 def group_ids(prefix: str, profiles: DataFrame, children: DataFrame) -> DataFrame:

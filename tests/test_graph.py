@@ -152,3 +152,41 @@ def test_two_clear_clusters_are_found(spark):
     found = {r.node: r.community for r in communities.communities(table).collect()}
     assert {n for n in found if found[n] == found["a"]} == set("abcd")
     assert {n for n in found if found[n] == found["p"]} == set("pqrs")
+
+
+def test_labels_stay_unique_beside_numbered_ones(spark):
+    from archtrail.operators.naming import unique_labels
+
+    rows = [(f"g{k}", "x/core", "Core") for k in range(4)] + [("h1", "y", "Core / Core"), ("h2", "z", "Core / Core 2"), ("h3", "v", "Core / Core 4")]
+    named = unique_labels(spark.createDataFrame(rows, "group string, directory string, label string")).collect()
+    labels = {r.group: r.label for r in named}
+    assert len(set(labels.values())) == len(rows)
+    assert {labels[g] for g in ("h1", "h2", "h3")} >= {"Core / Core 2", "Core / Core 4"}
+    many = [(f"g{k:03d}", ".", "Api") for k in range(30)] + [("z1", ".", "Api 2"), ("z2", ".", "Api 3"), ("z3", ".", "Api 11")]
+    named = unique_labels(spark.createDataFrame(many, "group string, directory string, label string"))
+    assert named.select("label").distinct().count() == len(many)
+
+
+def test_communities_end_where_no_move_gains(spark):
+    """Anchorless: planted groups are found, and no node would be better off elsewhere."""
+    import random
+
+    from archtrail.operators.communities import communities
+
+    draw = random.Random(5)
+    links = {}
+    for _ in range(900):
+        a, b = draw.sample(range(60), 2)
+        if a // 12 == b // 12 or draw.random() < 0.06:
+            key = (f"n{min(a, b):02d}", f"n{max(a, b):02d}")
+            links[key] = links.get(key, 0) + 1
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "low string, high string, weight long")
+    home = {r.node: r.community for r in communities(frame).collect()}
+    weight = lambda n, c: sum(w for (a, b), w in links.items() if (a == n and home[b] == c) or (b == n and home[a] == c))
+    degree = {n: sum(w for pair, w in links.items() if n in pair) for n in home}
+    total = sum(degree.values())
+    for n in home:
+        rest = lambda c, n=n: sum(degree[m] for m in home if home[m] == c and m != n)
+        gain = {c: weight(n, c) - degree[n] * rest(c) / total for c in set(home.values())}
+        assert max(gain.values()) <= gain[home[n]] + 1e-6
+    assert len(set(home.values())) == 5
