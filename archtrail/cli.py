@@ -89,7 +89,7 @@ def main() -> None:
         _print(trace.trace_summary(resolved))
     elif options.command == "watch":
         raw = tail.read_tail(spark, options.directory)
-        tail.follow(raw, file_nodes, options.output, options.state).awaitTermination()
+        tail.follow(raw, options.output, options.state).awaitTermination()
     elif options.command in ("deps", "rdeps"):
         _print(edges.neighbours(known.edges, known.nodes, options.node, options.command == "rdeps"))
     elif options.command == "explain":

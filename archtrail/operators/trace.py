@@ -21,37 +21,47 @@ def _is_post() -> Column:
     return F.coalesce(F.col("hook_event") == "PostToolUse", F.lit(False))
 
 
-def precedence() -> Column:
+def precedence(columns: list[str]) -> Column:
     """Which record of one tool call stands: the last one after the call, and
-    without such a record the first one seen. Larger wins."""
+    without such a record the first one seen. Larger wins.
+
+    Records of several files carry ``epoch``, the time of the first record of their
+    file; that goes before the position in the file."""
     sequence = F.col("sequence").cast("bigint")
+    epoch = F.col("epoch") if "epoch" in columns else F.lit(0.0)
     return F.struct(
         _is_post().cast("int").alias("post"),
+        F.when(_is_post(), epoch).otherwise(-epoch).alias("epoch"),
         F.when(_is_post(), sequence).otherwise(-sequence).alias("order"),
     )
 
 
-def call_key() -> Column:
-    """Identity of a call within its session; a record without an id is alone."""
+def call_key(columns: list[str]) -> Column:
+    """Identity of a call within its session; a record without an id is alone. A
+    position is one within its ``origin`` (file and beginning), where that is given."""
     named = F.length(F.coalesce("tool_use_id", F.lit(""))) > 0
-    return F.when(named, F.concat(F.lit("id:"), "tool_use_id")).otherwise(
-        F.concat(F.lit("seq:"), F.col("sequence").cast("string"))
-    )
+    place = F.col("sequence").cast("string")
+    if "origin" in columns:
+        place = F.concat_ws(":", "origin", place)
+    return F.when(named, F.concat(F.lit("id:"), "tool_use_id")).otherwise(F.concat(F.lit("seq:"), place))
 
 
-def deduplicate(raw: DataFrame) -> DataFrame:
-    """One record per tool call.
+def kept_calls(raw: DataFrame) -> DataFrame:
+    """(session_id, _call, _kept): the record of each tool call that stands.
 
     An aggregate with partial sums per map task rather than a per-call window, so
     a call or session with very many records is reduced before it is shuffled."""
     payload = F.struct(*[name for name in raw.columns if name != "session_id"])
-    return (
-        raw.groupBy("session_id", call_key().alias("_call"))
-        .agg(F.max_by(payload, precedence()).alias("_kept"))
-        .select("session_id", "_kept.*")
+    return raw.groupBy("session_id", call_key(raw.columns).alias("_call")).agg(
+        F.max_by(payload, precedence(raw.columns)).alias("_kept")
     )
 
 
+def deduplicate(raw: DataFrame) -> DataFrame:
+    """One record per tool call."""
+    return kept_calls(raw).select("session_id", "_kept.*")
+
+
 def relative_time(events: DataFrame) -> DataFrame:
     """Add ``t``: seconds since the first kept record of the session."""
     start = events.groupBy("session_id").agg(F.min("timestamp").alias("_start"))
@@ -101,7 +111,7 @@ def trace_summary(events: DataFrame) -> DataFrame:
 def number_turns(raw: DataFrame) -> DataFrame:
     """Add ``turn``: place of the call among the calls of its session in the order
     they first appear; records without an id each take a place of their own."""
-    calls = raw.withColumn("_call", call_key())
+    calls = raw.withColumn("_call", call_key(raw.columns))
     firsts = calls.groupBy("session_id", "_call").agg(F.min("sequence").alias("_first"))
     numbered = ordinal_in_group(firsts, ["session_id"], F.col("_first"), name="turn")
     kept = calls.drop("turn") if "turn" in calls.columns else calls

@@ -316,16 +316,17 @@ def structural_diff(spark, sf_dir):
     FROM timed LEFT JOIN supplier ON 's:' || s_suppkey = path""",
 )
 def stream_trace_state(spark, sf_dir):
-    """The events table as a stream, run until everything available is processed;
-    the newest snapshot equals the batch result."""
-    schema = t.table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream, run until everything available is processed: whole
+    sessions come in three batches, the late third of them last. What the batches leave
+    equals the batch result."""
+    events = t.table(spark, sf_dir, "events")
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    running = tail.follow(
-        t.raw_events(rows), t.supplier_nodes(spark, sf_dir), f"{folder}/out", f"{folder}/state", once=True
-    )
-    running.awaitTermination()
+    turn = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for part in range(3):
+        events.where(turn == part).write.parquet(f"{folder}/in/part={part}")
+        rows = spark.readStream.schema(events.schema).parquet(f"{folder}/in/part=*")
+        tail.follow(t.raw_events(rows), f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
     micros = F.col("t").cast("bigint").alias("t_micros")
-    return tail.latest(spark, f"{folder}/out").select(
+    return tail.latest(spark, f"{folder}/out", t.supplier_nodes(spark, sf_dir)).select(
         "session_id", "sequence", micros, "tool", "path", "node_id"
     )

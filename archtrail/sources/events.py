@@ -10,91 +10,69 @@ from pyspark.sql import functions as F
 
 from archtrail.functions import text
 
-RAW_TYPE = (
-    "session_id string, agent string, timestamp double, turn bigint, tool string, path string, "
-    "hook_event string, tool_use_id string, sequence bigint, detail string"
-)
 # Bookkeeping keys that do not reach a trace.
 HOOK_KEYS = ("hook_event", "tool_use_id")
+LINE_TYPE = (
+    "session_id string, agent string, timestamp string, turn string, tool string, path string, detail string, _bad string"
+)
+
 
+def parsed(lines: DataFrame) -> DataFrame:
+    """Log lines (column ``value``) as fields of ``LINE_TYPE``; ``_bad`` has what is no object."""
+    options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
+    fields = F.from_json("value", LINE_TYPE, options).alias("_line")
+    others = [name for name in lines.columns if name != "value"]
+    return lines.where(F.trim("value") != "").select(*others, fields).select(*others, "_line.*")
 
-def _number(value, kind, default):
-    try:
-        return kind(value)
-    except (TypeError, ValueError):
-        return default
-
-
-def raw_record(line: bytes, position: int) -> tuple | None:
-    """One log line as a raw record; None when it is blank or not an object."""
-    try:
-        value = json.loads(line)
-    except ValueError:
-        return None
-    if not isinstance(value, dict):
-        return None
-    detail = value.get("detail") if isinstance(value.get("detail"), dict) else {}
-    call = detail.get("tool_use_id")
-    rest = {key: item for key, item in detail.items() if key not in HOOK_KEYS}
-    return (
-        str(value.get("session_id") or ""),
-        str(value.get("agent") or "agent"),
-        _number(value.get("timestamp", 0), float, 0.0),
-        max(0, _number(value.get("turn", 0), int, 0)),
-        str(value.get("tool") or ""),
-        str(value.get("path") or ""),
-        detail.get("hook_event") if isinstance(detail.get("hook_event"), str) else None,
-        call if isinstance(call, str) else "",
-        position,
-        json.dumps(rest, sort_keys=True),
+
+def shaped(fields: DataFrame) -> DataFrame:
+    """Raw records from the fields of log lines, the same for a batch and a stream.
+
+    ``detail`` is JSON with its keys in order and its types as written. Columns beyond
+    those of a line (``sequence`` and the like) are kept."""
+    detail = F.expr("from_json(if(startswith(ltrim(detail), '{'), detail, NULL), 'map<string,variant>')")
+    inner = F.col("_detail")
+    text = lambda key: F.expr(f"try_variant_get(_detail['{key}'], '$', 'string')")
+    keys = F.array_sort(F.filter(F.map_keys(inner), lambda key: ~key.isin(*HOOK_KEYS)))
+    rest = F.to_json(F.map_from_entries(F.transform(keys, lambda key: F.struct(key.alias("key"), inner[key].alias("value")))))
+    others = [name for name in fields.columns if name not in {part.split(" ")[0] for part in LINE_TYPE.split(", ")}]
+    number = lambda name: F.expr(f"try_cast({name} AS double)")
+    return fields.withColumn("_detail", detail).select(
+        F.coalesce("session_id", F.lit("")).alias("session_id"),
+        F.coalesce(F.when(F.col("agent") != "", F.col("agent")), F.lit("agent")).alias("agent"),
+        F.coalesce(number("timestamp"), F.lit(0.0)).alias("timestamp"),
+        F.greatest(F.lit(0), F.coalesce(number("turn").cast("bigint"), F.lit(0))).alias("turn"),
+        F.coalesce("tool", F.lit("")).alias("tool"),
+        F.coalesce("path", F.lit("")).alias("path"),
+        text("hook_event").alias("hook_event"),
+        F.coalesce(text("tool_use_id"), F.lit("")).alias("tool_use_id"),
+        *others,
+        F.coalesce(rest, F.lit("{}")).alias("detail"),
     )
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All raw records of one or more JSONL files, strict.
 
-    The JSON reader splits large files over tasks. ``sequence`` is the order within
-    the input, taken from file and row position. Bad lines or an empty log raise."""
-    schema = (
-        "session_id string, agent string, timestamp string, turn string, tool string, path string, "
-        "detail map<string,string>, _bad string"
-    )
+    Large files are split over tasks. ``sequence`` is the order within the input, taken
+    from file and row position. Bad lines or an empty log raise."""
+    from archtrail.operators.ranking import with_position
+    from archtrail.session import cut_lineage
+
     lines = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(path)
+        spark.read.text(path)
         .withColumn("_file", F.col("_metadata.file_path"))
         .withColumn("_block", F.col("_metadata.file_block_start"))
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    from archtrail.session import cut_lineage
-
-    rows = cut_lineage(lines)
+    rows = cut_lineage(parsed(lines))
     bad = rows.where(F.col("_bad").isNotNull()).select("_bad").first()
     if bad is not None:
         raise ValueError(f"invalid JSON in raw log: {bad[0][:80]}")
     if rows.isEmpty():
         raise ValueError("raw trace contains no events")
-    from archtrail.operators.ranking import with_position
-
     placed = with_position(rows, F.col("_file"), F.col("_block"), F.col("_row"), name="sequence")
-    hidden = F.map_filter(
-        F.coalesce("detail", F.create_map().cast("map<string,string>")),
-        lambda key, _: ~key.isin(*HOOK_KEYS),
-    )
-    return placed.select(
-        F.coalesce("session_id", F.lit("")).alias("session_id"),
-        F.coalesce("agent", F.lit("agent")).alias("agent"),
-        F.coalesce(F.expr("try_cast(timestamp AS double)"), F.lit(0.0)).alias("timestamp"),
-        F.greatest(F.lit(0), F.coalesce(F.expr("try_cast(turn AS bigint)"), F.lit(0))).alias("turn"),
-        F.coalesce("tool", F.lit("")).alias("tool"),
-        F.coalesce("path", F.lit("")).alias("path"),
-        F.col("detail")["hook_event"].alias("hook_event"),
-        F.coalesce(F.col("detail")["tool_use_id"], F.lit("")).alias("tool_use_id"),
-        F.col("sequence"),
-        F.to_json(hidden).alias("detail"),
-    )
+    return shaped(placed.drop("_file", "_block", "_row"))
 
 
 def capture(payloads: DataFrame) -> DataFrame:

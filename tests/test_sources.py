@@ -63,8 +63,8 @@ def test_tail_keeps_up_with_late_and_unfinished_lines(spark, tmp_path):
     target, state = str(tmp_path / "out"), str(tmp_path / "state")
 
     def run():
-        tail.follow(tail.read_tail(spark, str(logs)), file_nodes(spark), target, state, once=True).awaitTermination()
-        return shown(tail.latest(spark, target))
+        tail.follow(tail.read_tail(spark, str(logs)), target, state, once=True).awaitTermination()
+        return shown(tail.latest(spark, target, file_nodes(spark)))
 
     events.write_lines(LOG[2:3], logs / "s.jsonl")  # out of order: the start comes later
     with open(logs / "s.jsonl", "a") as log:
@@ -76,6 +76,33 @@ def test_tail_keeps_up_with_late_and_unfinished_lines(spark, tmp_path):
     assert run() == EXPECTED
 
 
+def test_tail_keeps_files_and_generations_apart(spark, tmp_path):
+    logs, target, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    logs.mkdir()
+
+    def line(seconds, path, **more):
+        return {"session_id": "s", "timestamp": seconds, "tool": "Read", "path": path, "turn": 1.0, "detail": {"n": 3, "success": True, **more}}
+
+    def paths():
+        tail.follow(tail.read_tail(spark, str(logs)), target, state, once=True).awaitTermination()
+        return sorted(r.path for r in tail.latest(spark, target, file_nodes(spark)).collect())
+
+    events.write_lines([line(10.0, "src/a.py")], logs / "one.jsonl")
+    events.write_lines([line(11.0, "src/b.py")], logs / "two.jsonl")
+    assert paths() == ["src/a.py", "src/b.py"]
+    (logs / "one.jsonl").unlink()  # rotated: a new file under the old name, as long as the old one
+    events.write_lines([line(20.0, "src/c.py")], logs / "one.jsonl")
+    assert paths() == ["src/a.py", "src/b.py", "src/c.py"]
+    events.write_lines([line(5.0, "src/d.py", tool_use_id="x", hook_event="PostToolUse")], logs / "late.jsonl")
+    events.write_lines([line(21.0, "src/e.py", tool_use_id="x", hook_event="PostToolUse")], logs / "one.jsonl")
+    assert paths() == ["src/a.py", "src/b.py", "src/c.py", "src/e.py"]  # the later file has the last word
+    tail.compact(spark, target)
+    assert paths() == ["src/a.py", "src/b.py", "src/c.py", "src/e.py"]
+    one = tail.latest(spark, target, file_nodes(spark)).where("path = 'src/c.py'").first()
+    batch = trace.ingest(events.read_log(spark, str(logs / "one.jsonl")), file_nodes(spark)).where("path = 'src/c.py'").first()
+    assert (one.detail, one.turn) == (batch.detail, batch.turn) == ('{"n":3,"success":true}', 1)
+
+
 def test_tree_walk_honours_ignore_layers(spark, tmp_path):
     for name, body in {
         "src/__init__.py": "", "src/gen/machine.py": "x", "src/gen/keep.py": "x", "node_modules/a.js": "",
