@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 2_000_000
 #: Tables of powers beyond this length (left by a very long text) are dropped.
-KEPT_POWERS = 4_500_000
+KEPT_POWERS = 3_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -38,7 +38,7 @@ LEAD = 16
 BUCKET_BYTES = 32_000_000
 #: Splitters are taken from at most about this many chunks and this many suffixes of each.
 SAMPLED_CHUNKS, SAMPLED_SUFFIXES = 64, 512
-_NO_ID = np.int64(2**63 - 1)
+STRETCH_BYTES = 1_000_000
 SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
@@ -78,8 +78,36 @@ def token_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return every[at].astype(np.uint64)
 
 
+def _stretches(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Documents of a chunk in stretches of about STRETCH_BYTES, which bound what is held at once."""
+    first = 0
+    while first < len(at) - 1:
+        end = int(max(first + 1, np.searchsorted(at, at[first] + STRETCH_BYTES, "right") - 1))
+        yield first, end
+        first = end
+
+
 def _anchors(data: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor place, its first and last string start, and the hash of its leading bytes."""
+    parts = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    for first, end in _stretches(at):
+        *places, lead = _anchors_of(data[at[first] : at[end]], at[first : end + 1] - at[first], span)
+        parts.append((*(p + at[first] for p in places), lead))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _region_hashes(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each region; no region crosses documents."""
+    out, order = np.empty(len(low), np.uint64), np.argsort(low)
+    ordered = low[order]
+    for first, end in _stretches(at):
+        of = order[np.searchsorted(ordered, at[first]) : np.searchsorted(ordered, at[end])]
+        if len(of):
+            out[of] = span_hash(prefix_sums(data[at[first] : at[end]]), low[of] - at[first], high[of] - at[first])
+    return out
+
+
+def _anchors_of(data: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     n = len(data) - span + 1
     if n < 1:
@@ -168,7 +196,7 @@ def _mark_shared(table: pa.Table) -> pa.Table:
                     schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]))
 
 
-def _regions(row: dict, marks: list[dict], span: int, splitters: np.ndarray) -> tuple[_Leads, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _regions(row: dict, marks: list[dict], span: int, splitters: np.ndarray) -> tuple[_Leads, np.ndarray, np.ndarray, np.ndarray]:
     """Marked anchors of a chunk: rows, class of each, and per class its head, smallest id and bucket."""
     leads = _Leads(row, span, splitters)
     shared = np.zeros(len(leads.token), bool)
@@ -177,14 +205,13 @@ def _regions(row: dict, marks: list[dict], span: int, splitters: np.ndarray) ->
         shared[of] = np.unpackbits(np.frombuffer(m["data"], np.uint8), count=len(of)).astype(bool)
     keep = shared[leads.group]
     rows, bucket = leads.order[keep], leads.bucket[leads.group[keep]]
-    sums = prefix_sums(leads.data)
-    content = span_hash(sums, leads.low[rows], leads.high[rows] + span)
+    content = _region_hashes(leads.data, leads.at, leads.low[rows], leads.high[rows] + span)
     offset = leads.anchor[rows] - leads.low[rows]
     order, fresh = multikey_sort(len(rows), [content.__getitem__, offset.__getitem__])
     heads = np.flatnonzero(fresh)
     rows, bucket = rows[order], bucket[order]
     least = np.minimum.reduceat(leads.id[rows], heads) if len(heads) else np.zeros(0, np.int64)
-    return leads, rows, np.cumsum(fresh) - 1, np.stack([rows[heads], least, bucket[heads]]), sums
+    return leads, rows, np.cumsum(fresh) - 1, np.stack([rows[heads], least, bucket[heads]])
 
 
 def _find_repeats(table: pa.Table, span: int) -> pa.Table:
@@ -243,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = written(each_chunk(chunks, send_leads, blob).groupBy("bucket").applyInArrow(_mark_shared, answer))
 
     def send_regions(row: dict, marks: list[dict]) -> pa.Table:
-        leads, _, _, (rows, least, bucket), _ = _regions(row, marks, span, splitters)
+        leads, _, _, (rows, least, bucket) = _regions(row, marks, span, splitters)
         out: dict[str, list] = {"bucket": [], "chunk": [], "data": []}
         for b in np.unique(bucket):
             of = rows[bucket == b]
@@ -259,7 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(row: dict, answers: list[dict]) -> pa.Table:
         marks = [a for a in answers if a["step"] == 1]
-        leads, rows, group, (heads, least, bucket), _ = _regions(row, marks, span, splitters)
+        leads, rows, group, (heads, least, bucket) = _regions(row, marks, span, splitters)
         count = leads.high[heads] - leads.low[heads] + 1 if len(heads) else np.zeros(0, np.int64)
         place = np.zeros(len(heads), np.int64)
         bits = [np.zeros(0, bool)]
@@ -276,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = bit[np.repeat(place[group], each) + within] | np.repeat(leads.id[rows] > least[group], each)
         start = (np.repeat(leads.low[rows], each) + within)[hit]
         n = len(leads.data) + 1
-        gone = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + span, minlength=n))[:-1] > 0
+        gone = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + span, minlength=n), dtype=np.int32)[:-1] > 0
         return _cut_documents(leads, gone, dict(zip(carry, carried(row), strict=True)))
 
     return answer_chunks(chunks, both, cut, schema)
