@@ -46,6 +46,59 @@ def _trim_fully(links: DataFrame) -> tuple[DataFrame, int]:
     return links, count
 
 
+def _contract_chains(links: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Replace chains by single links: (links left, chain nodes, ring nodes).
+
+    A node with one link in and one out only passes on what comes along. Pointers
+    over such nodes double in every round, so a chain of any length takes a
+    logarithmic number. Chain nodes come as (node, behind, ahead) with the nearest
+    nodes that are none; a ring of nothing but such nodes as (node, color)."""
+    forth = links.select(F.col("source").alias("node"), F.col("target").alias("ahead"), F.lit(None).cast("string").alias("behind"))
+    back = links.select(F.col("target").alias("node"), F.lit(None).cast("string").alias("ahead"), F.col("source").alias("behind"))
+    ends = forth.unionByName(back).groupBy("node").agg(
+        F.count("ahead").alias("_out"), F.count("behind").alias("_in"), F.min("ahead").alias("ahead"), F.min("behind").alias("behind")
+    )
+    inner = cut_lineage(ends.where("_out = 1 AND _in = 1").select("node", "ahead", "behind"))
+    count = inner.count()
+    if not count:
+        return links, None, None
+    state, covered = inner.withColumn("low", F.col("node")), 1
+    while True:
+        onward = state.select(F.col("node").alias("ahead"), F.col("ahead").alias("_ahead"), F.col("low").alias("_low"))
+        rearward = state.select(F.col("node").alias("behind"), F.col("behind").alias("_behind"))
+        state = cut_lineage(state.join(onward, "ahead", "left").join(rearward, "behind", "left").select(
+            "node", F.coalesce("_ahead", "ahead").alias("ahead"), F.coalesce("_behind", "behind").alias("behind"),
+            F.least("low", F.coalesce("_low", "low")).alias("low"),
+            (F.col("_ahead").isNotNull() | F.col("_behind").isNotNull()).alias("_going"),
+        ))
+        covered *= 2
+        going = state.where("_going")
+        if covered > count or going.isEmpty():  # longer than all chain nodes: only rings still go on
+            break
+    names = inner.select(F.col("node").alias("ahead"))
+    rings = state.join(names, "ahead", "left_semi").select("node", F.col("low").alias("color"))
+    chains = cut_lineage(state.join(names, "ahead", "left_anti").select("node", "behind", "ahead"))
+    first = inner.join(names.withColumnRenamed("ahead", "behind"), "behind", "left_anti").select("node")
+    through = chains.join(first, "node", "left_semi").select(F.col("behind").alias("source"), F.col("ahead").alias("target"))
+    outside = links.join(inner.select(F.col("node").alias("source")), "source", "left_anti").join(
+        inner.select(F.col("node").alias("target")), "target", "left_anti"
+    )
+    return cut_lineage(_distinct_links(outside.select("source", "target").unionByName(through))), chains, cut_lineage(rings)
+
+
+def _with_chains(settled: DataFrame, chains: DataFrame) -> DataFrame:
+    """Add chain nodes to (node, color): one whose ends are of one component is of it too."""
+    behind = settled.select(F.col("node").alias("behind"), F.col("color").alias("_from"))
+    ahead = settled.select(F.col("node").alias("ahead"), F.col("color").alias("_to"))
+    joined = chains.join(behind, "behind", "left").join(ahead, "ahead", "left").select(
+        "node", F.coalesce("_from", "behind").alias("color"), F.coalesce("_to", "ahead").alias("_to")
+    )
+    inside = cut_lineage(joined.where(F.col("color") == F.col("_to")).select("node", "color"))
+    # The end of a chain that closes over one node may not have been settled itself.
+    closing = inside.select(F.col("color").alias("node"), "color").distinct().join(settled.select("node"), "node", "left_anti")
+    return cut_lineage(settled.unionByName(inside).unionByName(closing))
+
+
 def _spread(
     links: DataFrame,
     state: DataFrame,
@@ -100,14 +153,21 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) where ``component`` is the smallest node id of the
     strongly connected component. ``nodes`` has an ``id`` column.
 
-    Forward colouring and backward collection: after trimming, the highest id
+    Chains are contracted first, so their length does not count. Then forward
+    colouring and backward collection: after trimming, the highest id
     spreads along the links; the nodes of one colour that can reach the node
     the colour is named after are exactly that node's component. Links between
     colours can never be on a cycle and are dropped, then the rest repeats. Each
     round settles at least one component per colour, and most of a graph usually
     goes in the first."""
-    links, count = _trim_fully(_distinct_links(edges))
-    settled: list[DataFrame] = []
+    links, layers, settled = cut_lineage(_distinct_links(edges)), [], []
+    while True:
+        links, chains, rings = _contract_chains(links)
+        if chains is None:
+            break
+        layers.append(chains)
+        settled.append(rings)
+    links, count = _trim_fully(links)
     while count:
         ids = links.select(F.explode(F.array("source", "target")).alias("node")).distinct()
         start = cut_lineage(ids.withColumn("value", F.col("node")))
@@ -139,6 +199,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if not settled:
         return ids.withColumn("component", F.col("node"))
     grouped = reduce(DataFrame.unionByName, settled)
+    for chains in reversed(layers):
+        grouped = _with_chains(grouped, chains)
     named = grouped.groupBy("color").agg(F.min("node").alias("component"))
     assigned = grouped.join(named, "color").select("node", "component")
     return cut_lineage(

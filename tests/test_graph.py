@@ -190,3 +190,29 @@ def test_communities_end_where_no_move_gains(spark):
         gain = {c: weight(n, c) - degree[n] * rest(c) / total for c in set(home.values())}
         assert max(gain.values()) <= gain[home[n]] + 1e-6
     assert len(set(home.values())) == 5
+
+
+@pytest.mark.parametrize("shape", ["chain", "ring", "lollipop"])
+def test_long_paths_take_few_rounds(spark, monkeypatch, shape):
+    """Many partitions, ids in no order: tables written grow with the logarithm of the length."""
+    import random
+
+    from archtrail.operators import cycles
+
+    size = 3000
+    names = [f"n{k:05d}" for k in range(size)]
+    random.Random(2).shuffle(names)
+    links = list(zip(names, names[1:]))
+    if shape == "ring":
+        links.append((names[-1], names[0]))
+    if shape == "lollipop":
+        links += [(names[-1], names[size // 2]), (names[size // 2], "x"), ("x", names[size // 3])]
+    written = []
+    monkeypatch.setattr(cycles, "cut_lineage", lambda df, cut=cycles.cut_lineage: written.append(1) or cut(df))
+    nodes = spark.createDataFrame([(n,) for n in {*names, "x"}], "id string")
+    frame = spark.createDataFrame(links, "source string, target string").repartition(16)
+    found = {r.node: r.component for r in cycles.strong_components(nodes, frame).collect()}
+    on_cycle = {"chain": [], "ring": names, "lollipop": [*names[size // 3:], "x"]}[shape]
+    lowest = min(on_cycle, default=None)
+    assert found == {n: lowest if n in set(on_cycle) else n for n in {*names, "x"}}
+    assert len(written) < 50
