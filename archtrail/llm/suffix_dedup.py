@@ -38,7 +38,8 @@ LEAD = 16
 BUCKET_BYTES = 32_000_000
 #: Splitters are taken from at most about this many chunks and this many suffixes of each.
 SAMPLED_CHUNKS, SAMPLED_SUFFIXES = 64, 512
-STRETCH_BYTES = 1_000_000
+#: Bytes of text in a chunk, and of those whose hashes are held at once.
+CHUNK_BYTES, STRETCH_BYTES = 2_000_000, 1_000_000
 SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
@@ -192,6 +193,8 @@ def _mark_shared(table: pa.Table) -> pa.Table:
     mark = np.zeros(len(order), bool)
     mark[order] = (some | (size > 1))[group]
     cuts = np.cumsum([len(b[0]) for b in blobs])[:-1]
+    del token, lead, several, order, fresh, group
+    release()
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "data": [np.packbits(m).tobytes() for m in np.split(mark, cuts)]},
                     schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]))
 
@@ -252,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if span < LEAD + 8:
         raise ValueError(f"span must be {LEAD + 8} at least")
-    chunks = pack(docs, id_col, text_col, carry=carry)
+    chunks = pack(docs, id_col, text_col, CHUNK_BYTES, carry)
     fields = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
     schema = SCHEMA + (f", row struct<{fields}>" if carry else "")
     total, n_chunks = chunks.agg(F.sum("n_bytes"), F.count("*")).first()
