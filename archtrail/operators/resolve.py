@@ -234,28 +234,36 @@ def aliased_places(sites: DataFrame, configs: DataFrame) -> DataFrame:
     ``sites``: site, module, directory. ``configs``: directory, base, pattern,
     target, ordinal; the pattern is null for the base directory alone. Aliases
     are matched only within the config a site belongs to."""
-    found = sites.join(configs, "directory")
+    asked = sites.select("directory", "module").distinct()
     star = F.instr("pattern", "*")
-    head = F.when(star > 0, F.substring_index("pattern", "*", 1)).otherwise(F.col("pattern"))
-    tail = F.when(star > 0, F.expr("substring(pattern, instr(pattern, '*') + 1)"))
-    middle = F.substring(
-        F.col("module"), F.length(head) + 1, F.length("module") - F.length(head) - F.length(tail)
+    base = configs.where("pattern IS NULL").withColumn("wildcard", F.lit(""))
+    exact = configs.where(F.col("pattern").isNotNull() & (star == 0)).withColumn("wildcard", F.lit(""))
+    open_ = configs.where(star > 0).select(
+        "*", F.substring_index("pattern", "*", 1).alias("head"), F.expr("substring(pattern, instr(pattern, '*') + 1)").alias("tail")
     )
-    wildcard = F.when(star > 0, middle).otherwise(F.lit(""))
-    matches = (
-        F.when(F.col("pattern").isNull(), True)
-        .when(star > 0, F.col("module").startswith(head) & F.col("module").endswith(tail))
-        .otherwise(F.col("module") == F.col("pattern"))
+    # A module is looked up under its own beginnings, of the few lengths that patterns
+    # of the directory have; sites never meet patterns that begin otherwise.
+    lengths = open_.groupBy("directory").agg(F.collect_set(F.length("head")).alias("_lengths"))
+    begun = asked.join(lengths, "directory").select("directory", "module", F.explode("_lengths").alias("_n"))
+    begun = begun.where(F.col("_n") <= F.length("module")).select("directory", "module", F.expr("left(module, _n)").alias("head"))
+    wild = begun.join(open_, ["directory", "head"]).where(F.endswith("module", "tail"))
+    middle = F.substring(F.col("module"), F.length("head") + 1, F.length("module") - F.length("head") - F.length("tail"))
+    columns = ["directory", "module", "base", "pattern", "target", "ordinal", "wildcard"]
+    found = (
+        asked.join(base, "directory").select(*columns)
+        .unionByName(asked.join(exact.withColumn("module", F.col("pattern")), ["directory", "module"]).select(*columns))
+        .unionByName(wild.withColumn("wildcard", middle).select(*columns))
     )
     target = F.when(F.col("pattern").isNull(), F.col("module")).otherwise(
-        F.replace(F.col("target"), F.lit("*"), wildcard)
+        F.replace(F.col("target"), F.lit("*"), F.col("wildcard"))
     )
     rank = F.struct(
         F.col("pattern").isNull().alias("last"), F.coalesce("pattern", F.lit("")).alias("pattern"),
         F.coalesce("ordinal", F.lit(0)).alias("ordinal"),
     )
     place = paths.normalize(F.concat("base", F.lit("/"), target))
-    return found.where(matches).select("site", place.alias("place"), rank.alias("rank"))
+    placed = found.select("directory", "module", place.alias("place"), rank.alias("rank"))
+    return sites.join(placed, ["directory", "module"]).select("site", "place", "rank")
 
 
 def _direct_script(sites: DataFrame, files: DataFrame, configs: DataFrame) -> DataFrame:

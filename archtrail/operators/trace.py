@@ -208,20 +208,18 @@ def unread_overlay(
 def value_at_rank(values: DataFrame, column: str, fraction: float) -> DataFrame:
     """The value at index ``floor(fraction * n)`` of the sorted column, never past
     the end. No interpolation."""
+    # Only a range that surely holds the value is put in order: bounds around it come
+    # from approximate quantiles, and exact counts say where in the range to look.
+    near = [max(0.0, fraction - 0.01), fraction, min(1.0, fraction + 0.01)]
+    low, _, high = values.agg(F.percentile_approx(column, near, 1000)).first()[0] or (None,) * 3
+    if low is None:
+        return values.select(column).limit(0)
+    at = F.col(column)
+    total, below, upto = values.agg(F.count(column), F.count_if(at < low), F.count_if(at <= high)).first()
+    index = min(total - 1, int(total * fraction))
+    if not below <= index < upto:  # the bounds were off; take all
+        low, high, below = *values.agg(F.min(column), F.max(column)).first(), 0
     # The tie breaker lets a value that fills many rows span several partitions.
-    rows = values.select(column, F.monotonically_increasing_id().alias("_tie"))
-    placed = with_position(rows, F.col(column), F.col("_tie"), name="_place")
-    total = placed.agg(F.count(F.lit(1)).alias("_rows")).first()["_rows"]
-    index = min(total - 1, int(total * fraction)) if total else 0
-    return placed.where(F.col("_place") == index + 1).select(F.col(column))
-
-
-def frame_statistics(frames: DataFrame) -> DataFrame:
-    """Mean rate and dropped frames of a recording (``frame_ms``), at 60 Hz."""
-    interval = 1000.0 / 60.0
-    missed = F.greatest(F.lit(0), F.floor(F.col("frame_ms") / interval + 0.5) - 1)
-    return frames.agg(
-        (F.count(F.lit(1)) / (F.sum("frame_ms") / 1000.0)).alias("average_fps"),
-        F.sum(missed).cast("bigint").alias("dropped_frames"),
-        F.count(F.lit(1)).alias("frame_count"),
-    )
+    rows = values.where(at.between(low, high)).select(column, F.monotonically_increasing_id().alias("_tie"))
+    placed = with_position(rows, at, F.col("_tie"), name="_place")
+    return placed.where(F.col("_place") == index - below + 1).select(at)
