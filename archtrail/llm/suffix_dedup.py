@@ -244,14 +244,15 @@ def _find_repeats(table: pa.Table, span: int) -> pa.Table:
                     schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, carry: Sequence[str] = (), whole_chars: bool = False) -> DataFrame:
     """Cut every byte covered by a ``span``-byte string that also starts in a smaller document.
 
     Returns ``doc_id``, ``n_bytes`` (of the UTF-8 text), ``spans`` (maximal removed runs,
     byte offsets, end exclusive) and ``kept`` (the other bytes, joined). Matches never cross
     documents and are judged on the input. One row per input row; of the other columns
     those of ``carry`` come along, in a struct ``row``. A null text is empty. Rows with equal ids are no smaller than each other; a row
-    with a null id keeps all and removes nothing elsewhere. ``span`` is 24 at least.
+    with a null id keeps all and removes nothing elsewhere. ``span`` is 24 at least. With
+    ``whole_chars`` a character of which a byte goes is removed, so ``kept`` is UTF-8.
     """
     if span < LEAD + 8:
         raise ValueError(f"span must be {LEAD + 8} at least")
@@ -307,6 +308,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         start = (np.repeat(leads.low[rows], each) + within)[hit]
         n = len(leads.data) + 1
         gone = np.cumsum(np.bincount(start, minlength=n) - np.bincount(start + span, minlength=n), dtype=np.int32)[:-1] > 0
+        if whole_chars and len(gone):
+            lead = (leads.data & 0xC0) != 0x80
+            gone = np.logical_or.reduceat(gone, np.flatnonzero(lead))[np.cumsum(lead, dtype=np.int32) - 1]
         return _cut_documents(leads, gone, dict(zip(carry, carried(row), strict=True)))
 
     return answer_chunks(chunks, both, cut, schema)

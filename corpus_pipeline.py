@@ -55,12 +55,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A character that was cut in two goes as a whole.
     """
-    @F.pandas_udf("string")
-    def as_text(kept):  # noqa: ANN001, ANN202
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    cut = remove_repeats(docs, carry=_others(docs))
-    return _as_documents(cut.withColumn("text", as_text("kept")), docs.columns).where("text <> ''")
+    cut = remove_repeats(docs, carry=_others(docs), whole_chars=True)
+    return _as_documents(cut.withColumn("text", F.col("kept").cast("string")), docs.columns).where("text <> ''")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
