@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import bounded_batches, dealt_parts, expand, squeeze, written
 from archtrail.llm.components import components
-from archtrail.llm.packed import LOWER, mix, prefix_sums, shingle_hash, slices, span_hash, spread, words
+from archtrail.llm.packed import LOWER, mix, prefix_sums, release, shingle_hash, slices, span_hash, spread, words
 
 #: Cells of the hashed gram counts (a byte each when handed out) and of the node filter (a bit each).
 CELLS, FILTER_BITS = 1 << 21, 1 << 23
 #: Lists up to this length give pairs; longer ones are worked on in blocks of so many sets or grams.
 SHORT_LIST, BLOCK_SETS, BLOCK_GRAMS = 64, 1024, 400_000
+#: Pairs of short lists are looked at so many at a time.
+PAIRS_AT_ONCE = 250_000
 #: Lists of grams counted at least so often are dealt out in blocks from the start.
 HOT_COUNT = 50_000
 #: Light sets have at most this many grams, whatever the cost model says (subsets grow fast).
@@ -113,7 +115,9 @@ def _cell_levels(facts: DataFrame) -> tuple[np.ndarray, float]:
     """The level of every cell, and how long the list of a gram is on average."""
 
     def total(table: pa.Table) -> pa.Table:
-        counts = sum(expand(x)[0].astype(np.float64) for x in table["data"].to_pylist())
+        counts = np.zeros(CELLS // 32)
+        for x in table["data"]:
+            counts += expand(x.as_py())[0]
         return pa.table({"block": table["block"][:1], "data": [_levels(counts).tobytes()], "all": [float(counts.sum())], "squares": [float((counts**2).sum())]})
 
     got = facts.where("block is not null").select("block", "data").groupBy("block").applyInArrow(total, "block int, data binary, all double, squares double").collect()
@@ -194,7 +198,7 @@ def _scan_lists(token: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.nd
     for size in np.unique(length[(length > 1) & (length <= SHORT_LIST)]):
         of = heads[length == size]
         i, j = np.triu_indices(int(size), 1)
-        for part in np.array_split(of, max(1, len(of) * len(i) // 2_000_000)):
+        for part in np.array_split(of, max(1, len(of) * len(i) // PAIRS_AT_ONCE)):
             x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
             most = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1  # nothing is shared before the first common gram
             good = (n[y] > light) & (100 * n[x] >= percent * n[y]) & (most >= overlap_needed(n[x], n[y], percent))
@@ -269,6 +273,8 @@ def _candidates(docs: DataFrame, text_col: str, size: int, percent: int, levels:
         yield _step("link", *_light_links(*lightly))
         if len(token):
             yield from _scan_lists(token, node, n, place, light, percent)
+        del blobs, token, node, n, place, lightly
+        release()
 
     def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,6 +320,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             size = [(int(np.frombuffer(v, np.uint16).sum(dtype=np.int64)), int(np.frombuffer(w, np.uint16).sum(dtype=np.int64))) for v, w in zip(x, y, strict=True)]
             keep = [most_shared(v, w) >= overlap_needed(n, m, percent) for v, w, (n, m) in zip(x, y, size, strict=True)]
             yield _longs(a=batch.column(0), b=batch.column(1)).filter(pa.array(keep, pa.bool_()))
+            release()
 
     both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -397,6 +404,7 @@ def _check(rows: DataFrame, percent: int) -> DataFrame:
                     links += block.scan(node, grams)
             if links:
                 yield _longs(a=pa.array([x for x, _ in links], pa.int64()), b=pa.array([y for _, y in links], pa.int64()))
+            release()
 
     parts = dealt_parts(rows.sparkSession)
     return rows.select("job", "side", "node", "grams").repartition(parts, "job").sortWithinPartitions("job", "side").mapInArrow(run, "a long, b long")
