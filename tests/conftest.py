@@ -7,8 +7,6 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,13 +18,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def make_files(spark, files: dict[str, str]):
-    """path → text as a ``files`` table."""
-    rows = [(path, bytearray(text.encode())) for path, text in files.items()]
-    return spark.createDataFrame(rows, "path string, content binary")
-
-
-def pairs(df) -> set[tuple[str, str]]:
-    return {(row.source, row.target) for row in df.select("source", "target").collect()}

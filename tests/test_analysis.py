@@ -1,8 +1,8 @@
 """The whole analysis on one invented depot, and the readers of single files."""
 
 import pytest
-from conftest import make_files, pairs
 from pyspark.sql import functions as F
+from tree_cases import make_files, pairs
 
 from archtrail.operators import incremental
 from archtrail.operators.facts import extract, python_facts

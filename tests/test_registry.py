@@ -1,7 +1,7 @@
 """Every registered query with SQL equals it, over whole tables."""
 
 import pytest
-from conftest import SF
+from tree_cases import SF
 
 import __spark_entry__ as entry
 from oracle import compare, connect
