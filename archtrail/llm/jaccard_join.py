@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import bounded_batches, dealt_parts, expand, squeeze, written
 from archtrail.llm.components import components
-from archtrail.llm.packed import LOWER, mix, prefix_sums, release, shingle_hash, slices, span_hash, spread, words
+from archtrail.llm.packed import LOWER, byte_hash, mix, release, shingle_hash, slices, spread, words
 
 #: Cells of the hashed gram counts (a byte each when handed out) and of the node filter (a bit each).
 CELLS, FILTER_BITS = 1 << 21, 1 << 23
@@ -59,7 +59,7 @@ class GramSets:
     def __init__(self, data: np.ndarray, at: np.ndarray, size: int) -> None:
         data = LOWER[data]
         starts, stops, first = words(data, at)
-        hashed = span_hash(prefix_sums(data), starts, stops)
+        hashed = byte_hash(data, starts, stops)
         count = np.diff(first)
         grams = shingle_hash(hashed, size)
         full = np.maximum(count - size + 1, 0)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import dealt_parts, each_chunk, expand, no_rows, pack, squeeze, unpack, written
-from archtrail.llm.packed import LOWER, prefix_sums, release, span_hash, spread, words
+from archtrail.llm.packed import LOWER, byte_hash, release, spread, words
 
 #: Symbols: 256 bytes and the end of the text.
 END, SYMBOLS = 256, 257
@@ -125,7 +125,7 @@ class _Chunk:
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         starts, stops, first = words(self.data, self.at)
-        return span_hash(prefix_sums(self.data), starts, stops), first
+        return byte_hash(self.data, starts, stops), first
 
     def distinct_words(self) -> tuple[np.ndarray, np.ndarray]:
         hashed, first = self.words()

@@ -1,8 +1,10 @@
 """Batches of texts as one byte buffer: word spans and 64-bit hashes by numpy.
 
-A word or window hash is a polynomial over bytes modulo 2**64, taken from one
-running sum, so its cost does not depend on the length of what is hashed; a final
-mixing step spreads it over all bits. Equal bytes always hash equal.
+``byte_hash`` is the hash of a span of any length: 8 bytes a step are mixed into a running
+state, long spans are hashed by XXH3. Where a hash alone would decide a value within one
+task, ``equal_spans`` compares the bytes. ``span_hash`` takes overlapping *short* spans (up
+to ``SHORT_SPAN`` bytes) from one running polynomial sum; longer strings of few letters can
+share such a sum, so it is not for them. Equal bytes always hash equal.
 """
 
 from __future__ import annotations
@@ -13,11 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Texts are worked on in slices of about this many bytes, which bounds a worker's memory.
 SLICE_BYTES = 2_000_000
 #: Tables of powers beyond this length (left by a very long text) are dropped.
 KEPT_POWERS = 3_000_000
+#: Spans up to this many bytes may be taken from polynomial sums.
+SHORT_SPAN = 64
+#: Spans of more bytes are hashed one by one.
+LANED_SPAN = 512
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,7 +104,7 @@ def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACES) -> tuple
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; ``span_hash`` takes any span from them."""
+    """Running polynomial sums; ``span_hash`` takes any short span from them."""
     power, _ = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * power[: len(data)], out=sums[1:])
@@ -107,13 +115,68 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nda
     return mix((sums[stops] - sums[starts]) * _POWERS[1][starts] + (stops - starts).astype(np.uint64))
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place as one number (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def byte_hash(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of every span."""
+    size = stops - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    lanes, row, step = _lanes(data), np.flatnonzero((size > 0) & (size <= LANED_SPAN)), 0
+    while len(row):
+        left = size[row] - step
+        state = out[row] * np.uint64(0xD6E8FEB86659FD93) if step else out[row]
+        out[row] = mix(state ^ (lanes[starts[row] + step] & _LOW_BYTES[np.minimum(left, 8)]))
+        row, step = row[left > 8], step + 8
+    long = np.flatnonzero(size > LANED_SPAN)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        for k, start, stop in zip(long.tolist(), starts[long].tolist(), stops[long].tolist(), strict=True):
+            out[k] = xxhash.xxh3_64_intdigest(view[start:stop])
+    return out
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, other_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes of ``data`` from each start equal those of ``other``."""
+    same = np.ones(len(starts), bool)
+    here, there = _lanes(data), _lanes(other)
+    row, step = np.flatnonzero((size > 0) & (size <= LANED_SPAN)), 0
+    while len(row):
+        left = size[row] - step
+        mask = _LOW_BYTES[np.minimum(left, 8)]
+        differ = (here[starts[row] + step] & mask) != (there[other_starts[row] + step] & mask)
+        same[row[differ]] = False
+        row, step = row[~differ & (left > 8)], step + 8
+    for k in np.flatnonzero(size > LANED_SPAN).tolist():
+        same[k] = np.array_equal(data[starts[k] : starts[k] + size[k]], other[other_starts[k] : other_starts[k] + size[k]])
+    return same
+
+
+def first_equal(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """For every span the row of the first one with the same bytes (``hashed``: equal for equal bytes)."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    _, at, of = np.unique(hashed, return_index=True, return_inverse=True)
+    first = at[of]
+    size = stops - starts
+    same = size == size[first]
+    same[same] = equal_spans(data, starts[same], data, starts[first[same]], size[same])
+    seen: dict[bytes, int] = {}
+    for k in np.flatnonzero(~same).tolist():  # other bytes under the same hash
+        first[k] = seen.setdefault(data[starts[k] : stops[k]].tobytes(), k)
+    return first
+
+
 def piece_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hash of every piece between consecutive ``at``, a few megabytes at a time."""
     out, first = [np.zeros(0, np.uint64)], 0
     while first < len(at) - 1:
         end = int(max(first + 1, np.searchsorted(at, at[first] + SLICE_BYTES, "right") - 1))
         part = at[first : end + 1] - at[first]
-        out.append(span_hash(prefix_sums(data[at[first] : at[end]]), part[:-1], part[1:]))
+        out.append(byte_hash(data[at[first] : at[end]], part[:-1], part[1:]))
         first = end
     return np.concatenate(out)
 

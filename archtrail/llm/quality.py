@@ -6,6 +6,7 @@ document never leaves its task and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import bounded_batches
-from archtrail.llm.packed import LOWER, SPACES, mix, prefix_sums, shingle_hash, slices, span_hash, spread, words
+from archtrail.llm.packed import LOWER, SPACES, byte_hash, first_equal, mix, shingle_hash, slices, spread, words
 
 SYMBOLS, SEPARATORS = b"#*$%&|<>", b"|<>/-*"
 #: Phrases of page furniture (lower case).
@@ -57,14 +58,13 @@ class _Texts:
     def __init__(self, data: np.ndarray, at: np.ndarray, rules: Rules) -> None:
         self.data, self.at, self.rules = data, at, rules
         n = len(at) - 1
-        sums = prefix_sums(data)
         starts, stops, first = words(data, at)
         self.n_words = np.diff(first)
         total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
         chars = total(((data & 0xC0) != 0x80) & ~SPACES[data])
         symbols = total(_SYMBOL[data])
         self.word_chars, self.n_symbols = np.diff(chars[at]), np.diff(symbols[at])
-        self.n_repeat_words = self._repeated(span_hash(sums, starts, stops), first)
+        self.n_repeat_words = self._repeated(first_equal(data, starts, stops, byte_hash(data, starts, stops)), first)
 
         breaks = np.flatnonzero(data == 10)
         text_of_break = np.searchsorted(at, breaks, "right") - 1
@@ -84,8 +84,9 @@ class _Texts:
         count = lambda sums: sums[self.line_end] - sums[self.line_start]
         line_words, line_chars = count(begun), count(chars)
         full = np.flatnonzero(line_words > 0)
-        value = mix(span_hash(sums, self.line_start[full], self.line_end[full]) + self.line_text[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        once = np.unique(value, return_index=True)[1]
+        begin, end = self.line_start[full], self.line_end[full]
+        line = first_equal(data, begin, end, byte_hash(data, begin, end))
+        once = np.unique((self.line_text[full] << 32) | line, return_index=True)[1]
         self.n_dup_lines = np.bincount(self.line_text[full], minlength=n) - np.bincount(self.line_text[full][once], minlength=n)
 
         lone = starts[(stops - starts == 1) & _SEPARATOR[data[starts]]] if len(starts) else starts
@@ -103,16 +104,29 @@ class _Texts:
         self.base_failed = (self.n_words < rules.min_words) | (100 * self.n_repeat_words > rules.max_repeat_percent * self.n_words)
         self.kept = ~self.base_failed & (lost <= rules.max_lost_share * self.word_chars)
 
-    def _repeated(self, word_hash: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Words of each text that lie in a window that occurs twice in it."""
+    def _repeated(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Words of each text that lie in a window that occurs twice in it (``word``: a number of its bytes)."""
         size, n = self.rules.window, len(first) - 1
         windows = np.maximum(self.n_words - size + 1, 0)
         place = np.repeat(first[:-1], windows) + spread(windows)
-        value = mix(shingle_hash(word_hash, size)[place] + np.repeat(np.arange(n), windows).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        text = np.repeat(np.arange(n), windows)
+        value = mix(shingle_hash(mix(word.astype(np.uint64)), size)[place] + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         ordered = np.sort(value)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        found = place[twice[np.minimum(np.searchsorted(twice, value), len(twice) - 1)] == value] if len(twice) else place[:0]
-        length = len(word_hash) + 1
+        at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, value), len(twice) - 1)] == value) if len(twice) else place[:0]
+        _, head, of = np.unique(value[at], return_index=True, return_inverse=True)
+        lead = at[head][of]  # the hash brought them together, the words decide
+        same = text[at] == text[lead]
+        for k in range(size if len(at) else 0):
+            same &= word[place[at] + k] == word[place[lead] + k]
+        keep = same & (np.bincount(of, same, len(head))[of] > 1)
+        odd = at[~same]
+        if len(odd):  # other words under the same hash
+            runs = [(int(text[k]), *word[place[k] : place[k] + size].tolist()) for k in odd]
+            times = Counter(runs)
+            keep[~same] = [times[r] > 1 for r in runs]
+        found = place[at[keep]]
+        length = len(word) + 1
         inside = np.cumsum(np.bincount(found, minlength=length) - np.bincount(found + size, minlength=length))[:-1] > 0
         return np.diff(np.concatenate([[0], np.cumsum(inside)])[first])
 

@@ -147,7 +147,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
             for first, end, data, at in slices(batch.column(1)):
                 data, at = escape(data, at)
                 starts, stops, of = pre_tokens(data, at)
-                where, size = cache.look_up(data, starts, stops, span_hash(prefix_sums(data), starts, stops))
+                where, size = cache.look_up(data, starts, stops)
                 offsets = np.concatenate([[0], np.cumsum(size)])[of]
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cache.gather(where, size), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end].cast(pa.int64()), ids, pa.array(np.diff(offsets))], names=["doc_id", "ids", "n_tokens"])

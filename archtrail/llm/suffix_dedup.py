@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import answer_chunks, carried, dealt_parts, each_chunk, expand, pack, squeeze, unpack, written
-from archtrail.llm.packed import piece_hashes, prefix_sums, release, span_hash, spread
+from archtrail.llm.packed import byte_hash, piece_hashes, prefix_sums, release, span_hash, spread
 
 #: Bytes of a suffix that an anchor is chosen by and that deal it out (two tokens of 8).
 LEAD = 16
@@ -104,7 +104,7 @@ def _region_hashes(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.n
     for first, end in _stretches(at):
         of = order[np.searchsorted(ordered, at[first]) : np.searchsorted(ordered, at[end])]
         if len(of):
-            out[of] = span_hash(prefix_sums(data[at[first] : at[end]]), low[of] - at[first], high[of] - at[first])
+            out[of] = byte_hash(data[at[first] : at[end]], low[of] - at[first], high[of] - at[first])
     return out
 
 

@@ -112,7 +112,7 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             for first, end, data, at in slices(batch.column(1)):
                 data, at = escape(data, at)
                 starts, stops, of = pre_tokens(data, at)
-                where, _ = cache.look_up(data, starts, stops, span_hash(prefix_sums(data), starts, stops))
+                where, _ = cache.look_up(data, starts, stops)
                 total = np.concatenate([[0], np.cumsum(cache.values[where])])[of]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end].cast(pa.int64()), pa.array(np.diff(total)), pa.array(np.diff(of))], names=["doc_id", "n_tokens", "n_pre_tokens"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archtrail.llm.chunks import bounded_batches, dealt_parts, store_folder
-from archtrail.llm.packed import prefix_sums, slices, span_hash, words
+from archtrail.llm.packed import slices, words
 from archtrail.llm.word_cache import WordCache
 
 FILE_SCHEMA = "part int, doc_id long, ids array<int>"
@@ -71,7 +71,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[
         for batch in batches:
             for first, end, data, at in slices(batch.column(1), 1_500_000):
                 starts, stops, of = words(data, at)
-                where, size = cache.look_up(data, starts, stops, span_hash(prefix_sums(data), starts, stops))
+                where, size = cache.look_up(data, starts, stops)
                 per_text = np.concatenate([[0], np.cumsum(size)])[of]
                 ids = np.insert(cache.gather(where, size), per_text[1:], end_id)
                 offsets = per_text + np.arange(len(per_text))
