@@ -226,3 +226,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = decode(encode(table(spark, sf_dir, "documents"), model), model)
     text = F.encode("decoded", "UTF-8")
     return both.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), F.length(text).cast("long").alias("n_bytes"), F.crc32(text).alias("text_crc32"))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.conversations import conversation_report
+
+    return conversation_report(table(spark, sf_dir, "conversations"))
