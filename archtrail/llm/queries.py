@@ -233,3 +233,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.conversations import conversation_report
 
     return conversation_report(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.alignment import alignment_report
+
+    return alignment_report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
