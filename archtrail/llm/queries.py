@@ -240,3 +240,15 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.alignment import alignment_report
 
     return alignment_report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query()
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archtrail.llm.licenses import scan_licenses
+
+    base = F.filter("places", lambda p: p.base)
+    names = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base["word"]).alias("first_word"), F.array_max(base["word"]).alias("last_word"),
+        names(base["label"]).alias("base_labels"), names(F.col("labels")).alias("labels"), "score",
+    )
