@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths
+from archtrail.operators import reexports
 from archtrail.operators.ranking import first_n
 from archtrail.session import cut_lineage
 
 # Order in which script files and package files are tried.
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx")
-PACKAGE_FILE = "__init__.py"
+PACKAGE_FILE = reexports.PACKAGE_FILE
 
 
 # ----------------------------------------------------------------------- Python
@@ -94,23 +95,46 @@ def closest_files(sites: DataFrame, rooted: DataFrame, named: DataFrame, keys: l
     )
 
 
-def _relative(sites: DataFrame, files: DataFrame, module: Column) -> DataFrame:
-    """(site, target) for module names with leading dots: exactly one place."""
+def relative_places(sites: DataFrame, module: Column) -> DataFrame:
+    """(site, path, rank) to try for module names with leading dots."""
     dots = F.length(F.regexp_extract(module, r"^(\.+)", 1))
     home = paths.parent_parts(F.col("importer"))
     base = F.slice(home, F.lit(1), F.greatest(F.size(home) - dots + 1, F.lit(0)))
     tail = F.filter(F.split(F.regexp_replace(module, r"^\.+", ""), r"\."), lambda part: part != "")
     place = F.array_join(F.concat(base, tail), "/")
     inside = dots - 1 <= F.size(home)
-    tried = sites.where(inside).select(
-        "site", place.alias("_place"),
+    return sites.where(inside).select(
+        "site",
         F.posexplode(F.array(
             F.concat(place, F.lit(".py")),
             F.when(place == "", F.lit(PACKAGE_FILE)).otherwise(F.concat(place, F.lit("/" + PACKAGE_FILE))),
-        )).alias("_rank", "path"),
+        )).alias("rank", "path"),
     )
-    return tried.join(files.select("path"), "path").groupBy("site").agg(
-        F.min_by("path", "_rank").alias("target")
+
+
+def _relative(sites: DataFrame, files: DataFrame, module: Column) -> DataFrame:
+    """(site, target) for module names with leading dots: exactly one place."""
+    tried = relative_places(sites, module)
+    return tried.join(files.select("path"), "path").groupBy("site").agg(F.min_by("path", "rank").alias("target"))
+
+
+def last_part(module: Column) -> Column:
+    return F.substring_index(module, ".", -1)
+
+
+def asked_files(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Python files whose last module part is that of one of ``modules(module)``; others can answer none of them."""
+    asked = modules.select(last_part(F.col("module")).alias("_last")).distinct()
+    own = F.substring_index(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/", -1)
+    return files.withColumn("_last", own).join(asked, "_last", "left_semi").drop("_last")
+
+
+def live_sites(sites: DataFrame) -> DataFrame:
+    """Python sites as they are looked up; bare imports of the standard library are not."""
+    stdlib = F.col("module").isin(*sorted(sys.stdlib_module_names)) & (F.size("fallbacks") == 0)
+    return sites.where(~stdlib).select(
+        "site", "importer", "module", F.try_element_at("fallbacks", F.lit(1)).alias("package"),
+        F.filter("symbols", lambda symbol: (symbol != "") & (symbol != "*")).alias("symbols"),
     )
 
 
@@ -118,16 +142,11 @@ def _direct_python(sites: DataFrame, facts: DataFrame, markers: DataFrame) -> Da
     """(site, target, via): via is ``module`` for a module named outright and
     ``package`` when only its package was found, which may re-export the name."""
     files = facts.where(F.col("language") == "python").select("path")
-    named = cut_lineage(module_names(files))
+    live = cut_lineage(live_sites(sites))
+    absolute = live.select("module").unionByName(live.select(F.col("package").alias("module"))).where("left(module, 1) <> '.'")
+    named = cut_lineage(module_names(asked_files(files, absolute)))
     roots = search_roots(facts.select("path"), markers)
     rooted = named.join(roots, "root", "left_semi")
-    stdlib = F.col("module").isin(*sorted(sys.stdlib_module_names)) & (F.size("fallbacks") == 0)
-    live = cut_lineage(
-        sites.where(~stdlib).select(
-            "site", "importer", "module", F.try_element_at("fallbacks", F.lit(1)).alias("package"),
-            F.filter("symbols", lambda symbol: (symbol != "") & (symbol != "*")).alias("symbols"),
-        )
-    )
     relative = F.col("module").startswith(".")
     outright = cut_lineage(
         closest_files(live.where(~relative), rooted, named, ["module"]).unionByName(
@@ -156,49 +175,52 @@ def _direct_python(sites: DataFrame, facts: DataFrame, markers: DataFrame) -> Da
     )
 
 
-def _follow_packages(direct: DataFrame, sites: DataFrame, facts: DataFrame) -> DataFrame:
-    """Move targets that are re-exporting package files on to the defining file.
+def movable() -> Column:
+    """Sites that stand at a package file and ask for a symbol it may hand on."""
+    return (F.col("via") == "package") & F.col("target").endswith(PACKAGE_FILE) & (F.coalesce(F.col("symbol"), F.lit("*")) != "*")
 
-    One join per hop over the sites still on the move. The files a site already
-    passed are kept with it, so circular re-exports end."""
-    with_symbol = sites.select("site", "importer", F.try_element_at("symbols", F.lit(1)).alias("symbol"))
-    placed = direct.join(with_symbol, "site")
-    own = facts.where(F.col("path").endswith(PACKAGE_FILE)).select(
-        "path", F.explode(F.array_union("definitions", "exports")).alias("symbol")
-    )
-    # (package file, symbol) → where its own import of that symbol leads.
-    hops = cut_lineage(
-        sites.where(F.col("importer").endswith(PACKAGE_FILE))
-        .join(direct.select("site", F.col("target").alias("_next")), "site")
-        .select(F.col("importer").alias("target"), F.explode("symbols").alias("symbol"),
-                F.struct("line", "module").alias("_order"), "_next")
-    )
-    movable = (F.col("via") == "package") & F.col("target").endswith(PACKAGE_FILE) & (
-        F.coalesce(F.col("symbol"), F.lit("*")) != "*"
-    )
-    still = placed.where(~movable).select("site", "target")
-    moving = cut_lineage(
-        placed.where(movable).select("site", "symbol", "target",
-                                     F.array("importer", "target").alias("_seen"))
-    )
-    settled = [still]
+
+def with_first_symbol(direct: DataFrame, sites: DataFrame) -> DataFrame:
+    asked = sites.select("site", "importer", F.try_element_at("symbols", F.lit(1)).alias("symbol"))
+    return direct.join(asked, "site")
+
+
+def _follow_packages(placed: DataFrame, nodes: DataFrame, options: DataFrame, ends: DataFrame) -> DataFrame:
+    """(site, target): targets that are re-exporting package files move on to the defining file.
+
+    ``placed``: site, importer, symbol, target, via. Ways are followed beforehand
+    (``reexports.follow``). Only where a circle offers another import, or the
+    importer itself may stand on the way, is the way walked file by file, with the files passed."""
+    there = ends.select(F.col("file").alias("target"), "symbol", "final", "steps", "sure", "circular")
+    moving = placed.where(movable()).join(there, ["target", "symbol"])
+    resting = placed.join(moving.select("site"), "site", "left_anti").select("site", "target")
+    # On the way from the target stands only what has fewer steps to the same end.
+    home = ends.select(F.col("file").alias("importer"), "symbol", F.col("final").alias("_final"), F.col("steps").alias("_steps"), F.col("circular").alias("_circular"))
+    met = (F.col("_circular") & F.col("circular")) | ((F.col("_final") == F.col("final")) & (F.col("_steps") < F.col("steps")))
+    moving = cut_lineage(moving.join(home, ["importer", "symbol"], "left").withColumn("plain", F.col("sure") & ~F.coalesce(met, F.lit(False)) & (F.col("final") != F.col("importer"))))
+    jumped = moving.where("plain").select("site", F.col("final").alias("target"))
+    walking = moving.where("not plain")
+    if walking.isEmpty():
+        return resting.unionByName(jumped)
+    return reduce(DataFrame.unionByName, [resting, jumped, *_walk(walking, options)])
+
+
+def _walk(moving: DataFrame, options: DataFrame) -> list[DataFrame]:
+    moving = cut_lineage(moving.select("site", "symbol", "target", F.array("importer", "target").alias("_seen")))
+    hops = options.select(F.col("file").alias("target"), "symbol", "order", F.col("next").alias("_next"))
+    settled = []
     while not moving.isEmpty():
-        defined = own.select(F.col("path").alias("target"), "symbol")
-        at_home = moving.join(defined, ["target", "symbol"], "left_semi")
-        away = moving.join(defined, ["target", "symbol"], "left_anti")
-        options = away.join(hops, ["target", "symbol"]).where(~F.array_contains("_seen", F.col("_next")))
-        chosen = options.groupBy("site").agg(F.min_by("_next", "_order").alias("_next"))
-        stepped = cut_lineage(away.join(chosen, "site", "left"))
-        settled.append(at_home.select("site", "target"))
+        open_ = moving.join(hops, ["target", "symbol"]).where(~F.array_contains("_seen", F.col("_next")))
+        chosen = open_.groupBy("site").agg(F.min_by("_next", "order").alias("_next"))
+        stepped = cut_lineage(moving.join(chosen, "site", "left"))
         settled.append(stepped.where(F.col("_next").isNull()).select("site", "target"))
         onward = stepped.where(F.col("_next").isNotNull())
         arrived = ~F.col("_next").endswith(PACKAGE_FILE)
         settled.append(onward.where(arrived).select("site", F.col("_next").alias("target")))
         moving = onward.where(~arrived).select(
-            "site", "symbol", F.col("_next").alias("target"),
-            F.concat("_seen", F.array("_next")).alias("_seen"),
+            "site", "symbol", F.col("_next").alias("target"), F.concat("_seen", F.array("_next")).alias("_seen")
         )
-    return reduce(DataFrame.unionByName, settled)
+    return settled
 
 
 # ----------------------------------------------------------------------- scripts
@@ -266,7 +288,8 @@ def aliased_places(sites: DataFrame, configs: DataFrame) -> DataFrame:
     return sites.join(placed, ["directory", "module"]).select("site", "place", "rank")
 
 
-def _direct_script(sites: DataFrame, files: DataFrame, configs: DataFrame) -> DataFrame:
+def script_places(sites: DataFrame, configs: DataFrame) -> DataFrame:
+    """(site, path, rank): every file a script import may mean, best first."""
     relative = F.col("module").startswith(".")
     nothing = F.struct(F.lit(False).alias("last"), F.lit("").alias("pattern"), F.lit(0).alias("ordinal"))
     beside = sites.where(relative).select(
@@ -280,37 +303,42 @@ def _direct_script(sites: DataFrame, files: DataFrame, configs: DataFrame) -> Da
     tried = beside.unionByName(configured).select(
         "site", "rank", F.posexplode(script_candidates(F.col("place"))).alias("_try", "path")
     )
-    existing = tried.where(F.col("path").isNotNull()).join(files.select("path"), "path")
-    return existing.groupBy("site").agg(F.min_by("path", F.struct("rank", "_try")).alias("target"))
+    return tried.where(F.col("path").isNotNull()).select("site", "path", F.struct("rank", "_try").alias("rank"))
+
+
+def _direct_script(sites: DataFrame, files: DataFrame, configs: DataFrame) -> DataFrame:
+    existing = script_places(sites, configs).join(files.select("path"), "path")
+    return existing.groupBy("site").agg(F.min_by("path", "rank").alias("target"))
 
 
 # --------------------------------------------------------------------------- all
 CONFIG_TYPE = "directory string, base string, pattern string, target string, ordinal int"
 
 
-def resolve_sites(
-    sites: DataFrame, facts: DataFrame, markers: DataFrame, configs: DataFrame
-) -> DataFrame:
-    """Edge sites (source, target, file, line, symbols) between file ids.
-
-    ``sites``: importer, language, module, line, fallbacks, symbols as extracted
-    from ``facts``."""
+def numbered_sites(sites: DataFrame) -> DataFrame:
+    """``sites`` with ``site``, a name made of what the site says."""
     key = F.xxhash64("importer", "module", "line", "fallbacks", "symbols")
-    numbered = cut_lineage(
-        sites.withColumn(
-            "site", F.concat_ws(":", "importer", F.col("line").cast("string"), key.cast("string"))
-        )
+    return sites.withColumn(
+        "site", F.concat_ws(":", "importer", F.col("line").cast("string"), key.cast("string"))
     )
+
+
+def direct_targets(numbered: DataFrame, facts: DataFrame, markers: DataFrame, configs: DataFrame) -> DataFrame:
+    """(site, target, via) before names are followed through package files; via is null for scripts."""
     python = numbered.where(F.col("language") == "python")
     scripts = numbered.where(F.col("language") != "python")
-    direct = cut_lineage(_direct_python(python, facts, markers))
-    resolved = _follow_packages(direct, python, facts).unionByName(
-        _direct_script(scripts, facts, configs)
+    return _direct_python(python, facts, markers).unionByName(
+        _direct_script(scripts, facts, configs).withColumn("via", F.lit(None).cast("string"))
     )
+
+
+def site_rows(numbered: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Edge sites with their ``site``."""
     return (
         numbered.join(resolved, "site")
         .where(F.col("target") != F.col("importer"))
         .select(
+            "site",
             F.concat(F.lit("file:"), "importer").alias("source"),
             F.concat(F.lit("file:"), "target").alias("target"),
             F.col("importer").alias("file"),
@@ -318,3 +346,18 @@ def resolve_sites(
             "symbols",
         )
     )
+
+
+def resolve_sites(
+    sites: DataFrame, facts: DataFrame, markers: DataFrame, configs: DataFrame
+) -> DataFrame:
+    """Edge sites (source, target, file, line, symbols) between file ids.
+
+    ``sites``: importer, language, module, line, fallbacks, symbols as extracted
+    from ``facts``."""
+    numbered = cut_lineage(numbered_sites(sites))
+    direct = cut_lineage(direct_targets(numbered, facts, markers, configs))
+    nodes, options = reexports.handed_on(numbered, direct, facts)
+    placed = with_first_symbol(direct, numbered)
+    resolved = _follow_packages(placed, nodes, options, cut_lineage(reexports.follow(nodes)))
+    return site_rows(numbered, resolved).drop("site")

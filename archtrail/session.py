@@ -61,15 +61,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and continue from there.
 
     A written table rather than ``checkpoint()``: it survives lost executors just
     as well, and the planner then knows the real size (so it may broadcast a
     small side) and forgets the constraints of the old plan, which in a loop
-    would otherwise grow from round to round."""
+    would otherwise grow from round to round. ``by``: a column of few values to
+    store it by, so that a reader who names some of them opens only their files."""
     spark = df.sparkSession
     application = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/archtrail-{application}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.repartition(by).write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
