@@ -21,8 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Terms are looked for in groups of this size, one pass over the texts each (a set in the plan).
 TERMS_A_PASS = 20_000
-#: Documents to compare are broadcast (16 bytes a row) up to this number, else joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast up to so many bytes (of its rows as text, and 16 a row), else joined by shuffle.
+BROADCAST_BYTES = 32_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -36,8 +36,9 @@ def _passes(terms: DataFrame) -> list[list[str]]:
 
 
 def checked_broadcast(frame: DataFrame) -> DataFrame:
-    """``frame`` with a broadcast hint where it has few rows; counted first, so it should be written."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+    """``frame`` with a broadcast hint where it is small; measured first, so it should be written."""
+    size = frame.agg(F.sum(F.length(F.to_json(F.struct("*"))) + 16)).first()[0]
+    return F.broadcast(frame) if (size or 0) <= BROADCAST_BYTES else frame
 
 
 def _among(terms: list[str], field: str | None = None) -> Callable[[Column], Column]:
@@ -136,13 +137,33 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return base.select("doc", "text_key", F.size("words").cast("long").alias("n_words")), written(runs_found)
 
 
+def near_passages(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13) -> DataFrame:
+    """Proximity matches from the same index: ``doc, text_key, item, first, distance``.
+
+    A match is a place ``first`` where the rarest word of one of the item's windows stands as if
+    the item began there and the second rarest at most ``slop`` words off its own place (the least
+    ``distance`` counts; 0: both in place). The words between may be others, which exact
+    phrases do not allow; negative ``first``: the document begins inside the item.
+    """
+    windows = written(windows_of(items, item_col, item_text, size))
+    base = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_key"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    vocabulary = written(windows.select(F.explode("words").alias("term")).distinct())
+    points = written(starting_points(windows, written(frequencies(base, _passes(vocabulary) or [[]]))))
+    used = points.select("term").unionByName(points.select(F.col("mate_term").alias("term"))).distinct()
+    index = written(postings(base, _passes(used) or [[]]))
+    near = [phrase_starts(index, points, k).withColumn("distance", F.lit(k)) for k in range(slop + 1)]
+    least = _union(near).groupBy("doc", "text_key", "key", "shift").agg(F.min("distance").alias("distance"))
+    named = least.join(checked_broadcast(windows.select("key", "item")), "key")
+    return named.groupBy("doc", "text_key", "item", F.col("shift").alias("first")).agg(F.min("distance").alias("distance"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13, share: int = 20) -> DataFrame:
-    """Per input row ``doc_id, text_key, n_words, n_hit, items`` (sorted texts), ``spans`` and ``contaminated``.
+    """Per input row ``doc_id, text_key, n_words, n_hit, items`` (sorted texts), ``spans`` and ``contaminated``; other columns are not read.
 
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z; null has
     none. A word inside any occurrence of an item's window (``size`` words; a shorter item
     is one window, one without words none) is hit. Contaminated: ``share * n_hit >= n_words``
-    and any hit. Rows with a null or repeated id are judged by their own text, whose
+    and any hit. An item without an id hits but is not listed. Rows with a null or repeated id are judged by their own text, whose
     64-bit hash is ``text_key``.
     """
     counts, runs = find_passages(docs, items, id_col, text_col, item_col, item_text, size)

@@ -181,7 +181,7 @@ def test_many_terms_take_several_passes(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(rows_of(d.contamination(docs, items).drop("spans", "items")), key=key)
     monkeypatch.setattr(d, "TERMS_A_PASS", 300)
-    monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
     assert sorted(rows_of(d.contamination(docs, items).drop("spans", "items")), key=key) == whole
 
 
@@ -313,3 +313,39 @@ def test_pipeline_stages_take_awkward_rows(spark, docs, none):
             assert rows.columns == table.columns
             assert stage(spark, table, SF).count() <= table.count()
         assert c.STAGES[4][1](spark, rows, SF).count() <= table.count()
+
+
+def test_near_passages(spark):
+    from archtrail.llm.decontaminate import near_passages
+
+    item = "red green blue amber violet"
+    texts = [(1, f"so {item} end"), (2, "so red green blue pink amber violet"), (3, "red only"), (4, None), (5, "red violet green blue amber"), (6, "red x green x blue x amber x violet")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc, r.distance) for r in near_passages(docs, spark.createDataFrame([("i", item)], "item_id string, text string"), slop=4, size=5).collect()}
+    counts = {w: sum((t or "").split().count(w) for _, t in texts) for w in item.split()}
+    a, b = sorted(range(5), key=lambda k: (counts[item.split()[k]], k))[:2]
+    want = set()
+    for doc, text in texts:
+        w = (text or "").split()
+        best = {}
+        for i in (k for k, x in enumerate(w) if x == item.split()[a]):
+            for j in (k for k, x in enumerate(w) if x == item.split()[b]):
+                if abs((j - b) - (i - a)) <= 4:
+                    best[i - a] = min(best.get(i - a, 9), abs((j - b) - (i - a)))
+        want |= {(doc, d) for d in best.values()}
+    assert got == want and (1, 0) in got and any(doc == 6 and d for doc, d in got)
+
+
+def test_slots_with_names_of_its_own_nulls_and_ties(spark):
+    from archtrail.llm.sharding import slots
+
+    rows = [(0, None, "a", "u", 1), (0, None, "a", "u", 1), (0, "k", "b", "v", 2), (1, "k", None, "w", 3), (None, "z", "c", "x", 4)]
+    frame = spark.createDataFrame(rows, "shard int, key string, slot_group string, copies string, before int").withColumn("Start", F.lit("s")).withColumn("of_shard", F.lit(7))
+    got = slots(frame, ["key"])
+    assert got.columns == [*frame.columns, "slot"]
+    found = rows_of(got)
+    assert sorted((r[:5] for r in found), key=key) == sorted(rows, key=key)
+    by_shard = {}
+    for r in found:
+        by_shard.setdefault(r[0], []).append(r[-1])
+    assert {k: sorted(v) for k, v in by_shard.items()} == {0: [0, 1, 2], 1: [0], None: [0]}
