@@ -64,7 +64,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, items)
     bad = written(found.where("contaminated").select("text_key").distinct())
-    return docs.withColumn("text_key", F.xxhash64("text")).join(checked_broadcast(bad), "text_key", "left_anti").select(*docs.columns)
+    return docs.join(checked_broadcast(bad), F.xxhash64(docs["text"]) == bad["text_key"], "left_anti")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
