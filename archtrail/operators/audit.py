@@ -157,6 +157,11 @@ def audit(nodes: DataFrame, membership: DataFrame, edges: DataFrame, components:
         .unionByName(thin_modules(sizes))
         .unionByName(module_cycles(members, nodes, module_edges))
     )
+    return ordered(findings)
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Warnings first, then by code and id."""
     severity = F.when(F.col("severity") == SEVERITY_ORDER[0], 0).otherwise(1)
     return findings.orderBy(severity, "code", "id")
 

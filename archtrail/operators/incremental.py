@@ -32,11 +32,14 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def refresh_facts(files: DataFrame, before: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts of the new snapshot, changes). Facts of unchanged files are reused."""
-    changes = cut_lineage(snapshot_changes(before, fingerprint(files)))
+    return take_over(files, cut_lineage(snapshot_changes(before, fingerprint(files))), facts)
+
+
+def take_over(files: DataFrame, changes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for ``changes`` that are known. Only new facts are written; the others stay where they are."""
     stale = changes.select("path")
-    fresh = extract(files.join(stale, "path", "left_semi"))
-    kept = facts.join(stale, "path", "left_anti")
-    return cut_lineage(kept.unionByName(fresh)), changes
+    fresh = cut_lineage(extract(files.join(stale, "path", "left_semi")))
+    return facts.join(stale, "path", "left_anti").unionByName(fresh), changes
 
 
 def structural_difference(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

@@ -72,14 +72,9 @@ def table_sources(files: DataFrame) -> Sources:
     )
 
 
-def file_graph(
-    facts: DataFrame, sources: Sources, generated: Sequence[str] = (), vendored: Sequence[str] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """(file nodes, edge sites)."""
-    sites = cut_lineage(
-        resolve.resolve_sites(import_sites(facts), facts, sources.markers, sources.configs)
-    )
-    files = facts.select(
+def described(facts: DataFrame, generated: Sequence[str] = (), vendored: Sequence[str] = ()) -> DataFrame:
+    """File nodes without their metrics."""
+    return facts.select(
         F.concat(F.lit("file:"), "path").alias("id"),
         F.lit("file").alias("kind"),
         paths.role(
@@ -90,8 +85,21 @@ def file_graph(
         "path",
         "loc",
     )
-    metrics = edges.fan_metrics(files, edges.edge_weights(sites))
-    return cut_lineage(files.join(metrics, "id")), sites
+
+
+def file_nodes(facts: DataFrame, sites: DataFrame, generated: Sequence[str] = (), vendored: Sequence[str] = ()) -> DataFrame:
+    files = described(facts, generated, vendored)
+    return cut_lineage(files.join(edges.fan_metrics(files, edges.edge_weights(sites)), "id"))
+
+
+def file_graph(
+    facts: DataFrame, sources: Sources, generated: Sequence[str] = (), vendored: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(file nodes, edge sites)."""
+    sites = cut_lineage(
+        resolve.resolve_sites(import_sites(facts), facts, sources.markers, sources.configs)
+    )
+    return file_nodes(facts, sites, generated, vendored), sites
 
 
 def layers(files: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:

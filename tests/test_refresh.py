@@ -86,6 +86,13 @@ def first(spark):
     return sources, lookups.resolve_all(facts, sources.markers, sources.configs)
 
 
+@pytest.fixture(scope="module")
+def snapshot(spark):
+    from archtrail.plans import refresh
+
+    return refresh.first(table_sources(make_files(spark, SMALL)))
+
+
 @pytest.mark.parametrize("name", EDITS)
 def test_changed_equals_all(spark, first, name):
     before, state = first
@@ -109,3 +116,36 @@ def test_changed_equals_all(spark, first, name):
     if name == "nothing":
         assert not touched and change.delta.isEmpty()
     assert pairs(now.resolved) == pairs(resolve.resolve_sites(import_sites(facts), facts, after.markers, after.configs))
+
+
+CHANGES = {
+    "touched groups": {"shop/desk.py": "import tools.cut\nfrom tools import bend\n\ndef sell(): pass\n\ndef buy(): pass\n" + "# more\n" * 30, "shop/view.py": "import prices\nfrom .cart import amount, total\n"},
+    "formed again": {"shop/view.py": "import prices\n", "shop/new.py": "from shop import desk\n"},
+    "reused": {},
+}
+KEYS = {"nodes": ["id", "kind", "role", "label", "summary", "path", "loc", "fan_in", "fan_out"], "edges": ["source", "target", "weight", "label"],
+        "evidence": ["source", "target", "file", "line"], "membership": ["child", "parent"], "findings": ["id", "code", "severity", "message", "node_ids", "evidence"]}
+
+
+@pytest.mark.parametrize("kind", CHANGES)
+def test_refreshed_map_equals_a_new_one(spark, snapshot, kind, monkeypatch):
+    from archtrail.plans import analyze, refresh
+
+    after = table_sources(make_files(spark, {**SMALL, **CHANGES[kind]}))
+    whole = None if kind == "reused" else refresh.first(after)
+    if kind != "formed again":
+        monkeypatch.setattr(analyze, "layers", None)  # forming layers again would fail
+    if kind == "reused":
+        monkeypatch.setattr(lookups, "resolve_changed", None)  # and so would any look at the sites
+    now, report = refresh.refresh(snapshot, after)
+    assert report.layers == kind
+    if kind == "reused":
+        assert now is snapshot
+        return
+    for table, columns in KEYS.items():
+        assert incremental.same_structure(getattr(now.map, table), getattr(whole.map, table), columns), table
+    assert incremental.same_structure(now.lines, whole.lines, [*refresh.PAIR, "file", "line", "n"])
+    assert incremental.same_structure(now.symbols, whole.symbols, [*refresh.PAIR, "symbol", "n"])
+    if kind == "touched groups":
+        all_groups = now.map.nodes.where("kind <> 'file'").count()
+        assert 0 < report.touched.count() < all_groups
