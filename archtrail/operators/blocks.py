@@ -74,6 +74,24 @@ def spread_distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": names[gained], "value": best[gained]})
 
 
+def spread_weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for links of a given length (``weight``)."""
+    unreached = np.iinfo(np.int64).max // 2
+    for block in in_blocks(batches):
+        names, source, target = _ends(block)
+        value, weight = block["value"].to_numpy(dtype=np.int64), block["weight"].to_numpy(dtype=np.int64)
+        best = np.full(len(names), unreached, dtype=np.int64)
+        np.minimum.at(best, source, np.where(value < 0, unreached, value))
+        start = best.copy()
+        while True:
+            before = best.copy()
+            np.minimum.at(best, target, best[source] + weight)
+            if np.array_equal(before, best):
+                break
+        gained = (best < start) & (best < unreached)
+        yield pd.DataFrame({"node": names[gained], "value": best[gained]})
+
+
 def _peel(near: np.ndarray, far: np.ndarray, degree: np.ndarray, keep: np.ndarray) -> None:
     """Clear ``keep`` for links whose near end has no link left on its far side,
     and for those that thereby lose their last one. ``degree`` holds the global

@@ -113,7 +113,7 @@ def _spread(
     ``state``: node, value. ``better(new, old)`` compares, ``best`` aggregates
     several proposals for a node. With ``missing``, sources without a value take
     part in the first round under that marker, so that a block can pass values on
-    through them. From the second round on only links leaving a node that just
+    through them. ``links``: source, target and what else the kernel reads. From the second round on only links leaving a node that just
     improved are looked at."""
     sources = state.select(F.col("node").alias("source"), "value")
     active = links.join(sources, "source", "inner" if missing is None else "left")
@@ -121,7 +121,7 @@ def _spread(
         active = active.withColumn("value", F.coalesce("value", missing))
     while True:
         proposed = (
-            active.select("source", "target", "value")
+            active.select(*links.columns, "value")
             .mapInPandas(kernel, f"node string, value {value_type}")
             .groupBy("node")
             .agg(best("value").alias("_proposed"))
@@ -223,14 +223,69 @@ def cyclic_regions(components: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _chain_ranks(links: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(node, behind, ahead, steps) for the nodes with one link in and one out that are not ``fixed(node)``.
+
+    ``behind`` is the nearest node before it that is none, ``steps`` links away. Pointers
+    double, so a chain takes a logarithmic number of rounds."""
+    forth = links.select(F.col("source").alias("node"), F.col("target").alias("ahead"), F.lit(None).cast("string").alias("behind"))
+    back = links.select(F.col("target").alias("node"), F.lit(None).cast("string").alias("ahead"), F.col("source").alias("behind"))
+    ends = forth.unionByName(back).groupBy("node").agg(
+        F.count("ahead").alias("_out"), F.count("behind").alias("_in"), F.min("ahead").alias("ahead"), F.min("behind").alias("behind")
+    )
+    inner = ends.where("_out = 1 AND _in = 1").join(fixed.select("node"), "node", "left_anti")
+    state = cut_lineage(inner.select("node", "behind", "ahead", F.lit(1).cast("bigint").alias("steps")))
+    while True:
+        further = state.select(F.col("node").alias("behind"), F.col("behind").alias("_behind"), F.col("steps").alias("_steps"))
+        state = cut_lineage(state.join(further, "behind", "left").select(
+            "node", F.coalesce("_behind", "behind").alias("behind"), "ahead",
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_behind").isNotNull().alias("_going"),
+        ))
+        if state.where("_going").isEmpty():
+            return state.drop("_going")
+        state = state.drop("_going")
+
+
+def _depths(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, value): fewest links from a root. Chains count as one link of their length."""
+    chains = _chain_ranks(links, roots)
+    names = chains.select("node")
+    outer = links.join(names.withColumnRenamed("node", "source"), "source", "left_anti").join(
+        names.withColumnRenamed("node", "target"), "target", "left_anti"
+    ).select("source", "target", F.lit(1).cast("bigint").alias("weight"))
+    last = chains.join(names.withColumnRenamed("node", "ahead"), "ahead", "left_anti")
+    through = last.select(F.col("behind").alias("source"), F.col("ahead").alias("target"), (F.col("steps") + 1).alias("weight"))
+    short = outer.unionByName(through).where("source <> target").groupBy("source", "target").agg(F.min("weight").alias("weight"))
+    start = roots.select("node", F.lit(0).cast("bigint").alias("value"))
+    depth = _spread(
+        cut_lineage(short), cut_lineage(start), blocks.spread_weighted, "bigint", _less, F.min, missing=F.lit(-1).cast("bigint"),
+    )
+    below = chains.join(depth.withColumnRenamed("node", "behind"), "behind").select("node", (F.col("value") + F.col("steps")).alias("value"))
+    return depth.unionByName(below)
+
+
+def _on_the_way(start: DataFrame, before: DataFrame) -> DataFrame:
+    """(component, node): all that pointers ``before`` lead to from ``start``, itself included.
+
+    In round k the set is joined with the pointers of 2^k steps, so it doubles."""
+    found, jump = start.select("component", "node"), cut_lineage(before)
+    while True:
+        new = cut_lineage(found.join(jump, ["component", "node"]).select("component", F.col("_via").alias("node")))
+        if new.isEmpty():
+            return found
+        found = cut_lineage(found.unionByName(new).distinct())
+        onward = jump.select("component", F.col("node").alias("_via"), F.col("_via").alias("_next"))
+        jump = cut_lineage(jump.join(onward, ["component", "_via"]).select("component", "node", F.col("_next").alias("_via")))
+
+
 def representative_cycles(components: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, position, node): for each cyclic component one shortest cycle
     through its smallest node, which stands at position 0.
 
     Distances from all smallest nodes spread at once; the cycle closes over the
     nearest (then smallest) node with a link back and is read backwards along the
-    smallest predecessor one step closer. It comes as rows, so its length has no
-    bound."""
+    smallest predecessor one step closer. Chains are ranked and the way back is
+    found by pointer doubling, so a long cycle takes few rounds; it comes as rows."""
     regions = cut_lineage(cyclic_regions(components, edges))
     owner = regions.select(F.col("node").alias("source"), "component")
     other = regions.select(F.col("node").alias("target"), F.col("component").alias("_other"))
@@ -242,41 +297,26 @@ def representative_cycles(components: DataFrame, edges: DataFrame) -> DataFrame:
         .where(F.col("component") == F.col("_other"))
         .select("component", "source", "target")
     )
-    roots = regions.where(F.col("node") == F.col("component")).select(
-        "node", F.lit(0).cast("bigint").alias("value")
-    )
-    depth = _spread(
-        links.where(F.col("source") != F.col("target")), cut_lineage(roots), blocks.spread_distance,
-        "bigint", _less, F.min, missing=F.lit(-1).cast("bigint"),
-    )
+    roots = regions.where(F.col("node") == F.col("component")).select("node")
+    depth = cut_lineage(_depths(links.where(F.col("source") != F.col("target")).select("source", "target"), roots))
     from_depth = depth.select(F.col("node").alias("source"), F.col("value").alias("depth"))
     at_depth = depth.select(F.col("node").alias("target"), F.col("value").alias("_depth"))
     measured = cut_lineage(links.join(from_depth, "source").join(at_depth, "target"))
-    closing = (
+    closing = cut_lineage(
         measured.where(F.col("target") == F.col("component"))
         .groupBy("component")
         .agg(F.min(F.struct("depth", "source")).alias("_end"))
         .select("component", F.col("_end.source").alias("node"), F.col("_end.depth").alias("depth"))
     )
-    before = cut_lineage(
+    nearer = closing.select("component", F.col("depth").alias("_length"))
+    before = (
         measured.where(F.col("depth") + 1 == F.col("_depth"))
+        .join(nearer, "component").where(F.col("_depth") <= F.col("_length"))
         .groupBy("component", F.col("target").alias("node"))
         .agg(F.min("source").alias("_via"))
     )
-    at = cut_lineage(closing)
-    rows = [at]
-    while True:
-        at = cut_lineage(
-            at.join(before, ["component", "node"]).select(
-                "component", F.col("_via").alias("node"), (F.col("depth") - 1).alias("depth")
-            )
-        )
-        if at.isEmpty():
-            break
-        rows.append(at)
-    return reduce(DataFrame.unionByName, rows).select(
-        "component", F.col("depth").cast("bigint").alias("position"), "node"
-    )
+    found = _on_the_way(closing, before)
+    return found.join(depth, "node").select("component", F.col("value").alias("position"), "node")
 
 
 def dependency_order_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -372,10 +372,25 @@ def cyclic_regions(spark, sf_dir):
     return cycles.cyclic_regions(components, links)
 
 
-@query("cycle_representative")
+@query(
+    "cycle_representative",
+    f"""{RECURSIVE}, {CLOSURE.format(edges='links', nodes='ids')},
+    inside AS (SELECT DISTINCT a.component, source, target FROM links JOIN comps a ON a.node = source
+      JOIN comps b ON b.node = target WHERE a.component = b.component),
+    far(component, node, depth) USING KEY (component, node) AS (SELECT DISTINCT component, component, 0 FROM inside
+      UNION SELECT DISTINCT f.component, i.target, f.depth + 1 FROM far f JOIN inside i ON i.component = f.component AND i.source = f.node
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.far r WHERE r.component = f.component AND r.node = i.target)),
+    ending AS (SELECT i.component, min(struct_pack(d := depth, n := source)) AS e FROM inside i JOIN far f
+      ON f.component = i.component AND f.node = i.source WHERE i.target = i.component GROUP BY i.component),
+    nearer AS (SELECT i.component, i.target AS node, min(i.source) AS via FROM inside i
+      JOIN far a ON a.component = i.component AND a.node = i.source JOIN far b ON b.component = i.component AND b.node = i.target
+      WHERE a.depth + 1 = b.depth GROUP BY i.component, i.target),
+    way AS (SELECT component, e.n AS node, e.d AS position FROM ending
+      UNION ALL SELECT w.component, via, position - 1 FROM way w JOIN nearer n ON n.component = w.component AND n.node = w.node)
+    SELECT component, CAST(position AS BIGINT) AS position, node FROM way""",
+)
 def cycle_representative(spark, sf_dir):
-    """No SQL: which shortest cycle is shown depends on the search order. Tests
-    check validity and rotation against brute force."""
+    """Of each cyclic component a shortest cycle through its smallest node."""
     links = t.document_edges(spark, sf_dir)
     components = cycles.strong_components(t.document_files(spark, sf_dir).select("id"), links)
     return cycles.representative_cycles(components, links)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths
-from archtrail.operators import communities, edges, facts, incremental, naming, resolve
+from archtrail.operators import communities, edges, facts, incremental, lookups, naming, resolve
 from archtrail.plans import tables as t
 from archtrail.plans.registry import query
 from archtrail.plans.trade_queries import firm_graph
@@ -289,6 +289,76 @@ def incremental_facts(spark, sf_dir):
     return sites.select("importer", "line", F.array_join("symbols", ",").alias("symbols"))
 
 
+# Five orders change customers, one customer's class file goes and a script library gets a
+# second, closer spelling: what the sites of the next snapshot are, and which were asked again.
+EDITED = "SELECT min(o_orderkey) + (max(o_orderkey) - min(o_orderkey)) * g.i // 5 AS near FROM orders, (SELECT unnest(range(5)) AS i) g GROUP BY g.i"
+AFTER = f"""WITH picked AS (SELECT DISTINCT (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= near) AS k FROM ({EDITED})),
+  gone AS (SELECT min(c_custkey) AS c FROM customer),
+  o AS (SELECT 'orders/order_' || o_orderkey || '.py' AS file, CASE WHEN o_orderkey IN (SELECT k FROM picked) THEN 'F' ELSE o_orderstatus END AS s,
+    CASE WHEN o_orderkey IN (SELECT k FROM picked) THEN (SELECT max(c_custkey) FROM customer) ELSE o_custkey END AS c FROM orders),
+  p AS (SELECT 'web/parts/part_' || p_partkey || '.ts' AS file, p_type AS s, replace(p_brand, '#', '_') AS b FROM part),
+  sites AS (
+    SELECT file, CAST(CASE s WHEN 'F' THEN 1 WHEN 'O' THEN 3 ELSE 2 END AS BIGINT) AS line,
+      'accounts/cust_' || c || CASE WHEN s = 'O' OR s = 'F' AND c <> (SELECT c FROM gone) THEN '/core.py' ELSE '/__init__.py' END AS target,
+      CASE WHEN s IN ('F', 'O') THEN 'Customer_' || c ELSE 'cust_' || c END AS symbols
+    FROM o WHERE s <> 'O' OR c <> (SELECT c FROM gone)
+    UNION ALL SELECT 'accounts/cust_' || c_custkey || '/__init__.py', 1,
+      'accounts/cust_' || c_custkey || '/core.py', 'Customer_' || c_custkey FROM customer WHERE c_custkey <> (SELECT c FROM gone)
+    UNION ALL SELECT file, CASE s WHEN 'ECONOMY' THEN 1 ELSE 2 END, 'web/lib/' || b || '.ts',
+      CASE s WHEN 'ECONOMY' THEN b ELSE '' END FROM p)"""
+
+
+def _next_snapshot(spark: SparkSession, sf_dir: str, before: DataFrame) -> DataFrame:
+    orders = t.table(spark, sf_dir, "orders").select("o_orderkey")
+    span = orders.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    near = span.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.col("low") + F.floor((F.col("high") - F.col("low")) * i / 5))).alias("near"))
+    picked = near.join(orders, F.col("o_orderkey") >= F.col("near")).groupBy("near").agg(F.min("o_orderkey").alias("k")).select("k").distinct()
+    customers = t.table(spark, sf_dir, "customer").agg(F.min("c_custkey").alias("gone"), F.max("c_custkey").alias("new"))
+    edits = picked.crossJoin(customers).select(
+        _text("orders/order_", F.col("k"), ".py").alias("path"),
+        _text("from accounts.cust_", F.col("new"), " import Customer_", F.col("new"), "\n").alias("_body"),
+    )
+    gone = customers.select(_text("accounts/cust_", F.col("gone"), "/core.py").alias("path"))
+    return before.join(gone, "path", "left_anti").join(edits, "path", "left").select(
+        "path", F.coalesce(F.encode("_body", "UTF-8"), "content").alias("content")
+    )
+
+
+def _refreshed(spark: SparkSession, sf_dir: str):
+    before = cut_lineage(source_rows(spark, sf_dir))
+    state = lookups.resolve_all(cut_lineage(facts.extract(before)), _no_markers(spark), _configs(spark))
+    after = cut_lineage(_next_snapshot(spark, sf_dir, before))
+    known, changes = incremental.refresh_facts(after, incremental.fingerprint(before), state.facts)
+    now, change = lookups.resolve_changed(state, known, changes.select("path"), _no_markers(spark), _configs(spark))
+    return state, now, change
+
+
+@query(
+    "incremental_sites",
+    f"{AFTER} SELECT 'file:' || file AS source, 'file:' || target AS target, file, line, symbols FROM sites",
+)
+def incremental_sites(spark, sf_dir):
+    """All edge sites after the edits, of which only those were resolved again that asked for something the edits changed."""
+    _, now, _ = _refreshed(spark, sf_dir)
+    return now.resolved.select("source", "target", "file", "line", F.array_join("symbols", ",").alias("symbols"))
+
+
+@query(
+    "incremental_reach",
+    f"""{AFTER}, again AS (SELECT file FROM o WHERE file IN (SELECT 'orders/order_' || k || '.py' FROM picked)
+      UNION ALL SELECT 'orders/order_' || o_orderkey || '.py' FROM orders WHERE o_orderkey NOT IN (SELECT k FROM picked)
+        AND o_custkey = (SELECT c FROM gone) AND o_orderstatus IN ('F', 'O')
+      UNION ALL SELECT 'accounts/cust_' || c || '/__init__.py' FROM gone)
+    SELECT file AS importer, (SELECT count(*) FROM orders) + (SELECT count(*) FROM orders WHERE o_orderstatus = 'O')
+      + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) AS all_sites FROM again""",
+)
+def incremental_reach(spark, sf_dir):
+    """Importers of the sites that were resolved again, next to the number of all sites before."""
+    state, _, change = _refreshed(spark, sf_dir)
+    total = state.sites.agg(F.count(F.lit(1)).alias("all_sites"))
+    return change.again.select("importer").crossJoin(total)
+
+
 @query(
     "structural_diff",
     """SELECT 'c:' || c_custkey AS id, 'before' AS side FROM customer WHERE c_acctbal < 0

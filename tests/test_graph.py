@@ -216,3 +216,20 @@ def test_long_paths_take_few_rounds(spark, monkeypatch, shape):
     lowest = min(on_cycle, default=None)
     assert found == {n: lowest if n in set(on_cycle) else n for n in {*names, "x"}}
     assert len(written) < 50
+
+
+def test_cycle_through_a_long_ring(spark, monkeypatch):
+    """Two rings of one component: the shorter way closes; tables written grow with the logarithm of the length."""
+    size = 2000
+    names = [f"n{k:05d}" for k in range(size)]
+    random.Random(4).shuffle(names)
+    start = names.index(min(names))
+    ring = names[start:] + names[:start]
+    links = [*zip(ring, ring[1:] + ring[:1]), (ring[700], ring[900])]
+    written = []
+    monkeypatch.setattr(cycles, "cut_lineage", lambda df, cut=cycles.cut_lineage: written.append(1) or cut(df))
+    components = spark.createDataFrame([(n, ring[0]) for n in names], "node string, component string")
+    frame = spark.createDataFrame(links, "source string, target string").repartition(16)
+    at = {r.position: r.node for r in cycles.representative_cycles(components, frame).collect()}
+    assert [at[k] for k in range(len(at))] == ring[:701] + ring[900:]
+    assert len(written) < 75
