@@ -21,6 +21,7 @@ BEFORE_EXPRESSION = frozenset({
 })
 MODIFIERS = frozenset({"abstract", "async", "declare", "default"})
 DECLARED = frozenset({"class", "enum", "function", "interface", "type"})
+CONDITIONS = frozenset({"for", "if", "while", "with"})
 PUBLIC = frozenset({"class", "const", "function", "let", "var"})
 # ---------------------------------------------------------------------------
 
@@ -33,6 +34,8 @@ _PIECE = re.compile(
 _PATTERN = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[\w$]*")
 _TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*", re.DOTALL)
 _GENERIC = re.compile(rf"<\s*(?:{_NAME})\s*(?:,|extends\b)")
+_BARE = re.compile(rf"<\s*(?P<name>{_NAME})\s*>\s*\(")
+_STATEMENT = re.compile(r"^[ \t]*(?:import|export)\b", re.MULTILINE)
 _TAG_PART = re.compile(r"""\s+|[\w$.:-]+|=|'[^']*'|"[^"]*"|/>|>|\{|/|.""", re.DOTALL)
 
 
@@ -43,52 +46,109 @@ class Token(NamedTuple):
     fresh: bool  # first token of its line
 
 
-def _ends_value(token: Token | None) -> bool:
-    """Whether an operand ends here, so that ``/`` divides and ``<`` compares."""
-    if token is None:
-        return False
+def _ends_value(token: Token) -> bool:
+    """Whether an operand ends with this token, so that ``/`` divides and ``<`` compares (brackets apart)."""
     if token.kind == "sign":
-        return token.text in {")", "]", "}", "++", "--"}
+        return token.text in {"]", "++", "--"}
     return not (token.kind == "name" and token.text in BEFORE_EXPRESSION)
 
 
+def _opens_block(before: Token | None, ended: bool) -> bool:
+    """Whether ``{`` after this token opens a block, not an object."""
+    if before is None or before.text in {"=>", ";", "{", "}", ")"} and before.kind == "sign":
+        return True
+    return ended or (before.kind == "name" and before.text in {"else", "do", "try", "finally", "default"})
+
+
+def _is_type_parameters(source: str, at: int) -> bool:
+    """Whether ``<`` begins type parameters (of a function type or a generic arrow) and no tag.
+
+    A bare ``<T>(…)`` is one where ``=>`` follows, which text of a tag cannot hold, or ``:``
+    and nothing closes a tag of that name."""
+    if _GENERIC.match(source, at):
+        return True
+    if not (found := _BARE.match(source, at)):
+        return False
+    depth, k = 0, found.end() - 1
+    for k in range(found.end() - 1, len(source)):
+        depth += (source[k] == "(") - (source[k] == ")")
+        if not depth:
+            break
+    after = re.compile(r"\s*(=>|:)?").match(source, k + 1)[1]
+    return after == "=>" or (after == ":" and f"</{found['name']}" not in source[at:])
+
+
 def tokens(source: str, jsx: bool) -> Iterator[Token]:
-    """The tokens of a file; ``modes`` says what a closing brace goes back to."""
-    at, line, seen_line, last = 0, 1, 0, None
+    """The tokens of a file. Where a template or tag never ends it was taken for one by
+    mistake (or the file is broken): reading goes on at the next line that imports or exports."""
+    at, line = 0, 1
+    while True:
+        found, unclosed = _scan(source, at, line, jsx)
+        again = _STATEMENT.search(source, unclosed[1] + 1) if unclosed else None
+        if not again:
+            yield from found
+            return
+        yield from found[: unclosed[0]]
+        at, line = again.start(), source.count("\n", 0, again.start()) + 1
+
+
+def _scan(source: str, at: int, line: int, jsx: bool) -> tuple[list[Token], tuple[int, int] | None]:
+    """Tokens from ``at`` on, and (tokens before it, place) of the first template or tag that stays open.
+
+    ``modes`` says what a closing brace goes back to, ``brackets`` whether a closing bracket ends an operand."""
+    out: list[Token] = []
+    seen_line, ended = 0, False
     modes: list[str] = []  # "{", "`" (template), "<" (inside a tag), ">" (JSX children)
+    opened: list[tuple[int, int]] = []
+    brackets: list[bool] = []
+
+    def push(mode: str) -> None:
+        modes.append(mode)
+        opened.append((len(out), at))
 
-    def made(kind: str, text: str) -> Token:
-        nonlocal last, seen_line
-        last = Token(kind, text, line, line != seen_line)
+    def pop() -> None:
+        modes.pop()
+        opened.pop()
+
+    def made(kind: str, text: str) -> None:
+        nonlocal seen_line, ended
+        out.append(Token(kind, text, line, line != seen_line))
         seen_line = line + text.count("\n")
-        return last
+        ended = _ends_value(out[-1])
 
     while at < len(source):
         mode = modes[-1] if modes else "{"
         if mode == "`":
             body = _TEMPLATE.match(source, at).group()
-            yield made("template", body)
+            made("template", body)
             at += len(body)
             line += body.count("\n")
-            opens = source.startswith("${", at)
-            modes.append("{") if opens else modes.pop()
-            at += 2 if opens else 1
+            if source.startswith("${", at):
+                push("{")
+                brackets.append(False)
+                ended = False
+                at += 2
+            elif at < len(source):
+                pop()
+                at += 1
             continue
         if mode == ">":
             end = min((p for p in (source.find("<", at), source.find("{", at)) if p >= 0), default=len(source))
             line += source.count("\n", at, end)
             at = end
             if source.startswith("{", at):
-                modes.append("{")
+                push("{")
+                brackets.append(False)
+                ended = False
                 at += 1
             elif source.startswith("</", at):
                 close = source.find(">", at)
-                modes.pop()
+                pop()
                 line += source.count("\n", at, close + 1 if close >= 0 else len(source))
                 at = close + 1 if close >= 0 else len(source)
-                yield made("text", "")
+                made("text", "")
             elif at < len(source):
-                modes.append("<")
+                push("<")
                 at += 1
             continue
         if mode == "<":
@@ -96,34 +156,47 @@ def tokens(source: str, jsx: bool) -> Iterator[Token]:
             at += len(part)
             line += part.count("\n")
             if part == "/>":
-                modes.pop()
-                yield made("text", "")
+                pop()
+                made("text", "")
             elif part == ">":
                 modes[-1] = ">"
             elif part == "{":
-                modes.append("{")
+                push("{")
+                brackets.append(False)
+                ended = False
             continue
         found = _PIECE.match(source, at)
         kind, text = found.lastgroup, found.group()
-        if kind == "sign" and text == "/" and not _ends_value(last) and (pattern := _PATTERN.match(source, at)):
+        if kind == "sign" and text == "/" and not ended and (pattern := _PATTERN.match(source, at)):
             kind, text = "pattern", pattern.group()
-        if kind == "sign" and text == "<" and jsx and not _ends_value(last) and re.match(r"<[A-Za-z_$>]", source[at : at + 2]) and not _GENERIC.match(source, at):
-            modes.append("<")
+        if kind == "sign" and text == "<" and jsx and not ended and re.match(r"<[A-Za-z_$>]", source[at : at + 2]) and not _is_type_parameters(source, at):
+            push("<")
             at += 1
             continue
-        at += len(text)
         if kind == "sign" and text == "`":
-            modes.append("`")
+            push("`")
+            at += 1
             continue
+        at += len(text)
+        before, value = out[-1] if out else None, ended
         if kind == "sign" and text == "{" and modes:
-            modes.append("{")
+            push("{")
         elif kind == "sign" and text == "}" and modes:
-            modes.pop()
+            pop()
             if modes and modes[-1] != "{":  # back in a template, a tag or its children
+                brackets and brackets.pop()
                 continue
         if kind != "skip":
-            yield made(kind, text)
+            made(kind, text)
+        if kind == "sign" and text == "(":
+            called = len(out) > 2 and out[-3].text in {".", "?."}
+            brackets.append(not (before is not None and before.kind == "name" and before.text in CONDITIONS and not called))
+        elif kind == "sign" and text == "{":
+            brackets.append(not _opens_block(before, value))
+        elif kind == "sign" and text in (")", "}"):
+            ended = brackets.pop() if brackets else text == ")"
         line += text.count("\n")
+    return out, next((place for mode, place in zip(modes, opened, strict=True) if mode != "{"), None)
 
 
 def _closing(code: list[Token], at: int, opened: str, closed: str) -> int:

@@ -155,6 +155,14 @@ SCRIPTS = {
     "tags": ("const F = () => (<div a='x' b={require('./in')}>it's {import('./kid')} <br/> ( </div>)\nimport q from './q'", {("./in", 1, ()), ("./kid", 1, ()), ("./q", 2, ("q",))}),
     "generic": ("const f = <T,>(x: T) => x\nlet a = b < c\nimport fs = require('fs')", {("fs", 3, ())}),
     "bracket": ("function f( {\nimport x from './x'", {("./x", 2, ("x",))}),
+    "pattern after a condition": ("if (x) /`/.test(y)\nimport a from './a'", {("./a", 2, ("a",))}),
+    "pattern after a block": ("function f() {\n}\n/`/.test(y)\nimport a from './a'", {("./a", 4, ("a",))}),
+    "division after a call and an object": ("x = f(a) / 2; y = {} / 2; z = (a) / `b`\nimport a from './a'", {("./a", 2, ("a",))}),
+    "type parameter": ("type F = <T>(x: T) => T\nimport a from './a'", {("./a", 2, ("a",))}),
+    "type parameter of a member": ("interface A { f: <T>(x: T) => void; g: <U>(y: U): U }\nimport a from './a'", {("./a", 2, ("a",))}),
+    "tag with brackets": ("const x = <Note>(so): {require('./in')}</Note>\nimport a from './a'", {("./in", 1, ()), ("./a", 2, ("a",))}),
+    "template that never ends": ("const t = `open ${1}\nimport a from './a'\nexport * from './b'", {("./a", 2, ("a",)), ("./b", 3, ())}),
+    "condition named like a method": ("x.if(a) / 2 / `t`\nimport a from './a'", {("./a", 2, ("a",))}),
     "key": ("x = {\nimport: 'a', from: 'b' }", set()),
 }
 
