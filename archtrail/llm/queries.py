@@ -114,6 +114,72 @@ from p left join fits using (page_id) left join h2 using (host)
 """
 
 
+#: CRC-32 of each byte value; a text's is folded from it.
+_CRC = "t as (select list(c order by i) as crc from (select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) r(i)))"
+
+SQL_SHARDS = f"""
+with {_CRC},
+b as (select doc_id, octet_length(encode(coalesce(text, ''))) as n, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint)) as bytes from documents),
+s as (select doc_id, cast(n + 1 as bigint) as size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as text_crc32,
+  list_transform(range(17), lambda k: cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || k), 1, 13) as bigint)) as h from b, t),
+p as (select doc_id, size, text_crc32, list_position(h[1:16], list_max(h[1:16])) - 1 as shard, list_position(h, list_max(h)) - 1 as grown_shard,
+  substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || text_crc32 || ':' || size), 1, 3) as grp from s)
+select doc_id, size, text_crc32, 'key' as law, cast(shard as integer) as shard,
+  row_number() over (partition by shard order by grp, doc_id, text_crc32, size) - 1 as slot, cast(grown_shard as integer) as grown_shard from p
+"""
+
+SQL_REPEATS = """
+with d as (select row_number() over () as row, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select *, length(h) // 2 as n from d),
+w as (select row, doc_id, k, substr(h, 2 * k + 1, 100) as s from b, unnest(range(greatest(n - 49, 0))) u(k)),
+first as (select s, min(doc_id) as least from w group by s),
+hit as (select row, k from w join first using (s) where least < doc_id),
+edge as (select row, k, k + 50 as e, lag(k + 50) over (partition by row order by k) as before from hit),
+run as (select row, k, e, sum(case when before is null or before < k then 1 else 0 end) over (partition by row order by k) as r from edge),
+span as (select row, r, min(k) as a, max(e) as z from run group by row, r),
+spans as (select row, sum(z - a) as n_removed, count(*) as n_spans, list(struct_pack(a := a, z := z) order by a) as s from span group by row),
+kept as (select row, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' order by f) as h from (
+  select b.row, h, unnest(list_concat([0], list_transform(coalesce(s, []), lambda x: x.z))) as f, unnest(list_concat(list_transform(coalesce(s, []), lambda x: x.a), [n])) as t from b left join spans using (row)) group by row)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(k.h)) as kept_sha256
+from b left join spans using (row) join kept k using (row)
+"""
+
+SQL_CONVERSATIONS = rf"""
+with recursive {_CRC},
+named as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+drawn as (select *, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(name)), '..'), lambda x: cast('0x' || x as bigint)), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 20 as what from named, t),
+hurt as (
+  select conv_id, turn, case when what = 4 then 'user' else role end as role, case what when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from drawn, unnest(range(case what when 0 then 0 when 3 then 2 else 1 end))),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from hurt),
+lined as (
+  select *, left(role, 1) as r, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as sign, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+    lag(left(role, 1)) over (partition by conv_id order by i) as before from numbered),
+ruled as (select *, case when sign = '' then 'blank' when again then 'duplicate' when sign not in ('.', '!', '?') then 'truncated' else '' end as fault from lined),
+counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || r not in ('su', 'ua', 'au')) as illegal from ruled group by conv_id),
+inserts as (select * from (values (0, 0, '', 0, []), (0, 2, 'I', 3, ['user:']), (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 1, '', 0, []), (1, 2, 'I', 3, ['user:']), (1, 3, 'II', 6, ['user:', 'assistant:']),
+  (2, 2, '', 0, []), (2, 3, 'I', 3, ['assistant:']), (2, 2, 'II', 6, ['assistant:', 'user:']), (3, 3, '', 0, []), (3, 2, 'I', 3, ['user:']), (3, 3, 'II', 6, ['user:', 'assistant:'])) v(s, m, w, c, lines)),
+edits as (
+  select conv_id, i, m, m as z, 'D' as w, 4 as c, cast([] as varchar[]) as lines from ruled, range(4) u(m)
+  union all select conv_id, i, m, z, 'K', case fault when 'truncated' then 3 else 0 end, [role || ':' || text] from ruled
+    join (values ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) k(k, m, z) on r = k where fault in ('', 'truncated')
+  union all select conv_id, i, m, z, 'R', case fault when 'truncated' then 6 else 3 end, [made || ':' || text] from ruled, (values (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')) v(m, z, made) where fault in ('', 'truncated')),
+dp as (
+  select conv_id, cast(0 as bigint) as i, 0 as s, struct_pack(cost := cast(0 as bigint), audit := '', lines := cast([] as varchar[])) as best from counts
+  union all
+  select d.conv_id, e.i, e.z, min(struct_pack(cost := d.best.cost + n.c + e.c, audit := d.best.audit || n.w || e.w, lines := list_concat(d.best.lines, n.lines, e.lines)))
+  from dp d join inserts n on n.s = d.s join edits e on e.conv_id is not distinct from d.conv_id and e.i = d.i + 1 and e.m = n.m group by d.conv_id, e.i, e.z),
+done as (
+  select d.conv_id, min(struct_pack(cost := d.best.cost + n.c, audit := d.best.audit || n.w, lines := list_concat(d.best.lines, n.lines))) as best
+  from dp d join counts k on k.conv_id is not distinct from d.conv_id and k.n = d.i join inserts n on n.s = d.s and n.m in (0, 3) group by d.conv_id)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.cost, 0) as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join counts k on k.conv_id is not distinct from c.conv_id left join done d on d.conv_id is not distinct from c.conv_id
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -128,7 +194,7 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-@query()
+@query(SQL_REPEATS)
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.suffix_dedup import remove_repeats
 
@@ -149,7 +215,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.col("n_grams").alias("n_shingles"), F.col("group_id").alias("component_id"))
 
 
-@query()
+@query(SQL_SHARDS)
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.sharding import assign, slots
 
@@ -228,7 +294,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), F.length(text).cast("long").alias("n_bytes"), F.crc32(text).alias("text_crc32"))
 
 
-@query()
+@query(SQL_CONVERSATIONS)
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archtrail.llm.conversations import conversation_report
 
