@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths
-from archtrail.operators import audit, communities, cycles, edges, incremental, naming, resolve
+from archtrail.operators import audit, communities, cycles, edges, ignore, incremental, naming, resolve
 from archtrail.operators.facts import extract, import_sites
 from archtrail.session import cut_lineage
 from archtrail.sources import tree
@@ -59,16 +59,18 @@ def tree_sources(spark: SparkSession, root: str | Path) -> Sources:
 
 
 def table_sources(files: DataFrame) -> Sources:
-    """Sources from rows that already hold path and content; special files are
-    found among them by name."""
-    name = paths.basename(F.col("path"))
-    code = paths.language(F.col("path")).isNotNull()
-    marked = files.where(name.isin(*tree.PACKAGING_MARKERS))
+    """Sources from rows that already hold path and content; special files, ignore files
+    among them, are found by name."""
+    kinds = cut_lineage(tree.kinds_of(files.select("path"), ignore.rule_sets(files)))
+
+    def of_kind(kind: str) -> DataFrame:
+        return files.join(kinds.where(F.col("kind") == kind).select("path"), "path", "left_semi").select("path", "content")
+
     return Sources(
-        files=files.where(code).select("path", "content"),
-        markers=marked.select(paths.parent(F.col("path")).alias("directory")).distinct(),
-        configs=tree.parse_configs(files.where(name == tree.CONFIG_NAME).select("path", "content")),
-        headings=naming.readme_headings(files.where(name.isin(*tree.README_NAMES))),
+        files=of_kind("source"),
+        markers=of_kind("marker").select(paths.parent(F.col("path")).alias("directory")).distinct(),
+        configs=tree.parse_configs(of_kind("config")),
+        headings=naming.readme_headings(of_kind("readme")),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths
-from archtrail.operators import communities, edges, facts, incremental, lookups, naming, resolve
+from archtrail.operators import communities, edges, facts, ignore, incremental, lookups, naming, resolve
 from archtrail.plans import tables as t
 from archtrail.plans.registry import query
 from archtrail.plans.trade_queries import firm_graph
@@ -217,6 +217,36 @@ def resolve_alias(spark, sf_dir):
     )
 
 
+# Every customer is a file below its region and nation. The top leaves out files by two
+# patterns and one nation's directory, the regions take some back, nations with an even key
+# leave out all but some; a file in a directory that is left out cannot be taken back.
+@query(
+    "ignored_paths",
+    """WITH f AS (SELECT r_name AS r, n_name AS n, n_nationkey AS k, c_custkey AS c, right(c_custkey::VARCHAR, 1) AS d FROM customer
+      JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+    said AS (SELECT *, n = 'CHINA' OR n = 'JAPAN' AND r <> 'ASIA' OR n = 'PERU' AS shut,
+      CASE WHEN k % 2 = 0 THEN CASE WHEN d IN ('3', '7') THEN false ELSE true END END AS nation_says,
+      CASE WHEN d = '7' THEN false END AS region_says, CASE WHEN d IN ('1', '7') THEN true WHEN c::VARCHAR LIKE '%99%' THEN true END AS top_says FROM f)
+    SELECT r || '/' || n || '/c_' || c || '.py' AS path FROM said
+    WHERE NOT shut AND NOT coalesce(nation_says, region_says, top_says, false)""",
+)
+def ignored_paths(spark, sf_dir):
+    """Nested ignore files with lines that take files back."""
+    nation = t.table(spark, sf_dir, "nation").join(
+        t.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("home"), "r_name")
+    files = t.table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        _text(F.col("home"), "/c_", F.col("c_custkey"), ".py").alias("path")
+    )
+    top = "# by number\n*[17].py\n**/c_*99*.py\n\n/*/CHINA/\nPERU/\nMOROCCO/*/\n"
+    rules = (
+        nation.where("n_nationkey = 0").select(F.lit("").alias("base"), F.lit(top).alias("lines"))
+        .unionByName(nation.select(F.col("r_name").alias("base"), F.lit("!*7.py\n!c_*/\n").alias("lines")).distinct())
+        .unionByName(nation.where("n_nationkey % 2 = 0").select(F.col("home").alias("base"), F.lit("*.py\n!/c_*3.py\n!**/c_*[7-7].py\n").alias("lines")))
+    )
+    return ignore.kept_paths(files, rules).where("not by_name").select("path")
+
+
 # -------------------------------------------------------------------- communities
 def _group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = t.document_files(spark, sf_dir).where("role = 'source'")

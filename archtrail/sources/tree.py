@@ -15,8 +15,10 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archtrail.functions.paths import LANGUAGE_BY_SUFFIX
+from archtrail.functions import paths
+from archtrail.operators import ignore
 
 # ---------------------------------------------------------------------------
 # Directories never entered (the first is our own output), files
@@ -43,94 +45,50 @@ CONFIG_NAME = "tsconfig.json"
 # ---------------------------------------------------------------------------
 
 
-def ignore_pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
-    """One ignore-file line as (expression over relative paths, excludes?,
-    directories only?); None for blanks and comments."""
-    text = line.rstrip("\n")
-    text = text if text.endswith("\\ ") else text.rstrip()
-    if not text or text.startswith("#"):
-        return None
-    excludes = not text.startswith("!")
-    text = text if excludes else text[1:]
-    if not text or text == "/":
-        raise ValueError(f"invalid path pattern: {line!r}")
-    text = text[1:] if text.startswith("\\") else text
-    only_directories = text.endswith("/")
-    anchored = "/" in text.rstrip("/")
-    body = ""
-    for piece in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?[^\]]+\]|.", text.strip("/")):
-        if piece == "**/":
-            body += "(?:.*/)?"
-        elif piece == "/**":
-            body += "/.*"
-        elif piece in ("*", "**"):
-            body += "[^/]*"
-        elif piece == "?":
-            body += "[^/]"
-        elif len(piece) > 1:
-            body += piece.replace("[!", "[^")
-        else:
-            body += re.escape(piece)
-    return re.compile(("" if anchored else "(?:.*/)?") + body + r"\Z"), excludes, only_directories
-
-
 def path_pattern(line: str) -> str:
     """A configured path pattern as an expression for ``rlike``: it matches files
     and everything below a matching directory."""
-    parsed = ignore_pattern(line)
+    parsed = ignore.rule(line)
     if parsed is None:
         raise ValueError(f"invalid path pattern: {line!r}")
     below = "/.+" if parsed[2] else "(?:/.+)?"
-    return "^" + parsed[0].pattern.removesuffix(r"\Z") + below + "$"
-
-
-def _patterns(path: Path) -> list:
-    try:
-        return [p for p in map(ignore_pattern, path.read_text().splitlines()) if p]
-    except OSError:
-        return []
-
-
-def _is_ignored(relative: str, is_dir: bool, layers: list) -> bool:
-    """The last matching line of the innermost matching file decides."""
-    ignored = False
-    for base, patterns in layers:
-        inner = relative[len(base) :]
-        for expression, excludes, only_directories in patterns:
-            if (is_dir or not only_directories) and expression.match(inner):
-                ignored = excludes
-    return ignored
-
-
-def walk(root: str | Path) -> Iterator[tuple[str, str]]:
-    """(kind, relative path) of source files, readmes, markers and configs, ignored
-    and pruned directories left out before they are entered."""
-    root = Path(root).resolve()
-    pending = [("", [("", _patterns(root / ".git" / "info" / "exclude"))])]
-    while pending:
-        directory, layers = pending.pop()
-        prefix = directory + "/" if directory else ""
-        own = _patterns(root / directory / ".gitignore")
-        layers = [*layers, (prefix, own)] if own else layers
-        for entry in sorted(os.scandir(root / directory), key=lambda item: item.name):
-            relative = prefix + entry.name
-            if entry.is_dir():
-                if entry.name not in PRUNED_DIRECTORIES and not _is_ignored(relative, True, layers):
-                    pending.append((relative, layers))
-            elif Path(entry.name).suffix.lower() in LANGUAGE_BY_SUFFIX:
-                if not _is_ignored(relative, False, layers):
-                    yield "source", relative
-            if entry.name in PACKAGING_MARKERS and entry.is_file():
-                yield "marker", relative
-            elif entry.name in README_NAMES and entry.is_file():
-                yield "readme", relative
-            elif entry.name == CONFIG_NAME and entry.is_file():
-                yield "config", relative
+    return "^" + parsed[0] + below + "$"
+
+
+def walk(root: str | Path) -> Iterator[str]:
+    """Relative paths of all files below ``root`` outside of pruned directories."""
+    base = str(Path(root).resolve())
+    for folder, inner, names in os.walk(base):
+        inner[:] = sorted(set(inner) - PRUNED_DIRECTORIES)
+        yield from (os.path.relpath(os.path.join(folder, name), base).replace(os.sep, "/") for name in sorted(names))
+
+
+def kinds_of(listing: DataFrame, rules: DataFrame) -> DataFrame:
+    """(kind, path) of the source files, readmes, markers and configs among ``listing(path)``.
+
+    All of a directory that the ignore ``rules`` leave out is gone; a rule for a file itself
+    counts for source files."""
+    left = ignore.kept_paths(listing, rules, tuple(sorted(PRUNED_DIRECTORIES)))
+    name = paths.basename(F.col("path"))
+    source = paths.language(F.col("path")).isNotNull() & ~F.col("by_name")
+    kinds = F.array(
+        F.when(source, "source"), F.when(name.isin(*PACKAGING_MARKERS), "marker"),
+        F.when(name.isin(*README_NAMES), "readme"), F.when(name == CONFIG_NAME, "config"),
+    )
+    return left.select(F.explode(F.array_compact(kinds)).alias("kind"), "path")
 
 
 def list_tree(spark: SparkSession, root: str | Path) -> DataFrame:
     """kind, path for everything in the tree that matters to the analysis."""
-    return spark.createDataFrame(list(walk(root)), "kind string, path string")
+    listing = spark.createDataFrame([(p,) for p in walk(root)], "path string")
+    rules = ignore.rule_sets(read_contents(listing.where(paths.basename(F.col("path")) == ignore.IGNORE_FILE), root))
+    own = Path(root) / ".git" / "info" / "exclude"
+    if own.is_file():  # holds like a file at the top whose lines come first
+        top = spark.createDataFrame([("", own.read_text(), 0)], "base string, lines string, place int")
+        rules = top.unionByName(rules.withColumn("place", F.lit(1))).groupBy("base").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "lines"))), lambda r: r.lines), "\n").alias("lines")
+        )
+    return kinds_of(listing, rules)
 
 
 def read_contents(listing: DataFrame, root: str | Path) -> DataFrame:

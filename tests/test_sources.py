@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archtrail.functions import paths, text
-from archtrail.operators import enrich, impact, trace
+from archtrail.operators import enrich, ignore, impact, trace
 from archtrail.sources import artifacts, changes, events, tree
 from archtrail.streaming import tail
 
@@ -121,6 +121,35 @@ def test_tree_walk_honours_ignore_layers(spark, tmp_path):
         tree.path_pattern("!")
 
 
+RULES = [
+    ("*.log", "a.log", "a.log.b"), ("*.log", "x/y/a.log", "a.logs"), ("/a.py", "a.py", "x/a.py"), ("x/a.py", "x/a.py", "y/x/a.py"), ("**/x/a", "y/z/x/a", "y/xx/a"),
+    ("x/**", "x/y/z", "x"), ("a/**/b", "a/b", "ab"), ("a/**/b", "a/x/y/b", "a/bb"), ("a?c", "abc", "a/c"), ("[a-c]x", "bx", "dx"), ("[!a]x", "bx", "ax"), ("a**b", "aXb", "a/b"),
+    (r"\#a", "#a", "a"), (r"\!a", "!a", "a"), (r"a\ ", "a ", "a"), ("a  ", "a", "a  "), ("a[b", "a[b", "ab"), ("a.c", "a.c", "abc"), ("[]]", "]", "["), ("!x", "x", "y"),
+]
+
+
+@pytest.mark.parametrize(("line", "fits", "differs"), RULES)
+def test_ignore_lines(line, fits, differs):
+    import re
+
+    found = ignore.rule(line)
+    assert re.fullmatch(found[0], fits) and not re.fullmatch(found[0], differs)
+    assert found[1] == (not line.startswith("!"))
+
+
+def test_nested_ignore_files_of_a_table(spark):
+    from archtrail.plans.analyze import table_sources
+
+    files = {
+        ".gitignore": "gen/*\n!gen/keep/\nlogs/\n*.tmp.py\n", "gen/.gitignore": "", "gen/a.py": "", "gen/keep/b.py": "", "gen/keep/.gitignore": "c.py\n", "gen/keep/c.py": "",
+        "logs/.gitignore": "!*.py\n", "logs/d.py": "", "e.tmp.py": "", "sub/.gitignore": "!f.tmp.py\n", "sub/f.tmp.py": "", "sub/node_modules/g.py": "", "logs/setup.py": "", "sub/setup.py": "",
+    }
+    rows = [(path, bytearray(text.encode())) for path, text in files.items()]
+    found = table_sources(spark.createDataFrame(rows, "path string, content binary"))
+    assert {r.path for r in found.files.collect()} == {"gen/keep/b.py", "sub/f.tmp.py", "sub/setup.py"}
+    assert [r.directory for r in found.markers.collect()] == ["sub"]
+
+
 def test_role_overrides(spark):
     rows = [("pkg/bindings.py",), ("third/x/a.py",), ("src/test_a.py",), ("a.test.tsx",), ("tests.py",)]
     df = spark.createDataFrame(rows, "path string")
