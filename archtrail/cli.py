@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from archtrail.operators import cycles, edges, hierarchy, impact, incremental, trace
 from archtrail.operators import query as ask
 from archtrail.plans import analyze as plan
-from archtrail.session import build_session, cut_lineage
+from archtrail.session import build_session
 from archtrail.sources import artifacts, changes, events
 from archtrail.streaming import tail
 
@@ -64,9 +64,9 @@ def main() -> None:
             before = spark.read.parquet(f"{options.previous}/digests")
             facts, found = incremental.refresh_facts(sources.files, before, earlier.facts)
             _print(incremental.report(sources.files, found))
-        digests = cut_lineage(incremental.fingerprint(sources.files))
         result = plan.analyze(sources, options.generated, options.vendored, facts, earlier)
         artifacts.save_map(result, options.map)
+        digests = result.facts.select("path", "digest")
         digests.write.mode("overwrite").parquet(f"{options.map}/digests")
         version = changes.content_version(digests)
         print(f"version\t{version}")

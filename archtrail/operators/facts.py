@@ -7,6 +7,7 @@ Parsing is the one step that needs Python. It runs per file inside
 from __future__ import annotations
 
 import ast
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ from archtrail.operators.script import script_facts
 IMPORT_TYPE = "array<struct<module:string,line:bigint,fallbacks:array<string>,symbols:array<string>>>"
 FACT_TYPE = (
     "path string, definitions array<string>, exports array<string>, "
-    f"public_names array<string>, imports {IMPORT_TYPE}, docstring string, loc bigint, error string"
+    f"public_names array<string>, imports {IMPORT_TYPE}, docstring string, loc bigint, error string, digest string"
 )
 
 _DEFINITION = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -79,12 +80,13 @@ def _facts_of(path: str, content: bytes) -> dict:
         "docstring": found.get("docstring"),
         "loc": len(content.decode("utf-8", errors="replace").splitlines()),
         "error": error,
+        "digest": hashlib.sha256(content).hexdigest(),
     }
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [field.split()[0] for field in
-               "path,definitions,exports,public_names,imports,docstring,loc,error".split(",")]
+               "path,definitions,exports,public_names,imports,docstring,loc,error,digest".split(",")]
     for batch in batches:
         rows = [_facts_of(path, bytes(content)) for path, content in zip(batch["path"], batch["content"])]
         yield pd.DataFrame(rows, columns=columns)
@@ -92,7 +94,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract(files: DataFrame) -> DataFrame:
     """Facts per file from ``files(path, content)``; content is binary. A file is
-    read and parsed once; lines are counted in the same pass."""
+    read and parsed once; lines are counted in the same pass, and ``digest`` is of the
+    very bytes that were parsed."""
     parsed = files.select("path", "content").mapInPandas(_parse, FACT_TYPE)
     return parsed.withColumn("language", paths.language(F.col("path")))
 

@@ -83,16 +83,14 @@ def first(sources: plan.Sources, generated: Sequence[str] = (), vendored: Sequen
     facts = cut_lineage(extract(sources.files))
     resolution = lookups.resolve_all(facts, sources.markers, sources.configs)
     built = _layered(resolution, sources, generated, vendored)
-    digests = cut_lineage(incremental.fingerprint(sources.files))
-    return Snapshot(digests, cut_lineage(sources.headings), resolution, built, *_views(resolution, built))
+    return Snapshot(facts.select("path", "digest"), cut_lineage(sources.headings), resolution, built, *_views(resolution, built))
 
 
 def refresh(before: Snapshot, sources: plan.Sources, generated: Sequence[str] = (), vendored: Sequence[str] = ()) -> tuple[Snapshot, Report]:
     """The snapshot of ``sources``; equal to ``first(sources)``.
 
     Without a change the old snapshot comes back and no table of sites is read."""
-    digests = cut_lineage(incremental.fingerprint(sources.files))
-    changes = cut_lineage(incremental.snapshot_changes(before.digests, digests))
+    changes = cut_lineage(incremental.snapshot_changes(before.digests, incremental.fingerprint(sources.files)))
     old = before.resolution
     same_prose = incremental.same_structure(before.headings, sources.headings, ["directory", "heading"])
     same_settings = incremental.same_structure(old.markers, sources.markers, ["directory"]) and incremental.same_structure(old.configs, sources.configs, old.configs.columns)
@@ -100,7 +98,7 @@ def refresh(before: Snapshot, sources: plan.Sources, generated: Sequence[str] =
         return before, Report("reused", changes, None, None)
     facts, _ = incremental.take_over(sources.files, changes, old.facts)
     resolution, change = lookups.resolve_changed(old, facts, changes.select("path"), sources.markers, sources.configs)
-    plain = replace(before, digests=digests, headings=cut_lineage(sources.headings), resolution=resolution)
+    plain = replace(before, digests=facts.select("path", "digest"), headings=cut_lineage(sources.headings), resolution=resolution)
 
     # Files: only changed ones are described again; who imports whom did not change their fans unless an edge came or went.
     known = before.map.nodes.where("kind = 'file'")
