@@ -34,8 +34,10 @@ from archtrail.llm.word_cache import WordCache
 
 #: Text of a unit and of its stored pieces, in bytes; a longer text is a unit of its own.
 UNIT_BYTES, PIECE_BYTES = 16_000_000, 1_000_000
-#: Links made at once.
-LINKS_AT_ONCE = 2_000_000
+#: Pairs of a group that are written out at once; ids of a larger group are counted before. Links of those made at once.
+SMALL_GROUP, LINKS_AT_ONCE = 64, 2_000_000
+#: Bits of a pair's key below the number of its document in the piece.
+KEY_BITS = 36
 #: Words handed to a library call as one text.
 JOINED_WORDS = 400
 PIECE = "unit long, kind int, n_docs long, data binary"
@@ -74,28 +76,34 @@ class Tokens:
         return len(word)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.zeros(len(words), np.int64)
-        found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        safe = [k for k, w in enumerate(words) if self.joins(w)]
-        alone = sorted(set(range(len(words))) - set(safe))
+        """Ids of all words, one after the other, and how many each has."""
+        joined = np.array([self.joins(w) for w in words], bool)
+        safe, alone = np.flatnonzero(joined), np.flatnonzero(~joined).tolist()
+        seen = np.array([self.seen(w) for w in words], np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, how many ids each has, the ids
         groups = [safe[k : k + JOINED_WORDS] for k in range(0, len(safe), JOINED_WORDS)]
         for first in range(0, len(groups), 64):
             part = groups[first : first + 64]
-            for group, ids in zip(part, self.encode_text([b"".join(words[k] for k in g) for g in part]), strict=True):
+            for group, ids in zip(part, self.encode_text([b"".join(words[g[0] : g[-1] + 1] if g[-1] - g[0] + 1 == len(g) else [words[k] for k in g]) for g in part]), strict=True):
                 ids = np.array(ids, np.int32)
-                ends, wanted = np.cumsum(self.size[ids]), np.cumsum([self.seen(words[k]) for k in group])
+                ends, wanted = np.cumsum(self.size[ids]), np.cumsum(seen[group])
                 cuts = np.searchsorted(ends, wanted) + 1
                 if len(ids) and ends[-1] == wanted[-1] and np.array_equal(ends[cuts - 1], wanted):
-                    for k, own in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                        found[k] = own
+                    parts.append((group, np.diff(cuts, prepend=0), ids))
                 else:
-                    alone += group
+                    alone += group.tolist()
         for first in range(0, len(alone), 512):
             part = alone[first : first + 512]
-            for k, ids in zip(part, self.encode_text([words[k] for k in part]), strict=True):
-                found[k] = np.array(ids, np.int32)
-        sizes[:] = [len(x) for x in found]
-        return np.concatenate([np.zeros(0, np.int32), *found]), sizes
+            found = self.encode_text([words[k] for k in part])
+            parts.append((np.array(part), np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int32)))
+        sizes = np.zeros(len(words), np.int64)
+        for of, size, _ in parts:
+            sizes[of] = size
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        for of, size, ids in parts:
+            out[np.repeat(starts[of] - (np.cumsum(size) - size), size) + np.arange(len(ids))] = ids
+        return out, sizes
 
     def decoded(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids, one after the other."""
@@ -105,23 +113,39 @@ class Tokens:
 
 
 class ByteTokens(Tokens):
+    """A byte-level BPE file. Where its ids are the ranks of its merges, the faster of two libraries gives the same ids."""
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        names = {v: k for k, v in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        with open(path, "rb") as f:
+            parts = json.load(f)
+        names = {v: k for k, v in parts["model"]["vocab"].items()}
+        added = {t["id"]: t["content"].encode() for t in parts["added_tokens"]}
         byte = byte_level_bytes()
-        self.bytes = [
-            names[k].encode() if names.get(k, "") in special else bytes(byte[c] for c in names.get(k, ""))
-            for k in range(max(names) + 1)
-        ]
+        self.bytes = [added[k] if k in added else bytes(byte[c] for c in names.get(k, "")) for k in range(max([*names, *added]) + 1)]
+        self.encode_text = self._by_ranks(parts, added) or self._by_file(path)
         self.prepare()
 
-    def encode_text(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    def _by_ranks(self, parts: dict, added: dict[int, bytes]):
+        before, model = parts["pre_tokenizer"], parts["model"]
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+        plain = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not parts["normalizer"]
+        plain &= not model.get("dropout") and not model.get("ignore_merges")
+        if not plain or any(model["vocab"].get(m) != 256 + k for k, m in enumerate(merges)):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {self.bytes[k]: k for k in range(256 + len(merges)) if k not in added}
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [encoding.encode_ordinary(t.decode()) for t in texts]
+
+    def _by_file(self, path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        return lambda texts: [e.ids for e in tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
 
     def joins(self, word: bytes) -> bool:
         return len(word) > 1 and word[0] == 32 and 32 < word[1] < 127 and 32 < word[-1] < 127
@@ -204,18 +228,19 @@ def _same_text(tokens: Tokens, ids: np.ndarray, offsets: np.ndarray, data: np.nd
 
 
 def _ends(ids: np.ndarray, offsets: np.ndarray, size: pa.Array) -> pa.Table:
-    """Per token its document, the byte at which it ends there, and its number."""
+    """Per token its document and the byte at which it ends there, as one key, and its number."""
     lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(ids, pa.int32()))
     parent = pc.list_parent_indices(lists)
     running = pc.cumulative_sum(pc.take(size, pc.list_flatten(lists)))
     before = np.concatenate([[0], running.to_numpy()])[offsets[:-1]]
-    return pa.table({"doc": parent, "end": pc.subtract(running, pc.take(pa.array(before), parent)), "token": np.arange(len(ids))})
+    end = pc.subtract(running, pc.take(pa.array(before), parent))
+    return pa.table({"document_end": pc.add(pc.shift_left(parent, 32), end), "token": np.arange(len(ids))})
 
 
 def group_sizes(a: np.ndarray, a_at: np.ndarray, size_a: np.ndarray, b: np.ndarray, b_at: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of A and B tokens in each group, over all documents in order."""
     left, right = _ends(a, a_at, pa.array(size_a)), _ends(b, b_at, pa.array(size_b))
-    both = left.join(right, ["doc", "end"], join_type="inner", right_suffix="_b", use_threads=False)
+    both = left.join(right, "document_end", join_type="inner", right_suffix="_b", use_threads=False)
     last_a, last_b = np.sort(both["token"].to_numpy()), np.sort(both["token_b"].to_numpy())
     return np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
 
@@ -224,28 +249,46 @@ def _counted(group: np.ndarray, ids: np.ndarray, name: str) -> pa.Table:
     return pa.TableGroupBy(pa.table({"group": group, name: ids}), ["group", name], use_threads=False).aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"])
 
 
-def _summed(table: pa.Table, by: list[str]) -> pa.Table:
-    return pa.TableGroupBy(table, by, use_threads=False).aggregate([("n", "sum")]).rename_columns([*by, "n"])
-
-
-def links(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, doc_of_group: np.ndarray, size_b: int) -> pa.Table:
-    """``doc``, ``key`` (a * size_b + b) and ``n`` (occurrence pairs) of all links."""
-    groups = np.arange(len(in_a))
-    left, right = _counted(np.repeat(groups, in_a), a, "a"), _counted(np.repeat(groups, in_b), b, "b")
-    per_group = np.bincount(right["group"].to_numpy(), minlength=len(groups))
-    made = np.cumsum(per_group[left["group"].to_numpy()])
-    out, first = [], 0
-    while first < left.num_rows:
-        before = made[first - 1] if first else 0
-        end = int(max(first + 1, np.searchsorted(made, before + LINKS_AT_ONCE, "right")))
-        pairs = left.slice(first, end - first).join(right, "group", join_type="inner", use_threads=False)
-        key = pc.add(pc.multiply(pairs["a"].cast(pa.int64()), size_b), pairs["b"].cast(pa.int64()))
-        doc = pc.take(pa.array(doc_of_group), pairs["group"])
-        out.append(_summed(pa.table({"doc": doc, "key": key, "n": pc.multiply(pairs["n_a"], pairs["n_b"])}), ["doc", "key"]))
-        first = end
+def _summed(key: np.ndarray | pa.ChunkedArray, n: np.ndarray | pa.ChunkedArray) -> pa.Table:
+    return pa.TableGroupBy(pa.table({"key": key, "n": n}), ["key"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["key", "n"])
+
+
+def links(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, doc_of_group: np.ndarray, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, key (a * size_b + b) and occurrence pairs of all links, by document and key.
+
+    Pairs of small groups are written out; in a larger one ids are counted first and
+    joined by group, ``LINKS_AT_ONCE`` at a time.
+    """
+    wide = in_a * in_b > SMALL_GROUP
+    out = []
+    for few, rows_a, rows_b in ((True, np.repeat(~wide, in_a), np.repeat(~wide, in_b)), (False, np.repeat(wide, in_a), np.repeat(wide, in_b))):
+        of = np.flatnonzero(wide != few)
+        if not len(of):
+            continue
+        own_a, own_b, n_a, n_b = a[rows_a], b[rows_b], in_a[of], in_b[of]
+        if few:
+            each = np.repeat(n_b, n_a)  # every A token meets the B tokens of its group
+            right = np.repeat(np.repeat(np.cumsum(n_b) - n_b, n_a) - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            doc = np.repeat(np.repeat(doc_of_group[of], n_a), each)
+            key = np.repeat(own_a, each) * size_b + own_b[right]
+            out.append(_summed((doc << KEY_BITS) | key, np.ones(len(key), np.int64)))
+            continue
+        left, right = _counted(np.repeat(of, n_a), own_a, "a"), _counted(np.repeat(of, n_b), own_b, "b")
+        made = np.cumsum(np.bincount(right["group"].to_numpy(), minlength=len(in_a))[left["group"].to_numpy()])
+        first = 0
+        while first < left.num_rows:
+            before = made[first - 1] if first else 0
+            end = int(max(first + 1, np.searchsorted(made, before + LINKS_AT_ONCE, "right")))
+            pairs = left.slice(first, end - first).join(right, "group", join_type="inner", use_threads=False)
+            key = pairs["a"].to_numpy() * size_b + pairs["b"].to_numpy()
+            out.append(_summed((doc_of_group[pairs["group"].to_numpy()] << KEY_BITS) | key, pc.multiply(pairs["n_a"], pairs["n_b"])))
+            first = end
     if not out:
-        return pa.table({"doc": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    return out[0] if len(out) == 1 else _summed(pa.concat_tables(out), ["doc", "key"])
+        return (np.zeros(0, np.int64),) * 3
+    table = out[0] if len(out) == 1 else _summed(pa.concat_tables(out)["key"], pa.concat_tables(out)["n"])
+    both, n = table["key"].to_numpy(), table["n"].to_numpy()
+    order = np.argsort(both)
+    return both[order] >> KEY_BITS, both[order] & ((1 << KEY_BITS) - 1), n[order]
 
 
 class Piece:
@@ -256,7 +299,7 @@ class Piece:
         self.known = known.astype(bool)
         self.a, self.b, self.in_a, self.in_b = (x.astype(np.int64) for x in (a, b, in_a, in_b))
 
-    def links(self, size_b: int) -> pa.Table:
+    def links(self, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return links(self.a, self.b, self.in_a, self.in_b, np.repeat(np.arange(len(self.ids)), np.diff(self.g_at)), size_b)
 
 
@@ -272,7 +315,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     read; an empty table gives no rows. The result is written, for readers below.
     """
     bounded_batches(docs.sparkSession)
-    _, size_b = vocabulary_sizes(path_a, path_b)
+    size_a, size_b = vocabulary_sizes(path_a, path_b)
+    if size_a * size_b >= 1 << KEY_BITS:
+        raise ValueError("pairs of ids of these vocabularies do not fit in KEY_BITS")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_tokens, second_tokens = _tokenizers(path_a, path_b)
@@ -282,7 +327,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
             return pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([kind], pa.int32()), pa.array([n]), pa.array([data], pa.binary())], names=["unit", "kind", "n_docs", "data"])
 
         def merged() -> pa.Table:
-            return _summed(pa.concat_tables(counted), ["key"])
+            every = pa.concat_tables(counted)
+            return _summed(every["key"], every["n"])
 
         def close() -> pa.RecordBatch:
             pairs = merged().sort_by("key")
@@ -307,15 +353,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
                 g_at = np.searchsorted(np.concatenate([[0], np.cumsum(in_a)]), a_at)
                 stored = squeeze(
                     np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.uint8), a_at, b_at, g_at,
-                    *(_narrow(x) for x in (a, b, in_a, in_b)))
-                found = links(a, b, in_a, in_b, np.repeat(np.arange(end - first), np.diff(g_at)), size_b)
-                ones = pa.table({"key": found["key"], "n": pa.array(np.ones(found.num_rows, np.int64))})
-                counted.append(_summed(ones, ["key"]))
+                    *(_narrow(x) for x in (a, b, in_a, in_b)), level=3)
+                found = links(a.astype(np.int64), b.astype(np.int64), in_a, in_b, np.repeat(np.arange(end - first), np.diff(g_at)), size_b)[1]
+                counted.append(_summed(found, np.ones(len(found), np.int64)))
                 if len(counted) > 8:
                     counted = [merged()]
                 held += len(data) + 16 * (end - first)
                 yield row(0, end - first, stored)
-                del found, ones, a, b
+                del found, a, b
                 release()
         if counted:
             yield close()
@@ -406,15 +451,13 @@ def alignment_report(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
         out = [empty]
         for data in left["data"]:
             p = Piece(data.as_py())
-            found = p.links(size_b)
-            doc, times = found["doc"].to_numpy(), found["n"].to_numpy()
-            place = np.searchsorted(keys, found["key"].to_numpy())
-            total = np.zeros((3, len(p.ids)), np.int64)
-            for row, value in enumerate((times, times * best[place], times * n[place])):
-                np.add.at(total[row], doc, value)
+            doc, key, times = p.links(size_b)
+            place = np.searchsorted(keys, key)
+            bounds = np.searchsorted(doc, np.arange(len(p.ids) + 1))
+            total = [np.diff(np.concatenate([[0], np.cumsum(value)])[bounds]) for value in (times, times * best[place], times * n[place])]
             columns = [pa.array(p.ids, mask=~p.known), *(pa.array(np.diff(x)) for x in (p.a_at, p.b_at, p.g_at)), *(pa.array(t) for t in total), pa.array(group_digests(p), pa.string())]
             out.append(pa.table(columns, schema=empty.schema))
-            del found, p
+            del doc, key, times, p
             release()
         return pa.concat_tables(out)
 

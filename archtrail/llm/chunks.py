@@ -20,12 +20,12 @@ from archtrail.llm.packed import release, slices
 CHUNK = "chunk long, n_bytes long, ids binary, known binary, at binary, body binary, rest binary"
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value; ``expand`` gives them back."""
     out = [np.array([len(arrays)], np.int64).tobytes()]
     for a in arrays:
         out.append(np.array([len(a)], np.int64).tobytes() + a.dtype.str.encode().ljust(8) + a.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(out))
 
 
 def expand(value: bytes) -> list[np.ndarray]:

@@ -62,7 +62,7 @@ def brute(rows):
     return out, docs_of
 
 
-@pytest.mark.parametrize("bounds", [{}, {"UNIT_BYTES": 60_000, "PIECE_BYTES": 20_000, "LINKS_AT_ONCE": 500, "JOINED_WORDS": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"UNIT_BYTES": 60_000, "PIECE_BYTES": 20_000, "LINKS_AT_ONCE": 500, "SMALL_GROUP": 3, "JOINED_WORDS": 3}])
 def test_report_and_counts(spark, docs, texts, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(A, name, value)
@@ -86,3 +86,14 @@ def test_tokens_and_group_sizes(spark):
 
 def test_empty_table(none):
     assert A.alignment_report(none, *(vocabulary(f) for f in FILES)).count() == 0
+
+
+def test_both_libraries_give_the_same_ids(texts):
+    import json
+
+    path = vocabulary(FILES[0])
+    tokens = A.ByteTokens(path)
+    with open(path, "rb") as f:
+        assert tokens._by_ranks(json.load(f), {50256: b"<|endoftext|>"})
+    every = [(" " + t).encode() for _, t in texts + ODD if t]
+    assert tokens.encode_text(every) == tokens._by_file(path)(every)
