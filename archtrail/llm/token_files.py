@@ -94,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     """Write the ids of all texts below ``path``: folder ``part=k`` has the k-th range of ids, in order (null first)."""
     parts = parts or dealt_parts(docs.sparkSession)
     rows = encode_documents(docs, tokenizer, end_id, id_bounds(docs, id_col, parts), id_col, text_col)
-    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
+    ordered = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
     ordered.write.options(**ORC_OPTIONS).partitionBy("part").orc(path)
 
 
