@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archtrail.operators.nesting import nearest_stop
 from archtrail.session import cut_lineage
 
 
@@ -70,14 +71,11 @@ def roll_up(values: DataFrame, membership: DataFrame, column: str) -> DataFrame:
     return keyed.groupBy(F.col("parent").alias("id")).agg(F.sum(column).alias(column))
 
 
-def nearest_visible(ids: DataFrame, above: DataFrame, visible: DataFrame) -> DataFrame:
+def nearest_visible(ids: DataFrame, membership: DataFrame, visible: DataFrame) -> DataFrame:
     """(node, shown): the closest visible node at or above each of ``ids(node)``.
 
-    Nodes without a visible ancestor disappear."""
-    shown = visible.select(F.col("id").alias("ancestor"))
-    reachable = above.join(shown, "ancestor", "left_semi")
-    best = reachable.groupBy("node").agg(F.min_by("ancestor", "distance").alias("shown"))
-    return ids.select("node").distinct().join(best, "node")
+    Nodes without a visible ancestor disappear. No ancestors are listed for it."""
+    return nearest_stop(ids, membership, visible).withColumnRenamed("stop", "shown")
 
 
 def non_source_buckets(files: DataFrame) -> DataFrame:

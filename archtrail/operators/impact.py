@@ -77,10 +77,10 @@ def review_order(mapped: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.select("position", "path")
 
 
-def status_overlay(mapped: DataFrame, above: DataFrame, visible: DataFrame) -> DataFrame:
+def status_overlay(mapped: DataFrame, membership: DataFrame, visible: DataFrame) -> DataFrame:
     """(id, status) per visible node; several different statuses show as ``mixed``."""
     with_node = mapped.where(F.col("node_id").isNotNull()).withColumnRenamed("node_id", "node")
-    shown = nearest_visible(with_node, above, visible)
+    shown = nearest_visible(with_node, membership, visible)
     return (
         with_node.join(shown, "node")
         .groupBy(F.col("shown").alias("id"))
@@ -93,11 +93,11 @@ def status_overlay(mapped: DataFrame, above: DataFrame, visible: DataFrame) -> D
 
 
 def risk_overlay(
-    dependents: DataFrame, statuses: DataFrame, above: DataFrame, visible: DataFrame
+    dependents: DataFrame, statuses: DataFrame, membership: DataFrame, visible: DataFrame
 ) -> DataFrame:
     """Visible nodes with a dependent below them that are not changed themselves."""
     shown = nearest_visible(
-        dependents.select(F.col("dependent_node_id").alias("node")), above, visible
+        dependents.select(F.col("dependent_node_id").alias("node")), membership, visible
     )
     ids = shown.select(F.col("shown").alias("id")).distinct()
     return ids.join(statuses, "id", "left_anti")

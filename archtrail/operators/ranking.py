@@ -48,6 +48,24 @@ def ordinal_in_group(
     )
 
 
+def running_totals(df: DataFrame, columns: list[str], *order: Column) -> DataFrame:
+    """Add ``_to_<column>``: the sum of each column up to and with the row, in ``order``.
+
+    Every task adds up its own range; one row of sums per range is combined, as above."""
+    ordered = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_part", F.shiftright("_at", 33))
+    sums = ordered.groupBy("_part").agg(*[F.sum(name).alias(f"_all_{name}") for name in columns])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        "_part", *[F.coalesce(F.sum(f"_all_{name}").over(before), F.lit(0)).alias(f"_all_{name}") for name in columns]
+    )
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    added = ordered.select("*", *[F.sum(name).over(within).alias(f"_to_{name}") for name in columns])
+    return added.join(F.broadcast(offsets), "_part").select(
+        *df.columns, *[(F.col(f"_to_{name}") + F.col(f"_all_{name}")).alias(f"_to_{name}") for name in columns]
+    )
+
+
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group.
 

@@ -143,7 +143,7 @@ def provisional(events: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def activity_overlay(
-    events: DataFrame, nodes: DataFrame, above: DataFrame, visible: DataFrame
+    events: DataFrame, nodes: DataFrame, membership: DataFrame, visible: DataFrame
 ) -> DataFrame:
     """(id, edits, reads, total) per visible node.
 
@@ -160,7 +160,7 @@ def activity_overlay(
     )
     known = per_file.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
     return (
-        known.join(nearest_visible(known, above, visible), "node")
+        known.join(nearest_visible(known, membership, visible), "node")
         .groupBy(F.col("shown").alias("id"))
         .agg(*[F.sum(name).cast("bigint").alias(name) for name in ("edits", "reads", "total")])
     )
@@ -198,11 +198,11 @@ def unread_dependents(events: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 
 
 def unread_overlay(
-    events: DataFrame, nodes: DataFrame, edges: DataFrame, above: DataFrame, visible: DataFrame
+    events: DataFrame, nodes: DataFrame, edges: DataFrame, membership: DataFrame, visible: DataFrame
 ) -> DataFrame:
     """Unread dependents moved up to the visible nodes."""
     risky = unread_dependents(events, nodes, edges)
-    return nearest_visible(risky, above, visible).select(F.col("shown").alias("id")).distinct()
+    return nearest_visible(risky, membership, visible).select(F.col("shown").alias("id")).distinct()
 
 
 def value_at_rank(values: DataFrame, column: str, fraction: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archtrail.functions import text
-from archtrail.operators import edges, hierarchy, impact, trace
+from archtrail.operators import edges, impact, trace
 from archtrail.plans import tables as t
 from archtrail.plans import trade_queries as trade
 from archtrail.plans.registry import query
@@ -146,10 +146,9 @@ FULL = f"WITH {t.RAW_SQL}, {t.SITES_SQL}, {t.TRADE_SQL}, {RESOLVED}"
 
 
 def _map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, their ancestors and the visible (module) level."""
+    """Nodes, what belongs to what and the visible (module) level."""
     nodes = t.trade_nodes(spark, sf_dir)
-    above = hierarchy.ancestors(nodes, t.trade_membership(spark, sf_dir))
-    return nodes, above, nodes.where(F.col("kind") == "module")
+    return nodes, t.trade_membership(spark, sf_dir), nodes.where(F.col("kind") == "module")
 
 
 @query("activity_overlay", f"{FULL}, {ACTIVITY} SELECT id, edits, reads, total FROM activity")
@@ -185,9 +184,9 @@ def unread_dependents(spark, sf_dir):
 
 @query("unread_overlay", f"{FULL}, {UNREAD} SELECT DISTINCT parent AS id FROM unread JOIN members ON child = node")
 def unread_overlay(spark, sf_dir):
-    nodes, above, visible = _map(spark, sf_dir)
+    nodes, membership, visible = _map(spark, sf_dir)
     links = edges.edge_weights(t.trade_sites(spark, sf_dir))
-    return trace.unread_overlay(_events(spark, sf_dir), nodes, links, above, visible)
+    return trace.unread_overlay(_events(spark, sf_dir), nodes, links, membership, visible)
 
 
 @query(

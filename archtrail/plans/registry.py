@@ -30,6 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 from archtrail.plans import (  # noqa: E402,F401
     activity_queries,
     document_queries,
+    nesting_queries,
     source_queries,
     trade_queries,
 )

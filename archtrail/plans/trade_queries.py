@@ -401,9 +401,9 @@ def impact_summary(spark, sf_dir):
 )
 def change_status_rollup(spark, sf_dir):
     nodes = t.trade_nodes(spark, sf_dir)
-    above = hierarchy.ancestors(nodes, t.trade_membership(spark, sf_dir))
+    membership = t.trade_membership(spark, sf_dir)
     visible = nodes.where(F.col("kind") == "module")
-    return impact.status_overlay(mapped_changes(spark, sf_dir), above, visible)
+    return impact.status_overlay(mapped_changes(spark, sf_dir), membership, visible)
 
 
 @query(
@@ -412,11 +412,11 @@ def change_status_rollup(spark, sf_dir):
 )
 def impact_risk(spark, sf_dir):
     nodes = t.trade_nodes(spark, sf_dir)
-    above = hierarchy.ancestors(nodes, t.trade_membership(spark, sf_dir))
+    membership = t.trade_membership(spark, sf_dir)
     visible = nodes.where(F.col("kind") == "file")
     mapped = mapped_changes(spark, sf_dir)
-    statuses = impact.status_overlay(mapped, above, visible)
-    return impact.risk_overlay(direct_dependents(spark, sf_dir), statuses, above, visible)
+    statuses = impact.status_overlay(mapped, membership, visible)
+    return impact.risk_overlay(direct_dependents(spark, sf_dir), statuses, membership, visible)
 
 
 # --------------------------------------------------------------- export and checks
