@@ -29,6 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # Importing the modules fills the registry.
 from archtrail.plans import (  # noqa: E402,F401
     activity_queries,
+    artifact_queries,
     document_queries,
     nesting_queries,
     source_queries,
