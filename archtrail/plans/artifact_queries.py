@@ -12,7 +12,7 @@ from archtrail.plans import tables as t
 from archtrail.plans import trade_queries as trade
 from archtrail.plans.registry import query
 from archtrail.session import cut_lineage, shared_dir
-from archtrail.sources import committed
+from archtrail.sources import committed, contract
 
 
 def _target(spark, name: str) -> str:
@@ -83,3 +83,50 @@ def trace_artifact(spark, sf_dir):
         F.coalesce(_field("summary.files_edited").cast("bigint"), F.lit(0).cast("bigint")).alias("two"),
         _field("tool").alias("tool"), _field("path").alias("path"), _field("node_id").alias("node_id"),
     )
+
+
+# A map with faults: region 1 and the suppliers of nation 3 are missing, nation 7 is listed
+# nowhere, findings of the later regions are too loud, details of errors and views are broken.
+@query(
+    "contract_rules",
+    f"""{trade.WITH}, kept AS (SELECT id, kind FROM nodes WHERE id <> 'r:1'
+      AND id NOT IN (SELECT 's:' || s_suppkey FROM supplier WHERE s_nationkey = 3)),
+    due AS (SELECT 'system' AS level, '' AS parent, id AS child FROM kept WHERE kind = 'component'
+      UNION ALL SELECT CASE kind WHEN 'component' THEN 'component' ELSE 'module' END, parent, child
+        FROM members JOIN kept ON id = parent),
+    said AS (SELECT 'system' AS level, '' AS parent, 'r:' || r_regionkey AS child FROM region
+      UNION ALL SELECT CASE WHEN parent LIKE 'r:%' THEN 'component' ELSE 'module' END, parent, child FROM members WHERE child <> 'n:7')
+    SELECT source || ' -> ' || target AS subject, 'edge target is a node' AS rule FROM edges WHERE target NOT IN (SELECT id FROM kept)
+    UNION ALL SELECT child || ' in ' || parent, 'member is a module or a file' FROM members WHERE child NOT IN (SELECT id FROM kept)
+    UNION ALL SELECT child || ' in ' || parent, 'parent is a component or a module' FROM members WHERE parent NOT IN (SELECT id FROM kept)
+    UNION ALL SELECT 'n:' || n_nationkey, 'finding names nodes of the map' FROM nation WHERE n_regionkey = 1
+    UNION ALL SELECT 'n:' || n_nationkey, 'finding severity is known' FROM nation WHERE n_regionkey > 1
+    UNION ALL SELECT level || ' / ' || parent || ' / ' || child, 'level lists what belongs to it' FROM (FROM due EXCEPT FROM said)
+    UNION ALL SELECT level || ' / ' || parent || ' / ' || child, 'level lists only what belongs to it' FROM (FROM said EXCEPT FROM due)
+    UNION ALL SELECT CAST(event_id AS VARCHAR), CASE event_type WHEN 'view' THEN 'detail is an object'
+      ELSE 'detail holds single values' END FROM events WHERE event_type IN ('view', 'error')""",
+)
+def contract_rules(spark, sf_dir):
+    text = {name: F.col(name).cast("string") for name in ("n_nationkey", "n_regionkey", "r_regionkey")}
+    gone = t.table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(t._key("s:", "s_suppkey").alias("id"))
+    nodes = t.trade_nodes(spark, sf_dir).where("id <> 'r:1'").join(gone, "id", "left_anti")
+    membership = t.trade_membership(spark, sf_dir)
+    nation, nation_id = t.table(spark, sf_dir, "nation"), F.concat(F.lit("n:"), text["n_nationkey"])
+    severity = F.when(F.col("n_regionkey") == 0, "warning").when(F.col("n_regionkey") == 1, "notice").otherwise("loud")
+    findings = nation.select(
+        nation_id.alias("id"), F.lit("code").alias("code"), severity.alias("severity"), F.col("n_name").alias("message"),
+        F.array(nation_id, F.concat(F.lit("r:"), text["n_regionkey"])).alias("node_ids"), F.array("n_name").alias("evidence"),
+    )
+    system = t.table(spark, sf_dir, "region").select(
+        F.lit("system").alias("level"), F.lit("").alias("parent"), F.concat(F.lit("r:"), text["r_regionkey"]).alias("child")
+    )
+    level = F.when(F.col("parent").startswith("r:"), "component").otherwise("module")
+    levels = system.unionByName(membership.where("child <> 'n:7'").select(level.alias("level"), "parent", "child"))
+    kind = F.col("event_type")
+    detail = F.when(kind == "error", '{"k": [1]}').when(kind == "view", "none").otherwise(F.col("props"))
+    events = t.table(spark, sf_dir, "events").select(F.col("event_id").alias("sequence"), detail.alias("detail"))
+    tables = {"nodes": nodes, "edges": trade._edges(spark, sf_dir), "membership": membership, "findings": findings}
+    return (
+        contract.reference_violations(tables).unionByName(contract.finding_violations(findings))
+        .unionByName(contract.level_violations(levels, nodes, membership)).unionByName(contract.detail_violations(events))
+    )
