@@ -92,7 +92,7 @@ def trace_summary(spark, sf_dir):
 
 @query(
     "session_heads",
-    f"{WITH} SELECT session_id, 'agent' AS agent FROM kept GROUP BY session_id",
+    f"{WITH} SELECT session_id, arg_min('agent of ' || tool, (micros, sequence)) AS agent FROM kept GROUP BY session_id",
 )
 def session_heads(spark, sf_dir):
     return trace.session_heads(_raw(spark, sf_dir))

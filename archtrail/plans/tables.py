@@ -271,7 +271,7 @@ def raw_events(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("sequence"),
         F.col("user_id").cast("string").alias("session_id"),
-        F.lit("agent").alias("agent"),
+        F.concat(F.lit("agent of "), tool).alias("agent"),
         micros.cast("double").alias("timestamp"),
         tool.alias("tool"),
         F.concat(F.lit("s:"), key).alias("path"),
