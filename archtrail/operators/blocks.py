@@ -9,7 +9,8 @@ as fit comfortably in a task; a hot node is spread over many blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -151,3 +152,50 @@ def spread_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         touched.add(target)
             waiting = [node for node in touched if node in out]
         yield pd.DataFrame({"node": list(gained), "value": [best[node] for node in gained]})
+
+
+def move_nodes(total: float, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A block of whole communities → (node, to) of the nodes that moved in it.
+
+    Rows: a node with its community and degree (``weight``; ``other`` is null), or a link to
+    another node of the block. A node goes where it gains most, if that is more than ``least``
+    over staying; its neighbours are then looked at again."""
+
+    def moved(block: pd.DataFrame) -> pd.DataFrame:
+        own = block["other"].isna()
+        nodes, links = block[own].sort_values("node"), block[~own]
+        names = pd.Index(nodes["node"])
+        start, labels = pd.factorize(nodes["community"], sort=True)
+        degree = nodes["weight"].tolist()
+        mass = np.bincount(start, weights=nodes["weight"]).tolist()
+        near, far = names.get_indexer(links["node"]), names.get_indexer(links["other"])
+        order = np.lexsort((far, near))
+        first = np.searchsorted(near[order], np.arange(len(names) + 1)).tolist()
+        far, weight, home = far[order].tolist(), links["weight"].to_numpy()[order].tolist(), start.tolist()
+        waiting, queued = deque(range(len(names))), [True] * len(names)
+        while waiting:
+            node = waiting.popleft()
+            queued[node] = False
+            here, own_degree = home[node], degree[node]
+            shared = {here: 0.0}
+            for at in range(first[node], first[node + 1]):
+                there = home[far[at]]
+                shared[there] = shared.get(there, 0.0) + weight[at]
+            now = shared.pop(here) - own_degree * (mass[here] - own_degree) / total
+            gains = [(round(part - own_degree * mass[there] / total, 9), -there) for there, part in shared.items()]
+            best, to = max(gains, default=(now, 0))
+            if best <= now + least:
+                continue
+            home[node] = -to
+            mass[here] -= own_degree
+            mass[-to] += own_degree
+            for at in range(first[node], first[node + 1]):
+                other = far[at]
+                if not queued[other] and home[other] != -to:
+                    queued[other] = True
+                    waiting.append(other)
+        end = np.asarray(home)
+        gone = np.flatnonzero(end != start)
+        return pd.DataFrame({"node": names.to_numpy(dtype=object)[gone], "to": np.asarray(labels, dtype=object)[end[gone]]})
+
+    return moved

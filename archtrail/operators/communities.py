@@ -1,26 +1,35 @@
 """Communities of a weighted graph, kept inside directory anchors.
 
-Modularity is improved by moving many nodes at once: every node sees the weight
-it has to each neighbouring community and the best gain wins. One half of the
-nodes that want to move (by a hash of node and turn) does so; the result counts
-only if modularity grew. Where it did not, because moves got in each other's way,
-those moves are made that are the best of both communities they touch: no two of
+Modularity is a sum over communities, and a move changes only the two it touches. So
+communities are dealt to blocks, each whole in one block of bounded size, and a task moves
+the nodes of its block one after another between the communities there: what blocks gain
+adds up, however many run at once. Every turn deals anew and brings communities together
+with those their nodes want to go to. Where blocks gain nothing (communities too large for
+one), one half of the nodes that want to move (by a hash of node and turn) does so; the
+result counts only if modularity grew. Where it did not, because moves got in each other's
+way, those moves are made that are the best of both communities they touch: no two of
 them share a community, so each gains what it promised. Either way modularity grows
 with every step, which is why the search ends, and it ends only when no single move
 gains anything. Communities are then contracted and the same runs on the smaller
-graph until nothing moves there. A step is joins and aggregates over links; no
-community is gathered anywhere.
+graph until nothing moves there. A whole graph is never gathered; what fits into no block
+is joins and aggregates over links.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archtrail.operators import blocks
 from archtrail.session import cut_lineage
 
 # A move must gain more than this share of the total weight.
 SMALLEST_GAIN = 1e-9
+# Rows (nodes and ends of links) that one task moves nodes among.
+BLOCK_ROWS = 250_000
+STATE = ["node", "degree", "rows", "community"]
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -30,10 +39,9 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def _offers(ends: DataFrame, state: DataFrame, total: float) -> tuple[DataFrame, float]:
-    """Per node its community, what it gains by staying and by its best move, and
-    the modularity of ``state`` (times twice the weight, up to a constant)."""
-    mass = cut_lineage(state.groupBy("community").agg(F.sum("degree").alias("mass")))
+def _offers(ends: DataFrame, state: DataFrame, total: float) -> DataFrame:
+    """Per node its community and what it gains by staying and by its best move."""
+    mass = state.groupBy("community").agg(F.sum("degree").alias("mass"))
     where = state.select(F.col("node").alias("other"), F.col("community").alias("near"))
     toward = ends.where(F.col("node") != F.col("other")).join(where, "other").select(
         "node", "near", F.col("weight").cast("double").alias("shared")
@@ -45,16 +53,57 @@ def _offers(ends: DataFrame, state: DataFrame, total: float) -> tuple[DataFrame,
     own = F.col("near") == F.col("community")
     rest = F.col("mass") - F.when(own, F.col("degree")).otherwise(0.0)
     gain = F.col("shared") - F.col("degree") * rest / F.lit(total)
-    scored = weighed.select("node", "community", "degree", "near", "shared", gain.alias("gain"), own.alias("own"))
-    best = cut_lineage(scored.groupBy("node", "community", "degree").agg(
+    scored = weighed.select(*STATE, "near", "shared", gain.alias("gain"), own.alias("own"))
+    return cut_lineage(scored.groupBy(*STATE).agg(
         F.max("gain").alias("best"),
         F.max(F.when(F.col("own"), F.col("gain"))).alias("now"),
         F.max(F.when(F.col("own"), F.col("shared"))).alias("inside"),
         F.min_by("near", F.struct(-F.round("gain", 9), F.col("near"))).alias("to"),
     ))
-    inside = best.agg(F.sum("inside")).first()[0] or 0.0
-    spread = mass.agg(F.sum(F.col("mass") * F.col("mass"))).first()[0] or 0.0
-    return best, inside - spread / total
+
+
+def _value(best: DataFrame, total: float) -> float:
+    """Modularity (times twice the weight, up to a constant)."""
+    each = best.groupBy("community").agg(F.sum("inside").alias("inside"), F.sum("degree").alias("mass"))
+    return each.agg(F.sum(F.col("inside") - F.col("mass") * F.col("mass") / F.lit(total))).first()[0] or 0.0
+
+
+def _deal(best: DataFrame, movers: DataFrame, count: int, turn: int) -> DataFrame:
+    """(community, block): communities next to one their best mover wants to go to.
+
+    By a coin a community waits or goes to the one it wants, if that waits. Where more want
+    to than a block holds, a share does. One larger than a block gets none."""
+    coin = F.pmod(F.xxhash64(F.lit(turn), "community"), F.lit(2)) == 0
+    wish = movers.groupBy("community").agg(F.max_by("to", F.struct(F.col("best") - F.col("now"), F.col("node"))).alias("_want"))
+    sizes = best.groupBy("community").agg(F.sum("rows").alias("rows")).where(F.col("rows") <= BLOCK_ROWS)
+    known = cut_lineage(sizes.join(wish, "community", "left").withColumn("_waits", coin))
+    waiting = known.where("_waits").select(F.col("community").alias("_want"), F.col("rows").alias("_held"))
+    going = known.where("NOT _waits").join(waiting, "_want").select("community", "_want", "rows", "_held")
+    asked = going.groupBy("_want").agg((F.sum("rows") + F.max("_held")).alias("_asked"))
+    share = F.ceil(F.col("_asked") / F.lit(BLOCK_ROWS))
+    let_in = going.join(asked, "_want").where(F.pmod(F.xxhash64("community", F.lit(turn)), share) == 0)
+    key = F.coalesce("_want", "community")
+    return known.select("community").join(let_in.select("community", "_want"), "community", "left").select(
+        "community", F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(count)).alias("block")
+    )
+
+
+def _moved_in_blocks(ends: DataFrame, best: DataFrame, movers: DataFrame, total: float, count: int, turn: int) -> DataFrame:
+    """(node, to): moves inside blocks, one after another, each with a gain."""
+    placed = best.select("node", "community", "degree")
+    if count == 1:
+        placed = placed.withColumn("block", F.lit(0).cast("bigint"))
+    else:
+        placed = placed.join(_deal(best, movers, count, turn), "community")
+    here = placed.select("node", F.col("block").alias("_block"))
+    there = placed.select(F.col("node").alias("other"), "block")
+    links = ends.where("node <> other").join(here, "node").join(there, "other").where("block = _block")
+    rows = placed.select("block", "node", "community", F.lit(None).cast("string").alias("other"), F.col("degree").alias("weight")).unionByName(
+        links.select("block", "node", F.lit(None).cast("string").alias("community"), "other", F.col("weight").cast("double").alias("weight"))
+    )
+    return cut_lineage(rows.groupBy("block").applyInPandas(
+        blocks.move_nodes(total, SMALLEST_GAIN * total), "node string, to string"
+    ))
 
 
 def _apart(movers: DataFrame) -> DataFrame:
@@ -67,9 +116,8 @@ def _apart(movers: DataFrame) -> DataFrame:
 
 
 def _moved(best: DataFrame, movers: DataFrame) -> DataFrame:
-    going = movers.select("node", F.lit(True).alias("_goes"))
-    there = F.when(F.col("_goes"), F.col("to")).otherwise(F.col("community"))
-    return cut_lineage(best.join(going, "node", "left").select("node", "degree", there.alias("community")))
+    going = movers.select("node", F.col("to").alias("_to"))
+    return cut_lineage(best.join(going, "node", "left").select("node", "degree", "rows", F.coalesce("_to", "community").alias("community")))
 
 
 def _move_nodes(links: DataFrame, start: DataFrame | None = None) -> tuple[DataFrame, bool]:
@@ -77,25 +125,31 @@ def _move_nodes(links: DataFrame, start: DataFrame | None = None) -> tuple[DataF
 
     The search begins with every node on its own, or with ``start`` (node, community)."""
     ends = cut_lineage(_both_ways(links))
-    degrees = ends.groupBy("node").agg(F.sum("weight").cast("double").alias("degree"))
-    alone = degrees.select("node", "degree", F.col("node").alias("community"))
-    state = cut_lineage(alone if start is None else degrees.join(start, "node").select("node", "degree", "community"))
-    total = state.agg(F.sum("degree")).first()[0]
-    least = SMALLEST_GAIN * total
-    best, value = _offers(ends, state, total)
+    degrees = ends.groupBy("node").agg(
+        F.sum("weight").cast("double").alias("degree"), (F.count(F.lit(1)) + 1).alias("rows")
+    )
+    alone = degrees.withColumn("community", F.col("node"))
+    state = cut_lineage((alone if start is None else degrees.join(start, "node")).select(*STATE))
+    total, rows = state.agg(F.sum("degree"), F.sum("rows")).first()
+    least, count = SMALLEST_GAIN * total, ceil(rows / BLOCK_ROWS)
+    best = _offers(ends, state, total)
     ever, turn = False, 0
     while True:
-        movers = cut_lineage(best.where(F.col("best") > F.col("now") + F.lit(least)).select("node", "community", "to", "best", "now"))
+        movers = best.where(F.col("best") > F.col("now") + F.lit(least)).select("node", "community", "to", "best", "now")
         if movers.isEmpty():
-            return state.select("node", "community"), ever
-        half = movers.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+            return best.select("node", "community"), ever
         turn += 1
-        state = _moved(best, half)
-        tried, reached = _offers(ends, state, total)
-        if reached <= value + least:
-            state = _moved(best, _apart(movers))
-            tried, reached = _offers(ends, state, total)
-        best, value, ever = tried, reached, True
+        settled = _moved_in_blocks(ends, best, movers, total, count, turn)
+        if not settled.isEmpty():
+            best = _offers(ends, _moved(best, settled), total)
+        else:
+            half = movers.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
+            tried = _offers(ends, _moved(best, half), total)
+            if _value(tried, total) <= _value(best, total) + least:
+                going = movers.join(_apart(movers), "node", "left_semi")
+                tried = _offers(ends, _moved(best, going), total)
+            best = tried
+        ever = True
 
 
 def _contracted(links: DataFrame, homes: DataFrame) -> DataFrame:

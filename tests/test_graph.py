@@ -192,6 +192,26 @@ def test_communities_end_where_no_move_gains(spark):
     assert len(set(home.values())) == 5
 
 
+@pytest.mark.parametrize("block_rows", [250_000, 120])
+def test_communities_around_hubs_take_few_turns(spark, monkeypatch, block_rows):
+    """Many nodes between few hubs, in one block and in many: few turns, and no node would be better off elsewhere."""
+    draw = random.Random(1)
+    links = {(f"h{hub}", f"n{i:03d}"): 1 for i in range(150) for hub in draw.sample(range(10), 2)}
+    turns, offers = [], communities._offers
+    monkeypatch.setattr(communities, "_offers", lambda *given: turns.append(1) or offers(*given))
+    monkeypatch.setattr(communities, "BLOCK_ROWS", block_rows, raising=False)
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "low string, high string, weight long")
+    home = {r.node: r.community for r in communities.communities(frame).collect()}
+    near = {n: [a if b == n else b for a, b in links if n in (a, b)] for n in home}
+    total = sum(map(len, near.values()))
+    mass = {c: sum(len(near[n]) for n in home if home[n] == c) for c in set(home.values())}
+    for n, others in near.items():
+        gain = {c: sum(home[m] == c for m in others) - len(others) * (mass[c] - len(others) * (c == home[n])) / total for c in mass}
+        assert max(gain.values()) <= gain[home[n]] + 1e-6
+    assert set(home) == {n for pair in links for n in pair}
+    assert len(turns) <= (16 if block_rows > 1000 else 60)
+
+
 @pytest.mark.parametrize("shape", ["chain", "ring", "lollipop"])
 def test_long_paths_take_few_rounds(spark, monkeypatch, shape):
     """Many partitions, ids in no order: tables written grow with the logarithm of the length."""
