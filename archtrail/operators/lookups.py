@@ -53,7 +53,10 @@ def _question(kind: str, directory, name, symbol) -> list:
 
 
 def questions(numbered: DataFrame, direct: DataFrame, configs: DataFrame) -> DataFrame:
-    """(kind, directory, name, symbol, site): everything each site looked up, whether or not it was there."""
+    """(kind, directory, name, symbol, site): everything each site looked up, whether or not it was there.
+
+    A site that asks the same twice may stand twice: who asks is made distinct for the few
+    questions of a change, not here for all."""
     nowhere = F.lit("")
     live = cut_lineage(resolve.live_sites(numbered.where(F.col("language") == "python")))
     near = F.explode(paths.ancestor_directories(paths.parent(F.col("importer")))).alias("near")
@@ -72,7 +75,7 @@ def questions(numbered: DataFrame, direct: DataFrame, configs: DataFrame) -> Dat
         .unionByName(tried.select(*_question("file", nowhere, F.col("path"), nowhere), "site"))
         .unionByName(handed.select(*_question("handed", nowhere, F.col("target"), F.col("symbol")), "site"))
     )
-    return asked.distinct().select(_bucket("name"), *KEY, "site")
+    return asked.select(_bucket("name"), *KEY, "site")
 
 
 def _bucket(name: str):

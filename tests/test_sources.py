@@ -262,3 +262,13 @@ def test_alias_with_nothing_for_the_star_equals_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert compare(registry.QUERIES["resolve_alias"](spark, str(tmp_path)), con, registry.ORACLES["resolve_alias"]) is None
+
+
+def test_files_are_parsed_by_many_tasks(spark):
+    """One small input partition is dealt to all cores before it is parsed."""
+    from archtrail.operators import facts
+
+    files = spark.range(200).selectExpr("concat('m', id, '.py') AS path", "encode('import os\\n', 'UTF-8') AS content").coalesce(1)
+    parsed = facts.extract(files)
+    assert parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert parsed.selectExpr("sum(loc) AS n", "count(DISTINCT path) AS p").first().asDict() == {"n": 200, "p": 200}
