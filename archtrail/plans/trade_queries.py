@@ -59,14 +59,13 @@ ROLLED_EDGES = """SELECT source, target, weight, label FROM (
 
 @query("rolled_edges_module", f"{WITH}, {ROLLED} {ROLLED_EDGES}")
 def rolled_edges_module(spark, sf_dir):
-    rolled = edges.roll_sites(t.trade_sites(spark, sf_dir), t.trade_file_membership(spark, sf_dir))
-    return edges.build_edges(rolled, labels="short")
+    # Weights and labels both read the rolled sites, so they are joined once and written.
+    return edges.build_edges(cut_lineage(t.trade_rolled_sites(spark, sf_dir)), labels="short")
 
 
 @query("rolled_edges_component", f"{WITH}, {COMPONENT_ROLLED} {ROLLED_EDGES}")
 def rolled_edges_component(spark, sf_dir):
-    parents = t.trade_component_membership(spark, sf_dir)
-    return edges.build_edges(edges.roll_sites(t.trade_sites(spark, sf_dir), parents), labels="short")
+    return edges.build_edges(cut_lineage(t.trade_rolled_sites(spark, sf_dir, component=True)), labels="short")
 
 
 @query(
@@ -76,8 +75,7 @@ def rolled_edges_component(spark, sf_dir):
     FROM (SELECT DISTINCT source, target, symbol FROM rolled) GROUP BY source, target""",
 )
 def edge_label_overflow(spark, sf_dir):
-    rolled = edges.roll_sites(t.trade_sites(spark, sf_dir), t.trade_file_membership(spark, sf_dir))
-    return edges.short_labels(edges.edge_symbols(rolled))
+    return edges.short_labels(cut_lineage(edges.edge_symbols(t.trade_rolled_sites(spark, sf_dir))))
 
 
 @query(
@@ -88,8 +86,7 @@ def edge_label_overflow(spark, sf_dir):
     GROUP BY low, high""",
 )
 def undirected_weights(spark, sf_dir):
-    rolled = edges.roll_sites(t.trade_sites(spark, sf_dir), t.trade_file_membership(spark, sf_dir))
-    return edges.undirected_weights(edges.edge_weights(rolled))
+    return edges.undirected_weights(edges.edge_weights(t.trade_rolled_sites(spark, sf_dir)))
 
 
 FAN = """fan AS (
@@ -309,8 +306,7 @@ NET_SQL = f"""WITH RECURSIVE {t.SITES_SQL}, {t.TRADE_SQL}, {ROLLED}, flow AS (
 
 
 def net_flow(spark, sf_dir):
-    rolled = edges.roll_sites(t.trade_sites(spark, sf_dir), t.trade_file_membership(spark, sf_dir))
-    flow = edges.edge_weights(rolled)
+    flow = cut_lineage(edges.edge_weights(t.trade_rolled_sites(spark, sf_dir)))
     back = flow.select(
         F.col("source").alias("target"), F.col("target").alias("source"), F.col("weight").alias("_back")
     )

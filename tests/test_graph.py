@@ -253,3 +253,17 @@ def test_cycle_through_a_long_ring(spark, monkeypatch):
     at = {r.position: r.node for r in cycles.representative_cycles(components, frame).collect()}
     assert [at[k] for k in range(len(at))] == ring[:701] + ring[900:]
     assert len(written) < 75
+
+
+@pytest.mark.parametrize("component", [False, True])
+def test_rolled_sites_are_joined_once_and_equal_the_operator(spark, component):
+    from archtrail.operators import edges
+    from archtrail.plans import registry, tables
+
+    sf = "/root/testdata/sf0.001"
+    parents = tables.trade_component_membership(spark, sf) if component else tables.trade_file_membership(spark, sf)
+    rolled = edges.roll_sites(tables.trade_sites(spark, sf), parents)
+    early = tables.trade_rolled_sites(spark, sf, component)
+    assert sorted(edges.edge_weights(early).collect()) == sorted(edges.edge_weights(rolled).collect())
+    result = registry.QUERIES["rolled_edges_component" if component else "rolled_edges_module"](spark, sf)
+    assert not any("lineitem" in file for file in result.inputFiles())
