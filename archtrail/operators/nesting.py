@@ -23,6 +23,8 @@ from archtrail.session import cut_lineage
 # width that holds it, so it is compared with at most 32 times the places it contains; one
 # longer than the largest width is written once per range, each of which it fills.
 WIDTHS = (1, 16, 256, 4_096, 65_536)
+# Links from which on a list is ranked by pointer doubling; it decides nothing but time.
+FEW = 100_000
 
 
 def _forest(nodes: DataFrame, membership: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def _elements(inner: DataFrame, children: DataFrame) -> DataFrame:
     )))
 
 
-def _to_the_end(elements: DataFrame) -> DataFrame:
+def _doubled(elements: DataFrame) -> DataFrame:
     """Sums of ``nodes`` and ``step`` from each element to the end of its list, by pointer doubling.
 
     Elements of a circle never end; they are left out."""
@@ -81,6 +83,49 @@ def _to_the_end(elements: DataFrame) -> DataFrame:
     return state.where("next IS NULL")
 
 
+def _contracted(state: DataFrame, turn: int) -> DataFrame:
+    """The list with about a quarter of its elements taken up by the element before them.
+
+    Every element has a coin that whoever points to it can work out. One that shows 0 takes up
+    the next one if that shows 1; so no two neighbours go at once. Those taken up come with
+    ``gone``, as they were. Other elements are not dealt out at all."""
+    coin = lambda name: F.pmod(F.xxhash64(name, F.lit(turn)), F.lit(2)) == 1
+    takes = F.col("next").isNotNull() & ~coin("at") & coin("next")
+    before = state.where(takes).select(F.col("at").alias("_before"), F.col("next").alias("at"), F.col("nodes").alias("_nodes"), F.col("step").alias("_step"))
+    met = state.where(coin("at")).join(before, "at", "left")
+    own = F.struct("at", "next", "nodes", "step", F.col("_before").isNotNull().alias("gone"))
+    longer = F.struct(
+        F.col("_before").alias("at"), "next", (F.col("nodes") + F.col("_nodes")).alias("nodes"),
+        (F.col("step") + F.col("_step")).alias("step"), F.lit(False).alias("gone"),
+    )
+    rows = met.select(F.inline(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, longer))))
+    return rows.unionByName(state.where(~(takes | coin("at"))).withColumn("gone", F.lit(False)))
+
+
+def _to_the_end(elements: DataFrame) -> DataFrame:
+    """Sums of ``nodes`` and ``step`` from each element to the end of its list.
+
+    Every element has at most one before it. The list shrinks by a constant share a round, so
+    all rounds together cost a multiple of its length; only what is left, ``FEW`` links at
+    most, is doubled. Then those taken up get their sums back from the element they pointed to.
+    A circle shrinks to one element that points to itself and goes, with all it took up."""
+    state, taken = cut_lineage(elements), []
+    while state.where("next IS NOT NULL").count() > FEW:
+        round_ = cut_lineage(_contracted(state, len(taken)))
+        taken.append(round_.where("gone").drop("gone"))
+        state = round_.where("NOT gone AND (next IS NULL OR next <> at)").drop("gone")
+    known = _doubled(state).select("at", "nodes", "step")
+    for gone in reversed(taken):
+        onward = known.select(F.col("at").alias("next"), F.col("nodes").alias("_nodes"), F.col("step").alias("_step"))
+        # The end of a list that was taken up keeps its own sums.
+        ended = gone.where("next IS NULL").select("at", "nodes", "step")
+        summed = gone.where("next IS NOT NULL").join(onward, "next").select(
+            "at", (F.col("nodes") + F.col("_nodes")).alias("nodes"), (F.col("step") + F.col("_step")).alias("step")
+        )
+        known = known.unionByName(cut_lineage(summed.unionByName(ended)))
+    return known
+
+
 def places(nodes: DataFrame, membership: DataFrame) -> DataFrame:
     """(node, enter, last, depth) for ``nodes(id)`` and all nodes that ``membership`` names.
 

@@ -98,6 +98,44 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     assert len(written) < 15
 
 
+@pytest.mark.parametrize("few", [0, 40])
+def test_lists_shrink_before_they_are_doubled(spark, monkeypatch, few):
+    size, rows = 400, []
+    cut = nesting.cut_lineage
+
+    def counted(df, *a):
+        kept = cut(df, *a)
+        rows.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(nesting, "FEW", few)
+    monkeypatch.setattr(nesting, "cut_lineage", counted)
+    order = list(range(size))
+    random.Random(5).shuffle(order)  # places far from the order of the list
+    elements = [(order[i], order[i + 1], 1, i % 3) for i in range(size - 1)] + [(order[-1], None, 1, (size - 1) % 3)]
+    circle = [(size + i, size + (i + 1) % 7, 1, 1) for i in range(7)] + [(size + 9, size + 9, 1, 1)]
+    given = spark.createDataFrame(elements + circle, "at bigint, next bigint, nodes bigint, step bigint")
+    got = {r.at: (r.nodes, r.step) for r in nesting._to_the_end(given).collect()}
+    assert got == {order[i]: (size - i, sum(j % 3 for j in range(i, size))) for i in range(size)}
+    assert sum(rows) < 10 * size
+
+
+def test_forest_with_lists_that_shrink(spark, monkeypatch):
+    monkeypatch.setattr(nesting, "FEW", 5)
+    nodes, links = random_forest(4)
+    links += [("x", "y"), ("y", "z"), ("z", "x"), ("below", "x")]
+    up = {}
+    for child, parent in links:
+        up[child] = min(parent, up.get(child, parent))
+    ways = {n: climb(up, n) for n in nodes}
+    got = {r.node: r for r in nesting.places(*make(spark, nodes, links)).collect()}
+    assert set(got) == set(nodes)
+    assert sorted(r.enter for r in got.values()) == list(range(1, len(got) + 1))
+    for node, row in got.items():
+        assert row.depth == len(ways[node]) - 1
+        assert {m for m, r in got.items() if row.enter <= r.enter <= row.last} == {m for m in nodes if node in ways[m]}
+
+
 def test_empty(spark):
     ids, membership = make(spark, [], [])
     assert nesting.places(ids, membership).isEmpty()
