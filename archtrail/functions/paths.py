@@ -52,6 +52,11 @@ def parent(path: Column) -> Column:
     return F.array_join(parent_parts(path), "/")
 
 
+def directory(path: Column) -> Column:
+    """The same without an array, for the many rows of sites and files."""
+    return F.left(path, F.length(path) - F.length(basename(path)) - 1)
+
+
 def language(path: Column) -> Column:
     lowered = F.lower(suffix(path))
     result = F.lit(None).cast("string")

@@ -21,12 +21,12 @@ def handed_on(sites: DataFrame, direct: DataFrame, facts: DataFrame) -> tuple[Da
     """(nodes, options). ``nodes``: file, symbol, next, n_options for the package files that
     hand a symbol on; ``options``: all (file, symbol, order, next).
 
-    ``sites``: site, importer, module, line, symbols. ``direct``: site, target."""
+    ``sites``: site, importer, module, line, symbols. ``direct``: site, importer, target."""
     packages = F.col("path").endswith(PACKAGE_FILE)
     own = facts.where(packages).select(F.col("path").alias("file"), F.explode(F.array_union("definitions", "exports")).alias("symbol"))
     options = (
         sites.where(F.col("importer").endswith(PACKAGE_FILE))
-        .join(direct.select("site", F.col("target").alias("next")), "site")
+        .join(direct.where(F.col("importer").endswith(PACKAGE_FILE)).select("site", F.col("target").alias("next")), "site")
         .select(F.col("importer").alias("file"), F.explode("symbols").alias("symbol"), F.struct("line", "module").alias("order"), "next")
         .where("next <> file")
         .join(own, NODE, "left_anti")

@@ -149,3 +149,36 @@ def test_refreshed_map_equals_a_new_one(spark, snapshot, kind, monkeypatch):
     if kind == "touched groups":
         all_groups = now.map.nodes.where("kind <> 'file'").count()
         assert 0 < report.touched.count() < all_groups
+
+
+def test_sites_of_one_directory_share_their_questions(spark):
+    rows = [(f"app/x{k}.py", b"from lib.a import f\nfrom .y import z\n") for k in range(20)]
+    rows += [("lib/a.py", b"def f(): pass\n"), ("app/y.py", b"z = 1\n")]
+    facts = extract(spark.createDataFrame(rows, "path string, content binary"))
+    state = lookups.resolve_all(facts, spark.createDataFrame([], "directory string"), spark.createDataFrame([], resolve.CONFIG_TYPE))
+    assert sorted(map(tuple, state.resolved.groupBy("target").count().collect())) == [("file:app/y.py", 20), ("file:lib/a.py", 20)]
+    assert state.questions.count() == 8
+
+
+def test_closest_file_is_not_the_importer(spark):
+    places = spark.createDataFrame([("d/m.py", "d", "m"), ("d/e/m.py", "d/e", "m"), ("z/m.py", "z", "m")], "path string, root string, module string")
+    importers = ["d/m.py", "d/b.py", "d/e/m.py", "d/e/c.py", "z/m.py", "top.py"]
+    sites = spark.createDataFrame([(i, i, "m") for i in importers], "site string, importer string, module string")
+    got = {r.site: r.target for r in resolve.closest_files(sites, places, places, ["module"]).collect()}
+    assert got == {
+        "d/m.py": "d/e/m.py", "d/b.py": "d/e/m.py", "d/e/m.py": "d/m.py", "d/e/c.py": "d/e/m.py", "z/m.py": "d/e/m.py", "top.py": "d/e/m.py",
+    }
+
+
+def test_imports_in_all_kinds_of_blocks(spark):
+    body = (
+        b"import a\ntry:\n    import b\nexcept E:\n    import c\nelse:\n    import d\nfinally:\n    import e\n"
+        b"match x:\n    case 1:\n        import f\nfor i in j:\n    import g\nelse:\n    def k():\n        class L:\n            import h\n"
+        b"with m as n:\n    if o:\n        pass\n    elif p:\n        from . import q\n"
+    )
+    rows = [("x.py", body), ("bad.py", b"def ("), ("none.py", b""), ("s.ts", b"import {a, b} from './c'\n")]
+    got = {r.path: r for r in extract(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert [i.module for i in got["x.py"].imports] == ["a", "b", "c", "d", "e", "f", "g", "h", ".q"]
+    assert got["x.py"].definitions == ["L", "k"] and got["x.py"].imports[-1].fallbacks == ["."]
+    assert got["bad.py"].error and not got["bad.py"].imports and got["none.py"].loc == 0
+    assert [(i.module, i.symbols) for i in got["s.ts"].imports] == [("./c", ["a", "b"])]
