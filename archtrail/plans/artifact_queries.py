@@ -125,7 +125,8 @@ def contract_rules(spark, sf_dir):
     kind = F.col("event_type")
     detail = F.when(kind == "error", '{"k": [1]}').when(kind == "view", "none").otherwise(F.col("props"))
     events = t.table(spark, sf_dir, "events").select(F.col("event_id").alias("sequence"), detail.alias("detail"))
-    tables = {"nodes": nodes, "edges": trade._edges(spark, sf_dir), "membership": membership, "findings": findings}
+    edges = cut_lineage(t.trade_pairs(spark, sf_dir).select(t._key("c:", "buyer").alias("source"), t._key("s:", "seller").alias("target")))
+    tables = {"nodes": nodes, "edges": edges, "membership": membership, "findings": findings}
     return (
         contract.reference_violations(tables).unionByName(contract.finding_violations(findings))
         .unionByName(contract.level_violations(levels, nodes, membership)).unionByName(contract.detail_violations(events))

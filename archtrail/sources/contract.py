@@ -1,8 +1,8 @@
 """The map contract as declared rules, compiled into few passes over the tables.
 
 Rules about one row become one expression list per table. Rules about ids that must exist
-become rows (id, rule, subject, kinds) of one tagged union and meet the nodes in one join,
-whatever number of tables refers to them. Levels and membership meet in one aggregate.
+become one tagged union whose distinct ids meet the nodes in one join, whatever number of
+tables and rows refers to them. Levels and membership meet in one aggregate.
 
 All results are (subject, rule), a row for every row that breaks a rule; a null where a
 value is asked for breaks it. Empty tables break nothing. Columns beyond those named are
@@ -16,41 +16,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archtrail.session import cut_lineage
 from archtrail.sources.artifacts import SEVERITIES, _broken, _filled, map_violations
 
-PAIR = "concat_ws(' -> ', source, target)"
-MEMBER = "concat_ws(' in ', child, parent)"
-# table, rule, expression for the id (or array of ids), subject, kinds that may stand there
+# table, rule, expression for the id (or array of ids), what else names the row, subject from both (key, other), kinds that may stand there
 REFERENCES = (
-    ("edges", "edge source is a node", "source", PAIR, None),
-    ("edges", "edge target is a node", "target", PAIR, None),
-    ("membership", "member is a module or a file", "child", MEMBER, ("module", "file")),
-    ("membership", "parent is a component or a module", "parent", MEMBER, ("component", "module")),
-    ("findings", "finding names nodes of the map", "node_ids", "id", None),
+    ("edges", "edge source is a node", "source", "target", "concat_ws(' -> ', key, other)", None),
+    ("edges", "edge target is a node", "target", "source", "concat_ws(' -> ', other, key)", None),
+    ("membership", "member is a module or a file", "child", "parent", "concat_ws(' in ', key, other)", ("module", "file")),
+    ("membership", "parent is a component or a module", "parent", "child", "concat_ws(' in ', other, key)", ("component", "module")),
+    ("findings", "finding names nodes of the map", "node_ids", "id", "other", None),
 )
 LISTED = {"component": "module", "module": "file"}
 
 
-def _asked(rule: str, ids: str, subject: str, kinds: tuple[str, ...] | None) -> Column:
-    """One (key, rule, subject, allowed) per id that a row names."""
-    allowed = F.array(*[F.lit(kind) for kind in kinds]) if kinds else F.lit(None).cast("array<string>")
+def _asked(place: int, ids: str, other: str) -> Column:
+    """One (key, other, place) per id that a row names; ``place`` is that of the rule in REFERENCES."""
     several = F.col(ids) if ids == "node_ids" else F.array(ids)
     return F.transform(several, lambda key: F.struct(
-        key.alias("key"), F.lit(rule).alias("rule"), F.expr(subject).alias("subject"), allowed.alias("allowed")
+        key.alias("key"), F.col(other).cast("string").alias("other"), F.lit(place).cast("tinyint").alias("place")
     ))
 
 
+def _by_place(values: list[Column]) -> Column:
+    return reduce(lambda rest, at: rest.when(F.col("place") == at, values[at]), range(1, len(values)), F.when(F.col("place") == 0, values[0]))
+
+
 def reference_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Ids in ``edges``, ``membership`` and ``findings`` that ``nodes`` (id, kind) does not have,
-    or not with a kind that may stand there. Findings that name no node at all are left to the row rules."""
+    or not with a kind that may stand there. Findings that name no node at all are left to the row rules.
+
+    Each id meets the nodes once a rule, however many rows name it. Those that break the rule are
+    written down, so their size is known when the rows that name them are sought: the tables are
+    read twice, and dealt out again only for a broken set too large to broadcast."""
     by_table: dict[str, list[Column]] = {}
-    for table, rule, ids, subject, kinds in REFERENCES:
-        by_table.setdefault(table, []).append(_asked(rule, ids, subject, kinds))
-    asked = [tables[name].select(F.inline(F.concat(*lists))) for name, lists in by_table.items()]
+    for place, (table, _, ids, other, _, _) in enumerate(REFERENCES):
+        by_table.setdefault(table, []).append(_asked(place, ids, other))
+    asked = reduce(DataFrame.unionByName, [tables[name].select(F.inline(F.concat(*lists))) for name, lists in by_table.items()])
     known = tables["nodes"].where("id IS NOT NULL").groupBy(F.col("id").alias("key")).agg(F.collect_set("kind").alias("kinds"))
-    met = reduce(DataFrame.unionByName, asked).join(known, "key", "left")
-    fits = F.col("kinds").isNotNull() & F.coalesce(F.arrays_overlap("kinds", "allowed"), F.col("allowed").isNull())
-    return met.where(~fits).select("subject", "rule")
+    fits = F.col("kinds").isNotNull() & F.coalesce(_by_place([
+        F.arrays_overlap("kinds", F.array(*[F.lit(kind) for kind in kinds])) if kinds else F.lit(True) for *_, kinds in REFERENCES
+    ]), F.lit(False))
+    met = asked.select("key", "place").distinct().join(known, "key", "left")
+    broken = cut_lineage(met.where(~fits).select(F.col("key").alias("_key"), F.col("place").alias("_place")))
+    return asked.join(broken, F.col("key").eqNullSafe(F.col("_key")) & (F.col("place") == F.col("_place")), "left_semi").select(
+        _by_place([F.expr(subject) for *_, subject, _ in REFERENCES]).alias("subject"),
+        _by_place([F.lit(rule) for _, rule, *_ in REFERENCES]).alias("rule"),
+    )
 
 
 def finding_violations(findings: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """One row that breaks it for every rule, and nothing else reported."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from archtrail.plans import tables
+from archtrail.session import cut_lineage
 from archtrail.sources import contract
 
 NODES = "id string, kind string, role string, label string, loc long, fan_in long, fan_out long"
@@ -64,3 +67,39 @@ def test_rule(spark, table, change, expected):
 def test_empty(spark):
     tables = {name: spark.createDataFrame([], kind) for name, kind in TYPES.items()}
     assert contract.violations(tables).isEmpty()
+
+
+def shuffled(spark):
+    """Bytes shuffled by the session so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    known = context.statusStore().executorList(False)
+    return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+
+def test_ids_meet_the_nodes_once(spark):
+    """Edges are not dealt out by their ends, however many name a node."""
+    name = "concat('node ', id % 2000)"
+    edges = cut_lineage(spark.range(200_000).selectExpr(f"{name} AS source", "IF(id = 7, 'gone', concat('node ', id * 7 % 2000)) AS target"))
+    nodes = cut_lineage(spark.range(2000).selectExpr(f"{name} AS id", "'file' AS kind"))
+    empty = {table: spark.createDataFrame([], TYPES[table]) for table in ("membership", "findings")}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        before = shuffled(spark)
+        found = contract.reference_violations({"nodes": nodes, "edges": edges, **empty}).collect()
+        assert [tuple(row) for row in found] == [("node 7 -> gone", "edge target is a node")]
+        assert shuffled(spark) - before < 1_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_pairs_are_the_ends_of_sites(spark, tmp_path):
+    for name in ("lineitem", "orders", "part"):
+        rows = tables.table(spark, "/root/testdata/sf0.001", name)
+        rows = rows.where("p_partkey % 5 <> 0") if name == "part" else rows
+        rows = rows.withColumn("l_partkey", F.expr("nullif(l_partkey, 7)")) if name == "lineitem" else rows
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    pairs = tables.trade_pairs(spark, str(tmp_path)).selectExpr("concat('c:', buyer) AS source", "concat('s:', seller) AS target").collect()
+    ends = tables.trade_sites(spark, str(tmp_path)).select("source", "target").distinct().collect()
+    assert len(pairs) == len(set(pairs)) and set(pairs) == set(ends)
