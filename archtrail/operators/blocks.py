@@ -14,83 +14,92 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_ROWS = 1_000_000
+BLOCK_BYTES = 64 * 1024 * 1024  # as Arrow holds them; rows with long keys fill a block earlier
+BATCH_ROWS = 100_000
 
 
-def in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Regroup the Arrow batches of a partition into blocks of bounded size."""
-    held, rows = [], 0
+    held, rows, size = [], 0, 0
     for batch in batches:
         held.append(batch)
-        rows += len(batch)
-        if rows >= BLOCK_ROWS:
-            yield pd.concat(held, ignore_index=True)
-            held, rows = [], 0
+        rows += batch.num_rows
+        size += batch.nbytes
+        if rows >= BLOCK_ROWS or size >= BLOCK_BYTES:
+            full, held, rows, size = held, [], 0, 0
+            yield pa.Table.from_batches(full)
     if rows:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held)
 
 
-def _ends(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _codes(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values and the place of each row's value among them; no text becomes a Python object."""
+    encoded = pa.concat_arrays(column.chunks).dictionary_encode()
+    return encoded.dictionary, encoded.indices.to_numpy()
+
+
+def _ends(block: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Node names and the two ends of each link as positions among them."""
-    both = pd.concat([block["source"], block["target"]], ignore_index=True)
-    codes, names = pd.factorize(both)
-    return np.asarray(names, dtype=object), codes[: len(block)], codes[len(block) :]
+    names, codes = _codes(pa.chunked_array([*block["source"].chunks, *block["target"].chunks]))
+    return names, codes[: block.num_rows], codes[block.num_rows :]
+
 
+def _batches(**columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    yield from pa.table(columns).to_batches(max_chunksize=BATCH_ROWS)
 
-def spread_highest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def spread_highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(source, target, value of the source) → (node, value): the highest value
     that reaches a node along links of the block."""
     for block in in_blocks(batches):
         names, source, target = _ends(block)
-        rank, labels = pd.factorize(block["value"], sort=True)
+        labels, rank = _codes(block["value"])
+        order = pc.sort_indices(labels).to_numpy()
+        place = np.empty(len(labels), dtype=np.int64)
+        place[order] = np.arange(len(labels))
         best = np.full(len(names), -1, dtype=np.int64)
-        np.maximum.at(best, source, rank)
+        np.maximum.at(best, source, place[rank])
         start = best.copy()
         while True:
             before = best.copy()
             np.maximum.at(best, target, best[source])
             if np.array_equal(before, best):
                 break
-        gained = best > start
-        yield pd.DataFrame({"node": names[gained], "value": np.asarray(labels)[best[gained]]})
+        gained = np.flatnonzero(best > start)
+        yield from _batches(node=names.take(pa.array(gained)), value=labels.take(pa.array(order[best[gained]])))
 
 
-def spread_distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spread_least(block: pa.Table, weight: np.ndarray | int) -> Iterator[pa.RecordBatch]:
+    unreached = np.iinfo(np.int64).max // 2
+    names, source, target = _ends(block)
+    value = block["value"].to_numpy()
+    best = np.full(len(names), unreached, dtype=np.int64)
+    np.minimum.at(best, source, np.where(value < 0, unreached, value))
+    start = best.copy()
+    while True:
+        before = best.copy()
+        np.minimum.at(best, target, best[source] + weight)
+        if np.array_equal(before, best):
+            break
+    gained = np.flatnonzero((best < start) & (best < unreached))
+    yield from _batches(node=names.take(pa.array(gained)), value=pa.array(best[gained]))
+
+
+def spread_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(source, target, value of the source) → (node, value): fewest links from a
     start at 0. A negative value marks a source not reached yet."""
-    unreached = np.iinfo(np.int64).max // 2
     for block in in_blocks(batches):
-        names, source, target = _ends(block)
-        value = block["value"].to_numpy(dtype=np.int64)
-        best = np.full(len(names), unreached, dtype=np.int64)
-        np.minimum.at(best, source, np.where(value < 0, unreached, value))
-        start = best.copy()
-        while True:
-            before = best.copy()
-            np.minimum.at(best, target, best[source] + 1)
-            if np.array_equal(before, best):
-                break
-        gained = (best < start) & (best < unreached)
-        yield pd.DataFrame({"node": names[gained], "value": best[gained]})
+        yield from _spread_least(block, 1)
 
 
-def spread_weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def spread_weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same for links of a given length (``weight``)."""
-    unreached = np.iinfo(np.int64).max // 2
     for block in in_blocks(batches):
-        names, source, target = _ends(block)
-        value, weight = block["value"].to_numpy(dtype=np.int64), block["weight"].to_numpy(dtype=np.int64)
-        best = np.full(len(names), unreached, dtype=np.int64)
-        np.minimum.at(best, source, np.where(value < 0, unreached, value))
-        start = best.copy()
-        while True:
-            before = best.copy()
-            np.minimum.at(best, target, best[source] + weight)
-            if np.array_equal(before, best):
-                break
-        gained = (best < start) & (best < unreached)
-        yield pd.DataFrame({"node": names[gained], "value": best[gained]})
+        yield from _spread_least(block, block["weight"].to_numpy())
 
 
 def _peel(near: np.ndarray, far: np.ndarray, degree: np.ndarray, keep: np.ndarray) -> None:
@@ -108,17 +117,18 @@ def _peel(near: np.ndarray, far: np.ndarray, degree: np.ndarray, keep: np.ndarra
         np.subtract.at(left, far[gone], 1)
 
 
-def peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop links that cannot lie on a cycle. Input: source, target, way_in (links
     into the source), way_out (links out of the target), counted globally."""
     for block in in_blocks(batches):
         _, source, target = _ends(block)
-        keep = np.ones(len(block), dtype=bool)
-        _peel(source, target, block["way_in"].to_numpy(dtype=np.int64), keep)
+        keep = np.ones(block.num_rows, dtype=bool)
+        _peel(source, target, block["way_in"].to_numpy(), keep)
         # Links just dropped still count at their target's other side; that only
         # delays a drop to the next round, it never drops too much.
-        _peel(target, source, block["way_out"].to_numpy(dtype=np.int64), keep)
-        yield block.loc[keep, ["source", "target"]]
+        _peel(target, source, block["way_out"].to_numpy(), keep)
+        kept = block.select(["source", "target"]).filter(pa.array(keep))
+        yield from kept.to_batches(max_chunksize=BATCH_ROWS)
 
 
 def extend_key(key: list[str], node: str) -> list[str]:
@@ -130,15 +140,16 @@ def extend_key(key: list[str], node: str) -> list[str]:
     return [*key[:end], node]
 
 
-def spread_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def spread_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(source, target, value = key of the source) → (node, value): largest key a
     target gets along links of the block."""
     for block in in_blocks(batches):
         out: dict[str, list[str]] = {}
         best: dict[str, list[str]] = {}
-        for source, target, key in zip(block["source"], block["target"], block["value"]):
-            out.setdefault(source, []).append(target)
-            best[source] = list(key)
+        for batch in block.to_batches(max_chunksize=10_000):
+            for source, target, key in zip(*(batch[name].to_pylist() for name in ("source", "target", "value"))):
+                out.setdefault(source, []).append(target)
+                best.setdefault(source, key)
         gained: set[str] = set()
         waiting = list(out)
         while waiting:
@@ -151,7 +162,12 @@ def spread_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         gained.add(target)
                         touched.add(target)
             waiting = [node for node in touched if node in out]
-        yield pd.DataFrame({"node": list(gained), "value": [best[node] for node in gained]})
+        nodes = list(gained)
+        for at in range(0, len(nodes), 10_000):
+            some = nodes[at : at + 10_000]
+            yield pa.RecordBatch.from_pydict(
+                {"node": pa.array(some, pa.string()), "value": pa.array([best[node] for node in some], pa.list_(pa.string()))}
+            )
 
 
 def move_nodes(total: float, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:

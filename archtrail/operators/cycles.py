@@ -35,7 +35,7 @@ def _trim_fully(links: DataFrame) -> tuple[DataFrame, int]:
             counted.select(
                 "source", "target", F.coalesce("way_in", F.lit(0)).alias("way_in"),
                 F.coalesce("way_out", F.lit(0)).alias("way_out"),
-            ).mapInPandas(
+            ).mapInArrow(
                 blocks.peel, "source string, target string"
             )
         )
@@ -122,7 +122,7 @@ def _spread(
     while True:
         proposed = (
             active.select(*links.columns, "value")
-            .mapInPandas(kernel, f"node string, value {value_type}")
+            .mapInArrow(kernel, f"node string, value {value_type}")
             .groupBy("node")
             .agg(best("value").alias("_proposed"))
         )

@@ -280,11 +280,9 @@ comps AS (SELECT id AS node, least(id, coalesce(min(other), id)) AS component
 
 
 def firm_graph(spark, sf_dir):
-    sites = t.trade_sites(spark, sf_dir)
-    links = sites.select(
-        F.concat(F.lit("f:"), F.expr("substring(source, 3)")).alias("source"),
-        F.concat(F.lit("f:"), F.expr("substring(target, 3)")).alias("target"),
-    ).distinct()
+    links = t.trade_pairs(spark, sf_dir, any_part=True).select(
+        t._key("f:", "buyer").alias("source"), t._key("f:", "seller").alias("target")
+    )
     customers = t.table(spark, sf_dir, "customer").select(t._key("f:", "c_custkey").alias("id"))
     suppliers = t.table(spark, sf_dir, "supplier").select(t._key("f:", "s_suppkey").alias("id"))
     return customers.unionByName(suppliers).distinct(), links
