@@ -107,6 +107,7 @@ def _spread(
     better: Callable[[Column, Column], Column],
     best: Callable[[str], Column],
     missing: Column | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Run ``kernel`` over links and node values until no value improves.
 
@@ -114,7 +115,9 @@ def _spread(
     several proposals for a node. With ``missing``, sources without a value take
     part in the first round under that marker, so that a block can pass values on
     through them. ``links``: source, target and what else the kernel reads. From the second round on only links leaving a node that just
-    improved are looked at."""
+    improved are looked at. ``dealt``: values are large, but pack so well that their files look
+    small to the planner; they are joined by shuffles and never sent through the driver."""
+    links = links.hint("merge") if dealt else links
     sources = state.select(F.col("node").alias("source"), "value")
     active = links.join(sources, "source", "inner" if missing is None else "left")
     if missing is not None:
@@ -344,7 +347,7 @@ def dependency_order_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     groups = components.select(F.col("component").alias("node")).distinct()
     start = cut_lineage(groups.withColumn("value", F.array("node")))
-    keys = _spread(waits, start, blocks.spread_keys, "array<string>", _greater, F.max)
+    keys = _spread(waits, start, blocks.spread_keys, "array<string>", _greater, F.max, dealt=True)
     return components.join(
-        keys.select(F.col("node").alias("component"), F.col("value").alias("key")), "component"
+        keys.select(F.col("node").alias("component"), F.col("value").alias("key")).hint("merge"), "component"
     ).select("node", "component", "key")

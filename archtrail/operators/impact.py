@@ -64,7 +64,7 @@ def review_order(mapped: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = with_node.select(F.col("node_id").alias("id")).distinct()
     keyed = dependency_order_keys(nodes, edges_among(edges, nodes))
     paths = with_node.groupBy(F.col("node_id").alias("node")).agg(F.max("path").alias("path"))
-    ordered = keyed.join(paths, "node").select(
+    ordered = keyed.join(paths.hint("merge"), "node").select(  # keys are long: not for a broadcast
         F.lit(0).alias("_tail"), "key", F.col("node").alias("_by"), "path"
     )
     rest = mapped.where(F.col("node_id").isNull()).select(

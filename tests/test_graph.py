@@ -267,3 +267,21 @@ def test_rolled_sites_are_joined_once_and_equal_the_operator(spark, component):
     assert sorted(edges.edge_weights(early).collect()) == sorted(edges.edge_weights(rolled).collect())
     result = registry.QUERIES["rolled_edges_component" if component else "rolled_edges_module"](spark, sf)
     assert not any("lineitem" in file for file in result.inputFiles())
+
+
+def test_keys_are_not_broadcast(spark, monkeypatch):
+    """A chain's keys are as long as the chain and pack into few bytes; no join sends them through the driver."""
+    names = [f"n{i:04}" for i in range(300, 0, -1)]
+    nodes = spark.createDataFrame([(n,) for n in names], "id string")
+    links = spark.createDataFrame(list(zip(names[1:], names)), "source string, target string")
+    plans, cut = [], cycles.cut_lineage
+
+    def seen(df, *rest):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df, *rest)
+
+    monkeypatch.setattr(cycles, "cut_lineage", seen)
+    keyed = cycles.dependency_order_keys(nodes, links)
+    plans.append((keyed.columns, keyed._jdf.queryExecution().executedPlan().toString()))
+    carrying = [plan for columns, plan in plans if "array<string>" in plan or "key" in columns or "_moved" in columns and "spread_keys" in plan]
+    assert carrying and not [plan for plan in carrying if "BroadcastExchange" in plan]
