@@ -13,7 +13,6 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -170,25 +169,20 @@ def spread_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def move_nodes(total: float, least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A block of whole communities → (node, to) of the nodes that moved in it.
-
-    Rows: a node with its community and degree (``weight``; ``other`` is null), or a link to
-    another node of the block. A node goes where it gains most, if that is more than ``least``
-    over staying; its neighbours are then looked at again."""
-
-    def moved(block: pd.DataFrame) -> pd.DataFrame:
-        own = block["other"].isna()
-        nodes, links = block[own].sort_values("node"), block[~own]
-        names = pd.Index(nodes["node"])
-        start, labels = pd.factorize(nodes["community"], sort=True)
-        degree = nodes["weight"].tolist()
-        mass = np.bincount(start, weights=nodes["weight"]).tolist()
-        near, far = names.get_indexer(links["node"]), names.get_indexer(links["other"])
-        order = np.lexsort((far, near))
-        first = np.searchsorted(near[order], np.arange(len(names) + 1)).tolist()
-        far, weight, home = far[order].tolist(), links["weight"].to_numpy()[order].tolist(), start.tolist()
-        waiting, queued = deque(range(len(names))), [True] * len(names)
+def _settled(start: np.ndarray, degree: np.ndarray, mass: np.ndarray, near: np.ndarray, far: np.ndarray, weight: np.ndarray, total: float, least: float) -> np.ndarray:
+    """Community of each node after all went, one after another, where they gain most until none
+    gains more than ``least``; a node that went has its neighbours looked at again.
+
+    A link's far end beyond the nodes is what stays in a community (its place among ``mass``)."""
+    count = len(degree)
+    order = np.lexsort((far, near))
+    first = np.searchsorted(near[order], np.arange(count + 1)).tolist()
+    far, weight = far[order].tolist(), weight[order].tolist()
+    home = [*start.tolist(), *range(len(mass))]
+    degree, mass = degree.tolist(), mass.tolist()
+    moving = True
+    while moving:  # masses change for all, so all are looked at until none moves
+        moving, waiting, queued = False, deque(range(count)), [True] * len(home)
         while waiting:
             node = waiting.popleft()
             queued[node] = False
@@ -202,7 +196,7 @@ def move_nodes(total: float, least: float) -> Callable[[pd.DataFrame], pd.DataFr
             best, to = max(gains, default=(now, 0))
             if best <= now + least:
                 continue
-            home[node] = -to
+            home[node], moving = -to, True
             mass[here] -= own_degree
             mass[-to] += own_degree
             for at in range(first[node], first[node + 1]):
@@ -210,8 +204,71 @@ def move_nodes(total: float, least: float) -> Callable[[pd.DataFrame], pd.DataFr
                 if not queued[other] and home[other] != -to:
                     queued[other] = True
                     waiting.append(other)
-        end = np.asarray(home)
+    return np.asarray(home[:count], dtype=np.int64)
+
+
+def move_nodes(total: float, least: float) -> Callable[[pa.Table], pa.Table]:
+    """Some nodes and whole communities → (node, to) of the nodes that moved between these.
+
+    Rows: a node with its community, the mass of that and its degree (``weight``; ``other`` is
+    null), or a link of it to another node with the same of the other end. Whatever is no node
+    of the block stays where it is."""
+
+    def moved(block: pa.Table) -> pa.Table:
+        labels, at, community = np.unique(block["community"].to_numpy(), return_index=True, return_inverse=True)
+        mass = block["mass"].to_numpy()[at]
+        own = pc.is_null(block["other"]).to_numpy()
+        node, weight = block["node"].to_numpy(), block["weight"].to_numpy()
+        order = np.flatnonzero(own)[np.argsort(node[own])]
+        names, start = node[order], community[order]
+        other = block["other"].filter(pa.array(~own)).to_numpy()
+        place = np.minimum(np.searchsorted(names, other), len(names) - 1)
+        far = np.where(names[place] == other, place, len(names) + community[~own])
+        end = _settled(start, weight[order], mass, np.searchsorted(names, node[~own]), far, weight[~own], total, least)
         gone = np.flatnonzero(end != start)
-        return pd.DataFrame({"node": names.to_numpy(dtype=object)[gone], "to": np.asarray(labels, dtype=object)[end[gone]]})
+        return pa.table({"node": names[gone], "to": labels[end[gone]]})
 
     return moved
+
+
+def _contracted(near: np.ndarray, far: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int(near.max()) + 1
+    pairs, at = np.unique(near * size + far, return_inverse=True)
+    return pairs // size, pairs % size, np.bincount(at, weights=weight)
+
+
+def search(smallest: float) -> Callable[[pa.Table], pa.Table]:
+    """A whole graph that fits into a block (low, high, weight) → (node, community).
+
+    Nodes move, then communities as wholes, level by level, then nodes again, until neither
+    gains more than ``smallest`` times the weight. A community has the number of one of its nodes."""
+
+    def found(links: pa.Table) -> pa.Table:
+        low, high = links["low"].to_numpy(), links["high"].to_numpy()
+        names, places = np.unique(np.concatenate([low, high]), return_inverse=True)
+        near, far = places, np.concatenate([places[len(low):], places[: len(low)]])
+        weight = np.concatenate([links["weight"].to_numpy()] * 2)
+        total = float(weight.sum())
+
+        def settled(start: np.ndarray, near: np.ndarray, far: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            degree = np.bincount(near, weights=weight, minlength=len(start))
+            mass = np.bincount(start, weights=degree, minlength=len(start))
+            apart = near != far
+            return _settled(start, degree, mass, near[apart], far[apart], weight[apart], total, smallest * total)
+
+        start = np.arange(len(names))
+        home = settled(start, near, far, weight)
+        while not np.array_equal(home, start):
+            merged = False
+            while True:
+                labels, inner = np.unique(home, return_inverse=True)
+                outer = settled(np.arange(len(labels)), *_contracted(inner[near], inner[far], weight))
+                if np.array_equal(outer, np.arange(len(labels))):
+                    break
+                merged, home = True, labels[outer[inner]]
+            if not merged:
+                break
+            start, home = home, settled(home, near, far, weight)
+        return pa.table({"node": names, "community": names[home]})
+
+    return found

@@ -1,18 +1,22 @@
 """Communities of a weighted graph, kept inside directory anchors.
 
 Modularity is a sum over communities, and a move changes only the two it touches. So
-communities are dealt to blocks, each whole in one block of bounded size, and a task moves
-the nodes of its block one after another between the communities there: what blocks gain
-adds up, however many run at once. Every turn deals anew and brings communities together
-with those their nodes want to go to. Where blocks gain nothing (communities too large for
+communities are dealt to blocks, each whole in one block, and a task moves the nodes of its
+block one after another between the communities there: what blocks gain adds up, however
+many run at once. Only nodes that want to move, and those nearest to it as far as a block
+holds them, are rows of a block; the others count by the mass of their community and by
+links to it. So a block of bounded size holds many communities, and all of them once few
+nodes want to move. Every turn deals anew and brings communities together with those their
+nodes want to go to. Where blocks gain nothing (communities too large for
 one), one half of the nodes that want to move (by a hash of node and turn) does so; the
 result counts only if modularity grew. Where it did not, because moves got in each other's
 way, those moves are made that are the best of both communities they touch: no two of
 them share a community, so each gains what it promised. Either way modularity grows
 with every step, which is why the search ends, and it ends only when no single move
-gains anything. Communities are then contracted and the same runs on the smaller
-graph until nothing moves there. A whole graph is never gathered; what fits into no block
-is joins and aggregates over links.
+gains anything. Before that, once few nodes still want to move, communities are contracted
+and the same runs on the smaller graph; a graph that fits into a block is searched by one task.
+A larger one is never gathered; what fits into no block is joins and aggregates over links.
+Nodes are numbered by name first, so that rows are numbers.
 """
 
 from __future__ import annotations
@@ -22,14 +26,18 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archtrail.operators import blocks
+from archtrail.operators import blocks, ranking
 from archtrail.session import cut_lineage
 
 # A move must gain more than this share of the total weight.
 SMALLEST_GAIN = 1e-9
 # Rows (nodes and ends of links) that one task moves nodes among.
 BLOCK_ROWS = 250_000
+# Communities are contracted once fewer than this share of the nodes want to move.
+FEW_MOVERS = 0.3
 STATE = ["node", "degree", "rows", "community"]
+# What the best move gains over staying, or lacks (in half powers of two); this for those that gain.
+GAINS = -1000
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -41,24 +49,28 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 def _offers(ends: DataFrame, state: DataFrame, total: float) -> DataFrame:
     """Per node its community and what it gains by staying and by its best move."""
-    mass = state.groupBy("community").agg(F.sum("degree").alias("mass"))
-    where = state.select(F.col("node").alias("other"), F.col("community").alias("near"))
+    masses = state.groupBy("community").agg(F.sum("degree").alias("mass"))
+    held = cut_lineage(state.join(masses, "community").select(*STATE, "mass"))
+    where = held.select(F.col("node").alias("other"), F.col("community").alias("near"), "mass")
     toward = ends.where(F.col("node") != F.col("other")).join(where, "other").select(
-        "node", "near", F.col("weight").cast("double").alias("shared")
+        "node", "near", "mass", "degree", F.col("weight").alias("shared"), F.lit(None).cast("bigint").alias("rows")
     )
     # The own community always takes part, even without a link to it.
-    stay = state.select("node", F.col("community").alias("near"), F.lit(0.0).alias("shared"))
-    options = toward.unionByName(stay).groupBy("node", "near").agg(F.sum("shared").alias("shared"))
-    weighed = options.join(state, "node").join(mass.withColumnRenamed("community", "near"), "near")
-    own = F.col("near") == F.col("community")
+    stay = held.select("node", F.col("community").alias("near"), "mass", "degree", F.lit(0.0).alias("shared"), "rows")
+    options = toward.unionByName(stay).groupBy("node", "near").agg(
+        F.sum("shared").alias("shared"), *[F.max(name).alias(name) for name in ("mass", "degree", "rows")]
+    )
+    own = F.col("rows").isNotNull()
     rest = F.col("mass") - F.when(own, F.col("degree")).otherwise(0.0)
     gain = F.col("shared") - F.col("degree") * rest / F.lit(total)
-    scored = weighed.select(*STATE, "near", "shared", gain.alias("gain"), own.alias("own"))
-    return cut_lineage(scored.groupBy(*STATE).agg(
-        F.max("gain").alias("best"),
-        F.max(F.when(F.col("own"), F.col("gain"))).alias("now"),
-        F.max(F.when(F.col("own"), F.col("shared"))).alias("inside"),
-        F.min_by("near", F.struct(-F.round("gain", 9), F.col("near"))).alias("to"),
+    scored = options.select("*", gain.alias("gain"), own.alias("own"))
+    mine = lambda name: F.max(F.when(F.col("own"), F.col(name)))
+    away = lambda column: F.when(~F.col("own"), column)
+    return cut_lineage(scored.groupBy("node").agg(
+        F.max("degree").alias("degree"), F.max("rows").alias("rows"),
+        mine("near").alias("community"), mine("mass").alias("mass"), mine("gain").alias("now"), mine("shared").alias("inside"),
+        F.max(away(F.col("gain"))).alias("best"),
+        F.min_by(away(F.col("near")), away(F.struct(-F.round("gain", 9), F.col("near")))).alias("to"),
     ))
 
 
@@ -72,37 +84,43 @@ def _deal(best: DataFrame, movers: DataFrame, count: int, turn: int) -> DataFram
     """(community, block): communities next to one their best mover wants to go to.
 
     By a coin a community waits or goes to the one it wants, if that waits. Where more want
-    to than a block holds, a share does. One larger than a block gets none."""
+    to than a block holds, a share does. One whose movers are more than a block gets none."""
     coin = F.pmod(F.xxhash64(F.lit(turn), "community"), F.lit(2)) == 0
-    wish = movers.groupBy("community").agg(F.max_by("to", F.struct(F.col("best") - F.col("now"), F.col("node"))).alias("_want"))
-    sizes = best.groupBy("community").agg(F.sum("rows").alias("rows")).where(F.col("rows") <= BLOCK_ROWS)
-    known = cut_lineage(sizes.join(wish, "community", "left").withColumn("_waits", coin))
+    wish = movers.groupBy("community").agg(
+        F.max_by("to", F.struct(F.col("best") - F.col("now"), F.col("node"))).alias("_want"), F.sum("rows").alias("rows")
+    )
+    sizes = best.select("community").distinct().join(wish, "community", "left").select(
+        "community", "_want", F.coalesce("rows", F.lit(0)).alias("rows"), coin.alias("_waits")
+    )
+    known = cut_lineage(sizes.where(F.col("rows") <= BLOCK_ROWS))
     waiting = known.where("_waits").select(F.col("community").alias("_want"), F.col("rows").alias("_held"))
     going = known.where("NOT _waits").join(waiting, "_want").select("community", "_want", "rows", "_held")
     asked = going.groupBy("_want").agg((F.sum("rows") + F.max("_held")).alias("_asked"))
-    share = F.ceil(F.col("_asked") / F.lit(BLOCK_ROWS))
+    share = F.greatest(F.ceil(F.col("_asked") / F.lit(BLOCK_ROWS)), F.lit(1))
     let_in = going.join(asked, "_want").where(F.pmod(F.xxhash64("community", F.lit(turn)), share) == 0)
     key = F.coalesce("_want", "community")
-    return known.select("community").join(let_in.select("community", "_want"), "community", "left").select(
+    return cut_lineage(known.select("community").join(let_in.select("community", "_want"), "community", "left").select(
         "community", F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(count)).alias("block")
-    )
+    ))
 
 
 def _moved_in_blocks(ends: DataFrame, best: DataFrame, movers: DataFrame, total: float, count: int, turn: int) -> DataFrame:
-    """(node, to): moves inside blocks, one after another, each with a gain."""
-    placed = best.select("node", "community", "degree")
+    """(node, to): moves of ``movers`` inside blocks, one after another, each with a gain."""
+    there = best.select(F.col("node").alias("other"), "community", "mass")
     if count == 1:
-        placed = placed.withColumn("block", F.lit(0).cast("bigint"))
+        placed = movers.withColumn("block", F.lit(0).cast("bigint"))
     else:
-        placed = placed.join(_deal(best, movers, count, turn), "community")
-    here = placed.select("node", F.col("block").alias("_block"))
-    there = placed.select(F.col("node").alias("other"), "block")
-    links = ends.where("node <> other").join(here, "node").join(there, "other").where("block = _block")
-    rows = placed.select("block", "node", "community", F.lit(None).cast("string").alias("other"), F.col("degree").alias("weight")).unionByName(
-        links.select("block", "node", F.lit(None).cast("string").alias("community"), "other", F.col("weight").cast("double").alias("weight"))
+        dealt = _deal(best, movers, count, turn)
+        placed = movers.join(dealt, "community")
+        there = there.join(dealt.withColumnRenamed("block", "_block"), "community")
+    links = ends.where("node <> other").join(placed.select("node", "block"), "node").join(there, "other")
+    if count > 1:
+        links = links.where("block = _block")
+    rows = placed.select("block", "node", F.lit(None).cast("bigint").alias("other"), "community", "mass", F.col("degree").alias("weight")).unionByName(
+        links.select("block", "node", "other", "community", "mass", "weight")
     )
-    return cut_lineage(rows.groupBy("block").applyInPandas(
-        blocks.move_nodes(total, SMALLEST_GAIN * total), "node string, to string"
+    return cut_lineage(rows.groupBy("block").applyInArrow(
+        blocks.move_nodes(total, SMALLEST_GAIN * total), "node long, to long"
     ))
 
 
@@ -117,29 +135,45 @@ def _apart(movers: DataFrame) -> DataFrame:
 
 def _moved(best: DataFrame, movers: DataFrame) -> DataFrame:
     going = movers.select("node", F.col("to").alias("_to"))
-    return cut_lineage(best.join(going, "node", "left").select("node", "degree", "rows", F.coalesce("_to", "community").alias("community")))
+    return best.join(going, "node", "left").select("node", "degree", "rows", F.coalesce("_to", "community").alias("community"))
 
 
-def _move_nodes(links: DataFrame, start: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """(node, community) when no single move gains any more, and whether anything moved.
+def _ends(links: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """Ends of links (node, other, weight, degree), nodes (node, degree, rows) and the sum of all degrees."""
+    both = _both_ways(links)
+    degrees = cut_lineage(both.groupBy("node").agg(F.sum("weight").alias("degree"), (F.count(F.lit(1)) + 1).alias("rows")))
+    ends = cut_lineage(both.join(degrees.select("node", "degree"), "node"))
+    return ends, degrees, degrees.agg(F.sum("degree")).first()[0]
 
-    The search begins with every node on its own, or with ``start`` (node, community)."""
-    ends = cut_lineage(_both_ways(links))
-    degrees = ends.groupBy("node").agg(
-        F.sum("weight").cast("double").alias("degree"), (F.count(F.lit(1)) + 1).alias("rows")
-    )
+
+def _move_nodes(ends: DataFrame, degrees: DataFrame, total: float, start: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """(node, community) and whether anything moved.
+
+    The search begins with every node on its own and goes on until few nodes gain by a move, or
+    with ``start`` (node, community) and goes on until none does."""
+    least = SMALLEST_GAIN * total
     alone = degrees.withColumn("community", F.col("node"))
-    state = cut_lineage((alone if start is None else degrees.join(start, "node")).select(*STATE))
-    total, rows = state.agg(F.sum("degree"), F.sum("rows")).first()
-    least, count = SMALLEST_GAIN * total, ceil(rows / BLOCK_ROWS)
-    best = _offers(ends, state, total)
-    ever, turn = False, 0
+    best = _offers(ends, (alone if start is None else degrees.join(start, "node")).select(*STATE), total)
+    gains = F.col("best") > F.col("now") + F.lit(least)
+    lacks = F.floor(2 * F.log2(F.greatest(F.col("now") - F.col("best"), F.lit(least / 1000)))).cast("int")
+    turn = 0
     while True:
-        movers = best.where(F.col("best") > F.col("now") + F.lit(least)).select("node", "community", "to", "best", "now")
-        if movers.isEmpty():
-            return best.select("node", "community"), ever
+        # Nodes without a link to another community have nothing to gain or lack.
+        best = best.withColumn("lacks", F.when(gains, F.lit(GAINS)).when(F.col("best").isNotNull(), lacks))
+        sizes = best.groupBy("lacks").agg(F.count(F.lit(1)).alias("nodes"), F.sum("rows").alias("rows")).collect()
+        wanting = {row.lacks: row.rows for row in sizes if row.lacks is not None}
+        few = start is None and turn and sum(row.nodes for row in sizes if row.lacks == GAINS) < FEW_MOVERS * sum(row.nodes for row in sizes)
+        if GAINS not in wanting or few:
+            return best.select("node", "community"), turn > 0
         turn += 1
-        settled = _moved_in_blocks(ends, best, movers, total, count, turn)
+        count, limit, held = ceil(wanting[GAINS] / BLOCK_ROWS), GAINS, 0
+        for lack, rows in sorted(wanting.items()):
+            held += rows
+            if held > BLOCK_ROWS:
+                break
+            limit = lack
+        movers = best.where(F.col("lacks") == GAINS)
+        settled = _moved_in_blocks(ends, best, best.where(F.col("lacks") <= limit), total, count, turn)
         if not settled.isEmpty():
             best = _offers(ends, _moved(best, settled), total)
         else:
@@ -149,7 +183,6 @@ def _move_nodes(links: DataFrame, start: DataFrame | None = None) -> tuple[DataF
                 going = movers.join(_apart(movers), "node", "left_semi")
                 tried = _offers(ends, _moved(best, going), total)
             best = tried
-        ever = True
 
 
 def _contracted(links: DataFrame, homes: DataFrame) -> DataFrame:
@@ -163,30 +196,68 @@ def _contracted(links: DataFrame, homes: DataFrame) -> DataFrame:
     )
 
 
-def communities(links: DataFrame) -> DataFrame:
-    """(node, community) for ``links(low, high, weight)``; isolated nodes do not
-    occur. The community is named by its smallest node.
+def _fits(links: DataFrame) -> bool:
+    """Whether all nodes and ends of links are at most a block."""
+    if links.count() * 2 > BLOCK_ROWS:
+        return False
+    return _both_ways(links).groupBy("node").count().agg(F.sum(F.col("count") + 1)).first()[0] <= BLOCK_ROWS
 
-    Nodes move, then communities as wholes, level by level; when those rest, nodes may
-    move again out of what came together. The end is where neither a node nor a
-    community gains by a move; modularity grew at every step before."""
-    links = cut_lineage(links)
-    assigned, changed = _move_nodes(links)
+
+def _searched(links: DataFrame) -> DataFrame:
+    """(node, community) of a graph that fits into a block, by one task."""
+    whole = links.withColumn("_block", F.lit(0))
+    return cut_lineage(whole.groupBy("_block").applyInArrow(blocks.search(SMALLEST_GAIN), "node long, community long"))
+
+
+def _upper(assigned: DataFrame, moved: DataFrame) -> DataFrame:
+    outer = moved.select(F.col("node").alias("community"), F.col("community").alias("_outer"))
+    return cut_lineage(assigned.join(outer, "community").select("node", F.col("_outer").alias("community")))
+
+
+def _found(links: DataFrame) -> DataFrame:
+    """(node, community) of numbered nodes. Nodes move, then communities as wholes, level by
+    level; when those rest, nodes may move again out of what came together. The end is where
+    neither a node nor a community gains by a move; modularity grew at every step before."""
+    if _fits(links):
+        return _searched(links)
+    given = _ends(links)
+    assigned, changed = _move_nodes(*given)
+    first = True
     while changed:
         level, merged = _contracted(links, assigned), False
-        while True:  # every level but the last has fewer nodes
-            moved, any_move = _move_nodes(level)
+        while not _fits(level):  # every level but the last has fewer nodes
+            moved, any_move = _move_nodes(*_ends(level))
             if not any_move:
                 break
             merged = True
-            outer = moved.select(F.col("node").alias("community"), F.col("community").alias("_outer"))
-            assigned = cut_lineage(assigned.join(outer, "community").select("node", F.col("_outer").alias("community")))
-            level = _contracted(level, moved)
-        if not merged:
+            assigned, level = _upper(assigned, moved), _contracted(level, moved)
+        else:
+            moved = _searched(level)
+            if not moved.where("node <> community").isEmpty():
+                merged, assigned = True, _upper(assigned, moved)
+        if not merged and not first:
             break
-        assigned, changed = _move_nodes(links, assigned)
-    names = assigned.groupBy("community").agg(F.min("node").alias("_name"))
-    return assigned.join(names, "community").select("node", F.col("_name").alias("community"))
+        first = False
+        assigned, changed = _move_nodes(*given, assigned)
+    return assigned
+
+
+def communities(links: DataFrame) -> DataFrame:
+    """(node, community) for ``links(low, high, weight)``; isolated nodes do not
+    occur. The community is named by its smallest node."""
+    links = cut_lineage(links)
+    nodes = links.select(F.explode(F.array("low", "high")).alias("node")).distinct()
+    numbers = cut_lineage(ranking.with_position(nodes, F.col("node"), name="number"))
+    low = numbers.select(F.col("node").alias("low"), F.col("number").alias("_low"))
+    high = numbers.select(F.col("node").alias("high"), F.col("number").alias("_high"))
+    numbered = cut_lineage(links.join(low, "low").join(high, "high").select(
+        F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("weight").cast("double").alias("weight")
+    ))
+    found = _found(numbered)
+    first = found.groupBy("community").agg(F.min("node").alias("number"))
+    names = first.join(numbers, "number").select("community", F.col("node").alias("_name"))
+    named = found.withColumnRenamed("node", "number").join(names, "community").select("number", "_name")
+    return numbers.join(named, "number").select("node", F.col("_name").alias("community"))
 
 
 def anchored_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -203,7 +274,8 @@ def anchored_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
         .join(inside.select(F.col("id").alias("low")), "low", "left_semi")
         .join(inside.select(F.col("id").alias("high")), "high", "left_semi")
     )
-    found = cut_lineage(communities(cut_lineage(known))) if not known.isEmpty() else None
+    known = cut_lineage(known)
+    found = cut_lineage(communities(known)) if not known.isEmpty() else None
     if found is None:
         alone, groups = inside, None
     else:

@@ -212,6 +212,44 @@ def test_communities_around_hubs_take_few_turns(spark, monkeypatch, block_rows):
     assert len(turns) <= (16 if block_rows > 1000 else 60)
 
 
+def test_few_movers_share_a_block_however_large_their_communities(spark, monkeypatch):
+    """Ten blocks of rows: nodes that do not move take no room in a block, so few turns settle the
+    others; no node and no community would be better off elsewhere."""
+    draw = random.Random(3)
+    links = {}
+    for i in range(300):
+        for j in draw.sample(range(i // 60 * 60, i // 60 * 60 + 60), 3) + draw.sample(range(300), 1):
+            if i != j:
+                links[(f"n{min(i, j):03d}", f"n{max(i, j):03d}")] = draw.randint(1, 3)
+    turns, offers = [], communities._offers
+    monkeypatch.setattr(communities, "_offers", lambda *given: turns.append(1) or offers(*given))
+    monkeypatch.setattr(communities, "BLOCK_ROWS", 250)
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "low string, high string, weight long")
+    home = {r.node: r.community for r in communities.communities(frame).collect()}
+    degree, shared = dict.fromkeys(home, 0), {}
+    for (a, b), w in links.items():
+        for node, other in ((a, b), (b, a)):
+            degree[node] += w
+            shared[node, home[other]] = shared.get((node, home[other]), 0) + w
+    total, names = sum(degree.values()), set(home.values())
+    mass = {c: sum(degree[n] for n in home if home[n] == c) for c in names}
+    for n, here in home.items():
+        gain = {c: shared.get((n, c), 0) - degree[n] * (mass[c] - degree[n] * (c == here)) / total for c in names}
+        assert max(gain.values()) <= gain[here] + 1e-5
+    for c in names:
+        for other in names - {c}:
+            assert sum(shared.get((n, other), 0) for n in home if home[n] == c) - mass[c] * mass[other] / total <= 1e-5
+    assert len(turns) <= 20
+
+
+def test_a_graph_that_fits_into_a_block_is_one_task(spark, monkeypatch):
+    frame = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", 1) for i in range(20) for j in range(i) if i // 5 == j // 5], "high string, low string, weight long")
+    written, cut = [], communities.cut_lineage
+    monkeypatch.setattr(communities, "cut_lineage", lambda *given: written.append(1) or cut(*given))
+    assert {r.community for r in communities.communities(frame).collect()} == {"n00", "n05", "n10", "n15"}
+    assert len(written) <= 5
+
+
 @pytest.mark.parametrize("shape", ["chain", "ring", "lollipop"])
 def test_long_paths_take_few_rounds(spark, monkeypatch, shape):
     """Many partitions, ids in no order: tables written grow with the logarithm of the length."""
