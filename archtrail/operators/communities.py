@@ -35,7 +35,7 @@ SMALLEST_GAIN = 1e-9
 BLOCK_ROWS = 250_000
 # Communities are contracted once fewer than this share of the nodes want to move.
 FEW_MOVERS = 0.3
-STATE = ["node", "degree", "rows", "community"]
+STATE = ["node", "degree", "loops", "rows", "community"]
 # What the best move gains over staying, or lacks (in half powers of two); this for those that gain.
 GAINS = -1000
 
@@ -47,30 +47,29 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def _offers(ends: DataFrame, state: DataFrame, total: float) -> DataFrame:
-    """Per node its community and what it gains by staying and by its best move."""
+def _offers(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
+    """Per node its community and what it gains by staying and by its best move.
+
+    Only links between communities are summed up; what a node shares with its own is the rest."""
     masses = state.groupBy("community").agg(F.sum("degree").alias("mass"))
     held = cut_lineage(state.join(masses, "community").select(*STATE, "mass"))
-    where = held.select(F.col("node").alias("other"), F.col("community").alias("near"), "mass")
-    toward = ends.where(F.col("node") != F.col("other")).join(where, "other").select(
-        "node", "near", "mass", "degree", F.col("weight").alias("shared"), F.lit(None).cast("bigint").alias("rows")
-    )
-    # The own community always takes part, even without a link to it.
-    stay = held.select("node", F.col("community").alias("near"), "mass", "degree", F.lit(0.0).alias("shared"), "rows")
-    options = toward.unionByName(stay).groupBy("node", "near").agg(
-        F.sum("shared").alias("shared"), *[F.max(name).alias(name) for name in ("mass", "degree", "rows")]
+    at = lambda end: held.select(F.col("node").alias(end), F.col("community").alias(f"_{end}"), F.col("mass").alias(f"_{end}_mass"))
+    met = links.where("low <> high").join(at("low"), "low").join(at("high"), "high").where("_low <> _high")
+    sides = [
+        F.struct(F.col(node).alias("node"), F.col(f"_{end}").alias("near"), F.col(f"_{end}_mass").alias("_mass"), F.col("weight").alias("shared"))
+        for node, end in (("low", "high"), ("high", "low"))
+    ]
+    options = met.select(F.inline(F.array(*sides))).groupBy("node", "near").agg(F.sum("shared").alias("shared"), F.max("_mass").alias("_mass"))
+    gain = F.col("shared") - F.col("degree") * F.col("_mass") / F.lit(total)
+    away = options.join(held.select("node", "degree"), "node").select("node", "near", "shared", gain.alias("gain")).groupBy("node").agg(
+        F.max("gain").alias("best"),
+        F.min_by("near", F.struct(-F.round("gain", 9), F.col("near"))).alias("to"),
+        F.sum("shared").alias("_away"),
     )
-    own = F.col("rows").isNotNull()
-    rest = F.col("mass") - F.when(own, F.col("degree")).otherwise(0.0)
-    gain = F.col("shared") - F.col("degree") * rest / F.lit(total)
-    scored = options.select("*", gain.alias("gain"), own.alias("own"))
-    mine = lambda name: F.max(F.when(F.col("own"), F.col(name)))
-    away = lambda column: F.when(~F.col("own"), column)
-    return cut_lineage(scored.groupBy("node").agg(
-        F.max("degree").alias("degree"), F.max("rows").alias("rows"),
-        mine("near").alias("community"), mine("mass").alias("mass"), mine("gain").alias("now"), mine("shared").alias("inside"),
-        F.max(away(F.col("gain"))).alias("best"),
-        F.min_by(away(F.col("near")), away(F.struct(-F.round("gain", 9), F.col("near")))).alias("to"),
+    inside = F.col("degree") - F.col("loops") - F.coalesce("_away", F.lit(0.0))
+    stay = F.col("inside") - F.col("degree") * (F.col("mass") - F.col("degree")) / F.lit(total)
+    return cut_lineage(held.join(away, "node", "left").withColumn("inside", inside).select(
+        *STATE, "mass", "inside", stay.alias("now"), "best", "to"
     ))
 
 
@@ -104,7 +103,7 @@ def _deal(best: DataFrame, movers: DataFrame, count: int, turn: int) -> DataFram
     ))
 
 
-def _moved_in_blocks(ends: DataFrame, best: DataFrame, movers: DataFrame, total: float, count: int, turn: int) -> DataFrame:
+def _moved_in_blocks(links: DataFrame, best: DataFrame, movers: DataFrame, total: float, count: int, turn: int) -> DataFrame:
     """(node, to): moves of ``movers`` inside blocks, one after another, each with a gain."""
     there = best.select(F.col("node").alias("other"), "community", "mass")
     if count == 1:
@@ -113,11 +112,11 @@ def _moved_in_blocks(ends: DataFrame, best: DataFrame, movers: DataFrame, total:
         dealt = _deal(best, movers, count, turn)
         placed = movers.join(dealt, "community")
         there = there.join(dealt.withColumnRenamed("block", "_block"), "community")
-    links = ends.where("node <> other").join(placed.select("node", "block"), "node").join(there, "other")
+    near = _both_ways(links.where("low <> high")).join(placed.select("node", "block"), "node").join(there, "other")
     if count > 1:
-        links = links.where("block = _block")
+        near = near.where("block = _block")
     rows = placed.select("block", "node", F.lit(None).cast("bigint").alias("other"), "community", "mass", F.col("degree").alias("weight")).unionByName(
-        links.select("block", "node", "other", "community", "mass", "weight")
+        near.select("block", "node", "other", "community", "mass", "weight")
     )
     return cut_lineage(rows.groupBy("block").applyInArrow(
         blocks.move_nodes(total, SMALLEST_GAIN * total), "node long, to long"
@@ -135,25 +134,26 @@ def _apart(movers: DataFrame) -> DataFrame:
 
 def _moved(best: DataFrame, movers: DataFrame) -> DataFrame:
     going = movers.select("node", F.col("to").alias("_to"))
-    return best.join(going, "node", "left").select("node", "degree", "rows", F.coalesce("_to", "community").alias("community"))
+    return best.join(going, "node", "left").withColumn("community", F.coalesce("_to", "community")).select(*STATE)
 
 
-def _ends(links: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """Ends of links (node, other, weight, degree), nodes (node, degree, rows) and the sum of all degrees."""
-    both = _both_ways(links)
-    degrees = cut_lineage(both.groupBy("node").agg(F.sum("weight").alias("degree"), (F.count(F.lit(1)) + 1).alias("rows")))
-    ends = cut_lineage(both.join(degrees.select("node", "degree"), "node"))
-    return ends, degrees, degrees.agg(F.sum("degree")).first()[0]
+def _degrees(links: DataFrame) -> DataFrame:
+    """Nodes with their degree, the part of it that is a link to themselves, and rows."""
+    loop = F.when(F.col("node") == F.col("other"), F.col("weight")).otherwise(0.0)
+    return cut_lineage(_both_ways(links).groupBy("node").agg(
+        F.sum("weight").alias("degree"), F.sum(loop).alias("loops"), (F.count(F.lit(1)) + 1).alias("rows")
+    ))
 
 
-def _move_nodes(ends: DataFrame, degrees: DataFrame, total: float, start: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def _move_nodes(links: DataFrame, degrees: DataFrame, start: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """(node, community) and whether anything moved.
 
     The search begins with every node on its own and goes on until few nodes gain by a move, or
     with ``start`` (node, community) and goes on until none does."""
+    total = degrees.agg(F.sum("degree")).first()[0]
     least = SMALLEST_GAIN * total
     alone = degrees.withColumn("community", F.col("node"))
-    best = _offers(ends, (alone if start is None else degrees.join(start, "node")).select(*STATE), total)
+    best = _offers(links, (alone if start is None else degrees.join(start, "node")).select(*STATE), total)
     gains = F.col("best") > F.col("now") + F.lit(least)
     lacks = F.floor(2 * F.log2(F.greatest(F.col("now") - F.col("best"), F.lit(least / 1000)))).cast("int")
     turn = 0
@@ -173,15 +173,15 @@ def _move_nodes(ends: DataFrame, degrees: DataFrame, total: float, start: DataFr
                 break
             limit = lack
         movers = best.where(F.col("lacks") == GAINS)
-        settled = _moved_in_blocks(ends, best, best.where(F.col("lacks") <= limit), total, count, turn)
+        settled = _moved_in_blocks(links, best, best.where(F.col("lacks") <= limit), total, count, turn)
         if not settled.isEmpty():
-            best = _offers(ends, _moved(best, settled), total)
+            best = _offers(links, _moved(best, settled), total)
         else:
             half = movers.where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)
-            tried = _offers(ends, _moved(best, half), total)
+            tried = _offers(links, _moved(best, half), total)
             if _value(tried, total) <= _value(best, total) + least:
                 going = movers.join(_apart(movers), "node", "left_semi")
-                tried = _offers(ends, _moved(best, going), total)
+                tried = _offers(links, _moved(best, going), total)
             best = tried
 
 
@@ -220,13 +220,13 @@ def _found(links: DataFrame) -> DataFrame:
     neither a node nor a community gains by a move; modularity grew at every step before."""
     if _fits(links):
         return _searched(links)
-    given = _ends(links)
-    assigned, changed = _move_nodes(*given)
+    degrees = _degrees(links)
+    assigned, changed = _move_nodes(links, degrees)
     first = True
     while changed:
         level, merged = _contracted(links, assigned), False
         while not _fits(level):  # every level but the last has fewer nodes
-            moved, any_move = _move_nodes(*_ends(level))
+            moved, any_move = _move_nodes(level, _degrees(level))
             if not any_move:
                 break
             merged = True
@@ -238,7 +238,7 @@ def _found(links: DataFrame) -> DataFrame:
         if not merged and not first:
             break
         first = False
-        assigned, changed = _move_nodes(*given, assigned)
+        assigned, changed = _move_nodes(links, degrees, assigned)
     return assigned
 
 
